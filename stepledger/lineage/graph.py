@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.columns import col
-from stepledger.operators.ordered import carry_forward
+from stepledger.operators.ordered import carry_forward, number_rows
 from stepledger.settings import cut
 
 
@@ -43,8 +43,6 @@ def final_outputs(io: DataFrame, program: str = "program") -> DataFrame:
 
 def producers(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
     """Every writer of a dataset with its place among the writers, one row each."""
-    from stepledger.operators.ordered import number_rows
-
     writes = io.filter("is_write").select(col(program), "dataset", col(order)).distinct()
     return number_rows(writes, [program, "dataset"], [order], "place")
 

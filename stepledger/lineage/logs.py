@@ -109,7 +109,7 @@ def squeeze_ends(text: Column) -> Column:
 def let_variables(sources: DataFrame, text: str = "text") -> DataFrame:
     """Variables assigned by ``%let`` in the parametric source."""
     names = F.regexp_extract_all(F.col(text), F.lit(P.LET), F.lit(1))
-    return sources.select("program", F.upper(F.explode(names)).alias("variable")).distinct()
+    return sources.select("program", F.explode(F.transform(names, F.upper)).alias("variable")).distinct()
 
 
 def macro_definitions(sources: DataFrame, text: str = "text") -> DataFrame:
@@ -129,19 +129,3 @@ def derived_symbols(facts: LogFacts, lets: DataFrame) -> DataFrame:
     """Numeric variables that are neither loop index, parameter nor ``%let``: their values came from data."""
     structural = facts.structural.select("program", "variable").union(lets.select("program", "variable"))
     return facts.symbols.filter(F.col("value").rlike(P.NUMBER)).join(structural, ["program", "variable"], "left_anti")
-
-
-__all__ = [
-    "LogFacts",
-    "classify",
-    "derived_symbols",
-    "flatten",
-    "harvest",
-    "is_log_line",
-    "let_variables",
-    "lines",
-    "looks_like_log",
-    "macro_definitions",
-    "numbered_lines",
-    "squeeze",
-]

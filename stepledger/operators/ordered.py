@@ -32,40 +32,59 @@ def _union(light: DataFrame | None, heavy: DataFrame | None) -> DataFrame:
     return light.unionByName(heavy)
 
 
-def running_sum(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]
+# How a running aggregate starts, and how an earlier piece's value joins a row's own.
+_RUNNING = {
+    "sum": (F.sum, lambda own, before: own + F.coalesce(before, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
+
+
+def running(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], aggs: Mapping[str, tuple[str, Column]]
 ) -> DataFrame:
-    """Running totals within the BY group. A missing term adds nothing; the total starts at zero."""
-    names = list(sums)
-    terms = {f"__term{i}": F.coalesce(sums[n], F.lit(0)) for i, n in enumerate(names)}
+    """Cumulative sum, min or max within the BY group, ``{out: (kind, term)}``. Missing terms are passed over."""
+    terms = {f"__term{i}": term for i, (_, term) in enumerate(aggs.values())}
+    plan = [(out, t, *_RUNNING[kind]) for (out, (kind, _)), t in zip(aggs.items(), terms)]
     work = df.withColumns(terms)
     keys = ordering(df, order, skip=by)
     split = split_heavy(work, by)
 
     def local(part: DataFrame, piece: bool) -> DataFrame:
         w = window(by, keys, piece).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return part.withColumns({n: F.sum(t).over(w) for n, t in zip(names, terms)})
+        return part.withColumns({out: fn(t).over(w) for out, t, fn, _ in plan})
 
     light = None if split.light is None else local(split.light, False).drop(*terms)
     heavy = None
     if split.heavy is not None:
         parts = in_pieces(split.heavy, by, keys, split.pieces)
-        totals = parts.groupBy(PIECE, *[col(c) for c in by]).agg(*[F.sum(t).alias(t) for t in terms])
         w = across_pieces(by)
-        before = {t: F.sum(t).over(w.rowsBetween(Window.unboundedPreceding, -1)) for t in terms}
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        totals = parts.groupBy(PIECE, *[col(c) for c in by]).agg(*[fn(t).alias(t) for _, t, fn, _ in plan])
         carried = (
-            totals.withColumns({**{f"{t}_before": b for t, b in before.items()}, "__place": F.row_number().over(w)})
+            totals.withColumns(
+                {**{f"{t}_before": fn(t).over(earlier) for _, t, fn, _ in plan}, "__place": F.row_number().over(w)}
+            )
             .filter("__place > 1")
             .drop("__place", *terms)
         )
-        joined = stitch(local(parts, True), carried, by)
-        types = dict((light if light is not None else local(parts, True)).dtypes)
-        heavy = joined.withColumns(
-            {n: (col(n) + F.coalesce(F.col(f"{t}_before"), F.lit(0))).cast(types[n]) for n, t in zip(names, terms)}
-        ).drop(PIECE, *terms, *[f"{t}_before" for t in terms])
+        own = local(parts, True)
+        types = dict(own.dtypes)
+        heavy = (
+            stitch(own, carried, by)
+            .withColumns({out: join(col(out), F.col(f"{t}_before")).cast(types[out]) for out, t, _, join in plan})
+            .drop(PIECE, *terms, *[f"{t}_before" for t in terms])
+        )
     return _union(light, heavy)
 
 
+def running_sum(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]
+) -> DataFrame:
+    """Running totals within the BY group. A missing term adds nothing; the total starts at zero."""
+    return running(df, by, order, {out: ("sum", F.coalesce(term, F.lit(0))) for out, term in sums.items()})
+
+
 def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """The sum statement: retained, reset at the first row of the BY group."""
     return running_sum(df, by, order, {out: col(value)})

@@ -123,3 +123,14 @@ def test_decimal_running_total_keeps_its_type(spark, heavy):
     got = O.running_total(df, ["g"], ["t"], "v", "out")
     assert dict(got.dtypes)["out"] == "decimal(28,2)"
     assert {r["t"]: int(r["out"]) for r in got.collect()} == {i: i * (i + 1) // 2 for i in range(30)}
+
+
+def test_running_extremes(frame, heavy):
+    want = {}
+    for part in by_group(data(), lambda r: r[0]):
+        seen = []
+        for r in part:
+            seen += [] if r[3] is None else [r[3]]
+            want[r[2]] = (min(seen, default=None), max(seen, default=None))
+    got = O.running(frame, ["g"], ["t"], {"low": ("min", F.col("v")), "high": ("max", F.col("v"))})
+    assert {r["t"]: (r["low"], r["high"]) for r in got.collect()} == want
