@@ -79,7 +79,7 @@ def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program", max
         sizes = most.groupBy(col(program)).count().agg(F.max("count"))
         max_rounds = sizes.first()[0] or 0
     targets = pairs.select(col(program), F.col("dst").alias("idx")).distinct()
-    front = nodes.join(targets, [program, "idx"], "left_anti")
+    front = cut(nodes.join(targets, [program, "idx"], "left_anti"))
     rounds = [front.withColumn("depth", F.lit(0))]
     moving = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
     for depth in range(1, max_rounds + 2):
@@ -104,7 +104,7 @@ def run_order(steps: DataFrame, program: str = "program") -> DataFrame:
 
 def downstream(start: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
     """Every step reachable from the ``start`` steps, themselves included."""
-    pairs = edge_rows.select(col(program), "src", "dst").distinct()
+    pairs = cut(edge_rows.select(col(program), "src", "dst").distinct())
     seen = cut(start.select(col(program), "idx").distinct())
     front = seen
     while not front.isEmpty():

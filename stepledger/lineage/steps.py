@@ -29,21 +29,33 @@ def step_numbers(stmts: DataFrame, program: str = "program") -> DataFrame:
 def extract_steps(programs: DataFrame, text: str = "text", library: str = "work") -> DataFrame:
     """Steps with kind, procedure, statements, text, reads, writes and label.
 
-    A step's statements come from one program text, so the collected group is no
-    larger than a row that was read.
+    A program text is cut inside its own row, in one pass over its statements, so
+    no statement is shuffled and nothing is grouped.
     """
-    numbered = step_numbers(statements(programs.select("program", text), text))
-    grouped = numbered.groupBy("program", "idx").agg(
-        F.array_sort(F.collect_list(F.struct("stmt_no", "statement", "word"))).alias("s")
-    )
-    head = F.col("s")[0]
-    parts = grouped.select(
+    split = programs.select("program", split_statements(F.col(text)).alias("all"))
+    worded = split.select("program", "all", F.transform("all", first_word).alias("words"))
+
+    def begins(place: Column) -> Column:
+        word, prior = F.get("words", place - 1), F.get("words", place - 2)
+        return (place == 1) | word.isin("data", "proc") | prior.isin(P.TERMINATORS)
+
+    # Not a row filter on the size: it would be pushed below the lexing and cut every text twice.
+    places = F.when(F.size("all") > 0, F.sequence(F.lit(1), F.size("all")))
+    firsts = worded.withColumn("firsts", F.filter(places, begins))
+
+    def cut_at(first: Column, number: Column) -> Column:
+        after = F.coalesce(F.get("firsts", number + 1), F.size("all") + 1)
+        return F.struct(F.slice("all", first, after - first).alias("statements"), F.get("words", first - 1).alias("word"))
+
+    rows = firsts.select("program", F.posexplode(F.transform("firsts", cut_at)).alias("idx", "step"))
+    statements_, word = F.col("step.statements"), F.col("step.word")
+    parts = rows.select(
         "program",
-        "idx",
-        F.when(head["word"].isin("data", "proc"), head["word"]).otherwise(F.lit("other")).alias("kind"),
-        F.when(head["word"] == "proc", proc_name(head["statement"])).alias("proc"),
-        F.col("s.statement").alias("statements"),
-        F.concat(F.array_join("s.statement", ";\n"), F.lit(";")).alias("text"),
+        F.col("idx").cast("long").alias("idx"),
+        F.when(word.isin("data", "proc"), word).otherwise(F.lit("other")).alias("kind"),
+        F.when(word == "proc", proc_name(statements_[0])).alias("proc"),
+        statements_.alias("statements"),
+        F.concat(F.array_join(statements_, ";\n"), F.lit(";")).alias("text"),
     )
     return with_label(with_io(parts, library))
 

@@ -18,6 +18,16 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
+def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
+    """Texts over all cores, where the scan gave fewer partitions than there are cores.
+
+    Lexing a text costs far more than moving it. A large corpus already has many
+    partitions and is left as it is.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus if corpus.rdd.getNumPartitions() >= cores else corpus.repartition(cores, by)
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 

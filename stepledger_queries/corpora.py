@@ -5,6 +5,7 @@ Each text is one SQL expression that both engines evaluate on the same row.
 
 from pyspark.sql import functions as F
 
+from stepledger.sources.corpus import spread
 from stepledger_queries.base import table
 
 PROGRAM = "concat('part', CAST(p_partkey AS STRING))"
@@ -54,7 +55,8 @@ SOURCE = f"""concat(
 
 
 def corpus(spark, sf_dir, text=TEXT):
-    return table(spark, sf_dir, "part").select(F.expr(PROGRAM).alias("program"), F.expr(text).alias("text"))
+    part = table(spark, sf_dir, "part")
+    return spread(part.select(F.expr(PROGRAM).alias("program"), F.expr(text).alias("text")))
 
 
 def corpus_sql(text=TEXT):
