@@ -15,7 +15,7 @@ LOG_ENDING = ".log"
 def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, text: one row per file. Bytes that are not UTF-8 become the replacement character."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return raw.select("path", F.decode("content", "UTF-8").alias("text"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
