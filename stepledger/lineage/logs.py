@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.functions.text import squeeze
 from stepledger.lineage import patterns as P
 from stepledger.lineage.lexing import normalize_statement
+from stepledger.settings import store
 
 
 def lines(text: Column) -> Column:
@@ -50,54 +50,58 @@ class LogFacts:
     emitted: DataFrame  # program, macro, statement: normalised expanded statements
 
 
-def classify(logs: DataFrame, text: str = "text") -> DataFrame:
-    """Log lines with the kind each line has; the first matching kind wins."""
+def fact_rows(logs: DataFrame, text: str = "text") -> DataFrame:
+    """Every fact of every log line: program, line_no, role, name, detail.
+
+    A line is a symbol line, an expanded line or a logic line, in that order of
+    trial; an expanded line gives one fact per statement, a logic line up to two.
+    """
     line = F.col("line")
-    kind = (
-        F.when(line.rlike(P.SYMBOL), F.lit("symbol"))
-        .when(line.rlike(P.EXPANDED_NAMED), F.lit("expanded"))
-        .when(F.upper(line).contains(P.LOGIC), F.lit("logic"))
+
+    def fact(role: str, name: Column, detail: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.upper(name).alias("name"), detail.alias("detail"))
+
+    none = F.lit(None).cast("string")
+    symbol = F.array(
+        fact("symbol", F.regexp_extract(line, P.SYMBOL, 1), squeeze_ends(F.regexp_extract(line, P.SYMBOL, 2)))
+    )
+    macro = F.regexp_extract(line, P.EXPANDED_NAMED, 1)
+    pieces = F.split(F.regexp_extract(line, P.EXPANDED_NAMED, 2), ";")
+    expanded = F.transform(pieces, lambda s: fact("emitted", macro, normalize_statement(s)))
+    logic = F.array(
+        fact("loop", F.regexp_extract(line, P.LOOP_INDEX, 1), none),
+        fact("parameter", F.regexp_extract(line, P.PARAMETER, 1), none),
+    )
+    facts = (
+        F.when(line.rlike(P.SYMBOL), symbol)
+        .when(line.rlike(P.EXPANDED_NAMED), expanded)
+        .when(F.upper(line).contains(P.LOGIC), logic)
     )
-    return numbered_lines(logs, text).withColumn("kind", kind).filter("kind is not null")
+    rows = numbered_lines(logs.select("program", text), text).select("program", "line_no", F.explode(facts).alias("f"))
+    emitted = F.col("f.role") == "emitted"
+    empty = (emitted & ((F.col("f.detail") == "") | F.col("f.detail").isin(P.TERMINATORS))) | (
+        ~emitted & (F.col("f.name") == "")
+    )
+    return rows.filter(~empty).select("program", "line_no", "f.role", "f.name", "f.detail")
 
 
 def harvest(logs: DataFrame, text: str = "text") -> LogFacts:
-    """Facts of every log at once; each group is reduced map-side, so a long log stays cheap."""
-    found = classify(logs, text)
-    line = F.col("line")
-    symbols = (
-        found.filter("kind = 'symbol'")
-        .select(
-            "program",
-            F.upper(F.regexp_extract(line, P.SYMBOL, 1)).alias("variable"),
-            F.struct("line_no", squeeze_ends(F.regexp_extract(line, P.SYMBOL, 2)).alias("value")).alias("at"),
+    """Facts of every log, read once: one aggregate finds the last value of each
+    symbol and each fact once, reduced map-side, and is written for the readers of the three tables."""
+    rows = fact_rows(logs, text)
+    symbol = F.col("role") == "symbol"
+    found = store(
+        rows.groupBy("program", "role", "name", F.when(~symbol, F.col("detail")).alias("statement")).agg(
+            F.max(F.when(symbol, F.struct("line_no", F.col("detail").alias("value")))).alias("last")
         )
-        .groupBy("program", "variable")
-        .agg(F.max("at")["value"].alias("value"))
-    )
-    roles = found.filter("kind = 'logic'").select(
-        "program",
-        F.explode(
-            F.array(
-                F.struct(F.lit("loop").alias("role"), F.regexp_extract(line, P.LOOP_INDEX, 1).alias("name")),
-                F.struct(F.lit("parameter").alias("role"), F.regexp_extract(line, P.PARAMETER, 1).alias("name")),
-            )
-        ).alias("r"),
     )
-    structural = (
-        roles.filter("r.name <> ''").select("program", F.upper("r.name").alias("variable"), "r.role").distinct()
+    symbols = found.filter("role = 'symbol'").select(
+        "program", F.col("name").alias("variable"), F.col("last.value").alias("value")
     )
-    pieces = F.split(F.regexp_extract(line, P.EXPANDED_NAMED, 2), ";")
-    emitted = (
-        found.filter("kind = 'expanded'")
-        .select(
-            "program",
-            F.upper(F.regexp_extract(line, P.EXPANDED_NAMED, 1)).alias("macro"),
-            F.explode(F.transform(pieces, normalize_statement)).alias("statement"),
-        )
-        .filter((F.col("statement") != "") & ~F.col("statement").isin(P.TERMINATORS))
-        .distinct()
+    structural = found.filter("role in ('loop', 'parameter')").select(
+        "program", F.col("name").alias("variable"), "role"
     )
+    emitted = found.filter("role = 'emitted'").select("program", F.col("name").alias("macro"), "statement")
     return LogFacts(symbols, structural, emitted)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepledger.columns import attach, col
-from stepledger.settings import HEAVY_GROUPS, cut, heavy_rows, is_small
+from stepledger.settings import HEAVY_GROUPS, heavy_rows, is_small, store
 
 PIECE = "__piece"
 
@@ -50,7 +50,7 @@ def split_heavy(df: DataFrame, by: Sequence[str]) -> Split:
 def in_pieces(heavy: DataFrame, by: Sequence[str], order: Sequence[Column], pieces: int) -> DataFrame:
     """Range-partition on (BY, order); the piece number is stored with the rows."""
     keys = [col(c).asc_nulls_first() for c in by] + list(order)
-    return cut(heavy.repartitionByRange(pieces, *keys).withColumn(PIECE, F.spark_partition_id()))
+    return store(heavy.repartitionByRange(pieces, *keys).withColumn(PIECE, F.spark_partition_id()))
 
 
 def window(by: Sequence[str], order: Sequence[Column], piece: bool = False):

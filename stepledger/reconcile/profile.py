@@ -13,51 +13,80 @@ from stepledger.functions.numbers import close
 from stepledger.reconcile.families import exact, family, is_float
 from stepledger.settings import ATOL, RTOL
 
-# Several exact distinct counts multiply the rows of one pass by their number.
-BATCH = 16
-
-
-def _stats(name: str, kind: T.DataType, approx: bool) -> Column:
-    """The statistics of one column as a struct; ``name`` is in its exact form."""
-    value = col(name)
-    numeric = family(kind) == "numeric"
-    number = value.cast("double")
+def _summaries(df: DataFrame, kinds: dict[str, T.DataType], approx: bool) -> DataFrame:
+    """One pass over a table without keys: the plain statistics of every column, one row each."""
     none = F.lit(None).cast("double")
-    distinct = F.approx_count_distinct(value) if approx else F.count_distinct(value)
-    return F.struct(
-        F.lit(name).alias("column_name"),
-        F.lit(family(kind)).alias("family"),
-        F.lit(is_float(kind)).alias("is_float"),
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(value.isNull()).alias("null_count"),
-        distinct.alias("distinct_count"),
-        (F.sum(number) if numeric else none).alias("sum_value"),
-        (F.avg(number) if numeric else none).alias("mean_value"),
-        F.min(value).cast("string").alias("min_value"),
-        F.max(value).cast("string").alias("max_value"),
-    )
-
-
-def _long(df: DataFrame, kinds: dict[str, T.DataType], keys: list[str], approx: bool) -> DataFrame:
-    names = list(kinds)
     parts = []
-    for i in range(0, len(names), BATCH):
-        stats = F.array(*[_stats(n, kinds[n], approx) for n in names[i : i + BATCH]])
-        wide = df.groupBy(*keys).agg(stats.alias("__stats"))
-        parts.append(wide.select(*keys, F.inline("__stats")))
-    return reduce(lambda a, b: a.union(b), parts)
+    for name, kind in kinds.items():
+        value, numeric = col(name), family(kind) == "numeric"
+        number = value.cast("double")
+        parts.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.lit(family(kind)).alias("family"),
+                F.lit(is_float(kind)).alias("is_float"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.count_if(value.isNull()).alias("null_count"),
+                (F.approx_count_distinct(value) if approx else F.lit(None).cast("bigint")).alias("distinct_count"),
+                (F.sum(number) if numeric else none).alias("sum_value"),
+                (F.avg(number) if numeric else none).alias("mean_value"),
+                F.min(value).cast("string").alias("min_value"),
+                F.max(value).cast("string").alias("max_value"),
+            )
+        )
+    return df.agg(F.array(*parts).alias("stats")).select(F.inline("stats"))
+
+
+def _distinct(frames: dict[str, DataFrame], kinds: dict[str, T.DataType]) -> DataFrame:
+    """Exact distinct counts per column and side: ``column_name`` and one count per frame.
+
+    Values of one type are laid out in rows and reduced by hash map-side, all sides
+    together, so that a value both sides have is shuffled once. A hot value is one
+    row per task.
+    """
+    sides = list(frames)
+    by_type: dict[str, list[str]] = {}
+    for name, kind in kinds.items():
+        by_type.setdefault(kind.simpleString(), []).append(name)
+    counted = []
+    for names in by_type.values():
+        cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), col(n).alias("value")) for n in names]))
+        rows = reduce(
+            lambda a, b: a.union(b),
+            [
+                df.select(cells.alias("cell"), *[F.lit(s == side).alias(s) for s in sides])
+                for side, df in frames.items()
+            ],
+        )
+        values = rows.filter("cell.value is not null").groupBy("cell.column_name", "cell.value")
+        seen = values.agg(*[F.max(s).alias(s) for s in sides])
+        counted.append(seen.groupBy("column_name").agg(*[F.count_if(s).alias(s) for s in sides]))
+    return reduce(lambda a, b: a.union(b), counted)
+
+
+def _profiles(frames: dict[str, DataFrame], kinds: dict[str, T.DataType], approx: bool) -> DataFrame:
+    """Statistics of every side in long form: ``side``, ``column_name`` and the statistics."""
+    rows = reduce(
+        lambda a, b: a.union(b),
+        [_summaries(df, kinds, approx).withColumn("side", F.lit(side)) for side, df in frames.items()],
+    )
+    if approx:
+        return rows
+    counts = _distinct(frames, kinds).unpivot(["column_name"], list(frames), "side", "n")
+    joined = rows.join(counts, ["side", "column_name"], "left")
+    return joined.withColumn("distinct_count", F.coalesce("n", F.lit(0))).drop("n")
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: rows, nulls, distinct values, sum, mean, minimum, maximum."""
     plain, kinds = exact(lower_names(df), lower_names(df), [c.lower() for c in df.columns])
-    return _long(plain, kinds, [], approx).drop("is_float")
+    return _profiles({"actual": plain}, kinds, approx).drop("is_float", "side")
 
 
 def compare_profiles(
     actual: DataFrame, golden: DataFrame, atol: float = ATOL, rtol: float = RTOL, approx: bool = False
 ) -> DataFrame:
-    """Both profiles side by side, one job for both sides, with a verdict per column.
+    """Both profiles side by side in one job, with a verdict per column.
 
     Distinct counts and extremes of floating columns are shown but do not decide:
     values within tolerance of each other may differ in them.
@@ -66,12 +95,11 @@ def compare_profiles(
     shared = sorted(set(a.columns) & set(g.columns))
     mine, kinds = exact(a, g, shared)
     theirs, _ = exact(g, a, shared)
-    both = mine.withColumn("__side", F.lit("actual")).union(theirs.withColumn("__side", F.lit("golden")))
-    stats = _long(both, kinds, ["__side"], approx)
-    fields = [c for c in stats.columns if c not in ("__side", "column_name", "family", "is_float")]
+    stats = _profiles({"actual": mine, "golden": theirs}, kinds, approx)
+    fields = [c for c in stats.columns if c not in ("side", "column_name", "family", "is_float")]
     sides = stats.groupBy("column_name", "family", "is_float").agg(
         *[
-            F.max(F.when(F.col("__side") == side, F.col(f))).alias(f"{side}_{f}")
+            F.max(F.when(F.col("side") == side, F.col(f))).alias(f"{side}_{f}")
             for f in fields
             for side in ("actual", "golden")
         ]

@@ -13,7 +13,7 @@ from stepledger.functions.numbers import close, round_to
 from stepledger.operators.ordered import carry_forward, running_sum, shift
 from stepledger.operators.stack import signed_difference
 from stepledger.reconcile.families import exact, is_float, plain_text
-from stepledger.settings import ATOL, MAX_REPORT, RTOL, cut
+from stepledger.settings import ATOL, MAX_REPORT, RTOL, store
 
 
 @dataclass
@@ -86,7 +86,7 @@ def value_diff(
     group = [k.lower() for k in keys] if keys else [c for c in shared if c not in floats]
     values = [c for c in shared if c not in group]
     # Written once: pairing and both results read the residual, not the tables again.
-    residual = cut(signed_difference(mine, theirs, "copies"))
+    residual = store(signed_difference(mine, theirs, "copies"))
 
     if not values:
         rows = residual.select(

@@ -58,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it from there.
+
+    For a result that several passes read: they prune its columns, and the
+    optimizer knows its true size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size bound, read without running a job."""
     try:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stepledger.lineage import graph, lexing, logs, provenance, steps
 from stepledger.lineage import patterns as P
+from stepledger.settings import store
 from stepledger.sources.corpus import manifest_order, pair_sources
 from stepledger_queries.base import literal, query, table
 from stepledger_queries.corpora import LOG, PROGRAM, SOURCE, corpus, corpus_sql
@@ -215,7 +216,7 @@ DERIVED = f"""{SYMBOLS},
 
 def log_parts(spark, sf_dir):
     flat = flat_corpus(spark, sf_dir)
-    return steps.extract_steps(flat), logs.harvest(corpus(spark, sf_dir, LOG)), corpus(spark, sf_dir, SOURCE)
+    return store(steps.extract_steps(flat)), logs.harvest(corpus(spark, sf_dir, LOG)), corpus(spark, sf_dir, SOURCE)
 
 
 @query("l5_derived_symbols", f"WITH {DERIVED} SELECT program, variable, value FROM derived")
@@ -330,7 +331,8 @@ def s6_dataset_key(spark, sf_dir):
 
 
 def part_graph(spark, sf_dir):
-    found = steps.extract_steps(corpus(spark, sf_dir))
+    """Steps are written once; the passes over them read a few of their columns."""
+    found = store(steps.extract_steps(corpus(spark, sf_dir)))
     io = steps.step_io(found)
     return found, io, graph.edges(io)
 
@@ -368,7 +370,7 @@ def l10_layers(spark, sf_dir):
 )
 def l11_project_edges(spark, sf_dir):
     """Programs of 25 projects, numbered through in file order; datasets are shared inside a project."""
-    found = steps.extract_steps(corpus(spark, sf_dir))
+    found = store(steps.extract_steps(corpus(spark, sf_dir)))
     tagged = found.withColumn("project", F.substring("program", 5, 20).cast("long") % 25)
     numbered = steps.renumber(tagged.withColumnRenamed("idx", "step_no"), "project", ["program", "step_no"])
     return graph.edges(steps.step_io(numbered, "project"), "project")

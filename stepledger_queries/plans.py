@@ -11,6 +11,7 @@ from stepledger.operators import rows as R
 from stepledger.plans import verdicts
 from stepledger.plans.changes import definition_fingerprint, manifest, stale_steps
 from stepledger.plans.flow import Step, run_flow
+from stepledger.settings import store
 from stepledger.sources.sinks import manifest_json
 from stepledger_queries.base import money, query, table, total
 from stepledger_queries.corpora import TEXT, corpus
@@ -203,7 +204,7 @@ def s12_result_manifest(spark, sf_dir):
 )
 def pl2_stale_steps(spark, sf_dir):
     """Programs edited since the last run, and one raw dataset whose rows changed."""
-    now = steps.extract_steps(corpus(spark, sf_dir))
+    now = store(steps.extract_steps(corpus(spark, sf_dir)))
     edited = f"CASE WHEN p_partkey % 97 = 0 THEN replace({TEXT}, 'nocenter', 'center') ELSE {TEXT} END"
     before = steps.extract_steps(corpus(spark, sf_dir, edited))
     io = steps.step_io(now)

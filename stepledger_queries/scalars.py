@@ -6,6 +6,7 @@ from stepledger.functions import dates, missing, numbers, text
 from stepledger.lineage import lexing, logs
 from stepledger.lineage import patterns as P
 from stepledger.plans.changes import definition_fingerprint
+from stepledger.sources.corpus import spread
 from stepledger_queries.base import literal, query, table
 
 
@@ -183,7 +184,7 @@ def statements_sql(clean: str) -> str:
 )
 def f12_strip_comments(spark, sf_dir):
     marked = F.replace(F.replace(F.col("html"), F.lit("<p>"), F.lit("/* ")), F.lit("</p>"), F.lit(" */"))
-    df = table(spark, sf_dir, "pages").select("page_id", lexing.strip_comments(marked).alias("c"))
+    df = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", lexing.strip_comments(marked).alias("c"))
     return df.select("page_id", F.length("c").cast("long").alias("n"), F.md5("c").alias("digest"))
 
 
@@ -197,7 +198,7 @@ def f12_strip_comments(spark, sf_dir):
     """,
 )
 def f13_statements(spark, sf_dir):
-    df = table(spark, sf_dir, "pages")
+    df = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     rows = df.select("page_id", F.posexplode(lexing.split_statements(F.col("html"))).alias("stmt_no", "statement"))
     return rows.select("page_id", F.col("stmt_no").cast("long"), F.md5("statement").alias("digest"))
 
