@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepledger.columns import col
 from stepledger.operators.ordered import carry_forward, number_rows
-from stepledger.settings import cut
+from stepledger.settings import store
 
 
 def resolve_reads(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
@@ -64,7 +64,17 @@ def neighbours(edge_rows: DataFrame, program: str = "program") -> DataFrame:
     )
 
 
-def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program", max_rounds: int | None = None) -> DataFrame:
+# Most graphs are done before this round; later ones are bounded by their number of steps.
+CYCLE_CHECK_ROUND = 12
+
+
+def _most_steps(pairs: DataFrame, program: str) -> int:
+    """Steps with edges in the largest program; a path without a cycle has fewer edges."""
+    ends = pairs.select(col(program), F.explode(F.array("src", "dst")).alias("idx")).distinct()
+    return ends.groupBy(col(program)).count().agg(F.max("count")).first()[0]
+
+
+def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
     """Longest-path depth of every step; a cycle is an error.
 
     Round k holds the steps that end a path of k edges, for all programs at once.
@@ -72,21 +82,20 @@ def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program", max
     chain, and only the moving front is written.
     """
     nodes = nodes.select(col(program), "idx").distinct()
-    pairs = cut(edge_rows.select(col(program), "src", "dst").distinct())
-    if max_rounds is None:
-        # A path visits each step of its program once at most.
-        most = pairs.select(col(program), F.explode(F.array("src", "dst")).alias("idx")).distinct()
-        sizes = most.groupBy(col(program)).count().agg(F.max("count"))
-        max_rounds = sizes.first()[0] or 0
+    pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
     targets = pairs.select(col(program), F.col("dst").alias("idx")).distinct()
-    front = cut(nodes.join(targets, [program, "idx"], "left_anti"))
+    front = store(nodes.join(targets, [program, "idx"], "left_anti"))
     rounds = [front.withColumn("depth", F.lit(0))]
     moving = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
-    for depth in range(1, max_rounds + 2):
-        front = cut(moving.select(col(program), F.col("dst").alias("idx")).distinct())
+    depth, longest = 0, None
+    while True:
+        depth += 1
+        front = store(moving.select(col(program), F.col("dst").alias("idx")).distinct())
         if front.isEmpty():
             break
-        if depth > max_rounds:
+        if depth == CYCLE_CHECK_ROUND:
+            longest = _most_steps(pairs, program)
+        if longest is not None and depth >= longest:
             raise ValueError("dependency graph has a cycle")
         rounds.append(front.withColumn("depth", F.lit(depth)))
         moving = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
@@ -104,12 +113,12 @@ def run_order(steps: DataFrame, program: str = "program") -> DataFrame:
 
 def downstream(start: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
     """Every step reachable from the ``start`` steps, themselves included."""
-    pairs = cut(edge_rows.select(col(program), "src", "dst").distinct())
-    seen = cut(start.select(col(program), "idx").distinct())
+    pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
+    seen = store(start.select(col(program), "idx").distinct())
     front = seen
     while not front.isEmpty():
         hit = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
-        front = cut(
+        front = store(
             hit.select(col(program), F.col("dst").alias("idx")).distinct().join(seen, [program, "idx"], "left_anti")
         )
         seen = seen.union(front)

@@ -42,7 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="stepledger-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
@@ -52,17 +51,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stepledger/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that a lost executor costs no lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
-    For a result that several passes read: they prune its columns, and the
-    optimizer knows its true size.
+    For a result that several passes read, and to cut the lineage of iterations: a
+    lost executor costs no more than reading the table again. Readers prune its
+    columns, and the optimizer knows its true size.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
@@ -72,7 +66,7 @@ def store(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size bound, read without running a job."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
