@@ -35,7 +35,7 @@ def price_accounts(spark, inputs):
             "region": F.col("a.region"),
             "balance": F.col("a.balance"),
             "rate": F.col("b.rate"),
-            "interest": (F.col("a.balance") * F.col("b.rate")).cast("decimal(18,4)"),
+            "interest": (F.col("a.balance").cast("decimal(18,4)") * F.col("b.rate")).cast("decimal(18,4)"),
         },
     )
 
@@ -50,7 +50,7 @@ def summarize(spark, inputs):
         ["region"],
         {
             "n_accounts": F.count(F.lit(1)),
-            "total_balance": total(F.col("balance")),
+            "total_balance": total(money("balance")),
             "total_interest": total(F.col("interest")),
         },
     )
@@ -70,7 +70,7 @@ def pricing(spark, sf_dir):
     accounts = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("account_id"),
         F.lower("c_mktsegment").alias("region"),
-        money("c_acctbal").alias("balance"),
+        F.col("c_acctbal").alias("balance"),
         F.col("c_nationkey").alias("nation"),
     )
     rates = table(spark, sf_dir, "nation").select(
