@@ -11,29 +11,42 @@ from stepledger.columns import col, lower_names
 from stepledger.lineage.graph import downstream
 from stepledger.reconcile.families import exact
 
-MANIFEST = "dataset string, schema string, row_count bigint, checksum decimal(38,0)"
-
-
 def definition_fingerprint(*parts: Column) -> Column:
     """SHA-256 over the parts, each written with its length so that parts cannot run together."""
     texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
     return F.sha2(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]), 256)
 
 
+def _hashed(df: DataFrame) -> tuple[DataFrame, str]:
+    """Row hashes in the exact common form, and the schema text."""
+    plain, kinds = exact(lower_names(df), lower_names(df), sorted(c.lower() for c in df.columns))
+    schema = ", ".join(f"{n} {k.simpleString()}" for n, k in kinds.items())
+    row = F.xxhash64(*[col(c) for c in plain.columns]).cast("decimal(38,0)")
+    return plain.withColumn("__hash", row), schema
+
+
+def _totals() -> list[Column]:
+    total = F.coalesce(F.sum("__hash"), F.lit(0)).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("row_count"), total.alias("checksum")]
+
+
 def dataset_fingerprint(df: DataFrame, dataset: str) -> DataFrame:
     """One row: schema text, row count, and a checksum that ignores the row order.
 
     The checksum is a sum of row hashes, so it is built map-side and nothing but
     partial sums is shuffled.
     """
-    plain, kinds = exact(lower_names(df), lower_names(df), sorted(c.lower() for c in df.columns))
-    schema = ", ".join(f"{n} {k.simpleString()}" for n, k in kinds.items())
-    row = F.xxhash64(*[col(c) for c in plain.columns]).cast("decimal(38,0)")
-    return plain.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(row), F.lit(0)).alias("checksum")).select(
-        F.lit(dataset).alias("dataset"),
-        F.lit(schema).alias("schema"),
-        "row_count",
-        F.col("checksum").cast("decimal(38,0)").alias("checksum"),
+    rows, schema = _hashed(df)
+    return rows.agg(*_totals()).select(
+        F.lit(dataset).alias("dataset"), F.lit(schema).alias("schema"), "row_count", "checksum"
+    )
+
+
+def manifest_by(df: DataFrame, key: str) -> DataFrame:
+    """Fingerprints of the datasets that share one table, told apart by ``key``, in one pass."""
+    rows, schema = _hashed(df)
+    return rows.groupBy(col(key.lower()).alias("dataset")).agg(*_totals()).select(
+        "dataset", F.lit(schema).alias("schema"), "row_count", "checksum"
     )
 
 

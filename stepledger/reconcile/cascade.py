@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stepledger.reconcile.profile import compare_profiles
 from stepledger.reconcile.schema import column_issues
 from stepledger.reconcile.values import value_diff
-from stepledger.settings import ATOL, MAX_REPORT, RTOL
+from stepledger.settings import ATOL, MAX_REPORT, RTOL, store
 
 CHECK_SCHEMA = (
     "run string, program string, step string, phase string, passed boolean, skipped boolean, "
@@ -40,6 +40,8 @@ def reconcile(
 ) -> list[Check]:
     """Compare ``actual`` with the trusted copy; a failed phase ends the cascade.
 
+    Both sides are read by several passes over disjoint columns, so hand in tables
+    rather than long plans; the step checks below write a step's result first.
     Column checks need no job, one job profiles and counts both sides, and one
     more compares values. Only verdict rows and a bounded sample reach the driver.
     """
@@ -93,7 +95,7 @@ def check_step(
     if absent:
         return [Check("schema", True, "no trusted data", absent, skipped=True)]
     try:
-        result = transform(spark, {k: datasets[k] for k in inputs})
+        result = store(transform(spark, {k: datasets[k] for k in inputs}))
         return reconcile(result, datasets[output], **options)
     except Exception as error:  # noqa: BLE001 - the step's own failure is the finding
         return [Check("schema", False, "runtime error in the step", [f"{type(error).__name__}: {error}"[:1500]])]
@@ -110,7 +112,7 @@ def check_final_outputs(
         elif name not in trusted:
             results[name] = [Check("end_to_end", True, "no trusted data", skipped=True)]
         else:
-            checks = reconcile(produced[name], trusted[name], **options)
+            checks = reconcile(store(produced[name]), trusted[name], **options)
             passed = all(c.passed for c in checks)
             results[name] = [*checks, Check("end_to_end", passed, "all phases passed" if passed else "a phase failed")]
     return results

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the reconciliation defaults.
 ATOL = 1e-9
@@ -47,8 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/stepledger/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, in one folder per application that can go when it ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/stepledger/{spark.sparkContext.applicationId}"
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -59,6 +62,9 @@ def store(df: DataFrame) -> DataFrame:
     columns, and the optimizer knows its true size.
     """
     path = scratch_path(df.sparkSession, "table")
+    # A column of nothing but untyped nulls has no file type; it counts as text.
+    untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    df = df.withColumns({n: F.lit(None).cast("string") for n in untyped}) if untyped else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

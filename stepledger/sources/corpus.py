@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepledger.operators.ordered import number_rows
+from stepledger.settings import is_small
 
 # File endings of parametric sources and of run logs.
 SOURCE_ENDING = ".sas"
@@ -18,14 +19,17 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+# A scan splits a corpus above this size per core into a partition per core by itself.
+SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
 def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
-    """Texts over all cores, where the scan gave fewer partitions than there are cores.
+    """Texts over all cores, where the corpus is too small for the scan to do so.
 
-    Lexing a text costs far more than moving it. A large corpus already has many
-    partitions and is left as it is.
+    Lexing a text costs far more than moving it. A large corpus is left as it is.
     """
     cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus if corpus.rdd.getNumPartitions() >= cores else corpus.repartition(cores, by)
+    return corpus.repartition(cores, by) if is_small(corpus, cores * SPREAD_BYTES_PER_CORE) else corpus
 
 
 def file_name(path: Column) -> Column:

@@ -9,7 +9,7 @@ from stepledger.operators import joins as J
 from stepledger.operators import ordered as O
 from stepledger.operators import rows as R
 from stepledger.plans import verdicts
-from stepledger.plans.changes import definition_fingerprint, manifest, stale_steps
+from stepledger.plans.changes import definition_fingerprint, manifest_by, stale_steps
 from stepledger.plans.flow import Step, run_flow
 from stepledger.settings import store
 from stepledger.sources.sinks import manifest_json
@@ -208,10 +208,11 @@ def pl2_stale_steps(spark, sf_dir):
     edited = f"CASE WHEN p_partkey % 97 = 0 THEN replace({TEXT}, 'nocenter', 'center') ELSE {TEXT} END"
     before = steps.extract_steps(corpus(spark, sf_dir, edited))
     io = steps.step_io(now)
-    part = table(spark, sf_dir, "part").withColumn("kind", F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))))
-    # One dataset per part type: a handful of fixed type names.
-    kinds = [r["kind"] for r in part.select("kind").distinct().orderBy("kind").limit(1000).collect()]
-    data = {f"raw.{k}": part.filter(F.col("kind") == k).drop("kind") for k in kinds}
-    old = {**data, f"raw.{kinds[-1]}": data[f"raw.{kinds[-1]}"].withColumn("p_retailprice", F.col("p_retailprice") + 1)}
+    part = table(spark, sf_dir, "part").withColumn(
+        "dataset", F.concat(F.lit("raw."), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))))
+    )
+    last = part.agg(F.max("dataset")).scalar()
+    dearer = F.when(F.col("dataset") == last, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))
+    data, old = manifest_by(part, "dataset"), manifest_by(part.withColumn("p_retailprice", dearer), "dataset")
     named = [d.withColumn("fingerprint", definition_fingerprint(F.col("text"))) for d in (now, before)]
-    return stale_steps(named[0], named[1], manifest(data), manifest(old), io, graph.edges(io))
+    return stale_steps(named[0], named[1], data, old, io, graph.edges(io))

@@ -88,6 +88,13 @@ def test_fingerprints(spark):
     assert pair.select(changes.definition_fingerprint(F.col("x"), F.col("y")).alias("f")).distinct().count() == 2
 
 
+def test_manifest_by_key_equals_one_by_one(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "d string, v int")
+    got = {r["dataset"]: r["checksum"] for r in changes.manifest_by(df, "d").collect()}
+    for key in "ab":
+        assert got[key] == changes.dataset_fingerprint(df.filter(F.col("d") == key), key).first()["checksum"]
+
+
 def test_stale_steps_and_their_downstream(spark):
     io = spark.createDataFrame(
         [("p", 0, "raw.a"), ("p", 0, "w.b"), ("p", 1, "raw.c"), ("p", 1, "w.d"), ("p", 2, "w.b"), ("p", 2, "w.e"), ("p", 3, "w.d")],

@@ -108,10 +108,10 @@ def test_manifest(spark):
     assert [(r["file_no"], r["text"]) for r in P.ordered_by_manifest(corpus, order).collect()] == [(3, "x")]
 
 
-def test_spread_leaves_wide_corpora_alone(spark):
-    df = spark.range(10).selectExpr("cast(id as string) program", "'t' text")
-    assert P.spread(df.repartition(64)).rdd.getNumPartitions() == 64
-    assert P.spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_spread_leaves_large_corpora_alone(spark):
+    plan = lambda n: P.spread(spark.range(n).selectExpr("cast(id as string) program", "'t' text"))
+    assert plan(10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Repartition" not in plan(10**12)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_result_sinks(spark, tmp_path):
