@@ -64,8 +64,21 @@ def neighbours(edge_rows: DataFrame, program: str = "program") -> DataFrame:
     )
 
 
-# Most graphs are done before this round; later ones are bounded by their number of steps.
-CYCLE_CHECK_ROUND = 12
+# Edges followed per written round: fewer rounds, each still one plan of a few joins.
+HOPS = 4
+# Most graphs are done by this depth; later rounds are bounded by their number of steps.
+CYCLE_CHECK_DEPTH = 12
+
+
+def _hops(pairs: DataFrame, front: DataFrame, program: str, depth: int) -> DataFrame:
+    """The steps that the next edges reach from the front, with the last depth at which each is reached."""
+    parts = []
+    for hop in range(1, HOPS + 1):
+        moving = pairs.join(front.select(col(program), F.col("idx").alias("src")), [program, "src"], "left_semi")
+        front = moving.select(col(program), F.col("dst").alias("idx")).distinct()
+        parts.append(front.withColumn("depth", F.lit(depth + hop)))
+    reached = reduce(lambda a, b: a.union(b), parts)
+    return store(reached.groupBy(col(program), "idx").agg(F.max("depth").alias("depth")))
 
 
 def _most_steps(pairs: DataFrame, program: str) -> int:
@@ -77,28 +90,22 @@ def _most_steps(pairs: DataFrame, program: str) -> int:
 def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
     """Longest-path depth of every step; a cycle is an error.
 
-    Round k holds the steps that end a path of k edges, for all programs at once.
-    A step's depth is the last round it is in. Rounds are as many as the longest
-    chain, and only the moving front is written.
+    Depth k holds the steps that end a path of k edges, for all programs at once; a
+    step's depth is the last one it is in. Only the moving front is written.
     """
-    nodes = nodes.select(col(program), "idx").distinct()
     pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
     targets = pairs.select(col(program), F.col("dst").alias("idx")).distinct()
-    front = store(nodes.join(targets, [program, "idx"], "left_anti"))
+    front = store(nodes.select(col(program), "idx").distinct().join(targets, [program, "idx"], "left_anti"))
     rounds = [front.withColumn("depth", F.lit(0))]
-    moving = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
     depth, longest = 0, None
-    while True:
-        depth += 1
-        front = store(moving.select(col(program), F.col("dst").alias("idx")).distinct())
-        if front.isEmpty():
-            break
-        if depth == CYCLE_CHECK_ROUND:
+    while not front.isEmpty():
+        if depth >= CYCLE_CHECK_DEPTH and longest is None:
             longest = _most_steps(pairs, program)
         if longest is not None and depth >= longest:
             raise ValueError("dependency graph has a cycle")
-        rounds.append(front.withColumn("depth", F.lit(depth)))
-        moving = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
+        rounds.append(_hops(pairs, front, program, depth))
+        depth += HOPS
+        front = rounds[-1].filter(F.col("depth") == depth).drop("depth")
     reached = reduce(lambda a, b: a.union(b), rounds).groupBy(col(program), "idx").agg(F.max("depth").alias("depth"))
     unreached = targets.join(reached, [program, "idx"], "left_anti")
     if not unreached.isEmpty():
@@ -117,12 +124,13 @@ def downstream(start: DataFrame, edge_rows: DataFrame, program: str = "program")
     seen = store(start.select(col(program), "idx").distinct())
     front = seen
     while not front.isEmpty():
-        hit = pairs.join(front.withColumnRenamed("idx", "src"), [program, "src"], "left_semi")
+        reached = _hops(pairs, front, program, 0)
+        # Steps met before the last hop have been followed already.
         front = store(
-            hit.select(col(program), F.col("dst").alias("idx")).distinct().join(seen, [program, "idx"], "left_anti")
+            reached.filter(F.col("depth") == HOPS).drop("depth").join(seen, [program, "idx"], "left_anti")
         )
-        seen = seen.union(front)
-    return seen
+        seen = seen.union(reached.drop("depth"))
+    return seen.distinct()
 
 
 def graph_json(steps: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:

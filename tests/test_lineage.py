@@ -247,3 +247,16 @@ def test_files_of_a_project_share_datasets(spark, heavy):
     assert sorted(r["idx"] for r in numbered.collect()) == list(range(6))
     io = T.step_io(numbered, "project")
     assert ("j", 4, 5, "work.last") in {tuple(r) for r in G.edges(io, "project").collect()}
+
+
+def test_layers_and_downstream_of_a_long_chain(spark):
+    """Longer than one written round, with shortcuts that must not lower a depth."""
+    n = 23
+    nodes = spark.createDataFrame([("p", i) for i in range(n)], "program string, idx long")
+    chain = [("p", i, i + 1) for i in range(n - 1)] + [("p", 0, i) for i in range(2, n, 3)]
+    pairs = spark.createDataFrame(chain, "program string, src long, dst long")
+    assert {r["idx"]: r["depth"] for r in G.layers(nodes, pairs).collect()} == {i: i for i in range(n)}
+    start = spark.createDataFrame([("p", 5)], "program string, idx long")
+    assert sorted(r["idx"] for r in G.downstream(start, pairs).collect()) == list(range(5, n))
+    back = pairs.union(spark.createDataFrame([("p", 20, 7)], pairs.schema))
+    assert sorted(r["idx"] for r in G.downstream(start, back).collect()) == list(range(5, n))
