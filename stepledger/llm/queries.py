@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepledger.llm import mixing, quality, secret_scan, url_rules
+from stepledger.llm import byte_bpe, mixing, quality, secret_scan, url_rules
 from stepledger.llm.common import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -138,3 +139,9 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
