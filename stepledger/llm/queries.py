@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepledger.llm import byte_bpe, mixing, quality, secret_scan, url_rules
+from stepledger.llm import byte_bpe, mixing, quality, secret_scan, token_rollup, url_rules
 from stepledger.llm.common import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -62,6 +62,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op6_token_rollup",
+    r"""
+    WITH d AS (
+      SELECT source, lang, coalesce(lang = 'en', false) AS english,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS v1,
+             len(regexp_extract_all(coalesce(text, ''),
+               '[!-/:-@\[-`{-~]|[^\x20\x09-\x0D!-/:-@\[-`{-~]+')) AS v2,
+             EXISTS (FROM labels l WHERE l.doc_id = documents.doc_id AND quality = 0) AS low
+      FROM documents)
+    SELECT source, lang, CASE WHEN english THEN 'words-2' ELSE 'words-1' END AS tokenizer,
+           count(*)::BIGINT AS documents, sum(CASE WHEN english THEN v2 ELSE v1 END)::BIGINT AS tokens
+    FROM d WHERE NOT low GROUP BY ALL
+    """,
+)
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(
     "op7_url_rules",
     r"""
