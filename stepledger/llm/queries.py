@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepledger.llm import byte_bpe, mixing, quality, secret_scan, token_rollup, url_rules
+from stepledger.llm import byte_bpe, mixing, quality, secret_scan, sketch, token_rollup, url_rules
 from stepledger.llm.common import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -13,6 +13,11 @@ __all__ = ["ORACLE", "QUERIES"]
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 
+@query("op3_scaled_sketch")
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op4_source_mix",
     rf"""
