@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepledger.llm import byte_bpe, mixing, quality, secret_scan, sketch, token_rollup, url_rules
-from stepledger.llm.common import ORACLE, QUERIES, query, table
+from stepledger.llm import byte_bpe, mixing, ppm, quality, secret_scan, sketch, token_rollup, url_rules
+from stepledger.llm.common import ORACLE, QUERIES, held, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
 
 WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 
+@query("op1_ppm_score")
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.report(table(spark, sf_dir, "documents"), held(F.col("doc_id"), 7, 2))
+
+
 @query("op3_scaled_sketch")
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.report(table(spark, sf_dir, "documents"))
