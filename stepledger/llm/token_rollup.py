@@ -118,11 +118,13 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     v1, v2 = ("words-1", words_v1(F.col("text"))), ("words-2", words_v2(F.col("text")))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     low = labels.filter("quality = 0").select("doc_id").distinct()
-    gone = docs.join(low, "doc_id", "left_semi")
+    # Counted before the join, so that no text is moved; a semi join would be pushed below the count.
+    now = F.when(english, v2[1]).otherwise(v1[1]).alias("now")
+    gone = docs.select("doc_id", "source", "lang", now).join(low, "doc_id")
     rollup.commit("load", changes(docs, INSERT, new=v1))
     rollup.commit("recount", changes(docs.filter(english), REVISE, old=v1, new=v2))
-    rollup.commit("remove-en", changes(gone.filter(english), DELETE, old=v2))
-    rollup.commit("remove-other", changes(gone.filter(~english), DELETE, old=v1))
+    rollup.commit("remove-en", changes(gone.filter(english), DELETE, old=(v2[0], F.col("now"))))
+    rollup.commit("remove-other", changes(gone.filter(~english), DELETE, old=(v1[0], F.col("now"))))
     rollup.commit("recount", changes(docs.filter(english), REVISE, old=v1, new=v2))
     return rollup.totals()
 
