@@ -20,6 +20,7 @@ For the word base, counts of words that make up at least ``HOT`` of all are held
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -291,7 +292,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     shared = spark.sparkContext.broadcast((model.transitions, model.hot))
     priors, scale, end = model.priors, model.base(0), model.base(model.ends)
     end_known = int(model.ends > 0)
-    name = f"{spark.sparkContext.applicationId}-{id(shared)}"
+    name = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transitions, hot = shared.value

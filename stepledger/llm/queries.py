@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepledger.llm import byte_bpe, mixing, ppm, quality, secret_scan, sketch, token_rollup, url_rules
+from stepledger.llm import byte_bpe, mixing, ppm, quality, secret_scan, sketch, token_rollup, toxicity, url_rules
 from stepledger.llm.common import ORACLE, QUERIES, held, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -19,6 +19,12 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.report(table(spark, sf_dir, "documents"), held(F.col("doc_id"), 7, 2))
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.report(documents, labels, lambda doc_id: held(doc_id, 5, 0))
+
+
 @query("op3_scaled_sketch")
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.report(table(spark, sf_dir, "documents"))
