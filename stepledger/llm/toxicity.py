@@ -4,7 +4,7 @@ Two models, of toxic and of ordinary texts, spell words byte by byte. Each disco
 class and gives what that frees to one shared model, a Kneser-Ney model of both classes' counts that backs
 off through continuation counts; so an expression that neither class shows often is about as likely in
 both. The difference of the two log-likelihoods is taken per word: over the whole text, normalised by its
-length, over its most toxic word, and over its three most toxic words. A logistic curve fitted to labelled texts
+length, over its most toxic word, and over its three most toxic words that differ. A logistic curve fitted to labelled texts
 that the models have not seen turns the three into a probability.
 
 The models and the curve are fitted to at most ``LABELLED`` labelled rows, chosen by a hash of the id.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stepledger.llm.common import WORD, fold_text, whole
 
 LABELLED = 60_000  # rows, about; all of them where there are fewer
-ORDER = 5  # bytes of a gram, the last of which is predicted
+ORDER = 8  # bytes of a gram, the last of which is predicted
 LEAST = 2  # occurrences of a gram in both classes together
 DISCOUNT = 0.75
 RIDGE = 1.0
@@ -97,7 +97,7 @@ class Models:
         return total
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """Mean difference of a word, the largest, and the mean of the three largest; zeros without words."""
+        """Mean difference of a word, the largest, and the mean of the three largest that differ; zeros without words."""
         words = FIND(fold_text(text))
         if not words:
             return 0.0, 0.0, 0.0
@@ -110,7 +110,7 @@ class Models:
                 if w not in known:
                     known[w] = self.word(w)
             found = [known[w] for w in words]
-        top = nlargest(3, found)
+        top = nlargest(3, set(found))
         return sum(found) / len(found), top[0], sum(top) / len(top)
 
 
