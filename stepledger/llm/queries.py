@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepledger.llm import byte_bpe, mixing, ppm, quality, secret_scan, sketch, token_rollup, toxicity, url_rules
+from stepledger.llm import byte_bpe, mixing, near_dups, ppm, quality, secret_scan, sketch, token_rollup, toxicity, url_rules
 from stepledger.llm.common import ORACLE, QUERIES, held, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -130,6 +130,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.report(table(spark, sf_dir, "pages"))
 
 
+@query("op8_near_dups")
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_host_quality",
     r"""
