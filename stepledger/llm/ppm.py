@@ -38,7 +38,7 @@ SHARE = 1 / 4_000_000
 HOT = 1 / 400_000
 CLASS = 0.01  # part of the training texts from which a class has a trie of its own; the others share one
 KEPT_KEYS = 300_000  # distinct keys a task sums before it passes them on
-KEPT_WORDS = 300_000  # coded words a worker remembers
+KEPT_WORDS = 150_000  # coded words a worker remembers of a class
 
 # Bytes that UTF-8 never uses open and close a chunk.
 WORD, GAP, LEAD = b"\xfe", b"\xff", b"\xfd"
@@ -302,16 +302,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         tries = _TRIES[name]
         logs = {w: log10(n + 1) for w, n in hot.items()}
         unseen = {w for w, n in hot.items() if not n}
-        often: list[dict[str, float]] = [{} for _ in tries]
-        others: list[dict[str, float]] = [{} for _ in tries]
+        often: list[dict] = [{} for _ in tries]
+        others: list[dict] = [{} for _ in tries]
 
-        def lengths(words: list[str], known: dict[str, float], trie: Trie) -> float:
-            got = list(map(known.get, words))
+        def lengths(parts: list, known: dict, trie: Trie) -> float:
+            """Of words or of coded gaps, each kind of which is coded once."""
+            got = list(map(known.get, parts))
             if None in got:
-                for w in words:
-                    if w not in known:
-                        known[w] = trie.length(coded_word(w))
-                got = [known[w] for w in words]
+                for x in parts:
+                    if x not in known:
+                        known[x] = trie.length(x if isinstance(x, bytes) else coded_word(x))
+                got = [known[x] for x in parts]
+                if len(known) > KEPT_WORDS:
+                    known.clear()
             return sum(got)
 
         for batch in batches:
@@ -324,7 +327,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                     frequent = [w for w, b in zip(words, bases) if b is not None]
                     rare = [w for w, b in zip(words, bases) if b is None]
                     best, kind = max(
-                        (p + sum(map(trie.length, gaps)) + lengths(frequent, known, trie), -i)
+                        (p + lengths(gaps, known, trie) + lengths(frequent, known, trie), -i)
                         for i, (p, trie, known) in enumerate(zip(priors, tries, often))
                     )
                     out["_tokens"].append(len(words) + 1)
@@ -332,8 +335,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                     out["_base"].append(sum([b for b in bases if b is not None]) + len(words) * scale + end)
                     out["_score"].append(best + lengths(rare, others[-kind], tries[-kind]))
                     out["_rare"].append(rare)
-                    if len(others[-kind]) > KEPT_WORDS // len(tries):
-                        others[-kind].clear()
                 names = [c for c in part.schema.names if c != "text"]
                 made = [pa.array(v, OUT_TYPES[n]) for n, v in out.items()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, *out])
