@@ -133,21 +133,20 @@ def judge(
     spread = located.withColumn(row, F.monotonically_increasing_id()).withColumn(
         token, F.explode(F.concat(_tokens(F.col(at)), F.array(F.lit(ANY))))
     )
-    hit = F.col("pattern").isNotNull() & F.expr(f"rlike(`{at}`, pattern)")
-    best = F.when(hit, F.struct("is_host", "size", "rule_text", F.col("index_verdict").alias("verdict")))
-    index = index.select(
-        F.col("token").alias("index_token"), "pattern", "is_host", "size", "rule_text",
-        F.col("verdict").alias("index_verdict"),
-    )
+    rule = fresh(pages, "_rule")
+    entry = F.struct("pattern", "is_host", "size", "rule_text", "verdict").alias(rule)
+    index = index.select(F.col("token").alias(rule + "_token"), entry)
+    hit = F.expr(f"`{rule}` is not null and rlike(`{at}`, `{rule}`.pattern)")
+    best = F.when(hit, F.struct(*[F.col(rule)[f].alias(f) for f in ("is_host", "size", "rule_text", "verdict")]))
     kept = [F.col("`" + c.replace("`", "``") + "`") for c in [*columns, "host", "path"]]
     return (
-        spread.join(index, F.col(token) == F.col("index_token"), "left")
+        spread.join(index, F.col(token) == F.col(rule + "_token"), "left")
         .groupBy(F.col(row), *kept)
-        .agg(F.max(best).alias("best"))
+        .agg(F.max(best).alias(rule))
         .select(
             *kept,
-            F.when(F.col("best.is_host"), F.col("best.rule_text")).alias("rule"),
-            F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
+            F.when(F.col(rule)["is_host"], F.col(rule)["rule_text"]).alias("rule"),
+            F.coalesce(F.col(rule)["verdict"], F.lit(default)).alias("verdict"),
         )
     )
 
