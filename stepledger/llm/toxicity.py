@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.llm.common import WORD, fold_text, whole
+from stepledger.settings import store
 
 LABELLED = 60_000  # rows, about; all of them where there are fewer
 ORDER = 8  # bytes of a gram, the last of which is predicted
 LEAST = 2  # occurrences of a gram in both classes together
+SHARE = 1 / 5_000_000  # and part of all occurrences, so that at most 1 / SHARE grams are kept
 DISCOUNT = 0.75
 RIDGE = 1.0
 KEPT_WORDS = 300_000  # a worker remembers, and a task sums before it passes them on
@@ -64,36 +66,48 @@ class Level:
         total, kinds = context
         return (max(self.counts.get(gram, 0) - DISCOUNT, 0.0) + DISCOUNT * kinds * below) / total
 
+    def freed(self, context: bytes) -> float:
+        """The part of a context that its discounts leave to others; all of it for a context not seen."""
+        total, kinds = self.contexts.get(context, (1, 1 / DISCOUNT))
+        return DISCOUNT * kinds / total
 
-class Models:
-    """Both class models over the shared one."""
 
-    def __init__(self, counts: list[tuple[bytes, int, int]]):
-        """``counts``: gram, occurrences in ordinary texts, occurrences in toxic texts."""
-        self.classes = [Level({g: c[k] for g, *c in counts if c[k]}) for k in (0, 1)]
-        pooled = {g: a + b for g, a, b in counts}
-        self.shared = [Level(pooled)]
-        for _ in range(ORDER - 1):  # of shorter grams, in how many longer ones they end
-            pooled = dict(Counter(g[1:] for g in pooled))
-            self.shared.append(Level(pooled))
-        self.known: dict[bytes, float] = {}
-        self.words: dict[str, float] = {}
+def differences(counts: list[tuple[bytes, int, int]]) -> tuple[dict[bytes, float], dict[bytes, float]]:
+    """log-likelihood in toxic texts less that in ordinary ones, of each gram and, for grams not counted, of each context.
 
-    def gram(self, gram: bytes) -> float:
-        """log-likelihood in toxic texts less that in ordinary ones."""
+    ``counts``: gram, occurrences in ordinary texts, occurrences in toxic texts. What the shared model says cancels
+    out for grams that neither class has counted: a class that knows the context gives them its freed part
+    of it, a class that does not all of it.
+    """
+    ordinary, toxic = (Level({g: c[k] for g, *c in counts if c[k]}) for k in (0, 1))
+    pooled = {g: a + b for g, a, b in counts}
+    shared = [Level(pooled)]
+    for _ in range(ORDER - 1):  # of shorter grams, in how many longer ones they end
+        pooled = dict(Counter(g[1:] for g in pooled))
+        shared.append(Level(pooled))
+    of_gram = {}
+    for g, _, _ in counts:
         p = 1 / 256
         for k in range(ORDER - 1, -1, -1):
-            p = self.shared[k].probability(gram[k:], p)
-        ordinary, toxic = (level.probability(gram, p) for level in self.classes)
-        return log(toxic) - log(ordinary)
+            p = shared[k].probability(g[k:], p)
+        of_gram[g] = log(toxic.probability(g, p)) - log(ordinary.probability(g, p))
+    of_context = {c: log(toxic.freed(c)) - log(ordinary.freed(c)) for c in {*toxic.contexts, *ordinary.contexts}}
+    return of_gram, of_context
+
+
+class Speller:
+    """Differences of words and texts; a worker remembers its words."""
+
+    def __init__(self, of_gram: dict[bytes, float], of_context: dict[bytes, float]):
+        self.of_gram = of_gram
+        self.of_context = of_context
+        self.words: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         total = 0.0
         for g in grams(word):
-            d = self.known.get(g)
-            if d is None:
-                d = self.known[g] = self.gram(g)
-            total += d
+            d = self.of_gram.get(g)
+            total += self.of_context.get(g[:-1], 0.0) if d is None else d
         return total
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -139,7 +153,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Classifier:
-    counts: list[tuple[bytes, int, int]]
+    words: tuple[dict[bytes, float], dict[bytes, float]]  # differences of grams and of contexts
     middle: np.ndarray
     spread: np.ndarray
     weights: np.ndarray  # of the constant and the features
@@ -164,20 +178,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 5
     return w
 
 
-def _features(counts, spark, keep: list[str]):
+def _features(words, spark, keep: list[str]):
     """A function for mapInArrow: the ``keep`` columns and the three features of ``text``."""
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(words)
     name = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Models(shared.value)
-        models = _MODELS[name]
+        if name not in _SPELLERS:
+            _SPELLERS.clear()
+            _SPELLERS[name] = Speller(*shared.value)
+        speller = _SPELLERS[name]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [models.features(t) for t in part.column("text").to_pylist()]
+                found = [speller.features(t) for t in part.column("text").to_pylist()]
                 columns = [pa.array(c, pa.float64()) for c in zip(*found)] if found else [pa.array([], pa.float64())] * 3
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], *columns], names=[*keep, "f0", "f1", "f2"]
@@ -186,7 +200,7 @@ def _features(counts, spark, keep: list[str]):
     return made
 
 
-_MODELS: dict[str, Models] = {}
+_SPELLERS: dict[str, Speller] = {}
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Classifier:
@@ -210,23 +224,26 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_i
         F.broadcast(sample), F.col("_doc") == F.col("_id")
     )
     share = (toxic + 1) / (total + 2)
-    plain = Classifier([], np.zeros(3), np.ones(3), np.array([log(share / (1 - share)), 0.0, 0.0, 0.0]))
+    plain = Classifier(({}, {}), np.zeros(3), np.ones(3), np.array([log(share / (1 - share)), 0.0, 0.0, 0.0]))
     if toxic in (0, total):
         return plain
-    counts = (
+    counted = store(
         texts.filter("fold > 0")
         .select("text", "toxic")
         .mapInArrow(_count_words, "gram binary, ordinary long, toxic long")
         .groupBy("gram")
         .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("ordinary") + F.col("toxic") >= LEAST)
-        .toArrow()
     )
-    counts = sorted(zip(map(bytes, counts.column("gram").to_pylist()), *(counts.column(c).to_pylist() for c in ("ordinary", "toxic"))))
+    both = F.col("ordinary") + F.col("toxic")
+    symbols = counted.agg(F.coalesce(F.sum(both), F.lit(0))).first()[0]
+    counts = counted.filter((both >= LEAST) & (both >= SHARE * symbols)).toArrow()
+    words = differences(
+        sorted(zip(map(bytes, counts.column("gram").to_pylist()), *(counts.column(c).to_pylist() for c in ("ordinary", "toxic"))))
+    )
     rows = (
         texts.filter("fold = 0")
         .select("toxic", "text")
-        .mapInArrow(_features(counts, spark, ["toxic"]), "toxic int, f0 double, f1 double, f2 double")
+        .mapInArrow(_features(words, spark, ["toxic"]), "toxic int, f0 double, f1 double, f2 double")
         .toArrow()
     )
     x = np.column_stack([rows.column(c).to_numpy() for c in ("f0", "f1", "f2")])
@@ -236,13 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_i
     order = np.lexsort((y, *x.T))  # the same sums whatever order the rows came in
     x, y = x[order], y[order]
     middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return Classifier(counts, middle, spread, logistic((x - middle) / spread, y))
+    return Classifier(words, middle, spread, logistic((x - middle) / spread, y))
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The ``keep`` columns with ``score``, the probability that the text is toxic. Null counts as the empty text."""
     rows = docs.select(*[F.col(c) for c in keep], whole(F.col(text)).alias("text"))
-    features = _features(model.counts, docs.sparkSession, list(keep))
+    features = _features(model.words, docs.sparkSession, list(keep))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in features(batches):
