@@ -49,20 +49,30 @@ def is_sortable(kind: T.DataType) -> bool:
     )
 
 
-def ordering(df: DataFrame, order: Sequence[str], skip: Sequence[str] = ()) -> list[Column]:
-    """Sort keys with missing first; ``-name`` sorts downwards.
+def key_of(df: DataFrame, name: str) -> Column:
+    """The column as a sort or group key: NaN is missing."""
+    kind = df.schema[name].dataType
+    return F.nanvl(col(name), F.lit(None).cast(kind)) if isinstance(kind, (T.DoubleType, T.FloatType)) else col(name)
+
+
+def ordering(df: DataFrame, order: Sequence[str], skip: Sequence[str] = (), downwards: bool = False) -> list[Column]:
+    """Sort keys with missing first; ``-name`` sorts downwards. ``downwards`` gives the opposite order.
 
     The remaining sortable columns follow as tie-breakers, so the row order, and
     with it a retried task, gives the same answer each time.
     """
     named = [o.lstrip("-") for o in order]
-    keys = [col(o[1:]).desc_nulls_last() if o.startswith("-") else col(o).asc_nulls_first() for o in order]
     rest = [
         f.name
         for f in df.schema.fields
         if f.name not in named and f.name not in skip and is_sortable(f.dataType)
     ]
-    return keys + [col(c).asc_nulls_first() for c in rest]
+    keys = []
+    for item in [*order, *rest]:
+        value = key_of(df, item.lstrip("-"))
+        down = item.startswith("-") != downwards
+        keys.append(value.desc_nulls_last() if down else value.asc_nulls_first())
+    return keys
 
 
 def attach(df: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:

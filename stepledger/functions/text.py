@@ -43,8 +43,9 @@ def countw(text: Column, delimiters: str = WORD_DELIMITERS) -> Column:
 
 
 def scan(text: Column, n, delimiters: str = WORD_DELIMITERS) -> Column:
-    """The n-th word, from the right when n is negative; blank when there is none."""
-    return F.coalesce(F.try_element_at(words(text, delimiters), F.lit(n) if isinstance(n, int) else n), F.lit(""))
+    """The n-th word, from the right when n is negative; blank when there is none, as for n = 0."""
+    place = F.nullif(F.lit(n) if isinstance(n, int) else n, F.lit(0))
+    return F.coalesce(F.try_element_at(words(text, delimiters), place), F.lit(""))
 
 
 def fit_length(text: Column, length: int) -> Column:
@@ -80,14 +81,17 @@ def _width(spec: str) -> tuple[int, int]:
 
 
 def _best(value: Column, width: int) -> Column:
-    """The plain decimal text of a number, or its exponent form when it does not fit."""
+    """The plain decimal text of a number, rounded to the digits that fit, or its exponent form when it does not fit."""
     number = value.cast("double")
-    plain = F.regexp_replace(F.format_string("%.12f", number), r"\.?0+$", "")
-    plain = F.when(plain.isin("-0", ""), F.lit("0")).otherwise(plain)
-    short = F.regexp_replace(F.substring(plain, 1, width), r"\.$", "")
-    whole = F.length(F.split_part(plain, F.lit("."), F.lit(1)))
+    fitting = []
+    for decimals in range(min(width, 12), -1, -1):
+        plain = F.format_string(f"%.{decimals}f", number)
+        plain = F.regexp_replace(plain, r"\.?0+$", "") if decimals else plain
+        plain = F.when(plain.isin("-0", ""), F.lit("0")).otherwise(plain)
+        fitting.append(F.when(F.length(plain) <= width, plain))
     tiny = (F.abs(number) > 0) & (F.abs(number) < 1e-10)
-    return F.when((whole > width) | tiny, F.format_string(f"%.{max(width - 7, 0)}E", number)).otherwise(short)
+    exponent = F.format_string(f"%.{max(width - 7, 0)}E", number)
+    return F.when(tiny, exponent).otherwise(F.coalesce(*fitting, exponent))
 
 
 def read(text: Column, informat: str) -> Column:

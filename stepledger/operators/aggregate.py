@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.columns import all_of, attach, col
+from stepledger.operators.ordered import number_rows
 
 # Statistic keywords.
 STATISTICS = {
@@ -90,14 +91,29 @@ def group_cardinality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summarize(sizes, ["group_rows"], {"groups": F.count(F.lit(1))})
 
 
-def coefficients(params: DataFrame, name: str, value: str) -> DataFrame:
-    """A parameter table as one row holding a map from upper-cased name to value; a repeated name keeps its largest."""
-    one = params.groupBy(F.upper(F.trim(col(name))).alias("name")).agg(F.max(col(value).cast("double")).alias("value"))
+def parameters(params: DataFrame, name: str, value: str, order: Sequence[str] = ()) -> DataFrame:
+    """``name`` (upper-cased) and ``value`` of a parameter table; of a repeated name the last in ``order``, then the largest."""
+    picked = params.select(
+        F.upper(F.trim(col(name))).alias("name"), col(value).cast("double").alias("value"), *[col(o.lstrip("-")) for o in order]
+    )
+    placed = number_rows(picked, ["name"], [*order, "value"], "__no")
+    return placed.groupBy("name").agg(F.max_by("value", "__no").alias("value"))
+
+
+def coefficients(params: DataFrame, name: str, value: str, order: Sequence[str] = ()) -> DataFrame:
+    """A parameter table as one row holding a map from name to value, for tables bounded by a program's variables."""
+    one = parameters(params, name, value, order)
     return one.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("params"))
 
 
 def linear_score(
-    df: DataFrame, params: DataFrame, name: str, value: str, variables: Sequence[str], out: str
+    df: DataFrame,
+    params: DataFrame,
+    name: str,
+    value: str,
+    variables: Sequence[str],
+    out: str,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Sum of coefficient times column; the coefficients stay data, read by a scalar subquery.
 
@@ -105,6 +121,6 @@ def linear_score(
     bounded by the program's variable list.
     """
     listed = params.filter(F.upper(F.trim(col(name))).isin([v.upper() for v in variables]))
-    lookup = coefficients(listed, name, value).scalar()
+    lookup = coefficients(listed, name, value, order).scalar()
     terms = [lookup[v.upper()] * col(v) for v in variables]
     return df.withColumn(out, reduce(lambda a, b: a + b, terms, F.lit(0.0)))

@@ -1,66 +1,51 @@
-"""BY groups too large for one task.
+"""BY groups of any size: ranges of the ordered rows instead of whole groups.
 
-A window puts a whole BY group into one task. Groups above a row limit are taken
-out, range-partitioned on (BY, order) and cut into pieces; each piece is worked on
-alone and the pieces of a group are then stitched with one small row per piece.
+A window puts a whole BY group into one task. So the rows are range-partitioned on (BY, order) and
+written once with the number of their piece; windows then work inside (piece, BY), and what a group carries
+from one piece to the next is one small row for each piece. There is one plan for every size: no group is
+searched for, and none is left out. Rows that are equal in every column cannot be told apart and share a piece.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepledger.columns import attach, col
-from stepledger.settings import HEAVY_GROUPS, heavy_rows, is_small, store
+from stepledger.columns import attach, col, key_of
+from stepledger.settings import piece_count, store
 
 PIECE = "__piece"
 
 
-@dataclass
-class Split:
-    light: DataFrame | None
-    heavy: DataFrame | None
-    pieces: int
+def in_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows, written in ranges of (BY, order), each with the number of its range.
 
-
-def split_heavy(df: DataFrame, by: Sequence[str]) -> Split:
-    """Separate the rows of heavy BY groups. Small inputs are not searched and run no job."""
-    limit, forced = heavy_rows(df.sparkSession)
-    if not forced and is_small(df):
-        return Split(df, None, 0)
-    if not by:
-        rows = df.count()
-        return Split(df, None, 0) if rows <= limit else Split(None, df, math.ceil(rows / limit))
-    sizes = df.groupBy(*[col(c) for c in by]).agg(F.count(F.lit(1)).alias("__rows"))
-    # Never more than HEAVY_GROUPS short rows reach the driver.
-    top = sizes.filter(F.col("__rows") > limit).orderBy(F.desc("__rows")).limit(HEAVY_GROUPS).toArrow()
-    if top.num_rows == 0:
-        return Split(df, None, 0)
-    rows = sum(top.column("__rows").to_pylist())
-    keys = F.broadcast(df.sparkSession.createDataFrame(top.drop_columns(["__rows"])))
-    light = attach(df, keys, by, "left_anti")
-    heavy = attach(df, keys, by, "left_semi")
-    return Split(light, heavy, max(2, math.ceil(rows / limit)))
+    How many there are follows the session's shuffle partitions, which Spark merges where they are small.
+    """
+    keys = [key_of(df, c).asc_nulls_first() for c in by] + list(order)
+    pieces = piece_count(df.sparkSession)
+    if not keys:
+        ranged = df.coalesce(1)
+    elif pieces:
+        ranged = df.repartitionByRange(pieces, *keys)
+    else:
+        ranged = df.repartitionByRange(*keys)
+    return store(ranged.withColumn(PIECE, F.spark_partition_id()))
 
 
-def in_pieces(heavy: DataFrame, by: Sequence[str], order: Sequence[Column], pieces: int) -> DataFrame:
-    """Range-partition on (BY, order); the piece number is stored with the rows."""
-    keys = [col(c).asc_nulls_first() for c in by] + list(order)
-    return store(heavy.repartitionByRange(pieces, *keys).withColumn(PIECE, F.spark_partition_id()))
+def window(df: DataFrame, by: Sequence[str], order: Sequence[Column]):
+    return Window.partitionBy(F.col(PIECE), *[key_of(df, c) for c in by]).orderBy(*order)
 
 
-def window(by: Sequence[str], order: Sequence[Column], piece: bool = False):
-    keys = ([F.col(PIECE)] if piece else []) + [col(c) for c in by]
-    return Window.partitionBy(*keys).orderBy(*order)
+def across_pieces(df: DataFrame, by: Sequence[str]):
+    """Window over the per-piece rows of a group: as many rows as it has pieces."""
+    return Window.partitionBy(*[key_of(df, c) for c in by]).orderBy(PIECE)
 
 
-def across_pieces(by: Sequence[str]):
-    """Window over the per-piece rows of a group: as many rows as it has pieces."""
-    return Window.partitionBy(*[col(c) for c in by]).orderBy(PIECE)
+def per_piece(parts: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
+    return parts.groupBy(PIECE, *[key_of(parts, c).alias(c) for c in by]).agg(*aggs)
 
 
 def stitch(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:

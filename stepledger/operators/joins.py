@@ -98,10 +98,13 @@ def match_merge(
 
 
 def _last_present(tx: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per key, the last non-missing value of each column in ``order``."""
-    place = F.struct(*[col(c) for c in order]) if len(order) > 1 else col(order[0])
-    return tx.groupBy(*[col(c) for c in by]).agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(c) for c in columns]
+    """Per key, the last non-missing value of each column in ``order``, where missing comes first.
+
+    Rows that ``order`` does not tell apart follow their other columns.
+    """
+    placed = number_rows(tx, by, order, "__no")
+    return placed.groupBy(*[col(c) for c in by]).agg(
+        *[F.max_by(col(c), F.when(col(c).isNotNull(), F.col("__no"))).alias(c) for c in columns]
     )
 
 
@@ -125,9 +128,10 @@ def update_table(master: DataFrame, tx: DataFrame, by: Sequence[str], order: Seq
     """UPDATE: non-missing transaction values overwrite in order, unmatched transactions are added.
 
     The master has one row per key. Transactions are reduced to one row per key
-    map-side first.
+    first. ``order`` takes ``-name`` for a downward order.
     """
-    columns = [c for c in tx.columns if c not in by and (c in master.columns or c not in order)]
+    named = [o.lstrip("-") for o in order]
+    columns = [c for c in tx.columns if c not in by and (c in master.columns or c not in named)]
     extra = [c for c in columns if c not in master.columns]
     return _overlaid(master, _last_present(tx, by, order, columns), by, "full_outer", extra)
 

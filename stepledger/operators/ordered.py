@@ -1,81 +1,211 @@
 """Order-dependent BY-group operators: numbering, running totals, retained values, flags, lags.
 
-Every function takes the row order. ``-name`` sorts downwards, missing sorts lowest.
+Every function takes the row order. ``-name`` sorts downwards, missing sorts lowest and NaN is missing.
+Operators with the same BY and order can share one pass over the rows: see ``Pass``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepledger.columns import col, ordering
-from stepledger.operators.heavy import PIECE, across_pieces, in_pieces, split_heavy, stitch, window
+from stepledger.columns import col, key_of, ordering
+from stepledger.operators.heavy import PIECE, across_pieces, in_pieces, per_piece, stitch, window
 
 
 def sort_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sort with missing first; NaN counts as missing."""
     keys = []
     for item in by:
-        name = item.lstrip("-")
-        value = col(name)
-        if dict(df.dtypes)[name] in ("double", "float"):
-            value = F.nanvl(value, F.lit(None).cast("double"))
+        value = key_of(df, item.lstrip("-"))
         keys.append(value.desc_nulls_last() if item.startswith("-") else value.asc_nulls_first())
     return df.orderBy(*keys)
 
 
-def _union(light: DataFrame | None, heavy: DataFrame | None) -> DataFrame:
-    if light is None or heavy is None:
-        return heavy if light is None else light
-    return light.unionByName(heavy)
-
-
-# How a running aggregate starts, and how an earlier piece's value joins a row's own.
+# How a running aggregate starts, and how an earlier piece's value joins a row's own. Missing terms are passed over.
 _RUNNING = {
-    "sum": (F.sum, lambda own, before: own + F.coalesce(before, F.lit(0))),
+    "sum": (F.sum, lambda own, before: F.coalesce(own + before, own, before)),
     "min": (F.min, F.least),
     "max": (F.max, F.greatest),
 }
 
 
+@dataclass
+class _Running:
+    out: str
+    kind: str
+    term: str
+
+
+@dataclass
+class _Held:
+    out: str
+    slot: str
+    include_current: bool
+
+
+@dataclass
+class _Shift:
+    out: str
+    value: str
+    rows: int
+
+
+class Pass:
+    """Several ordered operators over the same BY groups in the same order: one write, one sort, one read of the pieces."""
+
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str]):
+        self.df = df
+        self.by = list(by)
+        self.order = order
+        self.terms: dict[str, Column] = {}
+        self.runs: list[_Running] = []
+        self.helds: list[_Held] = []
+        self.shifts: list[_Shift] = []
+        self.flagged = False
+
+    def _term(self, value: Column) -> str:
+        name = f"__term{len(self.terms)}"
+        self.terms[name] = value
+        return name
+
+    def running(self, out: str, kind: str, term: Column) -> Pass:
+        """Cumulative ``sum``, ``min`` or ``max``. Missing terms are passed over."""
+        self.runs.append(_Running(out, kind, self._term(term)))
+        return self
+
+    def number(self, out: str) -> Pass:
+        """The place in the BY group, from 1."""
+        return self.running(out, "sum", F.lit(1).cast("long"))
+
+    def hold(self, out: str, when: Column, value: Column, include_current: bool = True) -> Pass:
+        """The value last assigned; an assigned missing value is held like any other."""
+        slot = self._term(F.when(when, F.struct(value.alias("v"))))
+        self.helds.append(_Held(out, slot, include_current))
+        return self
+
+    def shift(self, out: str, value: Column, rows: int = 1) -> Pass:
+        """The value ``rows`` rows earlier (later when negative)."""
+        self.shifts.append(_Shift(out, self._term(value), rows))
+        return self
+
+    def flags(self) -> Pass:
+        """``first_x`` and ``last_x`` for every prefix of the BY list."""
+        self.flagged = True
+        return self
+
+    def result(self) -> DataFrame:
+        df, by = self.df, self.by
+        keys = ordering(df, self.order, skip=by)
+        parts = in_pieces(df.withColumns(self.terms), by, keys)
+        w = window(parts, by, keys)
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        local: dict[str, Column] = {}
+        for i, r in enumerate(self.runs):
+            local[f"__run{i}"] = _RUNNING[r.kind][0](r.term).over(upto)
+        for i, h in enumerate(self.helds):
+            local[f"__held{i}"] = F.last(h.slot, ignorenulls=True).over(upto if h.include_current else before)
+        for i, s in enumerate(self.shifts):
+            local[f"__shift{i}"] = F.lag(F.struct(F.col(s.value).alias("v")), s.rows).over(w)
+        if self.shifts or self.helds:
+            local["__place"] = F.row_number().over(w)
+        if any(s.rows < 0 for s in self.shifts):
+            local["__rest"] = F.count(F.lit(1)).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        for i in range(len(by) if self.flagged else 0):
+            prefix, sort = by[: i + 1], [key_of(parts, c).asc_nulls_first() for c in by[i + 1 :]] + keys
+            inside = window(parts, prefix, sort)
+            local[f"__first{i}"] = F.lag(F.lit(1)).over(inside).isNull()
+            local[f"__last{i}"] = F.lead(F.lit(1)).over(inside).isNull()
+        rows = parts.withColumns(local)
+        if self.runs or self.helds or self.shifts:
+            rows = stitch(rows, self._carried(parts, keys), by)
+        for i in range(len(by) if self.flagged else 0):
+            rows = stitch(rows, self._spans(parts, by[: i + 1], i), by[: i + 1])
+        return self._finished(rows)
+
+    def _carried(self, parts: DataFrame, keys: list[Column]) -> DataFrame:
+        """What each piece of a group has from the group's earlier (for leads, later) pieces; one row for a piece and group."""
+        by = self.by
+        aggs = [_RUNNING[r.kind][0](r.term).alias(f"__run{i}_all") for i, r in enumerate(self.runs)]
+        back = max([s.rows for s in self.shifts if s.rows > 0], default=0)
+        ahead = max([-s.rows for s in self.shifts if s.rows < 0], default=0)
+        if self.helds or self.shifts:
+            w = window(parts, by, keys)
+            parts = parts.withColumn("__place", F.row_number().over(w))
+            if back:
+                last = F.row_number().over(window(parts, by, _reversed(self.df, self.order, by)))
+                parts = parts.withColumn("__from_end", last)
+        for i, h in enumerate(self.helds):
+            set_at = F.when(F.col(h.slot).isNotNull(), F.col("__place"))
+            aggs.append(F.max_by(F.col(h.slot), set_at).alias(f"__held{i}_last"))
+        for i, s in enumerate(self.shifts):
+            k = abs(s.rows)
+            near = F.col("__from_end") <= k if s.rows > 0 else F.col("__place") <= k
+            # At most k rows of each piece and group.
+            kept = F.collect_list(F.when(near, F.struct(F.col("__place"), F.col(s.value).alias("v"))))
+            aggs.append(F.sort_array(kept).alias(f"__near{i}"))
+        totals = per_piece(parts, by, *aggs, F.count(F.lit(1)).alias("__rows"))
+        w = across_pieces(totals, by)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        out: dict[str, Column] = {}
+        for i, r in enumerate(self.runs):
+            out[f"__run{i}_before"] = _RUNNING[r.kind][0](f"__run{i}_all").over(earlier)
+        for i, _ in enumerate(self.helds):
+            out[f"__held{i}_before"] = F.last(f"__held{i}_last", ignorenulls=True).over(earlier)
+        for i, s in enumerate(self.shifts):
+            # Every piece of the group has a row of it, so k pieces hold k rows.
+            k = abs(s.rows)
+            span = w.rowsBetween(-k, -1) if s.rows > 0 else w.rowsBetween(1, k)
+            out[f"__near{i}_before"] = F.flatten(F.collect_list(f"__near{i}").over(span))
+        out["__pieces"] = F.count(F.lit(1)).over(Window.partitionBy(*[key_of(totals, c) for c in by]))
+        kept = totals.withColumns(out).filter("__pieces > 1")
+        return kept.select(PIECE, *[col(c) for c in by], *[c for c in out if c != "__pieces"])
+
+    def _spans(self, parts: DataFrame, prefix: list[str], i: int) -> DataFrame:
+        totals = per_piece(parts, prefix, F.count(F.lit(1)).alias("__n"))
+        w = across_pieces(totals, prefix)
+        flags = {f"__prior{i}": F.lag("__n").over(w).isNotNull(), f"__later{i}": F.lead("__n").over(w).isNotNull()}
+        return totals.withColumns(flags).filter(f"__prior{i} or __later{i}").drop("__n")
+
+    def _finished(self, rows: DataFrame) -> DataFrame:
+        types = dict(rows.dtypes)
+        made: dict[str, Column] = {}
+        for i, r in enumerate(self.runs):
+            own = F.col(f"__run{i}")
+            made[r.out] = _RUNNING[r.kind][1](own, F.col(f"__run{i}_before")).cast(types[f"__run{i}"])
+        for i, h in enumerate(self.helds):
+            made[h.out] = F.coalesce(f"__held{i}", f"__held{i}_before")["v"]
+        for i, s in enumerate(self.shifts):
+            near, k = F.col(f"__near{i}_before"), abs(s.rows)
+            if s.rows > 0:
+                outside = F.get(near, F.size(near) - (k - F.col("__place")) - 1)
+                carried = F.when(F.col("__place") <= k, outside)
+            else:
+                carried = F.when(F.col("__rest") <= k, F.get(near, k - F.col("__rest")))
+            made[s.out] = F.coalesce(F.col(f"__shift{i}"), F.when(carried.isNotNull(), F.struct(carried["v"].alias("v"))))["v"]
+        for i, c in enumerate(self.by if self.flagged else []):
+            made[f"first_{c}"] = F.col(f"__first{i}") & ~F.coalesce(F.col(f"__prior{i}"), F.lit(False))
+            made[f"last_{c}"] = F.col(f"__last{i}") & ~F.coalesce(F.col(f"__later{i}"), F.lit(False))
+        old = [col(c) for c in self.df.columns if c not in made]
+        return rows.select(*old, *[v.alias(n) for n, v in made.items()])
+
+
+def _reversed(df: DataFrame, order: Sequence[str], by: Sequence[str]) -> list[Column]:
+    return ordering(df, order, skip=by, downwards=True)
+
+
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence[str], aggs: Mapping[str, tuple[str, Column]]
 ) -> DataFrame:
     """Cumulative sum, min or max within the BY group, ``{out: (kind, term)}``. Missing terms are passed over."""
-    terms = {f"__term{i}": term for i, (_, term) in enumerate(aggs.values())}
-    plan = [(out, t, *_RUNNING[kind]) for (out, (kind, _)), t in zip(aggs.items(), terms)]
-    work = df.withColumns(terms)
-    keys = ordering(df, order, skip=by)
-    split = split_heavy(work, by)
-
-    def local(part: DataFrame, piece: bool) -> DataFrame:
-        w = window(by, keys, piece).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return part.withColumns({out: fn(t).over(w) for out, t, fn, _ in plan})
-
-    light = None if split.light is None else local(split.light, False).drop(*terms)
-    heavy = None
-    if split.heavy is not None:
-        parts = in_pieces(split.heavy, by, keys, split.pieces)
-        w = across_pieces(by)
-        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-        totals = parts.groupBy(PIECE, *[col(c) for c in by]).agg(*[fn(t).alias(t) for _, t, fn, _ in plan])
-        carried = (
-            totals.withColumns(
-                {**{f"{t}_before": fn(t).over(earlier) for _, t, fn, _ in plan}, "__place": F.row_number().over(w)}
-            )
-            .filter("__place > 1")
-            .drop("__place", *terms)
-        )
-        own = local(parts, True)
-        types = dict(own.dtypes)
-        heavy = (
-            stitch(own, carried, by)
-            .withColumns({out: join(col(out), F.col(f"{t}_before")).cast(types[out]) for out, t, _, join in plan})
-            .drop(PIECE, *terms, *[f"{t}_before" for t in terms])
-        )
-    return _union(light, heavy)
+    work = Pass(df, by, order)
+    for out, (kind, term) in aggs.items():
+        work.running(out, kind, term)
+    return work.result()
 
 
 def running_sum(
@@ -92,7 +222,7 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "row_no") -> DataFrame:
     """Number the rows of each BY group from 1."""
-    return running_sum(df, by, order, {out: F.lit(1).cast("long")})
+    return Pass(df, by, order).number(out).result()
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], out: str = "row_index", start: int = 0) -> DataFrame:
@@ -112,49 +242,10 @@ def carry_forward(
     An assigned missing value is held like any other; before the first assignment
     the result is missing.
     """
-    outs = list(assigned)
-    slots = {
-        f"__slot{i}": F.when(assigned[n][0], F.struct(assigned[n][1].alias("v"))) for i, n in enumerate(outs)
-    }
-    work = df.withColumns(slots)
-    keys = ordering(df, order, skip=by)
-    split = split_heavy(work, by)
-    end = Window.currentRow if include_current else -1
-
-    def local(part: DataFrame, piece: bool) -> DataFrame:
-        w = window(by, keys, piece).rowsBetween(Window.unboundedPreceding, end)
-        return part.withColumns({f"{s}_held": F.last(s, ignorenulls=True).over(w) for s in slots})
-
-    def finish(part: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-        return part.withColumns({n: values[s]["v"] for n, s in zip(outs, slots)}).select(
-            *[col(c) for c in df.columns if c not in outs], *[col(n) for n in outs]
-        )
-
-    light = None
-    if split.light is not None:
-        light = finish(local(split.light, False), {s: F.col(f"{s}_held") for s in slots})
-    heavy = None
-    if split.heavy is not None:
-        parts = in_pieces(split.heavy, by, keys, split.pieces)
-        placed = parts.withColumn("__place", F.row_number().over(window(by, keys, True)))
-        latest = placed.groupBy(PIECE, *[col(c) for c in by]).agg(
-            *[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), F.col("__place"))).alias(s) for s in slots]
-        )
-        w = across_pieces(by)
-        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            latest.withColumns(
-                {
-                    **{f"{s}_before": F.last(s, ignorenulls=True).over(earlier) for s in slots},
-                    "__place": F.row_number().over(w),
-                }
-            )
-            .filter("__place > 1")
-            .drop("__place", *slots)
-        )
-        joined = stitch(local(parts, True), carried, by)
-        heavy = finish(joined, {s: F.coalesce(F.col(f"{s}_held"), F.col(f"{s}_before")) for s in slots})
-    return _union(light, heavy)
+    work = Pass(df, by, order)
+    for out, (when, value) in assigned.items():
+        work.hold(out, when, value, include_current)
+    return work.result()
 
 
 def retain(
@@ -174,52 +265,8 @@ def retain(
 
 
 def by_flags(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``first_x`` and ``last_x`` for every prefix of the BY list.
-
-    The group of a shorter prefix holds the groups of the longer ones, so heavy
-    groups are looked for on the first BY variable and one shuffle serves them all.
-    """
-    keys = ordering(df, order, skip=by)
-    split = split_heavy(df, by[:1])
-    prefixes = [(list(by[: i + 1]), [col(c).asc_nulls_first() for c in by[i + 1 :]] + keys) for i in range(len(by))]
-
-    def local(part: DataFrame, piece: bool) -> DataFrame:
-        flags = {}
-        for prefix, sort in prefixes:
-            w = window(prefix, sort, piece)
-            flags[f"first_{prefix[-1]}"] = F.lag(F.lit(1)).over(w).isNull()
-            flags[f"last_{prefix[-1]}"] = F.lead(F.lit(1)).over(w).isNull()
-        return part.withColumns(flags)
-
-    light = None if split.light is None else local(split.light, False)
-    heavy = None
-    if split.heavy is not None:
-        parts = in_pieces(split.heavy, by, keys, split.pieces)
-        heavy = local(parts, True)
-        for prefix, _ in prefixes:
-            w = across_pieces(prefix)
-            spans = (
-                parts.groupBy(PIECE, *[col(c) for c in prefix])
-                .agg(F.count(F.lit(1)).alias("__n"))
-                .withColumns(
-                    {"__prior": F.lag("__n").over(w).isNotNull(), "__later": F.lead("__n").over(w).isNotNull()}
-                )
-                .filter("__prior or __later")
-                .drop("__n")
-            )
-            name = prefix[-1]
-            heavy = (
-                stitch(heavy, spans, prefix)
-                .withColumns(
-                    {
-                        f"first_{name}": col(f"first_{name}") & ~F.coalesce("__prior", F.lit(False)),
-                        f"last_{name}": col(f"last_{name}") & ~F.coalesce("__later", F.lit(False)),
-                    }
-                )
-                .drop("__prior", "__later")
-            )
-        heavy = heavy.drop(PIECE)
-    return _union(light, heavy)
+    """``first_x`` and ``last_x`` for every prefix of the BY list."""
+    return Pass(df, by, order).flags().result()
 
 
 def shift(
@@ -230,22 +277,4 @@ def shift(
     This is the lag of a call made on every row; a lag called only on some rows
     is a queue of past calls and is written with ``carry_forward`` over those rows.
     """
-    keys = ordering(df, order, skip=by)
-    split = split_heavy(df, by)
-    light = None
-    if split.light is not None:
-        w = window(by, keys)
-        light = split.light.withColumn(out, F.lag(col(value), rows).over(w))
-    heavy = None
-    if split.heavy is not None:
-        numbered = number_rows(split.heavy, by, order, "__no")
-        other = numbered.select(
-            *[col(c).alias(f"__by{i}") for i, c in enumerate(by)],
-            (F.col("__no") + rows).alias("__at"),
-            col(value).alias(out),
-        )
-        match = F.col("__no") == F.col("__at")
-        for i, c in enumerate(by):
-            match = match & col(c).eqNullSafe(F.col(f"__by{i}"))
-        heavy = numbered.join(other, match, "left").drop("__no", "__at", *[f"__by{i}" for i in range(len(by))])
-    return _union(light, heavy)
+    return Pass(df, by, order).shift(out, col(value), rows).result()

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from stepledger.columns import col
 
 
+INTEGER_DIGITS = 19  # of the largest integer type
+
+
 def family(kind: T.DataType) -> str:
     """numeric, bool, datetime, or string for everything else."""
     if isinstance(kind, T.BooleanType):
@@ -44,13 +47,17 @@ def plain_text(value: Column, kind: T.DataType) -> Column:
         return F.to_json(value)
     if isinstance(kind, T.BinaryType):
         return F.hex(value)
+    if isinstance(kind, T.DecimalType):
+        text = value.cast(T.DecimalType(kind.precision, kind.scale)).cast("string")
+        return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     return value.cast("string")
 
 
 def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
     """The type in which both sides compare without loss; None means as text.
 
-    Integers stay integers and decimals stay decimals, so 2**53 and 2**53 + 1 differ.
+    Integers stay integers and decimals stay decimals, so 2**53 and 2**53 + 1 differ. Decimals that no one type
+    holds compare as text without trailing zeros.
     """
     if isinstance(left, T.BooleanType) and isinstance(right, T.BooleanType):
         return T.BooleanType()
@@ -59,7 +66,8 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
             return T.DoubleType()
         if isinstance(left, T.DecimalType) or isinstance(right, T.DecimalType):
             scale = max(k.scale for k in (left, right) if isinstance(k, T.DecimalType))
-            return T.DecimalType(38, scale)
+            whole = max(k.precision - k.scale if isinstance(k, T.DecimalType) else INTEGER_DIGITS for k in (left, right))
+            return T.DecimalType(38, scale) if whole + scale <= 38 else None
         return T.LongType()
     if family(left) == family(right) == "datetime":
         return left if left == right else T.TimestampType()

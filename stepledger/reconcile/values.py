@@ -62,6 +62,42 @@ def _pair(residual: DataFrame, group: list[str], values: list[str], order: list[
     )
 
 
+def _clusters(rows: DataFrame, others: list[str], floats: list[str], atol: float, rtol: float) -> DataFrame:
+    """``rows`` with a cluster number for each floating column.
+
+    Column after column, the values inside the clusters so far are laid out in order and cut where the gap to
+    the value before exceeds the tolerance; a missing value stands alone. Values within tolerance of each other are
+    never parted, wherever on the axis they lie.
+    """
+    group = list(others)
+    for i, c in enumerate(floats):
+        before = shift(rows, group, [c], c, "__before")
+        near = close(F.col("__before"), col(c), atol, rtol)
+        cut = F.when(near, 0).otherwise(1).cast("long")
+        rows = running_sum(before, group, [c], {f"__cluster{i}": cut}).drop("__before")
+        group.append(f"__cluster{i}")
+    return rows
+
+
+def _cancel_close(residual: DataFrame, others: list[str], floats: list[str], atol: float, rtol: float) -> DataFrame:
+    """The surplus rows of either side that have no partner within tolerance on the other.
+
+    Rows pair by position inside the last cluster, so a row too many leaves the other clusters as they are.
+    """
+    rows = _clusters(residual, others, floats, atol, rtol)
+    names = [f"__cluster{i}" for i in range(len(floats))]
+    paired = _pair(rows, [*others, *names], floats, floats)
+    alike = all_of(close(F.col("actual")[c], F.col("golden")[c], atol, rtol) for c in floats)
+    left = paired.filter(~F.coalesce(F.col("actual").isNotNull() & F.col("golden").isNotNull() & alike, F.lit(False)))
+    sides = [
+        left.filter(F.col(side).isNotNull()).select(
+            *[col(c) for c in others], *[F.col(side)[c].alias(c) for c in floats], (sign * F.col("copies")).alias("copies")
+        )
+        for side, sign in (("actual", 1), ("golden", -1))
+    ]
+    return store(sides[0].unionByName(sides[1]))
+
+
 def value_diff(
     actual: DataFrame,
     golden: DataFrame,
@@ -71,8 +107,9 @@ def value_diff(
 ) -> ValueDiff:
     """Order-insensitive, duplicate-aware comparison with absolute and relative tolerance.
 
-    Equal rows cancel in one aggregate. Only the residual is paired: by ``keys``
-    when given, else by all columns that are not floating, in order of the floats.
+    Equal rows cancel in one aggregate, then rows that are alike within tolerance cancel in their clusters.
+    What is left differs; for the report it is paired by ``keys`` when given, else by all columns that are not
+    floating, in order of the floats.
     Without keys, rows that differ in several floating columns can pair in more
     than one way; name the keys where that matters.
     """
@@ -87,6 +124,8 @@ def value_diff(
     values = [c for c in shared if c not in group]
     # Written once: pairing and both results read the residual, not the tables again.
     residual = store(signed_difference(mine, theirs, "copies"))
+    if floats:
+        residual = _cancel_close(residual, [c for c in shared if c not in floats], floats, atol, rtol).select(*residual.columns)
 
     if not values:
         rows = residual.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,34 +17,20 @@ PREVIEW_COLUMNS = 20
 PREVIEW_CHARS = 1500
 DEFAULT_LIBRARY = "work"
 
-# A BY group above this many rows is spread over several tasks.
-HEAVY_ROWS = 5_000_000
-# At most this many groups are treated as heavy. Any group beyond the largest
-# 2,000 holds under 1/2,000 of the rows, which one task of such a job can take.
-HEAVY_GROUPS = 2_000
-# Inputs that the optimizer bounds by this size are not searched for heavy groups.
-SMALL_BYTES = 64 * 1024 * 1024
+# The folder below the warehouse that holds written tables where the session names no other.
+SCRATCH = "_stepledger"
 
 
-def heavy_rows(spark: SparkSession) -> tuple[int, bool]:
-    """Row limit of a group, and whether the session sets it explicitly."""
-    given = spark.conf.get("spark.stepledger.heavyRows", None)
-    return (int(given), True) if given else (HEAVY_ROWS, False)
+def piece_count(spark: SparkSession) -> int | None:
+    """Ranges that ordered operators cut their rows into, where the session sets it; else Spark decides."""
+    given = spark.conf.get("spark.stepledger.pieces", None)
+    return int(given) if given else None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can write: ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="stepledger-")
-        sc.setCheckpointDir(folder)
-    return folder
+    """The folder all executors can write: ``spark.checkpoint.dir``, else one below the session's warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{SCRATCH}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -67,16 +52,3 @@ def store(df: DataFrame) -> DataFrame:
     df = df.withColumns({n: F.lit(None).cast("string") for n in untyped}) if untyped else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size bound, read without running a job."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit

@@ -57,14 +57,29 @@ def duplicate_keys(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1")
 
 
+# Quotes are doubled inside quotes, an empty text is quoted and a missing value is not; a quoted value may hold line
+# breaks and blanks at its ends, so a file is read whole by one task: write large text datasets as many files.
+TEXT_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "multiLine": "true",
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+WRITE_OPTIONS = {"emptyValue": '""', "nullValue": ""}
+# A field without anything is read as this value and so as missing; a quoted empty one is not.
+READ_OPTIONS = {"emptyValue": "", "nullValue": "\x00"}
+
+
 def read_path(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a dataset by its ending. Text formats take a schema; without one every column is text."""
+    """Read a dataset by its ending. Text formats take a schema, or their types are inferred in a pass of their own."""
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "parquet":
         return spark.read.parquet(path)
     if ending in SEPARATORS:
-        reader = spark.read.option("header", "true").option("sep", SEPARATORS[ending])
-        return (reader.schema(schema) if schema else reader).csv(path)
+        reader = spark.read.options(header="true", sep=SEPARATORS[ending], **READ_OPTIONS, **TEXT_OPTIONS)
+        return (reader.schema(schema) if schema else reader.option("inferSchema", "true")).csv(path)
     raise ValueError(f"cannot read {path!r}: convert it to Parquet first")
 
 
@@ -74,7 +89,7 @@ def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     if ending == "parquet":
         df.write.mode(mode).parquet(path)
     elif ending in SEPARATORS:
-        df.write.mode(mode).option("header", "true").option("sep", SEPARATORS[ending]).csv(path)
+        df.write.mode(mode).options(header="true", sep=SEPARATORS[ending], **WRITE_OPTIONS, **TEXT_OPTIONS).csv(path)
     else:
         raise ValueError(f"unsupported format of {path!r}")
     return path

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepledger.operators.ordered import number_rows
-from stepledger.settings import is_small
 
 # File endings of parametric sources and of run logs.
 SOURCE_ENDING = ".sas"
@@ -19,17 +18,9 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-# A scan splits a corpus above this size per core into a partition per core by itself.
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
 def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
-    """Texts over all cores, where the corpus is too small for the scan to do so.
-
-    Lexing a text costs far more than moving it. A large corpus is left as it is.
-    """
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus.repartition(cores, by) if is_small(corpus, cores * SPREAD_BYTES_PER_CORE) else corpus
+    """Texts dealt evenly over the tasks: lexing a text costs far more than moving it once."""
+    return corpus.repartition(by)
 
 
 def file_name(path: Column) -> Column:
@@ -63,13 +54,17 @@ def manifest_order(manifest: DataFrame, folder: str = "") -> DataFrame:
     full = F.when(path.startswith("/") | path.contains(":/"), path).otherwise(
         F.concat(F.lit(folder.rstrip("/") + "/" if folder else ""), path)
     )
-    return number_rows(kept.select(F.lit(0).alias("p"), "line_no", full.alias("path")), ["p"], ["line_no"], "file_no").select(
-        "file_no", "path"
-    )
+    return number_rows(kept.select("line_no", full.alias("path")), [], ["line_no"], "file_no").select("file_no", "path")
 
 
 def ordered_by_manifest(corpus: DataFrame, order: DataFrame) -> DataFrame:
-    return corpus.join(order, "path")
+    """The listed files in their order. A listed file that the corpus lacks stays, with null columns: see ``absent_files``."""
+    return order.join(corpus, "path", "left")
+
+
+def absent_files(corpus: DataFrame, order: DataFrame) -> DataFrame:
+    """Listed files that the corpus lacks."""
+    return order.join(corpus.select("path"), "path", "left_anti")
 
 
 def ordered_by_path(corpus: DataFrame, project: str = "project") -> DataFrame:

@@ -107,10 +107,9 @@ def w5_remerge(spark, sf_dir):
 def w6_lag_lead(spark, sf_dir):
     by, order = ["o_custkey"], ["o_orderkey"]
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    df = O.shift(df, by, order, "o_totalprice", "prior_price")
-    df = O.shift(df, by, order, "o_totalprice", "later_price", -2)
-    df = O.number_rows(df, by, order)
-    return O.running(df, by, order, {"high": ("max", F.col("o_totalprice"))}).drop("o_custkey", "o_totalprice")
+    price = F.col("o_totalprice")
+    one = O.Pass(df, by, order).shift("prior_price", price).shift("later_price", price, -2)
+    return one.number("row_no").running("high", "max", price).result().drop("o_custkey", "o_totalprice")
 
 
 @query("w7_row_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index FROM orders")

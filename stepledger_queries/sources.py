@@ -59,20 +59,18 @@ def s3_csv_scan(spark, sf_dir):
 @query(
     "s4_dataset_write",
     """
-    SELECT 'parquet' AS ending, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders
-    UNION ALL SELECT 'tsv', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
+    SELECT ending, doc_id, md5(text) AS text, lang, source, n_chars
+    FROM documents, (VALUES ('parquet'), ('csv'), ('tsv')) e(ending)
     """,
 )
 def s4_dataset_write(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    documents = table(spark, sf_dir, "documents")
     parts = []
-    for ending in ("parquet", "tsv"):
-        path = write_dataset(orders, f"{scratch_path(spark, 'orders')}.{ending}")
-        back = read_path(spark, path, orders.schema)
-        parts.append(
-            back.agg(F.lit(ending).alias("ending"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
-        )
-    return parts[0].union(parts[1])
+    for ending in ("parquet", "csv", "tsv"):
+        path = write_dataset(documents, f"{scratch_path(spark, 'documents')}.{ending}")
+        back = read_path(spark, path, documents.schema)
+        parts.append(back.select(F.lit(ending).alias("ending"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "lang", "source", "n_chars"))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query(

@@ -26,13 +26,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["plain", "heavy"])
+@pytest.fixture(params=["merged", "pieces"])
 def heavy(request, spark):
-    """Runs a test twice: with windows alone, and with every group of over 7 rows cut in pieces."""
-    if request.param == "heavy":
-        spark.conf.set("spark.stepledger.heavyRows", "7")
+    """Runs a test twice: in the ranges that Spark chooses, and with the rows cut in seven, through their groups."""
+    if request.param == "pieces":
+        spark.conf.set("spark.stepledger.pieces", "7")
     yield request.param
-    spark.conf.unset("spark.stepledger.heavyRows")
+    spark.conf.unset("spark.stepledger.pieces")
 
 
 @pytest.fixture(scope="session")

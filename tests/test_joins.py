@@ -98,3 +98,12 @@ def test_sql_join_and_absent_keys(spark):
     need = spark.createDataFrame([("w.a",), ("w.b",)], "key string")
     have = spark.createDataFrame([("w.a",)], "key string")
     assert [x["key"] for x in J.absent_keys(need, have, "key").collect()] == ["w.b"]
+
+
+def test_update_with_missing_tied_and_downward_order(spark, heavy):
+    master = spark.createDataFrame([(1, 10), (3, 30)], "k int, v int")
+    tx = spark.createDataFrame([(1, None, 99), (2, None, 5), (3, 4, 31), (3, 9, 32), (3, 9, None)], "k int, at int, v int")
+    done = lambda df: sorted((r["k"], r["v"]) for r in df.collect())
+    assert done(J.update_table(master, tx, ["k"], ["at"])) == [(1, 99), (2, 5), (3, 32)]
+    assert done(J.update_table(master, tx, ["k"], ["-at"])) == [(1, 99), (2, 5), (3, 31)]
+    assert done(J.modify_table(master, tx, ["k"], ["at"])) == [(1, 99), (3, 32)]

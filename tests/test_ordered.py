@@ -134,3 +134,30 @@ def test_running_extremes(frame, heavy):
             want[r[2]] = (min(seen, default=None), max(seen, default=None))
     got = O.running(frame, ["g"], ["t"], {"low": ("min", F.col("v")), "high": ("max", F.col("v"))})
     assert {r["t"]: (r["low"], r["high"]) for r in got.collect()} == want
+
+
+def test_running_passes_over_missing_terms(spark, heavy):
+    values = [0, 1, 2, None, None, None, None, None, 4, None]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v int")
+    got = [r["t"] for r in O.running(df, ["g"], ["i"], {"t": ("sum", F.col("v"))}).orderBy("i").collect()]
+    assert got == [0, 1, 3, 3, 3, 3, 3, 3, 7, 7]
+
+
+def test_nan_is_missing_in_groups_and_order(spark, heavy):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0, 1), (1.0, nan, 2), (nan, 1.0, 3), (None, 2.0, 4)], "g double, x double, i int")
+    got = {r["i"]: r["n"] for r in O.number_rows(df, ["g"], ["x"], "n").collect()}
+    assert got == {2: 1, 1: 2, 3: 1, 4: 2}
+
+
+def test_one_pass_for_several_operators(spark, heavy):
+    df = spark.createDataFrame([(i % 3, i, i * i % 17) for i in range(60)], "g int, i int, v int")
+    v = F.col("v")
+    got = O.Pass(df, ["g"], ["i"]).shift("back", v, 3).shift("ahead", v, -2).number("no").running("high", "max", v).flags().result()
+    rows = sorted((tuple(r) for r in df.collect()))
+    for r in got.collect():
+        line = [x for x in rows if x[0] == r["g"]]
+        at = [x[1] for x in line].index(r["i"])
+        assert r["no"] == at + 1 and r["high"] == max(x[2] for x in line[: at + 1])
+        assert r["back"] == (line[at - 3][2] if at >= 3 else None) and r["ahead"] == (line[at + 2][2] if at + 2 < len(line) else None)
+        assert r["first_g"] == (at == 0) and r["last_g"] == (at == len(line) - 1)

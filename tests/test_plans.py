@@ -11,10 +11,10 @@ from stepledger_queries.plans import PRICING
 @pytest.fixture
 def sources(spark):
     accounts = spark.createDataFrame(
-        [(1, "us", 100.0, 0), (2, "eu", 200.0, 1), (3, "us", -5.0, 0), (4, "eu", 50.0, 1)],
+        [(21, "jp", 40.0, 0), (22, "br", 310.0, 1), (23, "br", -12.0, 1), (27, "jp", 90.0, 0)],
         "account_id long, region string, balance double, nation int",
     )
-    rates = spark.createDataFrame([(0, 0.10), (1, 0.20)], "nation int, rate double")
+    rates = spark.createDataFrame([(0, 0.25), (1, 0.05)], "nation int, rate double")
     return {"raw.accounts": accounts, "raw.rates": rates}
 
 
@@ -24,11 +24,11 @@ def rows(df, *names):
 
 def test_pricing_program(spark, sources, heavy):
     made = flow.run_flow(spark, sources, PRICING)
-    assert rows(made["work.accounts"], "account_id", "region", "balance") == [(1, "US", 100.0), (2, "EU", 200.0), (4, "EU", 50.0)]
-    assert rows(made["work.priced"], "account_id", "rate", "interest") == [(1, 0.1, 10.0), (2, 0.2, 40.0), (4, 0.2, 10.0)]
-    assert rows(made["work.cumulative"], "account_id", "running_interest") == [(1, 10.0), (2, 40.0), (4, 50.0)]
+    assert rows(made["work.accounts"], "account_id", "region", "balance") == [(21, "JP", 40.0), (22, "BR", 310.0), (27, "JP", 90.0)]
+    assert rows(made["work.priced"], "account_id", "rate", "interest") == [(21, 0.25, 10.0), (22, 0.05, 15.5), (27, 0.25, 22.5)]
+    assert rows(made["work.cumulative"], "account_id", "running_interest") == [(21, 10.0), (22, 15.5), (27, 32.5)]
     assert rows(made["work.summary"], "region", "n_accounts", "total_balance", "total_interest") == [
-        ("EU", 2, 250.0, 50.0), ("US", 1, 100.0, 10.0),
+        ("BR", 1, 310.0, 15.5), ("JP", 2, 130.0, 32.5),
     ]
     assert flow.external_inputs(PRICING) == ["raw.accounts", "raw.rates"]
     assert flow.final_outputs(PRICING) == ["work.cumulative", "work.summary"]

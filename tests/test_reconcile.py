@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from stepledger import reconcile as R
 from stepledger.reconcile.families import families
 
-COLS = "account_id long, region string, balance double, rate double, interest double"
-GOLD = [(1, "US", 100.0, 0.10, 10.0), (2, "EU", 200.0, 0.20, 40.0), (4, "EU", 50.0, 0.20, 10.0)]
+COLS = "sample long, plant string, height double, growth double, yield double"
+GOLD = [(11, "oat", 80.0, 0.25, 20.0), (12, "rye", 120.0, 0.5, 60.0), (15, "rye", 98.0, 0.5, 49.0), (19, "flax", 60.0, 0.75, 45.0)]
 
 
 @pytest.fixture(scope="module")
@@ -26,49 +26,49 @@ ALL = [("schema", True), ("property", True), ("data_equivalence", True)]
 
 def test_reordered_and_renamed_passes(spark, golden):
     actual = spark.createDataFrame(list(reversed(GOLD)), COLS).select(
-        F.col("interest").alias("INTEREST"), F.col("region").alias("Region"), "account_id", "rate", "balance"
+        F.col("yield").alias("YIELD"), F.col("plant").alias("Plant"), "sample", "growth", "height"
     )
     assert verdicts(R.reconcile(actual, golden)) == ALL
 
 
 def test_jitter_passes(spark, golden):
-    actual = golden.withColumn("interest", F.col("interest") + 1e-12)
+    actual = golden.withColumn("yield", F.col("yield") + 1e-12)
     assert verdicts(R.reconcile(actual, golden)) == ALL
 
 
 def test_wrong_value_fails_property_and_names_the_side(spark, golden):
-    actual = golden.withColumn("interest", F.when(F.col("account_id") == 2, 999.0).otherwise(F.col("interest")))
+    actual = golden.withColumn("yield", F.when(F.col("sample") == 12, 999.0).otherwise(F.col("yield")))
     checks = R.reconcile(actual, golden)
     assert verdicts(checks) == [("schema", True), ("property", False)]
     diff = R.value_diff(actual, golden)
-    assert [tuple(r) for r in diff.cells.select("account_id", "column_name", "actual", "golden", "copies").collect()] == [
-        (2, "interest", "999.0", "40.0", 1)
+    assert [tuple(r) for r in diff.cells.select("sample", "column_name", "actual", "golden", "copies").collect()] == [
+        (12, "yield", "999.0", "60.0", 1)
     ]
 
 
 def test_missing_column_and_row_count_fail_schema(spark, golden):
-    (check,) = R.reconcile(golden.drop("rate"), golden)
-    assert not check.passed and "rate" in check.diagnostics[0]
+    (check,) = R.reconcile(golden.drop("growth"), golden)
+    assert not check.passed and "growth" in check.diagnostics[0]
     (check,) = R.reconcile(golden.limit(2), golden)
     assert check.phase == "schema" and "row count 2" in check.diagnostics[0]
-    rows = R.schema_differences(golden.drop("rate").limit(2), golden).collect()
+    rows = R.schema_differences(golden.drop("growth").limit(2), golden).collect()
     assert [(r["column_name"], r["issue"], r["actual"], r["golden"]) for r in rows] == [
-        ("rate", "missing", None, "numeric"),
-        ("*", "row count", "2", "3"),
+        ("growth", "missing", None, "numeric"),
+        ("*", "row count", "2", "4"),
     ]
 
 
 def test_null_count_fails_property(spark, golden):
-    actual = golden.withColumn("rate", F.when(F.col("account_id") != 1, F.col("rate")))
+    actual = golden.withColumn("growth", F.when(F.col("sample") != 11, F.col("growth")))
     assert verdicts(R.reconcile(actual, golden)) == [("schema", True), ("property", False)]
 
 
 def test_duplicate_for_dropped_row_fails_values(spark, golden):
-    actual = spark.createDataFrame([GOLD[0], GOLD[0], GOLD[1]], COLS)
+    actual = spark.createDataFrame([GOLD[0], GOLD[0], GOLD[1], GOLD[3]], COLS)
     rows = R.value_diff(actual, golden).rows.collect()
-    assert sorted((r["account_id"], r["issue"], r["copies"]) for r in rows) == [
-        (1, "only in actual", 1),
-        (4, "only in golden", 1),
+    assert sorted((r["sample"], r["issue"], r["copies"]) for r in rows) == [
+        (11, "only in actual", 1),
+        (15, "only in golden", 1),
     ]
 
 
@@ -168,13 +168,13 @@ def test_profile_values(spark):
 
 
 def test_step_and_final_output_checks(spark, golden):
-    data = {"raw.a": golden.drop("interest"), "work.b": golden}
-    good = lambda spark, i: i["raw.a"].withColumn("interest", F.col("balance") * F.col("rate"))
-    bad = lambda spark, i: i["raw.a"].withColumn("interest", F.col("balance") + F.col("rate"))
+    data = {"raw.a": golden.drop("yield"), "work.b": golden}
+    good = lambda spark, i: i["raw.a"].withColumn("yield", F.col("height") * F.col("growth"))
+    bad = lambda spark, i: i["raw.a"].withColumn("yield", F.col("height") + F.col("growth"))
     broken = lambda spark, i: i["nope"]
     assert verdicts(R.check_step(spark, data, good, ["raw.a"], "work.b")) == ALL
     assert not R.check_step(spark, data, bad, ["raw.a"], "work.b")[-1].passed
-    untyped = lambda spark, i: i["raw.a"].withColumn("interest", F.lit(None))
+    untyped = lambda spark, i: i["raw.a"].withColumn("yield", F.lit(None))
     (failed,) = R.check_step(spark, data, untyped, ["raw.a"], "work.b")
     assert failed.diagnostics == ["interest: family (actual string, golden numeric)"]
     (failed,) = R.check_step(spark, data, broken, ["raw.a"], "work.b")
@@ -185,3 +185,33 @@ def test_step_and_final_output_checks(spark, golden):
     assert [c.passed for c in ends["work.b"]] == [True] * 4 and not ends["work.c"][0].passed
     table = R.checks_frame(spark, ends, run="r1", program="p")
     assert table.count() == 5
+
+
+def test_a_value_at_the_edge_of_a_rounding_step_is_close(spark, heavy):
+    golden = spark.createDataFrame([(0.5e-9, i) for i in range(50)], "v double, i int")
+    actual = spark.createDataFrame([(0.5e-9 + (-1) ** i * 2e-10, i) for i in range(50)], "v double, i int")
+    assert R.value_diff(actual, golden).rows.count() == 0
+
+
+def test_one_replaced_row_is_one_difference(spark, heavy):
+    golden = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
+    actual = spark.createDataFrame([(500.5 if i == 3 else i + 1e-10,) for i in range(100)], "v double")
+    rows = R.value_diff(actual, golden).rows.collect()
+    assert [(r["issue"], r["copies"], r["actual"]["v"], r["golden"]["v"]) for r in rows] == [("changed", 1, 500.5, 3.0)]
+
+
+def test_sums_do_not_depend_on_row_order(spark):
+    rnd = random.Random(8)
+    values = [(rnd.uniform(-1e9, 1e9),) for _ in range(2000)]
+    values += [(-v,) for (v,) in values]
+    golden = spark.createDataFrame(values, "v double")
+    rnd.shuffle(values)
+    assert verdicts(R.reconcile(spark.createDataFrame(values, "v double").repartition(7), golden)) == ALL
+
+
+def test_decimals_that_no_type_holds_are_compared(spark):
+    wide = spark.sql("select cast('12345678901234567890123456789012345678' as decimal(38,0)) as v")
+    fine = spark.sql("select cast('5.25' as decimal(38,8)) as v")
+    five = spark.sql("select cast('5' as decimal(38,0)) as v")
+    assert R.value_diff(wide, fine).rows.count() == 2
+    assert R.value_diff(five, spark.sql("select cast('5' as decimal(38,8)) as v")).rows.count() == 0
