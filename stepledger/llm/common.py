@@ -16,7 +16,6 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-FOLD = str.maketrans(UPPER, LOWER)
 
 
 def query(name: str, sql: str | None = None):
@@ -62,11 +61,8 @@ def held(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def fold_text(text: str) -> str:
-    """Python's side of ``fold``."""
-    if text.isascii():
-        return text.lower()
-    low = text.lower()
-    return low if low.isascii() else text.translate(FOLD)
+    """Python's side of ``fold``: bytes.lower() changes A-Z alone."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
 def fresh(df: DataFrame, stem: str) -> str:

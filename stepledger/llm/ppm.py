@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from stepledger.llm.common import fold_text, whole
 from stepledger.settings import store
 
-ORDER = 4
+ORDER = 3
 SHARE = 1 / 4_000_000
 HOT = 1 / 400_000
 CLASS = 0.01  # part of the training texts from which a class has a trie of its own; the others share one
 KEPT_KEYS = 300_000  # distinct keys a task sums before it passes them on
-KEPT_WORDS = 150_000  # coded words a worker remembers of a class
+KEPT_WORDS = 250_000  # coded words a worker remembers of a class
 
 # Bytes that UTF-8 never uses open and close a chunk.
 WORD, GAP, LEAD = b"\xfe", b"\xff", b"\xfd"
@@ -66,13 +66,11 @@ def coded_word(word: str) -> bytes:
     return WORD + word.encode() + STOP
 
 
-def grams(coded: bytes, order: int = ORDER) -> Iterator[bytes]:
+def grams(coded: bytes, order: int = ORDER) -> list[bytes]:
     """Each transition of a coded chunk as context and symbol: of orders 0 to ``order``, and of the whole prefix."""
-    for i in range(1, len(coded)):
-        for k in range(min(i, order) + 1):
-            yield coded[i - k : i + 1]
-        if i > order:
-            yield coded[: i + 1]
+    stops = range(2, len(coded) + 1)
+    found = [coded[j - k - 1 : j] for k in range(order + 1) for j in stops if j > k]
+    return found + [coded[:j] for j in stops if j > order + 1]
 
 
 @dataclass
@@ -101,6 +99,7 @@ class Trie:
             # Every occurrence of a context goes on, so its count as a transition counts its followers.
             rare = max(0, seen.get(context, total) - total)
             self.nodes[context] = Node(total, rare, counts, parent, shadow)
+        self.known: dict[bytes, float] = {}
 
     def symbol(self, coded: bytes, i: int) -> float:
         """log10 of the probability of the byte at ``i`` after those before it."""
@@ -126,7 +125,21 @@ class Trie:
 
     def length(self, coded: bytes) -> float:
         """log10 of the probability of a chunk."""
-        return sum([self.symbol(coded, i) for i in range(1, len(coded))])
+        total, order, known, last = 0.0, self.order, self.known, len(coded)
+        i = 1
+        # While the whole prefix is a context, symbols depend on all of it; an unseen prefix stays unseen.
+        while i < last and (i <= order or coded[:i] in self.nodes):
+            total += self.symbol(coded, i)
+            i += 1
+        for i in range(i, last):
+            gram = coded[i - order : i + 1]
+            p = known.get(gram)
+            if p is None:
+                if len(known) >= KEPT_KEYS:
+                    known.clear()
+                p = known[gram] = self.symbol(coded, i)
+            total += p
+        return total
 
 
 def _batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
