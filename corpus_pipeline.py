@@ -37,8 +37,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text; a text is given back as ``decoded`` from its ids."""
-    coded = byte_bpe.encode(
+    """The ids of each text, as little-endian unsigned 32-bit integers; a text is given back as ``decoded`` from its ids."""
+    coded = byte_bpe.pack(
         docs.select("doc_id", "lang", "source", "text"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
@@ -48,7 +48,7 @@ def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id",
         "lang",
         "source",
-        F.size(ids).cast("long").alias("n_tokens"),
+        (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
         ids.alias("ids"),
         F.col("bpe")["decoded"].cast("string").alias("decoded"),
     )
