@@ -176,7 +176,7 @@ def test_step_and_final_output_checks(spark, golden):
     assert not R.check_step(spark, data, bad, ["raw.a"], "work.b")[-1].passed
     untyped = lambda spark, i: i["raw.a"].withColumn("yield", F.lit(None))
     (failed,) = R.check_step(spark, data, untyped, ["raw.a"], "work.b")
-    assert failed.diagnostics == ["interest: family (actual string, golden numeric)"]
+    assert failed.diagnostics == ["yield: family (actual string, golden numeric)"]
     (failed,) = R.check_step(spark, data, broken, ["raw.a"], "work.b")
     assert not failed.passed and "KeyError" in failed.diagnostics[0]
     (skip,) = R.check_step(spark, data, good, ["raw.zzz"], "work.b")
