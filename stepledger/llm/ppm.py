@@ -9,36 +9,32 @@ Texts of one class (a language, say) share a trie; a text is coded by the class
 frequent words and gaps are likeliest, and pays for naming it. The class of a text is never looked up in its row.
 
 Since contexts stay inside chunks, the tries are counted from the table of distinct chunks, not
-from the texts, and a task codes each of its words once. A trie keeps the transitions that make up at
-least ``SHARE`` of all coded symbols, so there are at most 1 / ``SHARE`` of each order however large the
-corpus is; the occurrences of the others are the escape weight of their context, beside its number of symbols.
+from the texts. Every transition counts, however rare: all of them are a table, written with the numbers of
+their context, and distinct chunks are coded by joins to it. ``Trie`` is the same model in memory, for small counts.
 
-For the word base, counts of words that make up at least ``HOT`` of all are held by every task (at most
-1 / ``HOT`` words); the other words are joined to the table of counts.
+Of words that make up at least ``HOT`` of all, and of such gaps, every task holds the counts and code
+lengths (at most 1 / ``HOT`` of each); the others are joined to the tables.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import log10
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepledger.llm.common import fold_text, whole
 from stepledger.settings import store
 
 ORDER = 3
-SHARE = 1 / 4_000_000
 HOT = 1 / 400_000
 CLASS = 0.01  # part of the training texts from which a class has a trie of its own; the others share one
 KEPT_KEYS = 300_000  # distinct keys a task sums before it passes them on
-KEPT_WORDS = 250_000  # coded words a worker remembers of a class
 
 # Bytes that UTF-8 never uses open and close a chunk.
 WORD, GAP, LEAD = b"\xfe", b"\xff", b"\xfd"
@@ -83,7 +79,7 @@ class Node:
 
 
 class Trie:
-    """The kept transitions as nodes by context, and code lengths under them."""
+    """Transitions as nodes by context, and code lengths under them; those left out are escape weight."""
 
     def __init__(self, transitions: Iterable[tuple[bytes, int]], order: int = ORDER):
         self.order = order
@@ -195,12 +191,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Counts of the training texts: ``chunks`` is a table, the rest is bounded."""
+    """Counts of the training texts: ``chunks``, ``transitions`` and ``nodes`` are tables, the rest is bounded."""
 
     chunks: DataFrame  # kind, chunk, n_train, n_all
+    transitions: DataFrame  # kind, gram, n, and of its context: total, kinds, shadow; lead marks one row of each
+    nodes: DataFrame  # contexts of up to ORDER bytes: kind, context, total, kinds, shadow, counts by symbol
     priors: list[float]  # log10 of the part of each class
-    transitions: list[list[tuple[bytes, int]]]  # of each class
-    hot: dict[str, int]
+    hot: dict[bytes, tuple[int, list[float]]]  # of frequent chunks the count and the length in each class
     tokens: int  # words and ends
     distinct: int
     ends: int
@@ -214,7 +211,6 @@ def train(
     held: Column,
     text: str = "text",
     by: str | None = None,
-    share: float = SHARE,
     hot: float = HOT,
 ) -> Model:
     """Count all texts for which ``held`` is false; ``by`` names the column of their classes.
@@ -244,45 +240,146 @@ def train(
         .agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
     )
     table = store(counted)
-    n_words, n_all, ends, symbols = table.agg(
+    n_words, words_all, gaps_all, ends = table.agg(
         F.coalesce(F.sum(F.when(_is_word(), F.col("n_train"))), F.lit(0)),
         F.coalesce(F.sum(F.when(_is_word(), F.col("n_all"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(~_is_word(), F.col("n_all"))), F.lit(0)),
         F.coalesce(F.sum(F.when(F.substring("chunk", -1, 1) == F.lit(END), F.col("n_train"))), F.lit(0)),
-        F.coalesce(F.sum((F.octet_length("chunk") - 1) * F.col("n_train")), F.lit(0)),
     ).first()
-    grams_ = (
+    grams_ = store(
         table.filter("n_train > 0")
         .mapInArrow(_count_grams, "kind int, gram binary, n long")
         .groupBy("kind", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    # Of each class at most 256 of order 0, of all together at most 1 / share of each other order.
-    kept = grams_.filter((F.col("n") >= share * symbols) | (F.octet_length("gram") == 1)).toArrow()
-    transitions: list[list[tuple[bytes, int]]] = [[] for _ in parts]
-    for k, g, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "gram", "n"))):
-        transitions[k].append((bytes(g), n))
-    words = _word_counts(table)
-    distinct = words.filter("n_train > 0").count()
-    # At most 1 / hot words, whose mean length is bounded by that of all words.
-    often = words.filter(F.col("n_all") >= hot * n_all).toArrow()
-    return Model(
-        table,
-        priors,
-        [sorted(t) for t in transitions],
-        {bytes(c)[1:-1].decode(): n for c, n in zip(often.column("chunk").to_pylist(), often.column("n_train").to_pylist())},
-        n_words + ends,
-        distinct + (ends > 0),
-        ends,
-    )
+    transitions = store(_transitions(grams_))
+    nodes = store(_nodes(transitions))
+    counts = _counts(table)
+    distinct = counts.filter(_is_word() & (F.col("n_train") > 0)).count()
+    # At most 1 / hot words and as many gaps, whose mean length is bounded by that of all.
+    bar = F.when(_is_word(), hot * words_all).otherwise(hot * gaps_all)
+    often = store(counts.filter(F.col("n_all") >= bar).select("chunk", "n_train"))
+    kinds = F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))).alias("kind")
+    coded = _lengths(store(often.select(kinds, "chunk")), transitions, nodes).join(often, "chunk").toArrow()
+    known: dict[bytes, tuple[int, list[float]]] = {}
+    for c, k, n, v in zip(*(coded.column(c).to_pylist() for c in ("chunk", "kind", "n_train", "length"))):
+        known.setdefault(bytes(c), (n, [0.0] * len(parts)))[1][k] = v
+    return Model(table, transitions, nodes, priors, known, n_words + ends, distinct + (ends > 0), ends)
 
 
 def _is_word() -> Column:
     return F.substring("chunk", 1, 1) == F.lit(WORD)
 
 
-def _word_counts(table: DataFrame) -> DataFrame:
-    """Counts of the words, whatever their class."""
-    return table.filter(_is_word()).groupBy("chunk").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+def _counts(table: DataFrame) -> DataFrame:
+    """Counts of the chunks, whatever their class."""
+    return table.groupBy("chunk").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
+
+
+def _first(coded: Column, n: Column) -> Column:
+    return F.substring(coded, F.lit(1), n)
+
+
+def _shorter(context: Column) -> Column:
+    """The context sought next: the last ``ORDER`` bytes of a longer one, else all but the first byte."""
+    n = F.octet_length(context)
+    return F.when(n > ORDER, F.substring(context, -ORDER, ORDER)).otherwise(F.substring(context, F.lit(2), n))
+
+
+def _transitions(counted: DataFrame) -> DataFrame:
+    """Each transition with its context's occurrences, number of symbols, and what the next shorter context counts of these."""
+    low = counted.filter(F.octet_length("gram") <= ORDER + 1).select("kind", F.col("gram").alias("below"), F.col("n").alias("under"))
+    context = _first(F.col("gram"), F.octet_length("gram") - 1)
+    # A context has at most SYMBOLS rows.
+    at = Window.partitionBy("kind", "context")
+    rows = counted.withColumn("context", context).withColumn(
+        "below", F.when(F.octet_length("context") > 0, F.concat(_shorter(F.col("context")), F.substring("gram", -1, 1)))
+    )
+    return rows.join(low, ["kind", "below"], "left").select(
+        "kind",
+        "gram",
+        "n",
+        F.sum("n").over(at).alias("total"),
+        F.count(F.lit(1)).over(at).alias("kinds"),
+        F.sum(F.coalesce("under", F.lit(0))).over(at).alias("shadow"),
+        (F.min("gram").over(at) == F.col("gram")).alias("lead"),
+    )
+
+
+def _nodes(transitions: DataFrame) -> DataFrame:
+    symbol = F.struct(F.hex(F.substring("gram", -1, 1)).alias("s"), "n")
+    return (
+        transitions.filter(F.octet_length("gram") <= ORDER + 1)
+        .groupBy("kind", _first(F.col("gram"), F.octet_length("gram") - 1).alias("context"))
+        .agg(*[F.first(c).alias(c) for c in ("total", "kinds", "shadow")], F.map_from_entries(F.collect_list(symbol)).alias("counts"))
+    )
+
+
+def _lengths(pairs: DataFrame, transitions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``length``, the log10 of the probability, of each ``kind``, ``chunk`` of the written table ``pairs``.
+
+    A chunk follows the trie as far as its prefix was seen. Each later symbol is sought in the contexts of
+    its place by joins; those of no or one byte, at most 257 for each class, are broadcast.
+    """
+    size = F.octet_length("chunk")
+    places = pairs.select("kind", "chunk", F.explode(F.sequence(F.lit(2), size)).alias("j"))
+    seen = (
+        places.withColumn("gram", _first(F.col("chunk"), F.col("j")))
+        .join(transitions.select("kind", "gram", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("p")), ["kind", "gram"])
+        .groupBy("kind", "chunk")
+        .agg(F.sum("p").alias("p"), F.max("j").alias("depth"))
+    )
+    followed = store(
+        pairs.join(seen, ["kind", "chunk"], "left").select(
+            "kind", "chunk", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("depth", F.lit(1)).alias("depth")
+        )
+    )
+    heads = transitions.filter("lead").select(
+        "kind", _first(F.col("gram"), F.octet_length("gram") - 1).alias("context"), "total", "kinds", "shadow"
+    )
+    left = (
+        followed.filter(F.col("depth") < size)
+        .select("kind", "chunk", F.explode(F.sequence(F.col("depth") + 1, size)).alias("j"))
+        .withColumn("context", _first(F.col("chunk"), F.col("j") - 1))
+        .withColumn("s", F.hex(F.substring("chunk", F.col("j"), F.lit(1))))
+        .join(heads, ["kind", "context"], "left")
+        .select(
+            "kind",
+            "chunk",
+            "s",
+            _shorter(F.col("context")).alias("before"),
+            F.coalesce(F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))), F.lit(0.0)).alias("p"),
+            F.coalesce("shadow", F.lit(0)).alias("hidden"),
+            F.coalesce("kinds", F.lit(0)).alias("hidden_kinds"),
+            F.lit(False).alias("found"),
+        )
+    )
+    for k in range(ORDER, -1, -1):
+        node = nodes.filter(F.octet_length("context") == k).select("kind", F.col("context").alias("at"), "total", "kinds", "shadow", "counts")
+        at = F.when(F.octet_length("before") >= k, F.substring("before", -k, k) if k else F.lit(b""))
+        n = F.try_element_at("counts", F.col("s"))
+        escape = F.col("kinds") - F.col("hidden_kinds")
+        among = F.col("total") - F.col("hidden") + escape
+        open_ = ~F.col("found") & F.col("kinds").isNotNull()
+        left = (
+            left.withColumn("at", at)
+            .join(F.broadcast(node) if k < 2 else node, ["kind", "at"], "left")
+            .select(
+                "kind",
+                "chunk",
+                "s",
+                "before",
+                F.when(open_ & (among > 0), F.col("p") + F.log10(F.coalesce(n, escape) / among)).otherwise(F.col("p")).alias("p"),
+                F.when(open_, F.col("shadow")).otherwise(F.col("hidden")).alias("hidden"),
+                F.when(open_, F.col("kinds")).otherwise(F.col("hidden_kinds")).alias("hidden_kinds"),
+                (F.col("found") | n.isNotNull()).alias("found"),
+            )
+        )
+    p = F.when(F.col("found"), F.col("p")).otherwise(F.col("p") - F.log10(SYMBOLS - F.col("hidden_kinds")))
+    rest = left.groupBy("kind", "chunk").agg(F.sum(p).alias("rest"))
+    return followed.join(rest, ["kind", "chunk"], "left").select(
+        "kind", "chunk", (F.col("p") + F.coalesce("rest", F.lit(0.0))).alias("length")
+    )
 
 
 OUT_TYPES = {
@@ -290,9 +387,9 @@ OUT_TYPES = {
     "_known": pa.int64(),
     "_base": pa.float64(),
     "_score": pa.float64(),
-    "_rare": pa.list_(pa.string()),
+    "_kind": pa.int32(),
+    "_rare": pa.list_(pa.binary()),
 }
-_TRIES: dict[str, list[Trie]] = {}
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -302,52 +399,33 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     row is scored by itself, so repeated rows give repeated results.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.transitions, model.hot))
+    shared = spark.sparkContext.broadcast(model.hot)
     priors, scale, end = model.priors, model.base(0), model.base(model.ends)
     end_known = int(model.ends > 0)
-    name = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transitions, hot = shared.value
-        if name not in _TRIES:
-            _TRIES.clear()
-            _TRIES[name] = [Trie(t) for t in transitions]
-        tries = _TRIES[name]
-        logs = {w: log10(n + 1) for w, n in hot.items()}
-        unseen = {w for w, n in hot.items() if not n}
-        often: list[dict] = [{} for _ in tries]
-        others: list[dict] = [{} for _ in tries]
-
-        def lengths(parts: list, known: dict, trie: Trie) -> float:
-            """Of words or of coded gaps, each kind of which is coded once."""
-            got = list(map(known.get, parts))
-            if None in got:
-                for x in parts:
-                    if x not in known:
-                        known[x] = trie.length(x if isinstance(x, bytes) else coded_word(x))
-                got = [known[x] for x in parts]
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-            return sum(got)
-
+        hot = {c[1:-1].decode() if c[:1] == WORD else c: entry for c, entry in shared.value.items()}
+        logs = {w: log10(n + 1) for w, (n, _) in hot.items() if isinstance(w, str)}
+        unseen = {w for w in logs if not hot[w][0]}
+        lengths = [{c: by[k] for c, (_, by) in hot.items()} for k in range(len(priors))]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out: dict[str, list] = {"_tokens": [], "_known": [], "_base": [], "_score": [], "_rare": []}
+                out: dict[str, list] = {n: [] for n in OUT_TYPES}
                 for t in part.column("text").to_pylist():
                     words, gaps = chunks(fold_text(t))
                     bases = list(map(logs.get, words))
                     frequent = [w for w, b in zip(words, bases) if b is not None]
-                    rare = [w for w, b in zip(words, bases) if b is None]
-                    best, kind = max(
-                        (p + lengths(gaps, known, trie) + lengths(frequent, known, trie), -i)
-                        for i, (p, trie, known) in enumerate(zip(priors, tries, often))
-                    )
+                    held = frequent + [g for g in gaps if g in hot]
+                    best, kind = max((p + sum(map(known.__getitem__, held)), -i) for i, (p, known) in enumerate(zip(priors, lengths)))
                     out["_tokens"].append(len(words) + 1)
                     out["_known"].append(len(frequent) + end_known - (sum(w in unseen for w in frequent) if unseen else 0))
                     out["_base"].append(sum([b for b in bases if b is not None]) + len(words) * scale + end)
-                    out["_score"].append(best + lengths(rare, others[-kind], tries[-kind]))
-                    out["_rare"].append(rare)
+                    out["_score"].append(best)
+                    out["_kind"].append(-kind)
+                    out["_rare"].append(
+                        [coded_word(w) for w, b in zip(words, bases) if b is None] + [g for g in gaps if g not in hot]
+                    )
                 names = [c for c in part.schema.names if c != "text"]
                 made = [pa.array(v, OUT_TYPES[n]) for n, v in out.items()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, *out])
@@ -356,21 +434,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("_row"), whole(F.col(text)).alias("text")
     )
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    shape = ", ".join([*kept, "_tokens long, _known long, _base double, _score double, _rare array<string>"])
-    # Written once: both the row and its rare words go on, under the same number.
+    shape = ", ".join([*kept, "_tokens long, _known long, _base double, _score double, _kind int, _rare array<binary>"])
+    # Written once: both the row and its rare chunks go on, under the same number.
     first = store(rows.mapInArrow(scored, shape))
-    counts = _word_counts(model.chunks).select("chunk", "n_train")
-    coded = F.concat(F.lit(WORD), F.col("word").cast("binary"), F.lit(STOP))
+    parts = first.filter(F.size("_rare") > 0).select("_row", F.col("_kind").alias("kind"), F.explode("_rare").alias("chunk"))
+    pairs = store(parts.select("kind", "chunk").distinct())
+    counts = _counts(model.chunks).filter(_is_word()).select("chunk", "n_train")
+    coded = _lengths(pairs, model.transitions, model.nodes).join(counts, "chunk", "left")
     rare = (
-        first.filter(F.size("_rare") > 0)
-        .select("_row", F.explode("_rare").alias("word"))
-        .groupBy("_row", coded.alias("chunk"))
+        parts.groupBy("_row", "kind", "chunk")
         .agg(F.count(F.lit(1)).alias("times"))
-        .join(counts, "chunk", "left")
+        .join(coded, ["kind", "chunk"])
         .groupBy("_row")
         .agg(
             F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.when(F.col("n_train") > 0, F.col("times") * F.log10(F.col("n_train") + 1)).otherwise(0.0)).alias("more"),
+            F.sum(F.col("times") * F.col("length")).alias("length"),
         )
     )
     return first.drop("_rare").join(rare, "_row", "left").select(
@@ -378,7 +457,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         F.col("_tokens").alias("n_tokens"),
         (F.col("_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         (F.col("_base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        F.col("_score").alias("score"),
+        (F.col("_score") + F.coalesce("length", F.lit(0.0))).alias("score"),
     )
 
 

@@ -53,6 +53,31 @@ def test_ppm_prefers_what_it_has_seen(spark):
     assert score[0] > score[1] + 100
 
 
+def plain_ppm(texts, asked):
+    """Scores under one trie of all transitions of the texts."""
+    counts = Counter()
+    for t in texts:
+        words, gaps = ppm.chunks(t)
+        for c, n in Counter([*map(ppm.coded_word, words), *gaps]).items():
+            for g in ppm.grams(c):
+                counts[g] += n
+    trie = ppm.Trie(counts.items(), ppm.ORDER)
+    split = map(ppm.chunks, asked)
+    return [sum(map(trie.length, [*map(ppm.coded_word, words), *gaps])) for words, gaps in split]
+
+
+def test_ppm_keeps_rare_transitions_of_large_corpora(spark):
+    # More than four million symbols: once a transition had to occur more than once in them.
+    texts = ["abab " * 900_000, "zqxv zqyw", "théâtre  nation", None]
+    asked = ["zqxv", "zqxw abab\tzq", "nations théâtral\n\n", "", " ", "ü", "abab abab"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for hot in (ppm.HOT, 0.4):  # with the rare chunks held by the tasks, and joined
+        model = ppm.train(docs, F.lit(False), hot=hot)
+        rows = spark.createDataFrame(list(enumerate(asked)), "i int, text string")
+        got = {r.i: r.score for r in ppm.score(rows, model, keep=("i",)).collect()}
+        assert [got[i] for i in range(len(asked))] == pytest.approx(plain_ppm([t or "" for t in texts], asked), abs=1e-6)
+
+
 def test_toxicity_learns_stems_not_ids(spark):
     pick = random.Random(1)
     plain_word = lambda: "".join(pick.choice(["on", "er", "ti", "an"]) for _ in range(pick.randint(1, 4)))
