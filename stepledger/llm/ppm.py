@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stepledger.llm.common import fold_text, whole
 from stepledger.settings import store
 
-ORDER = 3
+ORDER = 4
 HOT = 1 / 400_000
 CLASS = 0.01  # part of the training texts from which a class has a trie of its own; the others share one
 KEPT_KEYS = 300_000  # distinct keys a task sums before it passes them on

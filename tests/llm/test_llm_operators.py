@@ -78,6 +78,14 @@ def test_ppm_keeps_rare_transitions_of_large_corpora(spark):
         assert [got[i] for i in range(len(asked))] == pytest.approx(plain_ppm([t or "" for t in texts], asked), abs=1e-6)
 
 
+def test_ppm_looks_back_four_bytes(spark):
+    texts = ["xabcdp yabcdp"] + ["ebcdq fbcdq gbcdq"] * 20
+    model = ppm.train(spark.createDataFrame([(t,) for t in texts], "text string"), F.lit(False))
+    rows = spark.createDataFrame([(0, "wabcdp"), (1, "wabcdq")], "i int, text string")
+    got = {r.i: r.score for r in ppm.score(rows, model, keep=("i",)).collect()}
+    assert got[0] > got[1]
+
+
 def test_toxicity_learns_stems_not_ids(spark):
     pick = random.Random(1)
     plain_word = lambda: "".join(pick.choice(["on", "er", "ti", "an"]) for _ in range(pick.randint(1, 4)))
