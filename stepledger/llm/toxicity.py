@@ -8,7 +8,9 @@ length, over its most toxic word, and over its three most toxic words that diffe
 that the models have not seen turns the three into a probability.
 
 The models and the curve are fitted to at most ``LABELLED`` labelled rows, chosen by a hash of the id.
-Every text is then scored as a whole, in the task that reads it.
+All grams of those rows count, however rare: levels and differences are grouped tables of grams as 64-bit
+numbers, and tasks hold the differences as sorted arrays of 16 bytes a gram. Every text is then scored as a
+whole, in the task that reads it. ``differences`` is the same for small counts in memory.
 """
 
 from __future__ import annotations
@@ -23,16 +25,14 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepledger.llm.common import WORD, fold_text, whole
 from stepledger.settings import store
 
 LABELLED = 60_000  # rows, about; all of them where there are fewer
-ORDER = 8  # bytes of a gram, the last of which is predicted
-LEAST = 2  # occurrences of a gram in both classes together
-SHARE = 1 / 5_000_000  # and part of all occurrences, so that at most 1 / SHARE grams are kept
+ORDER = 8  # bytes of a gram, the last of which is predicted; as many as a 64-bit number has
 DISCOUNT = 0.75
 RIDGE = 1.0
 KEPT_WORDS = 300_000  # a worker remembers, and a task sums before it passes them on
@@ -95,42 +95,110 @@ def differences(counts: list[tuple[bytes, int, int]]) -> tuple[dict[bytes, float
     return of_gram, of_context
 
 
+def _table_differences(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``differences`` of a written table (gram as a number, ordinary, toxic): of grams and of contexts, as ``key`` and ``d``."""
+    context = F.shiftrightunsigned("gram", 8)
+    at = Window.partitionBy(context)  # at most 256 rows
+    levels = [counted.select("gram", (F.col("ordinary") + F.col("toxic")).alias("n"))]
+    for k in range(1, ORDER):  # of shorter grams, in how many longer ones they end
+        tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - k)) - 1))
+        levels.append(store(levels[-1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
+    shared = None
+    for k in range(ORDER - 1, -1, -1):
+        level = levels[k].select("gram", "n", F.sum("n").over(at).alias("total"), F.count(F.lit(1)).over(at).alias("kinds"))
+        if shared is None:
+            level = level.withColumn("below", F.lit(1 / 256))
+        else:
+            tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - k - 1)) - 1))
+            level = level.withColumn("tail", tail).join(shared.toDF("tail", "below"), "tail")
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")
+        shared = level.select("gram", p.alias("p"))
+    sums = [
+        f(c).over(at).alias(f"{c}_{name}")
+        for c in ("ordinary", "toxic")
+        for name, f in (("total", F.sum), ("kinds", lambda x: F.sum(F.when(F.col(x) > 0, 1).otherwise(0))))
+    ]
+    rows = store(counted.select("*", context.alias("context"), *sums).join(shared, "gram"))
+
+    def likelihood(c: str) -> Column:
+        known = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_kinds") * F.col("p")
+        return F.log(F.when(F.col(f"{c}_total") > 0, known / F.col(f"{c}_total")).otherwise(F.col("p")))
+
+    def freed(c: str) -> Column:
+        return F.log(F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0))
+
+    return (
+        rows.select(F.col("gram").alias("key"), (likelihood("toxic") - likelihood("ordinary")).alias("d")),
+        rows.groupBy("context").agg(F.first(freed("toxic") - freed("ordinary")).alias("d")).withColumnRenamed("context", "key"),
+    )
+
+
+def _sorted(differences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    found = differences.toArrow()
+    keys, d = (found.column(c).to_numpy() for c in ("key", "d"))
+    order = np.argsort(keys)
+    return keys[order], d[order]
+
+
+NONE = (np.zeros(0, np.int64), np.zeros(0))
+
+
+def _lookup(of: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and their values."""
+    known, d = of
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, d[at]
+
+
 class Speller:
     """Differences of words and texts; a worker remembers its words."""
 
-    def __init__(self, of_gram: dict[bytes, float], of_context: dict[bytes, float]):
+    def __init__(self, of_gram: tuple[np.ndarray, np.ndarray], of_context: tuple[np.ndarray, np.ndarray]):
         self.of_gram = of_gram
         self.of_context = of_context
         self.words: dict[str, float] = {}
 
-    def word(self, word: str) -> float:
-        total = 0.0
-        for g in grams(word):
-            d = self.of_gram.get(g)
-            total += self.of_context.get(g[:-1], 0.0) if d is None else d
-        return total
-
-    def features(self, text: str) -> tuple[float, float, float]:
+    def spell(self, words: list[str]) -> list[float]:
+        """The difference of each word, summed over its grams."""
+        coded = [OPEN * (ORDER - 1) + w.encode() + CLOSE for w in words]
+        sizes = np.array([len(c) for c in coded])
+        stops = np.cumsum(sizes)
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(coded), np.uint8), ORDER)
+        inside = np.ones(len(windows), bool)
+        for back in range(1, ORDER):  # windows that run on into the next word
+            inside[stops[:-1] - back] = False
+        keys = np.ascontiguousarray(windows[inside]).view(">u8").ravel().astype(np.uint64)
+        there, d = _lookup(self.of_gram, keys.view(np.int64))
+        context, freed = _lookup(self.of_context, (keys >> np.uint64(8)).view(np.int64))
+        d = np.where(there, d, np.where(context, freed, 0.0))
+        starts = np.concatenate([[0], np.cumsum(sizes - (ORDER - 1))[:-1]])
+        return np.add.reduceat(d, starts).tolist()
+
+    def features(self, texts: list[str]) -> list[tuple[float, float, float]]:
         """Mean difference of a word, the largest, and the mean of the three largest that differ; zeros without words."""
-        words = FIND(fold_text(text))
-        if not words:
-            return 0.0, 0.0, 0.0
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        known = self.words
-        found = list(map(known.get, words))
-        if None in found:
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            found = [known[w] for w in words]
-        top = nlargest(3, set(found))
-        return sum(found) / len(found), top[0], sum(top) / len(top)
+        known, out = self.words, []
+        for text in texts:
+            words = FIND(fold_text(text))
+            if not words:
+                out.append((0.0, 0.0, 0.0))
+                continue
+            found = list(map(known.get, words))
+            if None in found:
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                known.update(zip(new, self.spell(new)))
+                found = [known[w] for w in words]
+            top = nlargest(3, set(found))
+            out.append((sum(found) / len(found), top[0], sum(top) / len(top)))
+        return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams of the texts with their counts in ordinary and in toxic texts."""
-    schema = pa.schema([("gram", pa.binary()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
+    """Grams of the texts as numbers, with their counts in ordinary and in toxic texts."""
+    schema = pa.schema([("gram", pa.int64()), ("ordinary", pa.int64()), ("toxic", pa.int64())])
     words = (Counter(), Counter())
 
     def flush() -> pa.RecordBatch:
@@ -140,7 +208,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for g in grams(w):
                     made.setdefault(g, [0, 0])[k] += n
             counter.clear()
-        columns = [[*made], [a for a, _ in made.values()], [b for _, b in made.values()]]
+        columns = [[int.from_bytes(g, "big", signed=True) for g in made], [a for a, _ in made.values()], [b for _, b in made.values()]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     for batch in batches:
@@ -153,7 +221,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Classifier:
-    words: tuple[dict[bytes, float], dict[bytes, float]]  # differences of grams and of contexts
+    words: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]  # sorted keys and differences of grams, of contexts
     middle: np.ndarray
     spread: np.ndarray
     weights: np.ndarray  # of the constant and the features
@@ -191,7 +259,7 @@ def _features(words, spark, keep: list[str]):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [speller.features(t) for t in part.column("text").to_pylist()]
+                found = speller.features(part.column("text").to_pylist())
                 columns = [pa.array(c, pa.float64()) for c in zip(*found)] if found else [pa.array([], pa.float64())] * 3
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep], *columns], names=[*keep, "f0", "f1", "f2"]
@@ -224,22 +292,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_i
         F.broadcast(sample), F.col("_doc") == F.col("_id")
     )
     share = (toxic + 1) / (total + 2)
-    plain = Classifier(({}, {}), np.zeros(3), np.ones(3), np.array([log(share / (1 - share)), 0.0, 0.0, 0.0]))
+    plain = Classifier((NONE, NONE), np.zeros(3), np.ones(3), np.array([log(share / (1 - share)), 0.0, 0.0, 0.0]))
     if toxic in (0, total):
         return plain
     counted = store(
         texts.filter("fold > 0")
         .select("text", "toxic")
-        .mapInArrow(_count_words, "gram binary, ordinary long, toxic long")
+        .mapInArrow(_count_words, "gram long, ordinary long, toxic long")
         .groupBy("gram")
         .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     )
-    both = F.col("ordinary") + F.col("toxic")
-    symbols = counted.agg(F.coalesce(F.sum(both), F.lit(0))).first()[0]
-    counts = counted.filter((both >= LEAST) & (both >= SHARE * symbols)).toArrow()
-    words = differences(
-        sorted(zip(map(bytes, counts.column("gram").to_pylist()), *(counts.column(c).to_pylist() for c in ("ordinary", "toxic"))))
-    )
+    # The sample bounds both: at most a gram for each byte of its texts.
+    words = tuple(map(_sorted, _table_differences(counted)))
     rows = (
         texts.filter("fold = 0")
         .select("toxic", "text")

@@ -109,6 +109,25 @@ def test_toxicity_learns_stems_not_ids(spark):
     assert all(moved[r.doc_id] == r.score for r in scored)
 
 
+def test_toxicity_keeps_grams_seen_once(spark):
+    pick = random.Random(8)
+    text = lambda: " ".join("".join(pick.choice("abcé") for _ in range(pick.randint(1, 11))) for _ in range(30))
+    rows = [(i, text(), int(i % 2)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5))
+    counts = {}
+    for r in docs.filter(fold > 0).collect():
+        for w in plain.words(r.text):
+            for g in toxicity.grams(w):
+                counts.setdefault(g, [0, 0])[r.toxic] += 1
+    assert any(a + b == 1 for a, b in counts.values())
+    of_gram, of_context = toxicity.differences([(g, *c) for g, c in counts.items()])
+    asked = sorted({w for _, t, _ in rows for w in plain.words(t)} | {"zz", "abzé", "a"})
+    want = [sum(of_gram.get(g, of_context.get(g[:-1], 0.0)) for g in toxicity.grams(w)) for w in asked]
+    assert toxicity.Speller(*model.words).spell(asked) == pytest.approx(want, abs=1e-9)
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels, share in (([], 0.5), ([(1, 0), (2, 0)], 0.25)):
