@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
 
     Large and small stars in turn: every node hands its larger neighbours, then its smaller ones, to the
     smallest of them, until all links lead to roots. Each round writes the links anew; nodes with
-    very many neighbours are reduced to a minimum in the tasks before anything meets.
+    very many neighbours are reduced to a minimum in the tasks before anything meets. A graph that has
+    not settled after ``rounds`` is an error.
     """
     known = store(
         links.filter("a <> b")
@@ -41,5 +42,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = known.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return known.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -243,6 +243,11 @@ def test_components_of_chains_stars_and_rings(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200}
 
 
+def test_components_that_have_not_settled_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=1)
+
+
 def test_bpe_of_random_and_long_words():
     import public_tokenizers as tokenizers
 
