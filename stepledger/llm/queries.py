@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators over the driver's tables, and SQL where it can state them."""
+"""The registered queries of the numbered operators over the driver's tables, and SQL where it can state them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepledger.llm import byte_bpe, mixing, near_dups, ppm, quality, secret_scan, sketch, token_rollup, toxicity, url_rules
+from stepledger.llm import (
+    byte_bpe,
+    mixing,
+    near_dups,
+    periodic,
+    ppm,
+    quality,
+    secret_scan,
+    sketch,
+    token_rollup,
+    toxicity,
+    url_rules,
+    whitening,
+)
 from stepledger.llm.common import ORACLE, QUERIES, held, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -186,3 +199,13 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
