@@ -13,6 +13,7 @@ from stepledger.llm import (
     periodic,
     ppm,
     quality,
+    repeats,
     secret_scan,
     sketch,
     token_rollup,
@@ -201,6 +202,36 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query(
+    "op11_block_repeats",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+    places AS (
+      SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+    windows AS (
+      SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM places),
+    least AS (
+      SELECT s, min(doc_id) AS m FROM windows GROUP BY s),
+    repeated AS (
+      SELECT r, i FROM windows JOIN least USING (s) WHERE m < doc_id OR (doc_id IS NULL AND m IS NOT NULL)),
+    gone AS (
+      SELECT DISTINCT r, i + k AS i FROM repeated, range(13) AS g(k)),
+    words AS (
+      SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    left_over AS (
+      SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+      FROM words WHERE NOT EXISTS (FROM gone WHERE gone.r = words.r AND gone.i = words.i) GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN left_over ON left_over.r = d.r
+    """,
+)
+def op11_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
