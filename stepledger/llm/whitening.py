@@ -355,10 +355,9 @@ def _deviation(x: Column, mean: Mean) -> Column:
 
 def report(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = LEADING) -> DataFrame:
     """One row for each usable vector and component; entries of 2**52 and more after scaling are no whole numbers and count as non-finite."""
-    entry = lambda c: F.floor(SCALE * c.cast("double")) + SHIFT
-    small = lambda c: F.abs(c.cast("double")) * SCALE < FITS
-    rows = embeddings.filter(usable(col(vector))).filter(F.forall(col(vector), small))
-    x = rows.select(col(vec_id).alias("vec_id"), F.transform(col(vector), entry).alias("x"))
+    # Null where there is no such number, so that the vector is left out.
+    entry = lambda c: F.when(F.abs(SCALE * c.cast("double")) < FITS, F.floor(SCALE * c.cast("double")) + SHIFT)
+    x = embeddings.select(col(vec_id).alias("vec_id"), F.transform(col(vector), entry).alias("x"))
     fitted = fit(x, "x", k)
     error = None if fitted is None else identity_error(x, "x", fitted)
     made = whiten(x, "x", fitted)

@@ -22,6 +22,10 @@ def odd(spark, tmp_path_factory):
             "doc_id long, quality int, toxic int",
             [(i, pick.randint(0, 1), pick.randint(0, 1)) for i in range(0, 110)] + [(5, None, None), (None, 0, 1), (6, 0, 1)],
         ),
+        "embeddings": (
+            "vec_id long, embedding array<float>, label int, x string, whitened string, component string, n string, v string, place int",
+            [(i, v, 1, "x", "w", "c", "n", "v", 0) for i, v in plain.embeddings()],
+        ),
         "pages": (
             "page_id long, url string, html string, rule string, size string, token string",
             [

@@ -88,3 +88,53 @@ def tokenizer() -> tiktoken.Encoding:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def runs(codes: list, exponent: int = 4, least: int = 6) -> list[tuple[int, int, int]]:
+    """(start, length, period) of every run, by trying all periods at all places."""
+    n, found = len(codes), []
+    for p in range(1, n // exponent + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and codes[j] == codes[j + p]:
+                j += 1
+            length = j + p - i
+            smaller = any(codes[i : i + length - q] == codes[i + q : i + length] for q in range(1, p))
+            if j > i and length >= max(least, exponent * p) and not smaller:
+                found.append((i, length, p))
+            i = j + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def longest_lyndon(codes: list, falling: bool = False) -> list[int]:
+    """For each place the distance to the next smaller suffix."""
+    c = [-x for x in codes] if falling else list(codes)
+    n = len(c)
+    return [next((j for j in range(i + 1, n) if c[j:] < c[i:]), n) - i for i in range(n)]
+
+
+def repeated_words(table: list[tuple]) -> list[set]:
+    """For each (id, text) the places of words in a window of 13 that a smaller id has, too; no id is the greatest."""
+    rank = lambda i: float("inf") if i is None else i
+    least: dict[tuple, float] = {}
+    windows = []
+    for i, t in table:
+        w = words(t)
+        windows.append([tuple(w[k : k + 13]) for k in range(len(w) - 12)])
+        for s in windows[-1]:
+            least[s] = min(rank(i), least.get(s, float("inf")))
+    return [
+        {k + j for k, s in enumerate(own) if least[s] < rank(i) for j in range(13)} for (i, _), own in zip(table, windows)
+    ]
+
+
+def embeddings() -> list[tuple]:
+    """Vectors with every awkward case: null, empty, short, non-finite, repeated, of large and of equal entries."""
+    import random
+
+    pick = random.Random(11)
+    made = [(i, [pick.gauss(0, 1 + d / 3) for d in range(6)]) for i in range(60)]
+    made += [(60, None), (61, []), (62, [1.0]), (63, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (64, [float("nan")] + [0.0] * 5)]
+    made += [(65, [float("inf")] + [0.0] * 5), (66, [0.0] * 6), (66, [0.0] * 6), (None, [0.5] * 6), (67, [250.0] + [0.25] * 5)]
+    return made

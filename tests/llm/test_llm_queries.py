@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import plain
 import pytest
 
@@ -29,7 +30,7 @@ def by_row(df, key="doc_id"):
 
 def test_all_are_registered():
     assert [n for n in NAMES if n != "pipeline"] == sorted(n for n in NAMES if n[2].isdigit())
-    assert {int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline"} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -41,7 +42,7 @@ def test_no_rows(spark, odd, name):
 def test_equals_its_sql(spark, odd, name):
     df = contract.queries()[name](spark, odd[0])
     db = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{odd[0]}/{t}.parquet/*.parquet'")
     cur = db.execute(contract.oracle_sql()[name])
     order = [d[0] for d in cur.description]
@@ -129,6 +130,65 @@ def test_op10_equals_the_library(spark, odd, docs):
         assert want in [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found[i]]
 
 
+def test_op11_equals_all_windows(spark, odd, docs):
+    found = by_row(contract.queries()["op11_block_repeats"](spark, odd[0]))
+    gone = plain.repeated_words([(i, t) for i, t, *_ in docs])
+    assert sum(map(len, gone)) > 2000
+    for (i, t, *_), out in zip(docs, gone):
+        w = plain.words(t)
+        kept = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in out).encode()).hexdigest()
+        assert (len(w), len(out), kept) in [(r.n_words, r.n_removed, r.kept_sha256) for r in found[i]]
+
+
+def test_op12_equals_all_periods(spark, odd, docs):
+    found = by_row(contract.queries()["op12_periodic_runs"](spark, odd[0]))
+    tails = 0
+    for i, t, *_ in docs:
+        w, h = plain.words(t), zlib.crc32(b"" if i is None else str(i).encode())
+        n, g = len(w), h // 10
+        if n > 3000:
+            continue  # held against the plain version by itself, without all periods
+        if h % 10 == 0 and n:
+            a, tails = g % n, tails + 1
+            w = [w[k] if k < a else w[a + (k - a) % (1 + (n - a) // (3 + g % 8))] for k in range(n)]
+        own = plain.runs(w)
+        out = {k for s, length, q in own for k in range(s + q, s + length)}
+        best = min(own, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        listed = "".join(f"{s},{length},{q}\n" for s, length, q in own)
+        want = (
+            len(own),
+            *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4),
+            hashlib.sha256(listed.encode()).hexdigest(),
+            hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in out).encode()).hexdigest(),
+        )
+        assert want in [tuple(r)[1:] for r in found[i]]
+    assert tails > 3
+
+
+def test_op13_equals_a_full_decomposition(spark, odd):
+    found = contract.queries()["op13_whitening"](spark, odd[0]).collect()
+    rows = [(i, v) for i, v in plain.embeddings() if v and len(v) == 6 and all(c is not None and math.isfinite(c) for c in v)]
+    x = np.floor(64 * np.array([v for _, v in rows], dtype=np.float32).astype(float)).astype(np.int64) + 1_000_000
+    n, total = len(x), x.sum(axis=0)
+    y = (n * x - total) / n
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    z = y @ vectors[:, ::-1] / np.sqrt(values[::-1])
+    assert len(found) == n * 6
+    got = {}
+    for r in found:
+        got.setdefault(r.component, []).append(r)
+    for k in range(6):
+        own = got[k + 1]
+        assert sorted((r.vec_id or -1, r.deviation, r.n) for r in own) == sorted(
+            (i or -1, int(d), n) for (i, _), d in zip(rows, ((n * x - total) ** 2).sum(axis=1))
+        )
+        mine = sorted((r.vec_id or -1, r.whitened) for r in own)
+        plainly = [sorted((i or -1, sign * v) for (i, _), v in zip(rows, z[:, k].tolist())) for sign in (1, -1)]
+        assert min(max(abs(a[1] - b[1]) for a, b in zip(mine, p)) for p in plainly) < 1e-9
+        assert abs(own[0].explained / (values[::-1][k] / values.sum()) - 1) < 1e-9
+    assert {r.identity_error for r in found} == {found[0].identity_error} and found[0].identity_error < 1e-9
+
+
 def test_pipeline_stage_by_stage(spark, odd):
     import corpus_pipeline as pipeline
 
