@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.columns import col
+from stepledger.columns import attach, col
 from stepledger.operators.ordered import carry_forward, number_rows
 from stepledger.settings import store
 
@@ -31,8 +31,10 @@ def edges(io: DataFrame, program: str = "program", order: str = "idx") -> DataFr
 
 
 def external_inputs(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
-    """Datasets read before any write."""
-    return resolve_reads(io, program, order).filter("writer is null").select(col(program), "dataset").distinct()
+    """Datasets read before any write: the first read comes no later than the first write."""
+    read, write = (F.min(F.when(F.col("is_write") == w, col(order))) for w in (False, True))
+    names = io.groupBy(col(program), "dataset").agg(read.alias("__read"), write.alias("__write"))
+    return names.filter("__read is not null and (__write is null or __read <= __write)").select(col(program), "dataset")
 
 
 def final_outputs(io: DataFrame, program: str = "program") -> DataFrame:
@@ -41,6 +43,51 @@ def final_outputs(io: DataFrame, program: str = "program") -> DataFrame:
     return names.filter("unread").drop("unread")
 
 
+def versions(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
+    """Every write opens a version of its dataset: its number among the writes, name ``dataset@step``, readers, and whether
+    it is the last one.
+
+    A dataset that a step reads and writes in place, or that is written again, so has a version for each state.
+    """
+    opened = producers(io, program, order).withColumnRenamed("place", "version")
+    bound = resolve_reads(io, program, order).filter("writer is not null")
+    readers = bound.groupBy(col(program), "dataset", F.col("writer").alias("__w")).agg(F.count_distinct(col(order)).alias("readers"))
+    last = opened.groupBy(col(program), "dataset").agg(F.max("version").alias("__last"))
+    joined = opened.join(
+        readers.withColumnsRenamed({program: "__p", "dataset": "__d"}),
+        col(program).eqNullSafe(F.col("__p")) & (F.col("dataset") == F.col("__d")) & (col(order) == F.col("__w")),
+        "left",
+    ).drop("__p", "__d", "__w")
+    return attach(joined, last, [program, "dataset"]).select(
+        col(program),
+        "dataset",
+        "version",
+        col(order),
+        version_name(F.col("dataset"), col(order)).alias("name"),
+        F.coalesce("readers", F.lit(0)).alias("readers"),
+        (F.col("version") == F.col("__last")).alias("is_last"),
+    )
+
+
+def version_name(dataset: Column, writer: Column) -> Column:
+    """``dataset@step``, and the dataset alone where no step has written it."""
+    return F.when(writer.isNull(), dataset).otherwise(F.concat(dataset, F.lit("@"), writer.cast("string")))
+
+
+def version_edges(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
+    """The graph of versions: from each version (or external dataset) that a step reads to each one that it writes."""
+    reads = resolve_reads(io, program, order).select(
+        col(program), col(order), version_name(F.col("dataset"), F.col("writer")).alias("src")
+    )
+    writes = io.filter("is_write").select(col(program), col(order), version_name(F.col("dataset"), col(order)).alias("dst"))
+    return reads.distinct().join(writes.distinct(), [program, order]).select(col(program), col(order), "src", "dst")
+
+
+def final_versions(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
+    """Versions that leave the program: the last of their dataset, and read by no step."""
+    return versions(io, program, order).filter("is_last and readers = 0").select(col(program), "dataset", "name")
+
+
 def producers(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
     """Every writer of a dataset with its place among the writers, one row each."""
     writes = io.filter("is_write").select(col(program), "dataset", col(order)).distinct()
@@ -66,8 +113,8 @@ def neighbours(edge_rows: DataFrame, program: str = "program") -> DataFrame:
 
 # Edges followed per written round: fewer rounds, each still one plan of a few joins.
 HOPS = 4
-# Most graphs are done by this depth; later rounds are bounded by their number of steps.
-CYCLE_CHECK_DEPTH = 12
+# Most graphs have no longer path than 2 to this power; later rounds are bounded by their number of steps.
+CYCLE_CHECK_ROUND = 4
 
 
 def _hops(pairs: DataFrame, front: DataFrame, program: str, depth: int) -> DataFrame:
@@ -87,30 +134,46 @@ def _most_steps(pairs: DataFrame, program: str) -> int:
     return ends.groupBy(col(program)).count().agg(F.max("count")).first()[0]
 
 
+def _walks(pairs: DataFrame, program: str) -> list[DataFrame]:
+    """Pairs of steps joined by walks of exactly 1, 2, 4 ... edges, while there are any; a cycle is an error.
+
+    Each table is the one before joined with itself, so a path of n edges takes about log2(n) rounds.
+    """
+    rounds: list[DataFrame] = []
+    walks, most = pairs, None
+    while not walks.isEmpty():
+        rounds.append(walks)
+        if len(rounds) > CYCLE_CHECK_ROUND and most is None:
+            most = _most_steps(pairs, program)
+        if most is not None and 1 << (len(rounds) - 1) >= most:
+            raise ValueError("dependency graph has a cycle")
+        onwards = walks.select(col(program), F.col("src").alias("dst"), F.col("dst").alias("end"))
+        walks = store(walks.join(onwards, [program, "dst"]).select(col(program), "src", F.col("end").alias("dst")).distinct())
+    return rounds
+
+
 def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
     """Longest-path depth of every step; a cycle is an error.
 
-    Depth k holds the steps that end a path of k edges, for all programs at once; a
-    step's depth is the last one it is in. Only the moving front is written.
+    A step has a depth of d or more if a walk of d edges ends at it. So the steps whose depth lies from 2**k up to
+    2**(k + 1) end walks of 2**k edges and none of twice as many, and their depth is 2**k more than the
+    greatest depth at which those walks start, which is below 2**k and known by then. All programs go at once.
     """
     pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
-    targets = pairs.select(col(program), F.col("dst").alias("idx")).distinct()
-    front = store(nodes.select(col(program), "idx").distinct().join(targets, [program, "idx"], "left_anti"))
-    rounds = [front.withColumn("depth", F.lit(0))]
-    depth, longest = 0, None
-    while not front.isEmpty():
-        if depth >= CYCLE_CHECK_DEPTH and longest is None:
-            longest = _most_steps(pairs, program)
-        if longest is not None and depth >= longest:
-            raise ValueError("dependency graph has a cycle")
-        rounds.append(_hops(pairs, front, program, depth))
-        depth += HOPS
-        front = rounds[-1].filter(F.col("depth") == depth).drop("depth")
-    reached = reduce(lambda a, b: a.union(b), rounds).groupBy(col(program), "idx").agg(F.max("depth").alias("depth"))
-    unreached = targets.join(reached, [program, "idx"], "left_anti")
-    if not unreached.isEmpty():
-        raise ValueError("dependency graph has a cycle")
-    return reached
+    walks = _walks(pairs, program)
+    every = nodes.select(col(program), "idx").union(pairs.select(col(program), F.col("dst"))).union(pairs.select(col(program), F.col("src")))
+    every = every.distinct()
+    ends = [w.select(col(program), F.col("dst").alias("idx")).distinct() for w in walks]
+    if not walks:
+        return every.withColumn("depth", F.lit(0))
+    known = store(every.join(ends[0], [program, "idx"], "left_anti").withColumn("depth", F.lit(0)))
+    for k, w in enumerate(walks):
+        if k + 1 < len(ends):
+            w = w.join(ends[k + 1].withColumnRenamed("idx", "dst"), [program, "dst"], "left_anti")
+        starts = known.select(col(program), F.col("idx").alias("src"), "depth")
+        found = w.join(starts, [program, "src"]).groupBy(col(program), F.col("dst").alias("idx"))
+        known = store(known.union(found.agg((F.max("depth") + (1 << k)).cast("int").alias("depth"))))
+    return known
 
 
 def run_order(steps: DataFrame, program: str = "program") -> DataFrame:

@@ -20,18 +20,9 @@ PIECE = "__piece"
 
 
 def in_pieces(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The rows, written in ranges of (BY, order), each with the number of its range.
-
-    How many there are follows the session's shuffle partitions, which Spark merges where they are small.
-    """
+    """The rows, written in ranges of (BY, order), each with the number of its range; see ``piece_count``."""
     keys = [key_of(df, c).asc_nulls_first() for c in by] + list(order)
-    pieces = piece_count(df.sparkSession)
-    if not keys:
-        ranged = df.coalesce(1)
-    elif pieces:
-        ranged = df.repartitionByRange(pieces, *keys)
-    else:
-        ranged = df.repartitionByRange(*keys)
+    ranged = df.repartitionByRange(piece_count(df), *keys) if keys else df.coalesce(1)
     return store(ranged.withColumn(PIECE, F.spark_partition_id()))
 
 

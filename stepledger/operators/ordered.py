@@ -137,8 +137,9 @@ class Pass:
             w = window(parts, by, keys)
             parts = parts.withColumn("__place", F.row_number().over(w))
             if back:
-                last = F.row_number().over(window(parts, by, _reversed(self.df, self.order, by)))
-                parts = parts.withColumn("__from_end", last)
+                # Counted over the same sorted rows.
+                size = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                parts = parts.withColumn("__from_end", size - F.col("__place") + 1)
         for i, h in enumerate(self.helds):
             set_at = F.when(F.col(h.slot).isNotNull(), F.col("__place"))
             aggs.append(F.max_by(F.col(h.slot), set_at).alias(f"__held{i}_last"))
@@ -194,10 +195,6 @@ class Pass:
         return rows.select(*old, *[v.alias(n) for n, v in made.items()])
 
 
-def _reversed(df: DataFrame, order: Sequence[str], by: Sequence[str]) -> list[Column]:
-    return ordering(df, order, skip=by, downwards=True)
-
-
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence[str], aggs: Mapping[str, tuple[str, Column]]
 ) -> DataFrame:
@@ -274,7 +271,24 @@ def shift(
 ) -> DataFrame:
     """The value ``rows`` rows earlier in the BY group (later when negative).
 
-    This is the lag of a call made on every row; a lag called only on some rows
-    is a queue of past calls and is written with ``carry_forward`` over those rows.
+    This is the lag of a call made on every row; for one called on some rows only see ``lag_calls``.
     """
     return Pass(df, by, order).shift(out, col(value), rows).result()
+
+
+def lag_calls(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], when: Column, value: Column, lags: Mapping[str, int]
+) -> DataFrame:
+    """LAG called on some rows only, ``{out: n}``: where ``when`` holds, the value of the n-th call before; missing elsewhere.
+
+    A call puts the row's value into a queue, whatever rows lie between the calls. So the rows with a call are a group
+    of their own, and the lag is one of rows inside it. Without ``by`` there is one queue for the whole table.
+    """
+    called = "__called"
+    work = Pass(df.withColumn(called, F.coalesce(when, F.lit(False))), [*by, called], order)
+    for out, n in lags.items():
+        if n < 1:
+            raise ValueError(f"a queue of {n} calls has no earlier value")
+        work.shift(out, value, n)
+    made = work.result()
+    return made.withColumns({out: F.when(F.col(called), col(out)) for out in lags}).drop(called)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from stepledger.reconcile.profile import compare_profiles
 from stepledger.reconcile.schema import column_issues
@@ -67,7 +68,11 @@ def reconcile(
         return [*checks, Check("property", False, "property mismatch", notes)]
     checks.append(Check("property", True, "properties match golden"))
 
-    sample = value_diff(actual, golden, keys, atol, rtol).sample(max_report).collect()
+    # The first of every kind, then the second of every kind and so on; one more than the report shows of an issue.
+    issues = value_diff(actual, golden, keys, atol, rtol).sample(max_report)
+    first = Window.partitionBy("issue").orderBy("place", "differs")
+    shown = issues.withColumn("__no", F.row_number().over(first)).filter(F.col("__no") <= max_report + 1).drop("__no", "place")
+    sample = shown.collect()
     if not sample:
         return [*checks, Check("data_equivalence", True, "values match golden within tolerance")]
     notes = []
@@ -98,7 +103,7 @@ def check_step(
         result = store(transform(spark, {k: datasets[k] for k in inputs}))
         return reconcile(result, datasets[output], **options)
     except Exception as error:  # noqa: BLE001 - the step's own failure is the finding
-        return [Check("schema", False, "runtime error in the step", [f"{type(error).__name__}: {error}"[:1500]])]
+        return [Check("schema", False, "runtime error in the step", [f"{type(error).__name__}: {error}"])]
 
 
 def check_final_outputs(

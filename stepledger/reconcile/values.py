@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stepledger.columns import all_of, col, common_columns, lower_names
+from stepledger.columns import all_of, attach, col, common_columns, lower_names
 from stepledger.functions.numbers import close, round_to
 from stepledger.operators.ordered import carry_forward, running_sum, shift
 from stepledger.operators.stack import signed_difference
@@ -25,15 +26,73 @@ class ValueDiff:
     same_columns: bool
 
     def sample(self, n: int = MAX_REPORT) -> DataFrame:
-        """At most n + 1 differing rows per side, the extra one telling that there are more."""
-        kinds = ("changed", "only in actual", "only in golden")
-        parts = [self.rows.filter(F.col("issue") == k).limit(n + 1) for k in kinds]
-        return parts[0].union(parts[1]).union(parts[2])
+        """At most n + 1 differing rows of each kind, the extra one telling that there are more.
+
+        A kind is an issue and the set of columns that differ. The rows with the lowest hashes of a kind are taken, so
+        the sample is the same however the rows are dealt; each task passes on no more than n + 1 of a kind.
+        ``place`` counts them.
+        """
+        return bottom_rows(self.rows, ["issue", "differs"], n + 1, "place")
+
+
+def bottom_rows(rows: DataFrame, kinds: Sequence[str], n: int, place: str) -> DataFrame:
+    """The ``n`` rows of each kind with the lowest hash of all their columns, counted from 1 in ``place``.
+
+    Rows equal in every column are equal choices. The limit for each kind is applied in the tasks first.
+    """
+    whole_row = F.to_json(F.struct(*[col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
+    hashed = rows.withColumn("__hash", F.xxhash64(whole_row)).withColumn("__row", whole_row)
+    order = Window.partitionBy(*[col(k) for k in kinds]).orderBy("__hash", "__row")
+    return hashed.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= n).drop("__hash", "__row")
+
+
+def _singles(residual: DataFrame, group: list[str], values: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pairs of the groups that have a row on each side at most, by one aggregate; the rows of the others, None without any."""
+    if not group:
+        return None, residual
+    row = F.struct("copies", F.struct(*[col(c) for c in values]).alias("row"))
+    mine, theirs = F.col("copies") > 0, F.col("copies") < 0
+    groups = store(
+        residual.groupBy(*[col(c) for c in group]).agg(
+            F.count_if(mine).alias("__mine"),
+            F.count_if(theirs).alias("__theirs"),
+            F.any_value(F.when(mine, row), F.lit(True)).alias("__a"),
+            F.any_value(F.when(theirs, row), F.lit(True)).alias("__g"),
+        )
+    )
+    is_single = (F.col("__mine") <= 1) & (F.col("__theirs") <= 1)
+    a, g = F.coalesce(F.col("__a.copies"), F.lit(0)), -F.coalesce(F.col("__g.copies"), F.lit(0))
+    both = F.least(a, g)
+    a_row, g_row, no = F.col("__a.row"), F.col("__g.row"), F.lit(False)
+    parts = F.array(
+        F.struct(both.alias("copies"), a_row.alias("actual"), g_row.alias("golden")),
+        F.struct((a - both).alias("copies"), a_row.alias("actual"), F.when(no, g_row).alias("golden")),
+        F.struct((g - both).alias("copies"), F.when(no, a_row).alias("actual"), g_row.alias("golden")),
+    )
+    single = (
+        groups.filter(is_single)
+        .select(*[col(c) for c in group], F.explode(parts).alias("__p"))
+        .filter("__p.copies > 0")
+        .select(*[col(c) for c in group], "__p.copies", "__p.actual", "__p.golden")
+    )
+    crowded = groups.filter(~is_single).select(*[col(c) for c in group])
+    return single, None if crowded.isEmpty() else attach(residual, crowded, group, "left_semi")
 
 
 def _pair(residual: DataFrame, group: list[str], values: list[str], order: list[str]) -> DataFrame:
     """Pair the surplus rows of the two sides by position inside their group.
 
+    Most groups have a row on each side, or on one; only the others are laid out.
+    """
+    single, rest = _singles(residual, group, values)
+    if single is None:
+        return _laid_out(rest, group, values, order)
+    return single if rest is None else single.unionByName(_laid_out(rest, group, values, order))
+
+
+def _laid_out(residual: DataFrame, group: list[str], values: list[str], order: list[str]) -> DataFrame:
+    """Pairs by position, for groups of any size.
+
     Copies are kept as counts. Each side lays its rows out along positions; where
     the two layouts are cut together, every stretch has one row of either side.
     So many copies of a row cost one stretch, and no group is gathered in a task.
@@ -84,9 +143,12 @@ def _cancel_close(residual: DataFrame, others: list[str], floats: list[str], ato
 
     Rows pair by position inside the last cluster, so a row too many leaves the other clusters as they are.
     """
-    rows = _clusters(residual, others, floats, atol, rtol)
-    names = [f"__cluster{i}" for i in range(len(floats))]
-    paired = _pair(rows, [*others, *names], floats, floats)
+    paired, rest = _singles(residual, others, floats)
+    if rest is not None:
+        names = [f"__cluster{i}" for i in range(len(floats))]
+        clusters = _clusters(rest, others, floats, atol, rtol)
+        met = _pair(clusters, [*others, *names], floats, floats).drop(*names)
+        paired = met if paired is None else paired.unionByName(met)
     alike = all_of(close(F.col("actual")[c], F.col("golden")[c], atol, rtol) for c in floats)
     left = paired.filter(~F.coalesce(F.col("actual").isNotNull() & F.col("golden").isNotNull() & alike, F.lit(False)))
     sides = [
@@ -98,6 +160,28 @@ def _cancel_close(residual: DataFrame, others: list[str], floats: list[str], ato
     return store(sides[0].unionByName(sides[1]))
 
 
+def surplus(
+    actual: DataFrame, golden: DataFrame, atol: float = ATOL, rtol: float = RTOL
+) -> tuple[DataFrame, dict[str, T.DataType], list[str], bool]:
+    """The rows of either side without a partner, with their signed number of ``copies``; common types, floating columns,
+    and whether both sides have the same columns.
+
+    Equal rows cancel in one aggregate, then rows that are alike within tolerance. Written once, as several passes read it.
+    """
+    a, g = lower_names(actual), lower_names(golden)
+    shared, same = common_columns(a, g)
+    if not shared:
+        raise ValueError("no common columns to compare")
+    mine, kinds = exact(a, g, shared)
+    theirs, _ = exact(g, a, shared)
+    floats = [c for c in shared if is_float(kinds[c])]
+    residual = store(signed_difference(mine, theirs, "copies"))
+    if floats:
+        others = [c for c in shared if c not in floats]
+        residual = _cancel_close(residual, others, floats, atol, rtol).select(*[col(c) for c in residual.columns])
+    return residual, kinds, floats, same
+
+
 def value_diff(
     actual: DataFrame,
     golden: DataFrame,
@@ -107,31 +191,22 @@ def value_diff(
 ) -> ValueDiff:
     """Order-insensitive, duplicate-aware comparison with absolute and relative tolerance.
 
-    Equal rows cancel in one aggregate, then rows that are alike within tolerance cancel in their clusters.
-    What is left differs; for the report it is paired by ``keys`` when given, else by all columns that are not
-    floating, in order of the floats.
+    What is left when rows that are equal or alike have cancelled differs; for the report it is paired by ``keys`` when
+    given, else by all columns that are not floating, in order of the floats.
     Without keys, rows that differ in several floating columns can pair in more
-    than one way; name the keys where that matters.
+    than one way; name the keys where that matters, or see ``align.aligned_diff``.
     """
-    a, g = lower_names(actual), lower_names(golden)
-    shared, same = common_columns(a, g)
-    if not shared:
-        raise ValueError("no common columns to compare")
-    mine, kinds = exact(a, g, shared)
-    theirs, _ = exact(g, a, shared)
-    floats = [c for c in shared if is_float(kinds[c])]
+    residual, kinds, floats, same = surplus(actual, golden, atol, rtol)
+    shared = [c for c in residual.columns if c != "copies"]
     group = [k.lower() for k in keys] if keys else [c for c in shared if c not in floats]
     values = [c for c in shared if c not in group]
-    # Written once: pairing and both results read the residual, not the tables again.
-    residual = store(signed_difference(mine, theirs, "copies"))
-    if floats:
-        residual = _cancel_close(residual, [c for c in shared if c not in floats], floats, atol, rtol).select(*residual.columns)
 
     if not values:
         rows = residual.select(
             *[col(c) for c in group],
             F.abs("copies").alias("copies"),
             F.when(F.col("copies") > 0, F.lit("only in actual")).otherwise(F.lit("only in golden")).alias("issue"),
+            F.array().cast("array<string>").alias("differs"),
         )
         cells = rows.limit(0).select(
             *[col(c) for c in group],
@@ -158,6 +233,8 @@ def value_diff(
         .when(F.col("actual").isNull(), F.lit("only in golden"))
         .otherwise(F.lit("changed")),
     ).filter(~together | ~all_of(agrees(c) for c in values))
+    apart = F.array(*[F.when(~agrees(c), F.lit(c)) for c in values])
+    rows = rows.withColumn("differs", F.when(together, F.array_compact(apart)).otherwise(F.array().cast("array<string>")))
     per_cell = F.array(
         *[
             F.struct(

@@ -17,14 +17,37 @@ PREVIEW_COLUMNS = 20
 PREVIEW_CHARS = 1500
 DEFAULT_LIBRARY = "work"
 
+# Bytes of tables for each range of ordered rows, and for each task that lexes texts, which costs far more a byte.
+PIECE_BYTES = 64 << 20
+TEXT_BYTES = 8 << 20
+UNKNOWN_BYTES = 1 << 62  # what Spark gives for a table that it has no figure for lies above
+
 # The folder below the warehouse that holds written tables where the session names no other.
 SCRATCH = "_stepledger"
 
 
-def piece_count(spark: SparkSession) -> int | None:
-    """Ranges that ordered operators cut their rows into, where the session sets it; else Spark decides."""
-    given = spark.conf.get("spark.stepledger.pieces", None)
-    return int(given) if given else None
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables below ``df``, as the optimizer counts them after pruning; joins do not multiply them.
+
+    Rows that the program itself hands in have no known size and count as none.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
+
+
+def task_count(df: DataFrame, each: int) -> int:
+    """How many tasks ``df`` is cut into: one for ``each`` bytes of its tables, one a core at least.
+
+    An explicit count is kept by Spark, where one that it chooses is merged by bytes alone, whatever the work on them.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // each))
+
+
+def piece_count(df: DataFrame) -> int:
+    """Ranges that ordered operators cut the rows of ``df`` into; the session can set it."""
+    given = df.sparkSession.conf.get("spark.stepledger.pieces", None)
+    return int(given) if given else task_count(df, PIECE_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepledger.operators.ordered import number_rows
+from stepledger.settings import TEXT_BYTES, task_count
 
 # File endings of parametric sources and of run logs.
 SOURCE_ENDING = ".sas"
@@ -19,8 +20,8 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
-    """Texts dealt evenly over the tasks: lexing a text costs far more than moving it once."""
-    return corpus.repartition(by)
+    """Texts dealt over the tasks by the bytes they come from: lexing a text costs far more than moving it once."""
+    return corpus.repartition(task_count(corpus, TEXT_BYTES), by)
 
 
 def file_name(path: Column) -> Column:

@@ -24,33 +24,43 @@ TEXT = f"""concat(
     CASE WHEN p_size % 3 = 0 THEN concat('proc append base=hist data=', CASE WHEN p_size % 2 = 0 THEN 'final' ELSE 'j' END, '; run;', chr(10)) ELSE '' END,
     CASE WHEN p_size % 5 = 0 THEN concat('data base_', {KEY}, '; update base_', {KEY}, ' tx.', {BRAND}, '; by id;', chr(10)) ELSE '' END)"""
 
-WEIGHT = "concat(CAST(p_size AS STRING), '.5')"
-PRICE = "CASE WHEN p_partkey % 3 = 0 THEN '7e-4' ELSE concat('-0.', CAST(p_partkey % 1000 + 1000 AS STRING)) END"
+CUT = "concat(CAST(p_size AS STRING), '.5')"
+RATE = "CASE WHEN p_partkey % 3 = 0 THEN '7e-4' ELSE concat('-0.', CAST(p_partkey % 1000 + 1000 AS STRING)) END"
+# Rounds of the outer loop: a few, in one program of 97 so many that it has more than 100 steps.
+MONTHS = "CASE WHEN p_partkey % 97 = 0 THEN 60 ELSE 1 + p_size % 3 END"
+
+# One round of the loop in the log of a yearly archive: a part is cut out, checked and, on a condition, appended.
+ROUND = f"""concat(
+    'SYMBOLGEN:  Macro variable MON resolves to 4', chr(10),
+    'MLOGIC(CUT_PART):  Parameter SLICE has value 4', chr(10),
+    'SYMBOLGEN:  Macro variable CUTOFF resolves to 0', chr(10),
+    'SYMBOLGEN:  Macro variable CUTOFF resolves to ', {CUT}, chr(10),
+    'MPRINT(CUT_PART):   data arch.part_', {KEY}, '(keep=id moved) late;', chr(10),
+    'MPRINT(CUT_PART):   set raw.moves_', {KIND}, '; if moved > ', {CUT}, ' then output late;', chr(10),
+    'MPRINT(CUT_PART):   run;', chr(10),
+    'MLOGIC(YEARLY):  %IF condition &rate ne 0 is TRUE', chr(10),
+    'SYMBOLGEN:  Macro variable RATE resolves to ', {RATE}, ' ', chr(10),
+    'MPRINT(YEARLY):   data arch.due; set late;  due = moved * (', {RATE}, ') ; run;', chr(10),
+    'MPRINT(YEARLY):   proc append base=arch.year data=arch.due;', chr(10),
+    'MPRINT(YEARLY):   run;', chr(10))"""
 
 LOG = f"""CASE WHEN p_partkey % 10 = 0 THEN {TEXT} ELSE concat(
-    'NOTE: session for ', p_name, chr(10),
-    'MLOGIC(SCORE):  Parameter SNAPSHOT has value ', {KIND}, chr(10),
-    'MLOGIC(SCORE):  Parameter N_VAR has value 2', chr(10),
-    'SYMBOLGEN:  Macro variable SNAPSHOT resolves to ', {KIND}, chr(10),
-    'SYMBOLGEN:  Macro variable N_VAR resolves to 2', chr(10),
-    'MPRINT(SCORE):   data ', {KIND}, ';', chr(10),
-    'MPRINT(SCORE):   set ', {KIND}, ';', chr(10),
-    'MLOGIC(SCORE):  %DO loop beginning; index variable I; start value is 1; stop value is 2.', chr(10),
-    'SYMBOLGEN:  Macro variable I resolves to 1', chr(10),
-    'SYMBOLGEN:  Macro variable VAR_NAME resolves to WEIGHT', chr(10),
-    'SYMBOLGEN:  Macro variable WEIGHT resolves to ', {WEIGHT}, chr(10),
-    'SYMBOLGEN:  Macro variable PRICE resolves to 1', chr(10),
-    'SYMBOLGEN:  Macro variable PRICE resolves to ', {PRICE}, ' ', chr(10),
-    'MPRINT(SCORE):   score=0 + ', {WEIGHT}, '*WEIGHT + ', {PRICE}, '*PRICE;', chr(10),
-    'MPRINT(SCORE):   run;', chr(10),
-    'MPRINT(SHOW):   proc print data=', {KIND}, ';', chr(10),
-    'MPRINT(SHOW):   run;', chr(10),
-    'NOTE: The data set has 10 observations.', chr(10)) END"""
+    'NOTE: library ARCH holds ', p_name, chr(10),
+    'MLOGIC(YEARLY):  Beginning execution.', chr(10),
+    'MLOGIC(YEARLY):  Parameter LAST has value 12', chr(10),
+    'SYMBOLGEN:  Macro variable LAST resolves to 12', chr(10),
+    'MLOGIC(YEARLY):  %DO loop beginning; index variable MON; start value is 1; stop value is 12; by value is 1.', chr(10),
+    repeat({ROUND}, CAST({MONTHS} AS INT)),
+    'WARNING: a part was empty', chr(10),
+    'MPRINT(TIDY):   proc sort data=arch.year out=', {KIND}, '; by id; run;', chr(10),
+    'SYMBOLGEN:  Macro variable OWNER resolves to ', p_brand, chr(10),
+    'NOTE: The table ARCH.YEAR is complete.', chr(10)) END"""
 
 SOURCE = f"""concat(
-    '%macro score(snapshot=, n_var=);', chr(10), 'data &snapshot; set &snapshot; score=0 %do i=1 %to &n_var;', chr(10),
-    '%let var_name = %scan(&vars, &i); + &&&var_name..*&var_name %end;; run;', chr(10), '%mend score;', chr(10),
-    CASE WHEN p_partkey % 2 = 0 THEN concat('%macro show; proc print data=', {KIND}, '; run; %mend;', chr(10)) ELSE '' END,
+    '%macro cut_part(slice=, cutoff=);', chr(10), '  data arch.part_&slice(keep=id moved) late; set raw.moves; if moved > &cutoff then output late; run;', chr(10), '%mend cut_part;', chr(10),
+    '%macro yearly(last=12);', chr(10), '  %do mon = 1 %to &last; %let label = %sysfunc(mdy(&mon, 1, 2001));', chr(10),
+    '    %cut_part(slice=&mon, cutoff=&limit) %if &rate ne 0 %then %do; data arch.due; set late; due = moved * (&rate); run; %end;', chr(10), '  %end;', chr(10), '%mend yearly;', chr(10),
+    CASE WHEN p_partkey % 2 = 0 THEN concat('%macro tidy; proc sort data=arch.year out=', {KIND}, '; by id; run; %mend;', chr(10)) ELSE '' END,
     '%LET Top', CAST(p_size AS STRING), ' = 1;', chr(10))"""
 
 

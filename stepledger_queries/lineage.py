@@ -342,6 +342,54 @@ def l9_edges(spark, sf_dir):
     return part_graph(spark, sf_dir)[2]
 
 
+VERSIONS = f"""{io_cte()},
+    opened AS (SELECT program, dataset, idx, row_number() OVER (PARTITION BY program, dataset ORDER BY idx) AS version,
+                      lead(idx) OVER (PARTITION BY program, dataset ORDER BY idx) AS until
+               FROM (SELECT DISTINCT program, dataset, idx FROM io WHERE is_write)),
+    readers AS (SELECT o.program, o.dataset, o.idx, count(DISTINCT r.idx) AS readers
+                FROM opened o JOIN io r ON r.program = o.program AND r.dataset = o.dataset AND NOT r.is_write
+                     AND r.idx > o.idx AND (o.until IS NULL OR r.idx <= o.until) GROUP BY 1, 2, 3)
+    """
+
+
+@query(
+    "u8_dataset_versions",
+    f"""
+    WITH {VERSIONS}
+    SELECT o.program, o.dataset, version, o.idx, o.dataset || '@' || o.idx AS name, coalesce(readers, 0) AS readers, until IS NULL AS is_last
+    FROM opened o LEFT JOIN readers USING (program, dataset, idx)
+    """,
+)
+def u8_dataset_versions(spark, sf_dir):
+    return graph.versions(part_graph(spark, sf_dir)[1])
+
+
+@query(
+    "u8_final_versions",
+    f"""
+    WITH {VERSIONS}
+    SELECT o.program, o.dataset, o.dataset || '@' || o.idx AS name FROM opened o
+    WHERE until IS NULL AND NOT EXISTS (SELECT 1 FROM readers r WHERE r.program = o.program AND r.dataset = o.dataset AND r.idx = o.idx)
+    """,
+)
+def u8_final_versions(spark, sf_dir):
+    return graph.final_versions(part_graph(spark, sf_dir)[1])
+
+
+@query(
+    "j10_version_edges",
+    f"""
+    WITH {VERSIONS}
+    SELECT DISTINCT r.program, r.idx, CASE WHEN w.idx IS NULL THEN r.dataset ELSE r.dataset || '@' || w.idx END AS src, t.dataset || '@' || t.idx AS dst
+    FROM io r JOIN io t ON t.program = r.program AND t.idx = r.idx AND t.is_write
+    LEFT JOIN opened w ON w.program = r.program AND w.dataset = r.dataset AND w.idx < r.idx AND (w.until IS NULL OR w.until >= r.idx)
+    WHERE NOT r.is_write
+    """,
+)
+def j10_version_edges(spark, sf_dir):
+    return graph.version_edges(part_graph(spark, sf_dir)[1])
+
+
 @query(
     "l10_layers",
     f"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stepledger.lineage import graph, steps
 from stepledger.operators import aggregate as A
 from stepledger.operators import ordered as O
+from stepledger.operators.ordered import lag_calls
 from stepledger.sources.catalog import preview
 from stepledger_queries.base import money, query, table, total
 
@@ -200,3 +201,23 @@ def w9_renumber(spark, sf_dir):
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("project")
     )
     return steps.renumber(orders.join(customer, "o_custkey"), "project", ["o_custkey", "o_orderkey"])
+
+
+@query(
+    "w6_lag_queue",
+    """
+    WITH called AS (
+        SELECT o_orderkey, lag(o_totalprice) OVER w AS one, lag(o_totalprice, 3) OVER w AS three
+        FROM orders WHERE o_orderpriority < '3' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    every AS (
+        SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS last_urgent FROM orders WHERE o_orderpriority < '2')
+    SELECT o_orderkey, one, three, last_urgent FROM orders LEFT JOIN called USING (o_orderkey) LEFT JOIN every USING (o_orderkey)
+    """,
+)
+def w6_lag_queue(spark, sf_dir):
+    """Prices one and three calls ago, by customer, called for urgent orders only; and one queue over the whole table."""
+    orders = table(spark, sf_dir, "orders")
+    order = ["o_orderdate", "o_orderkey"]
+    made = lag_calls(orders, ["o_custkey"], order, F.col("o_orderpriority") < "3", F.col("o_totalprice"), {"one": 1, "three": 3})
+    made = lag_calls(made, [], order, F.col("o_orderpriority") < "2", F.col("o_orderkey"), {"last_urgent": 1})
+    return made.select("o_orderkey", "one", "three", "last_urgent")

@@ -26,9 +26,9 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["merged", "pieces"])
+@pytest.fixture(params=["cores", "pieces"])
 def heavy(request, spark):
-    """Runs a test twice: in the ranges that Spark chooses, and with the rows cut in seven, through their groups."""
+    """Runs a test twice: in one range for each core, and with the rows cut in seven, through their groups."""
     if request.param == "pieces":
         spark.conf.set("spark.stepledger.pieces", "7")
     yield request.param

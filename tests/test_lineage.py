@@ -159,39 +159,62 @@ def test_graph_json(spark):
     assert '{"from":0,"to":2}' in {r["json"] for r in rows}
 
 
-SOURCE = """%macro fit(set=, n=);
-  data &set; set &set;
-    total = 0 %do k = 1 %to &n; %let v = %scan(&vars, &k); + &&&v..*&v %end; ;
-  run;
-%mend fit;
-%fit(set=book, n=3)
+# A yearly table of tides built by nested macros: two loops, a branch, and symbol lines out of order.
+SOURCE = """%macro gauge(port=, depth_col=level);
+  proc means data=tide.&port; var &depth_col; run;
+%mend gauge;
+%let ports = brest oban;
+%macro year_book(from=, to=);
+  %do y = &from %to &to;
+    data book_&y; set tide.raw_&y; if level < &low_water then dry = 1; run;
+    %do p = 1 %to 2;
+      %gauge(port=%scan(&ports, &p))
+    %end;
+    %if &surge > 0 %then %do;
+      data flood_&y; set book_&y; level = level + &surge; run;
+    %end;
+  %end;
+%mend year_book;
+%Let  Edition=second;
 """
-LOG = """NOTE: session begins
-MLOGIC(FIT):  Parameter SET has value book
-MLOGIC(FIT):  Parameter N has value 3
-SYMBOLGEN:  Macro variable SET resolves to book
-MPRINT(FIT):   data book;
-MPRINT(FIT):   set book;
-MLOGIC(FIT):  %DO loop beginning; index variable K; start value is 1; stop value is 3.
-SYMBOLGEN:  Macro variable K resolves to 1
-SYMBOLGEN:  Macro variable V resolves to BASE
-SYMBOLGEN:  Macro variable BASE resolves to 9.9
-SYMBOLGEN:  Macro variable BASE resolves to -1.25
-SYMBOLGEN:  Macro variable AGE resolves to 3e-4
-SYMBOLGEN:  Macro variable N resolves to 3
-SYMBOLGEN:  Macro variable UNUSED resolves to 77
-MPRINT(FIT):   total=0 + -1.25*BASE + 3e-4*AGE;
-MPRINT(FIT):   run;
-NOTE: done.
+LOG = """NOTE: compiled
+SYMBOLGEN:  Macro variable SURGE resolves to .75
+MLOGIC(YEAR_BOOK):  Beginning execution.
+MLOGIC(YEAR_BOOK):  Parameter FROM has value 1987
+MLOGIC(YEAR_BOOK):  Parameter TO has value 1987
+MLOGIC(YEAR_BOOK):  %DO loop beginning; index variable Y; start value is 1987; stop value is 1987; by value is 1.
+SYMBOLGEN:  Macro variable LOW_WATER resolves to 4
+MPRINT(YEAR_BOOK):   data book_1987;
+MPRINT(YEAR_BOOK):   set tide.raw_1987; if level < -2.5e1 then dry = 1;
+SYMBOLGEN:  Macro variable LOW_WATER resolves to -2.5e1 	
+MPRINT(YEAR_BOOK):   run;
+MLOGIC(YEAR_BOOK):  %DO loop beginning; index variable P; start value is 1; stop value is 2; by value is 1.
+MLOGIC(GAUGE):  Parameter PORT has value brest
+MLOGIC(GAUGE):  Parameter DEPTH_COL has value level
+SYMBOLGEN:  Macro variable PORTS resolves to brest oban
+SYMBOLGEN:  Macro variable DEPTH_COL resolves to level
+MPRINT(GAUGE):   proc means data=tide.brest; var level; run;
+SYMBOLGEN:  Macro variable EDITION resolves to 2
+SYMBOLGEN:  Macro variable P resolves to 2
+MPRINT(GAUGE):   proc means data=tide.oban; var level; run;
+MLOGIC(YEAR_BOOK):  %IF condition &surge > 0 is TRUE
+MPRINT(YEAR_BOOK):   data flood_1987; set book_1987; level = level + .75;  run;
+SYMBOLGEN:  Macro variable Y resolves to 1987
+SYMBOLGEN:  Macro variable WAVES resolves to 31
+WARNING: nothing was written
 """
 
 
 def test_log_detection_and_flattening(spark):
-    plain, noise = "data a; set b; run;", "NOTE: nothing was expanded\nother line"
+    plain, noise = "data a; set b; run;", "ERROR: no such library\nsome other line"
     df = programs(spark, LOG, plain, noise, "MPRINT:  data z;\r\nMPRINT:  run;")
     got = {r["program"]: r for r in df.select("program", L.looks_like_log(F.col("text")).alias("log"), L.flatten(F.col("text")).alias("code")).collect()}
     assert [got[p]["log"] for p in ("p0", "p1", "p2", "p3")] == [True, False, True, True]
-    assert got["p0"]["code"] == "  data book;\n  set book;\n  total=0 + -1.25*BASE + 3e-4*AGE;\n  run;\n"
+    assert got["p0"]["code"] == (
+        "  data book_1987;\n  set tide.raw_1987; if level < -2.5e1 then dry = 1;\n  run;\n"
+        "  proc means data=tide.brest; var level; run;\n  proc means data=tide.oban; var level; run;\n"
+        "  data flood_1987; set book_1987; level = level + .75;  run;\n"
+    )
     assert got["p1"]["code"] == plain and got["p2"]["code"] == noise
     assert got["p3"]["code"] == " data z;\n run;\n"
 
@@ -199,29 +222,35 @@ def test_log_detection_and_flattening(spark):
 def test_log_facts(spark):
     facts = L.harvest(programs(spark, LOG))
     assert {r["variable"]: r["value"] for r in facts.symbols.collect()} == {
-        "SET": "book", "K": "1", "V": "BASE", "BASE": "-1.25", "AGE": "3e-4", "N": "3", "UNUSED": "77",
+        "SURGE": ".75", "LOW_WATER": "-2.5e1", "PORTS": "brest oban", "DEPTH_COL": "level", "EDITION": "2", "P": "2", "Y": "1987", "WAVES": "31",
     }
     assert {(r["variable"], r["role"]) for r in facts.structural.collect()} == {
-        ("SET", "parameter"), ("N", "parameter"), ("K", "loop"),
+        ("FROM", "parameter"), ("TO", "parameter"), ("PORT", "parameter"), ("DEPTH_COL", "parameter"), ("Y", "loop"), ("P", "loop"),
     }
-    assert {r["statement"] for r in facts.emitted.collect()} == {
-        "data book", "set book", "total=0 + -1.25*base + 3e-4*age",
+    assert {(r["macro"], r["statement"]) for r in facts.emitted.collect()} == {
+        ("YEAR_BOOK", "data book_1987"), ("YEAR_BOOK", "set tide.raw_1987"), ("YEAR_BOOK", "if level < -2.5e1 then dry = 1"),
+        ("GAUGE", "proc means data=tide.brest"), ("GAUGE", "proc means data=tide.oban"), ("GAUGE", "var level"),
+        ("YEAR_BOOK", "data flood_1987"), ("YEAR_BOOK", "set book_1987"), ("YEAR_BOOK", "level = level + .75"),
     }
     lets = L.let_variables(programs(spark, SOURCE))
-    assert {r["variable"] for r in lets.collect()} == {"V"}
-    assert {r["variable"] for r in L.derived_symbols(facts, lets).collect()} == {"BASE", "AGE", "UNUSED"}
-    (d,) = L.macro_definitions(programs(spark, SOURCE)).collect()
-    assert d["macro"] == "FIT" and d["definition"].startswith("%macro fit") and d["definition"].endswith("%mend fit;")
+    assert {r["variable"] for r in lets.collect()} == {"PORTS", "EDITION"}
+    assert {r["variable"] for r in L.derived_symbols(facts, lets).collect()} == {"SURGE", "LOW_WATER", "WAVES"}
+    bodies = {r["macro"]: r["definition"] for r in L.macro_definitions(programs(spark, SOURCE)).collect()}
+    assert set(bodies) == {"GAUGE", "YEAR_BOOK"}
+    assert bodies["YEAR_BOOK"].startswith("%macro year_book(from") and bodies["YEAR_BOOK"].endswith("%mend year_book;")
 
 
 def test_provenance_marks_only_data_derived_steps(spark):
     logs, sources = programs(spark, LOG), programs(spark, SOURCE)
     flat = logs.select("program", L.flatten(F.col("text")).alias("text"))
-    (row,) = V.provenance(T.extract_steps(flat), L.harvest(logs), sources).collect()
-    assert row["macros"] == ["FIT"] and row["original_source"].startswith("%macro fit")
-    assert [tuple(s) for s in row["substitutions"]] == [("AGE", "3e-4"), ("BASE", "-1.25")]
-    loop_only = LOG.replace("BASE resolves", "V resolves").replace("AGE resolves", "K resolves").replace("UNUSED", "N")
-    logs = programs(spark, loop_only)
+    rows = {r["idx"]: r for r in V.provenance(T.extract_steps(flat), L.harvest(logs), sources).collect()}
+    # The two printed means carry no number from data.
+    assert sorted(rows) == [0, 3]
+    assert all(r["macros"] == ["YEAR_BOOK"] and r["original_source"].startswith("%macro year_book") for r in rows.values())
+    assert [tuple(s) for s in rows[0]["substitutions"]] == [("LOW_WATER", "-2.5e1")]
+    assert [tuple(s) for s in rows[3]["substitutions"]] == [("SURGE", ".75")]
+    by_loop = LOG.replace("variable SURGE", "variable Y").replace("variable LOW_WATER", "variable FROM")
+    logs = programs(spark, by_loop)
     flat = logs.select("program", L.flatten(F.col("text")).alias("text"))
     assert V.provenance(T.extract_steps(flat), L.harvest(logs), sources).count() == 0
 
@@ -260,3 +289,47 @@ def test_layers_and_downstream_of_a_long_chain(spark):
     assert sorted(r["idx"] for r in G.downstream(start, pairs).collect()) == list(range(5, n))
     back = pairs.union(spark.createDataFrame([("p", 20, 7)], pairs.schema))
     assert sorted(r["idx"] for r in G.downstream(start, back).collect()) == list(range(5, n))
+
+
+def test_layers_of_a_chain_of_a_thousand_steps(spark):
+    n = 1000
+    nodes = spark.createDataFrame([("p", i) for i in range(n)] + [("q", 0)], "program string, idx long")
+    pairs = spark.createDataFrame([("p", i, i + 1) for i in range(n - 1)], "program string, src long, dst long")
+    assert len(G._walks(pairs, "program")) == 10
+    got = {(r["program"], r["idx"]): r["depth"] for r in G.layers(nodes, pairs).collect()}
+    assert got == {("q", 0): 0, **{("p", i): i for i in range(n)}}
+    ring = pairs.union(spark.createDataFrame([("p", n - 1, 0)], pairs.schema))
+    with pytest.raises(ValueError, match="cycle"):
+        G.layers(nodes, ring)
+
+
+def test_layers_equal_a_plain_longest_path(spark):
+    rnd = random.Random(8)
+    edges = sorted({(p, *sorted(rnd.sample(range(25), 2))) for p in "ab" for _ in range(40)})
+    nodes = spark.createDataFrame([(p, i) for p in "ab" for i in range(25)], "program string, idx long")
+    pairs = spark.createDataFrame(edges, "program string, src long, dst long")
+    want = {(p, i): 0 for p in "ab" for i in range(25)}
+    for p, a, b in sorted(edges, key=lambda e: e[1]):
+        want[p, b] = max(want[p, b], want[p, a] + 1)
+    assert {(r["program"], r["idx"]): r["depth"] for r in G.layers(nodes, pairs).collect()} == want
+
+
+def test_versions_of_datasets(spark, heavy):
+    io = io_of(spark, "data x; set x; run;", "data a; set r.z; run; data a; set a; run; data b; set a; run; data a; set b; run; data a; y = 1; run;")
+    assert G.final_outputs(io).count() == 0
+    final = sorted(tuple(r) for r in G.final_versions(io).collect())
+    assert final == [("p0", "work.x", "work.x@0"), ("p1", "work.a", "work.a@4")]
+    opened = {(r["program"], r["name"]): (r["version"], r["readers"], r["is_last"]) for r in G.versions(io).collect()}
+    assert opened == {
+        ("p0", "work.x@0"): (1, 0, True),
+        ("p1", "work.a@0"): (1, 1, False),
+        ("p1", "work.a@1"): (2, 1, False),
+        ("p1", "work.b@2"): (1, 1, True),
+        ("p1", "work.a@3"): (3, 0, False),
+        ("p1", "work.a@4"): (4, 0, True),
+    }
+    got = {(r["program"], r["src"], r["dst"]) for r in G.version_edges(io).collect()}
+    assert got == {
+        ("p0", "work.x", "work.x@0"), ("p1", "r.z", "work.a@0"), ("p1", "work.a@0", "work.a@1"),
+        ("p1", "work.a@1", "work.b@2"), ("p1", "work.b@2", "work.a@3"),
+    }

@@ -161,3 +161,21 @@ def test_one_pass_for_several_operators(spark, heavy):
         assert r["no"] == at + 1 and r["high"] == max(x[2] for x in line[: at + 1])
         assert r["back"] == (line[at - 3][2] if at >= 3 else None) and r["ahead"] == (line[at + 2][2] if at + 2 < len(line) else None)
         assert r["first_g"] == (at == 0) and r["last_g"] == (at == len(line) - 1)
+
+
+def test_lag_calls_equal_a_row_loop(spark, heavy):
+    """A queue of past calls: rows without a call neither ask it nor fill it."""
+    rnd = random.Random(21)
+    rows = [(rnd.choice("ab"), i, rnd.random() < 0.4, rnd.choice([None, 1.5 * i])) for i in range(160)]
+    df = spark.createDataFrame(rows, "g string, i int, c boolean, v double").repartition(4)
+    for by in (["g"], []):
+        got = {r["i"]: (r["one"], r["three"]) for r in O.lag_calls(df, by, ["i"], F.col("c"), F.col("v"), {"one": 1, "three": 3}).collect()}
+        queues, want = {}, {}
+        for g, i, c, v in rows:
+            queue = queues.setdefault(g if by else "", [None] * 3)
+            want[i] = (queue[-1], queue[-3]) if c else (None, None)
+            if c:
+                queue.append(v)
+        assert got == want
+    with pytest.raises(ValueError):
+        O.lag_calls(df, [], ["i"], F.col("c"), F.col("v"), {"none": 0})

@@ -72,10 +72,40 @@ def test_duplicate_for_dropped_row_fails_values(spark, golden):
     ]
 
 
-def test_jitter_does_not_misalign(spark):
-    golden = spark.createDataFrame([(1.0, "a"), (1.0, "b")], "amt double, region string")
-    actual = spark.createDataFrame([(1.0 + 1e-12, "a"), (1.0 - 1e-12, "b")], "amt double, region string")
+def test_floats_a_little_off_still_meet_their_own_row(spark, heavy):
+    """Three floating columns, each pushed another way in every copy of a row, and sorted otherwise by the push."""
+    rnd = random.Random(17)
+    rows = [(rnd.choice(["fir", "yew", None]), 0.5 * rnd.randint(1, 3), 7.0 * rnd.randint(0, 2), float(rnd.randint(0, 1))) for _ in range(90)]
+    push = lambda v: v + rnd.choice([-3e-10, 0.0, 3e-10])
+    moved = [(t, push(x), push(y), push(z)) for t, x, y, z in reversed(rows)]
+    kinds = "tree string, girth double, age double, felled double"
+    golden, actual = spark.createDataFrame(rows, kinds), spark.createDataFrame(moved, kinds).repartition(3)
     assert R.value_diff(actual, golden).rows.count() == 0
+    assert R.value_diff(actual, golden.withColumn("age", F.col("age") + 1), atol=1e-9).rows.count() > 0
+
+
+def test_the_sample_is_the_same_for_any_partitioning(spark):
+    """Every kind of difference is in it, and reruns show the same rows."""
+    rows = [(i, i % 5, float(i), "abc"[i % 3]) for i in range(400)]
+    golden = spark.createDataFrame(rows, "k long, m long, x double, s string")
+    off = F.when(F.col("k") % 7 == 0, 1.0).otherwise(0.0)
+    actual = golden.filter("k % 31 <> 5").withColumn("x", F.col("x") + off).withColumn("s", F.when(F.col("k") % 11 == 0, F.lit("z")).otherwise(F.col("s")))
+    actual = actual.union(spark.createDataFrame([(1000 + i, 0, 0.0, "n") for i in range(9)], golden.schema))
+    samples = []
+    for n in (1, 3, 8):
+        diff = R.value_diff(actual.repartition(n), golden.repartition(2 * n), ["k"])
+        samples.append(sorted(diff.sample(3).select("issue", F.array_join("differs", ","), "k", "place").collect(), key=repr))
+    assert samples[0] == samples[1] == samples[2]
+    kinds = {}
+    for issue, differs, _, place in samples[0]:
+        kinds.setdefault((issue, differs), []).append(place)
+        kinds[issue, differs].sort()
+    assert kinds == {
+        (issue, differs): [1, 2, 3, 4]
+        for issue, differs in [("changed", "s"), ("changed", "x"), ("changed", "s,x"), ("only in actual", ""), ("only in golden", "")]
+    }
+    text = R.reconcile(actual.withColumn("k", F.col("k") + 0), golden)[0].diagnostics[0]
+    assert "row count" in text
 
 
 def test_values_that_round_apart_are_close(spark):
