@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,13 @@ def _groups(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
 
 
+def _order(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The order by both lanes; the first alone decides unless two fingerprints share it."""
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    return np.lexsort((two, one)) if np.any((a[1:] == a[:-1]) & (b[1:] != b[:-1])) else order
+
+
 class Chunk:
     """The words of a chunk's documents in a row, and hashes of them."""
 
@@ -130,7 +138,7 @@ class Chunk:
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         numbers = Numbering()
-        flat = np.fromiter((numbers[w] for ws in self.words for w in ws), dtype=np.int64, count=int(self.sizes.sum()))
+        flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(self.words)), dtype=np.int64, count=int(self.sizes.sum()))
         lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
         self.one, self.two = lanes[flat, 0], lanes[flat, 1]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -150,14 +158,17 @@ class Chunk:
     def windows(self, hits: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct windows that hold an anchor: buckets, both lanes and smallest ids, in order; for each place its window."""
         at, probe = self.probes()
-        known = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, dtype=np.uint32).astype(np.uint64) for b, k in hits]
+        # Sorted in each bucket, so altogether.
+        known = np.concatenate(
+            [(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, dtype=np.uint32).astype(np.uint64) for b, k in sorted(hits)]
+        )
         anchors = np.zeros(len(self.doc) + 1, dtype=np.int64)
-        anchors[at[np.isin(probe, np.concatenate(known))] + 1] = 1
+        anchors[at[known[np.minimum(np.searchsorted(known, probe), len(known) - 1)] == probe] + 1] = 1
         before = np.cumsum(anchors)
         at = self.whole(np.arange(len(self.doc)), WINDOW)
         at = at[before[at + WINDOW - BLOCK + 1] > before[at]]
         one, two, rank = _rolled(self.one, WINDOW)[at], _rolled(self.two, WINDOW)[at], self.rank[self.doc[at]]
-        order = np.lexsort((two, one))  # so in order of buckets, too
+        order = _order(one, two)  # so in order of buckets, too
         one, two = one[order], two[order]
         first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.empty(0, dtype=np.int64)
         of = np.full(len(self.doc), -1)
@@ -240,7 +251,7 @@ def _confirmed(table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(p, dtype=np.int64) for p in table.column("least").to_pylist()]
     one, two = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.uint64) for c in ("one", "two"))
     least = np.concatenate(parts)
-    order = np.lexsort((two, one))
+    order = _order(one, two)
     a, b = one[order], two[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     earlier = np.empty(len(least), dtype=bool)
