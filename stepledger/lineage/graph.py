@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.columns import attach, col
+from stepledger.lineage.steps import step_io
 from stepledger.operators.ordered import carry_forward, number_rows
 from stepledger.settings import store
 
@@ -197,11 +198,21 @@ def downstream(start: DataFrame, edge_rows: DataFrame, program: str = "program")
 
 
 def graph_json(steps: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
-    """Nodes and edges as JSON rows, one per node or edge, so that no program is gathered into one value."""
-    node = F.to_json(F.struct("idx", "label", "kind", "proc", "inputs", "outputs"))
-    edge = F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to")))
-    return steps.select(col(program), F.lit("node").alias("part"), node.alias("json")).union(
-        edge_rows.select(col(program), "src", "dst")
-        .distinct()
-        .select(col(program), F.lit("edge").alias("part"), edge.alias("json"))
-    )
+    """The graph as JSON rows (``part``: node, edge, external, final or layer), so that no program is gathered into one value.
+
+    ``external`` and ``final`` name the datasets that a program takes in and leaves, ``layer`` the depth of a step.
+    """
+    spell = {"ignoreNullFields": "false"}
+
+    def part(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.select(col(program), F.lit(name).alias("part"), F.to_json(value, spell).alias("json"))
+
+    io = step_io(steps, program)
+    parts = [
+        part(steps, "node", F.struct("idx", "label", "kind", "proc", "inputs", "outputs")),
+        part(edge_rows.select(col(program), "src", "dst").distinct(), "edge", F.struct(F.col("src").alias("from"), F.col("dst").alias("to"))),
+        part(external_inputs(io, program), "external", F.struct("dataset")),
+        part(final_outputs(io, program), "final", F.struct("dataset")),
+        part(layers(steps, edge_rows, program), "layer", F.struct("idx", "depth")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

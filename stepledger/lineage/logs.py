@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepledger.columns import col
 from stepledger.lineage import patterns as P
 from stepledger.lineage.lexing import normalize_statement
 from stepledger.settings import store
@@ -33,14 +34,26 @@ def looks_like_log(text: Column) -> Column:
 
 def flatten(text: Column) -> Column:
     """The concrete program: expanded code of a log in line order; plain source, or a log without code, as it is."""
-    code = F.transform(
-        F.filter(lines(text), lambda x: x.rlike(P.EXPANDED)),
-        lambda x: F.regexp_replace(F.regexp_extract(x, P.EXPANDED, 1), P.SPACE + "+$", ""),
-    )
-    code = F.filter(code, lambda x: x != "")
+    code = F.filter(F.transform(F.filter(lines(text), lambda x: x.rlike(P.EXPANDED)), expanded_code), lambda x: x != "")
     return F.when(F.size(code) > 0, F.concat(F.array_join(code, "\n"), F.lit("\n"))).otherwise(text)
 
 
+def expanded_code(line: Column) -> Column:
+    """What an expanded line says, without white space at its end; empty for any other line."""
+    return F.regexp_replace(F.regexp_extract(line, P.EXPANDED, 1), P.SPACE + "+$", "")
+
+
+def flatten_lines(rows: DataFrame, program: str = "program") -> DataFrame:
+    """``flatten`` for programs given as lines (``program, line_no, line``), however many: the lines of the concrete program.
+
+    Joined in order of ``line_no`` they are its text. Only the names of programs with expanded code meet.
+    """
+    code = rows.withColumn("__code", expanded_code(F.col("line"))).filter("__code <> ''")
+    expanded = code.select(col(program).alias("__p")).distinct()
+    plain = rows.join(expanded, col(program).eqNullSafe(F.col("__p")), "left_anti")
+    return code.select(col(program), "line_no", F.col("__code").alias("line")).unionByName(plain.select(col(program), "line_no", "line"))
+
+
 @dataclass
 class LogFacts:
     """Tables harvested from run logs, keyed by ``program``."""
@@ -51,7 +64,12 @@ class LogFacts:
 
 
 def fact_rows(logs: DataFrame, text: str = "text") -> DataFrame:
-    """Every fact of every log line: program, line_no, role, name, detail.
+    """Every fact of every log line: see ``line_facts``."""
+    return line_facts(numbered_lines(logs.select("program", text), text))
+
+
+def line_facts(rows: DataFrame) -> DataFrame:
+    """The facts of log lines (``program, line_no, line``): program, line_no, role, name, detail.
 
     A line is a symbol line, an expanded line or a logic line, in that order of
     trial; an expanded line gives one fact per statement, a logic line up to two.
@@ -77,7 +95,7 @@ def fact_rows(logs: DataFrame, text: str = "text") -> DataFrame:
         .when(line.rlike(P.EXPANDED_NAMED), expanded)
         .when(F.upper(line).contains(P.LOGIC), logic)
     )
-    rows = numbered_lines(logs.select("program", text), text).select("program", "line_no", F.explode(facts).alias("f"))
+    rows = rows.select("program", "line_no", F.explode(facts).alias("f"))
     emitted = F.col("f.role") == "emitted"
     empty = (emitted & ((F.col("f.detail") == "") | F.col("f.detail").isin(P.TERMINATORS))) | (
         ~emitted & (F.col("f.name") == "")
@@ -86,9 +104,18 @@ def fact_rows(logs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def harvest(logs: DataFrame, text: str = "text") -> LogFacts:
-    """Facts of every log, read once: one aggregate finds the last value of each
-    symbol and each fact once, reduced map-side, and is written for the readers of the three tables."""
-    rows = fact_rows(logs, text)
+    """Facts of every log, each a text in one row."""
+    return _harvested(fact_rows(logs, text))
+
+
+def harvest_lines(rows: DataFrame) -> LogFacts:
+    """Facts of logs given as lines (``program, line_no, line``), however many."""
+    return _harvested(line_facts(rows))
+
+
+def _harvested(rows: DataFrame) -> LogFacts:
+    """One aggregate finds the last value of each symbol and each fact once, reduced map-side; it is written for the
+    readers of the three tables."""
     symbol = F.col("role") == "symbol"
     found = store(
         rows.groupBy("program", "role", "name", F.when(~symbol, F.col("detail")).alias("statement")).agg(

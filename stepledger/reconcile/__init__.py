@@ -1,13 +1,16 @@
 """Compare two tables by schema, profile and value."""
 
+from stepledger.reconcile.align import AlignedDiff, aligned_diff
 from stepledger.reconcile.cascade import Check, check_final_outputs, check_step, checks_frame, reconcile
 from stepledger.reconcile.profile import compare_profiles, profile
 from stepledger.reconcile.schema import schema_differences
 from stepledger.reconcile.values import ValueDiff, value_diff
 
 __all__ = [
+    "AlignedDiff",
     "Check",
     "ValueDiff",
+    "aligned_diff",
     "check_final_outputs",
     "check_step",
     "checks_frame",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepledger.columns import attach
+from stepledger.lineage import patterns as P
 from stepledger.operators.ordered import number_rows
-from stepledger.settings import TEXT_BYTES, task_count
+from stepledger.settings import TEXT_BYTES, store, task_count
 
 # File endings of parametric sources and of run logs.
 SOURCE_ENDING = ".sas"
@@ -19,6 +21,25 @@ def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, line_no, line of text files of any size: a file is read in splits, by as many tasks as it has.
+
+    A line's number is its place in its split and the lines of the splits before it in the file; those are counted
+    once, a row for each split. The lines are written once with their places, so that a task that is run again
+    cannot number them otherwise.
+    """
+    raw = spark.read.format("text").option("recursiveFileLookup", "true").load(paths)
+    block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block")]
+    line = F.explode(F.split(F.make_valid_utf8("value"), P.LINE_END)).alias("line")
+    # Rows of a split follow each other in their task, and so do these numbers.
+    placed = store(raw.select(*block, line).withColumn("__at", F.monotonically_increasing_id()))
+    splits = placed.groupBy("path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    numbered = attach(placed, splits, ["path", "__block"])
+    return numbered.select("path", (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line_no"), "line")
+
+
 def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
     """Texts dealt over the tasks by the bytes they come from: lexing a text costs far more than moving it once."""
     return corpus.repartition(task_count(corpus, TEXT_BYTES), by)

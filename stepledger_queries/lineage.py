@@ -4,26 +4,19 @@ from pyspark.sql import functions as F
 
 from stepledger.lineage import graph, lexing, logs, provenance, steps
 from stepledger.lineage import patterns as P
-from stepledger.settings import store
-from stepledger.sources.corpus import manifest_order, pair_sources
+from stepledger.settings import scratch_path, store
+from stepledger.sources.corpus import manifest_order, pair_sources, read_lines
+from stepledger_queries import expressions as X
 from stepledger_queries.base import literal, query, table
 from stepledger_queries.corpora import LOG, PROGRAM, SOURCE, corpus, corpus_sql
 from stepledger_queries.scalars import clean_sql, statements_sql
 
-NOT_WORD = r"(?:^|[^\p{L}\p{N}_])"
-
-
-def ahead(pattern: str) -> str:
-    """A pattern whose look-behind is written as a consumed character."""
-    return literal(pattern.replace(P.NOT_WORD_BEFORE, NOT_WORD))
-
-
 def squeeze_sql(x: str) -> str:
-    return f"trim(regexp_replace({x}, {literal(P.SPACE + '+')}, ' ', 'g'), ' ')"
+    return f"trim(regexp_replace({x}, {literal(X.SPACE + '+')}, ' ', 'g'), ' ')"
 
 
 def ends_sql(x: str) -> str:
-    return f"regexp_replace({x}, {literal('^' + P.SPACE + '+|' + P.SPACE + '+$')}, '', 'g')"
+    return f"regexp_replace({x}, {literal('^' + X.SPACE + '+|' + X.SPACE + '+$')}, '', 'g')"
 
 
 def statements_cte(corpus_text: str) -> str:
@@ -46,17 +39,17 @@ def statements_cte(corpus_text: str) -> str:
 
 def io_cte(corpus_text: str = corpus_sql()) -> str:
     """Common tables down to ``io``: program, idx, dataset, is_write."""
-    options = f"unnest(regexp_extract_all(text, {ahead(P.PROC_OPTION)}, 1)) AS k, unnest(regexp_extract_all(text, {ahead(P.PROC_OPTION)}, 2)) AS name"
+    options = f"unnest(regexp_extract_all(text, {literal(X.PROC_OPTION)}, 1)) AS k, unnest(regexp_extract_all(text, {literal(X.PROC_OPTION)}, 2)) AS name"
     return f"""{statements_cte(corpus_text)},
     named AS (
         SELECT n.program, n.idx, n.word = 'data' AS is_write,
-               unnest(regexp_extract_all(regexp_replace(substring(n.statement, length(n.word) + 1), {literal(P.OPTION_PAIR)}, ' ', 'g'), {literal(P.DATASET_TOKEN)})) AS name, true AS data_step
+               unnest(regexp_extract_all(regexp_replace(substring(n.statement, length(n.word) + 1), {literal(X.OPTION_PAIR)}, ' ', 'g'), {literal(X.DATASET_TOKEN)})) AS name, true AS data_step
         FROM numbered n JOIN steps s ON s.program = n.program AND s.idx = n.idx
         WHERE s.kind = 'data' AND n.word IN ('data', 'set', 'merge', 'update', 'modify')
-        UNION ALL SELECT program, idx, true, unnest(regexp_extract_all(text, {ahead(P.SQL_CREATE)}, 1)), false FROM steps WHERE proc = 'sql'
-        UNION ALL SELECT program, idx, true, unnest(regexp_extract_all(text, {ahead(P.SQL_INSERT)}, 1)), false FROM steps WHERE proc = 'sql'
-        UNION ALL SELECT program, idx, false, unnest(regexp_extract_all(text, {ahead(P.SQL_FROM)}, 1)), false FROM steps WHERE proc = 'sql'
-        UNION ALL SELECT program, idx, false, unnest(regexp_extract_all(text, {ahead(P.SQL_JOIN)}, 1)), false FROM steps WHERE proc = 'sql'
+        UNION ALL SELECT program, idx, true, unnest(regexp_extract_all(text, {literal(X.SQL_CREATE)}, 1)), false FROM steps WHERE proc = 'sql'
+        UNION ALL SELECT program, idx, true, unnest(regexp_extract_all(text, {literal(X.SQL_INSERT)}, 1)), false FROM steps WHERE proc = 'sql'
+        UNION ALL SELECT program, idx, false, unnest(regexp_extract_all(text, {literal(X.SQL_FROM)}, 1)), false FROM steps WHERE proc = 'sql'
+        UNION ALL SELECT program, idx, false, unnest(regexp_extract_all(text, {literal(X.SQL_JOIN)}, 1)), false FROM steps WHERE proc = 'sql'
         UNION ALL SELECT program, idx, lower(k) IN ('out', 'outest', 'base'), name, false FROM (SELECT program, idx, {options} FROM steps WHERE kind = 'proc' AND proc <> 'sql')
     ),
     plain AS (SELECT program, idx, is_write, lower({squeeze_sql("regexp_replace(name, '[(].*$', '', 's')")}) AS name, data_step FROM named),
@@ -77,13 +70,13 @@ def edges_cte(corpus_text: str = corpus_sql()) -> str:
 
 LINES = f"""
     corpus AS ({corpus_sql(LOG)}),
-    split AS (SELECT program, regexp_split_to_array(text, {literal(P.LINE_END)}) AS ls FROM corpus),
+    split AS (SELECT program, regexp_split_to_array(text, {literal(X.LINE_END)}) AS ls FROM corpus),
     lines AS (SELECT program, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM split)
 """
 CODE = f"""{LINES},
     code AS (SELECT program, string_agg(c, chr(10) ORDER BY line_no) || chr(10) AS text FROM (
-        SELECT program, line_no, regexp_replace(regexp_extract(line, {literal(P.EXPANDED)}, 1), {literal(P.SPACE + '+$')}, '') AS c
-        FROM lines WHERE regexp_matches(line, {literal(P.EXPANDED)})) WHERE c <> '' GROUP BY program),
+        SELECT program, line_no, regexp_replace(regexp_extract(line, {literal(X.EXPANDED)}, 1), {literal(X.SPACE + '+$')}, '') AS c
+        FROM lines WHERE regexp_matches(line, {literal(X.EXPANDED)})) WHERE c <> '' GROUP BY program),
     flat AS (SELECT corpus.program, coalesce(code.text, corpus.text) AS text FROM corpus LEFT JOIN code USING (program))
 """
 
@@ -96,9 +89,9 @@ def flat_corpus(spark, sf_dir):
     "f9_log_lines",
     f"""
     WITH {LINES}
-    SELECT program, CAST(line_no AS BIGINT) AS line_no, regexp_extract(line, {literal(P.EXPANDED)}, 1) AS code,
-           regexp_matches(line, {literal(P.LOG_NOISE)}) AS noise
-    FROM lines WHERE regexp_matches(line, {literal(P.EXPANDED)}) OR regexp_matches(line, {literal(P.LOG_NOISE)})
+    SELECT program, CAST(line_no AS BIGINT) AS line_no, regexp_extract(line, {literal(X.EXPANDED)}, 1) AS code,
+           regexp_matches(line, {literal(X.LOG_NOISE)}) AS noise
+    FROM lines WHERE regexp_matches(line, {literal(X.EXPANDED)}) OR regexp_matches(line, {literal(X.LOG_NOISE)})
     """,
 )
 def f9_log_lines(spark, sf_dir):
@@ -112,20 +105,20 @@ def f9_log_lines(spark, sf_dir):
 
 
 SYMBOLS = f"""{LINES},
-    found AS (SELECT program, line_no, upper(regexp_extract(line, {literal(P.SYMBOL)}, 1)) AS variable,
-                     {ends_sql(f"regexp_extract(line, {literal(P.SYMBOL)}, 2)")} AS value
-              FROM lines WHERE regexp_matches(line, {literal(P.SYMBOL)})),
+    found AS (SELECT program, line_no, upper(regexp_extract(line, {literal(X.SYMBOL)}, 1)) AS variable,
+                     {ends_sql(f"regexp_extract(line, {literal(X.SYMBOL)}, 2)")} AS value
+              FROM lines WHERE regexp_matches(line, {literal(X.SYMBOL)})),
     symbols AS (SELECT program, variable, arg_max(value, line_no) AS value FROM found GROUP BY 1, 2),
-    logic AS (SELECT program, line FROM lines WHERE NOT regexp_matches(line, {literal(P.SYMBOL)})
-              AND NOT regexp_matches(line, {literal(P.EXPANDED_NAMED)}) AND contains(upper(line), 'MLOGIC')),
+    logic AS (SELECT program, line FROM lines WHERE NOT regexp_matches(line, {literal(X.SYMBOL)})
+              AND NOT regexp_matches(line, {literal(X.EXPANDED_NAMED)}) AND contains(upper(line), 'MLOGIC')),
     structural AS (SELECT DISTINCT * FROM (
-        SELECT program, upper(regexp_extract(line, {literal(P.LOOP_INDEX)}, 1)) AS variable, 'loop' AS role FROM logic
-        UNION ALL SELECT program, upper(regexp_extract(line, {literal(P.PARAMETER)}, 1)), 'parameter' FROM logic) WHERE variable <> ''),
+        SELECT program, upper(regexp_extract(line, {literal(X.LOOP_INDEX)}, 1)) AS variable, 'loop' AS role FROM logic
+        UNION ALL SELECT program, upper(regexp_extract(line, {literal(X.PARAMETER)}, 1)), 'parameter' FROM logic) WHERE variable <> ''),
     emitted AS (SELECT DISTINCT program, macro, statement FROM (
         SELECT program, macro, lower({squeeze_sql(f"regexp_replace({squeeze_sql('piece')}, ';+$', '')")}) AS statement FROM (
-            SELECT program, upper(regexp_extract(line, {literal(P.EXPANDED_NAMED)}, 1)) AS macro,
-                   unnest(string_split(regexp_extract(line, {literal(P.EXPANDED_NAMED)}, 2), ';')) AS piece
-            FROM lines WHERE regexp_matches(line, {literal(P.EXPANDED_NAMED)}) AND NOT regexp_matches(line, {literal(P.SYMBOL)})))
+            SELECT program, upper(regexp_extract(line, {literal(X.EXPANDED_NAMED)}, 1)) AS macro,
+                   unnest(string_split(regexp_extract(line, {literal(X.EXPANDED_NAMED)}, 2), ';')) AS piece
+            FROM lines WHERE regexp_matches(line, {literal(X.EXPANDED_NAMED)}) AND NOT regexp_matches(line, {literal(X.SYMBOL)})))
         WHERE statement NOT IN ('', 'run', 'quit', 'endsas'))
 """
 
@@ -148,7 +141,7 @@ def a11_emitted_statements(spark, sf_dir):
 @query(
     "l1_log_detection",
     f"""
-    WITH {LINES} SELECT program, bool_or(regexp_matches(line, {literal(P.EXPANDED)}) OR regexp_matches(line, {literal(P.LOG_NOISE)})) AS is_log
+    WITH {LINES} SELECT program, bool_or(regexp_matches(line, {literal(X.EXPANDED)}) OR regexp_matches(line, {literal(X.LOG_NOISE)})) AS is_log
     FROM lines GROUP BY program
     """,
 )
@@ -186,18 +179,18 @@ def l3_log_facts(spark, sf_dir):
     "l4_let_variables",
     f"""
     WITH c AS ({corpus_sql(SOURCE)})
-    SELECT DISTINCT program, upper(v) AS variable FROM (SELECT program, unnest(regexp_extract_all(text, {literal(P.LET)}, 1)) AS v FROM c)
+    SELECT DISTINCT program, upper(v) AS variable FROM (SELECT program, unnest(regexp_extract_all(text, {literal(X.LET)}, 1)) AS v FROM c)
     """,
 )
 def l4_let_variables(spark, sf_dir):
     return logs.let_variables(corpus(spark, sf_dir, SOURCE))
 
 
-DEFINITION_SQL = literal(P.DEFINITION.replace(rf"(?!{P.WORD})", r"\b"))
+DEFINITION_SQL = literal(X.DEFINITION)
 DEFINITIONS = f"""
     sources AS ({corpus_sql(SOURCE)}),
     bodies AS (SELECT program, unnest(regexp_extract_all(text, {DEFINITION_SQL})) AS body FROM sources),
-    definitions AS (SELECT program, upper(regexp_extract(body, {literal(P.DEFINITION_NAME)}, 1)) AS macro, {ends_sql("body")} AS definition FROM bodies)
+    definitions AS (SELECT program, upper(regexp_extract(body, {literal(X.DEFINITION_NAME)}, 1)) AS macro, {ends_sql("body")} AS definition FROM bodies)
 """
 
 
@@ -207,8 +200,8 @@ def j14_macro_definitions(spark, sf_dir):
 
 
 DERIVED = f"""{SYMBOLS},
-    lets AS (SELECT DISTINCT program, upper(v) AS variable FROM (SELECT program, unnest(regexp_extract_all(text, {literal(P.LET)}, 1)) AS v FROM ({corpus_sql(SOURCE)}))),
-    derived AS (SELECT program, variable, value FROM symbols s WHERE regexp_matches(value, {literal(P.NUMBER)})
+    lets AS (SELECT DISTINCT program, upper(v) AS variable FROM (SELECT program, unnest(regexp_extract_all(text, {literal(X.LET)}, 1)) AS v FROM ({corpus_sql(SOURCE)}))),
+    derived AS (SELECT program, variable, value FROM symbols s WHERE regexp_matches(value, {literal(X.NUMBER)})
         AND NOT EXISTS (SELECT 1 FROM structural x WHERE x.program = s.program AND x.variable = s.variable)
         AND NOT EXISTS (SELECT 1 FROM lets x WHERE x.program = s.program AND x.variable = s.variable))
 """
@@ -424,10 +417,83 @@ def l11_project_edges(spark, sf_dir):
     return graph.edges(steps.step_io(numbered, "project"), "project")
 
 
-@query("l12_graph_export")
+@query(
+    "l12_graph_export",
+    f"""
+    WITH RECURSIVE {edges_cte()},
+    target AS (SELECT program, idx, min(CASE WHEN dataset = 'work.rejects' THEN 'zz' ELSE '' END || regexp_replace(dataset, '^[^.]*[.]', '')) AS name FROM io WHERE is_write GROUP BY 1, 2),
+    sides AS (SELECT program, idx, coalesce(list(dataset ORDER BY dataset) FILTER (NOT is_write), []) AS inputs, coalesce(list(dataset ORDER BY dataset) FILTER (is_write), []) AS outputs FROM io GROUP BY 1, 2),
+    nodes AS (SELECT program, idx, 'step' || lpad(CAST(idx AS VARCHAR), 3, '0') || '_' || CASE kind WHEN 'proc' THEN 'proc_' || proc WHEN 'data' THEN 'data_' || name ELSE 'other' END AS label,
+                     kind, proc, coalesce(inputs, []) AS inputs, coalesce(outputs, []) AS outputs
+              FROM steps LEFT JOIN target USING (program, idx) LEFT JOIN sides USING (program, idx)),
+    d(program, idx, depth) AS (
+        SELECT program, idx, 0 FROM (SELECT DISTINCT program, idx FROM steps) s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.program = s.program AND e.dst = s.idx)
+        UNION SELECT e.program, e.dst, d.depth + 1 FROM d JOIN edges e ON e.program = d.program AND e.src = d.idx)
+    SELECT program, 'node' AS part, CAST(to_json({{'idx': idx, 'label': label, 'kind': kind, 'proc': proc, 'inputs': inputs, 'outputs': outputs}}) AS VARCHAR) AS json FROM nodes
+    UNION ALL SELECT DISTINCT program, 'edge', '{{"from":' || src || ',"to":' || dst || '}}' FROM edges
+    UNION ALL SELECT DISTINCT program, 'external', '{{"dataset":"' || dataset || '"}}' FROM io r
+        WHERE NOT is_write AND NOT EXISTS (SELECT 1 FROM io w WHERE w.program = r.program AND w.dataset = r.dataset AND w.is_write AND w.idx < r.idx)
+    UNION ALL SELECT DISTINCT program, 'final', '{{"dataset":"' || dataset || '"}}' FROM io w
+        WHERE is_write AND NOT EXISTS (SELECT 1 FROM io r WHERE r.program = w.program AND r.dataset = w.dataset AND NOT r.is_write)
+    UNION ALL SELECT program, 'layer', '{{"idx":' || idx || ',"depth":' || max(depth) || '}}' FROM d GROUP BY program, idx
+    """,
+)
 def l12_graph_export(spark, sf_dir):
+    """The names of a step in order of the alphabet, which the checking engine can state."""
     found, _, pairs = part_graph(spark, sf_dir)
-    return graph.graph_json(found, pairs)
+    return graph.graph_json(found.withColumns({c: F.array_sort(c) for c in ("inputs", "outputs")}), pairs)
+
+
+FILES = f"""
+    texts AS (SELECT p_partkey % 20 AS program, p_partkey, {LOG} AS text FROM part),
+    pieces AS (SELECT program, p_partkey, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts),
+    lines AS (SELECT program, line, row_number() OVER (PARTITION BY program ORDER BY p_partkey, i) AS line_no FROM pieces)
+"""
+
+
+def log_files(spark, sf_dir):
+    """Lines of twenty log files, each of many sessions, written to the shared folder and read back in splits."""
+    part = table(spark, sf_dir, "part").select(F.expr("p_partkey % 20").alias("program"), "p_partkey", F.expr(LOG).alias("text"))
+    rows = part.select("program", "p_partkey", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    folder = scratch_path(spark, "logs")
+    rows.repartition(20, "program").sortWithinPartitions("program", "p_partkey", "i").select("program", "line").write.partitionBy("program").text(folder)
+    name = F.regexp_extract("path", r"program=(\d+)", 1).cast("long")
+    return read_lines(spark, folder).withColumn("program", name)
+
+
+@query("s10_file_lines", f"WITH {FILES} SELECT program, line_no, md5(line) AS digest FROM lines")
+def s10_file_lines(spark, sf_dir):
+    return log_files(spark, sf_dir).select("program", "line_no", F.md5("line").alias("digest"))
+
+
+@query(
+    "l2_flatten_files",
+    f"""
+    WITH {FILES}, code AS (SELECT program, line_no, rtrim(regexp_extract(line, {literal(X.EXPANDED)}, 1)) AS line FROM lines WHERE regexp_matches(line, {literal(X.EXPANDED)}))
+    SELECT program, line_no, line FROM code WHERE line <> ''
+    UNION ALL SELECT program, line_no, line FROM lines WHERE program NOT IN (SELECT program FROM code WHERE line <> '')
+    """,
+)
+def l2_flatten_files(spark, sf_dir):
+    return logs.flatten_lines(log_files(spark, sf_dir))
+
+
+@query(
+    "l3_file_facts",
+    f"""
+    WITH {FILES},
+    symbols AS (SELECT program, regexp_extract(line, {literal(X.SYMBOL)}, 1) AS name, arg_max(trim(regexp_extract(line, {literal(X.SYMBOL)}, 2)), line_no) AS detail
+                FROM lines WHERE regexp_matches(line, {literal(X.SYMBOL)}) GROUP BY 1, 2)
+    SELECT program, 'symbol' AS role, name, detail FROM symbols
+    UNION SELECT program, 'loop', regexp_extract(line, {literal(X.LOOP_INDEX)}, 1), NULL FROM lines WHERE regexp_matches(line, {literal(X.LOOP_INDEX)})
+    UNION SELECT program, 'parameter', regexp_extract(line, {literal(X.PARAMETER)}, 1), NULL FROM lines WHERE regexp_matches(line, {literal(X.PARAMETER)})
+    """,
+)
+def l3_file_facts(spark, sf_dir):
+    facts = logs.harvest_lines(log_files(spark, sf_dir))
+    symbols = facts.symbols.select("program", F.lit("symbol").alias("role"), F.col("variable").alias("name"), F.col("value").alias("detail"))
+    none = F.lit(None).cast("string")
+    return symbols.unionByName(facts.structural.select("program", "role", F.col("variable").alias("name"), none.alias("detail")))
 
 
 @query(

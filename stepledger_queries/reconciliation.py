@@ -157,6 +157,42 @@ def r5_cell_diff(spark, sf_dir):
     )
 
 
+@query(
+    "r5_aligned_cells",
+    """
+    WITH k AS (SELECT *, o_orderkey AS key FROM orders WHERE o_orderkey % 500 <> 3)
+    SELECT key, 'o_orderstatus' AS column_name, CASE WHEN key % 250 = 9 THEN 'X' ELSE 'Y' END AS actual, o_orderstatus AS golden FROM k WHERE key % 250 = 9 OR key % 500 = 77
+    UNION ALL SELECT key, 'o_orderpriority', 'none', o_orderpriority FROM k WHERE key % 500 = 77
+    UNION ALL SELECT key, 'o_custkey', CAST(o_custkey + 1000000 AS VARCHAR), CAST(o_custkey AS VARCHAR) FROM k WHERE key % 250 = 31
+    UNION ALL SELECT key, 'o_orderkey', CAST(key + 10000000 AS VARCHAR), CAST(key AS VARCHAR) FROM k WHERE key % 700 = 13
+    UNION ALL SELECT key, 'o_totalprice', CAST(CAST(o_totalprice + 1000 AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM k WHERE key % 100 = 7
+    UNION ALL SELECT o_orderkey, NULL, NULL, 'only in golden' FROM orders WHERE o_orderkey % 500 = 3
+    """,
+)
+def r5_aligned_cells(spark, sf_dir):
+    """Orders against a copy with changed cells, one or two in a row and once the key itself, compared without naming a key."""
+    golden = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    changed = {
+        "o_orderstatus": F.when(k % 250 == 9, "X").when(k % 500 == 77, "Y"),
+        "o_orderpriority": F.when(k % 500 == 77, "none"),
+        "o_custkey": F.when(k % 250 == 31, F.col("o_custkey") + 1_000_000),
+        "o_totalprice": F.when(k % 100 == 7, F.col("o_totalprice") + 1000),
+        "o_orderkey": F.when(k % 700 == 13, k + 10_000_000),
+    }
+    actual = golden.filter(k % 500 != 3).withColumns({c: F.coalesce(v, F.col(c)) for c, v in changed.items()})
+    diff = R.aligned_diff(actual, golden)
+    keys = diff.rows.select("pair", F.coalesce("golden.o_orderkey", "actual.o_orderkey").alias("key"))
+    number = F.col("column_name") == "o_totalprice"
+    text = lambda c: F.when(number, F.col(c).cast("decimal(18,2)").cast("string")).otherwise(F.col(c)).alias(c)
+    cells = diff.cells.join(keys, "pair").select("key", "column_name", text("actual"), text("golden"))
+    none = F.lit(None).cast("string")
+    alone = diff.rows.filter("issue <> 'changed'").select(
+        F.coalesce("golden.o_orderkey", "actual.o_orderkey").alias("key"), none.alias("column_name"), none.alias("actual"), F.col("issue").alias("golden")
+    )
+    return cells.unionByName(alone)
+
+
 @query(
     "o3_tolerance_pairing",
     """

@@ -7,6 +7,7 @@ from stepledger.lineage import lexing, logs
 from stepledger.lineage import patterns as P
 from stepledger.plans.changes import definition_fingerprint
 from stepledger.sources.corpus import spread
+from stepledger_queries import expressions as X
 from stepledger_queries.base import literal, query, table
 
 
@@ -143,7 +144,7 @@ def f8_special_missing(spark, sf_dir):
 @query(
     "f11_numeric_literal",
     f"""
-    SELECT event_id, regexp_matches(k, {literal(P.NUMBER)}) AS number_k, regexp_matches(event_type, {literal(P.NUMBER)}) AS number_type
+    SELECT event_id, regexp_matches(k, {literal(X.NUMBER)}) AS number_k, regexp_matches(event_type, {literal(X.NUMBER)}) AS number_type
     FROM (SELECT event_id, event_type, regexp_extract(props, ': ([^}}]*)', 1) AS k FROM events)
     """,
 )
@@ -155,9 +156,8 @@ def f11_numeric_literal(spark, sf_dir):
     )
 
 
-# The lexing patterns without possessive marks, which the checking engine does not need.
-COMMENT_SQL = literal(P.COMMENT_TOKEN.replace("*+", "*").replace("]++", "]+"))
-STATEMENT_SQL = literal(P.STATEMENT.replace("*+", "*").replace("]++", "]+").replace(")++", ")+"))
+COMMENT_SQL = literal(X.COMMENT_TOKEN)
+STATEMENT_SQL = literal(X.STATEMENT)
 
 
 def clean_sql(text_sql: str) -> str:

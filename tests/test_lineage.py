@@ -11,6 +11,7 @@ from stepledger.lineage import lexing as X
 from stepledger.lineage import logs as L
 from stepledger.lineage import provenance as V
 from stepledger.lineage import steps as T
+from stepledger.sources import corpus as C
 
 
 def programs(spark, *texts):
@@ -155,7 +156,9 @@ def test_downstream(spark):
 def test_graph_json(spark):
     steps = T.extract_steps(programs(spark, PRICING))
     rows = G.graph_json(steps, G.edges(T.step_io(steps))).collect()
-    assert sum(r["part"] == "node" for r in rows) == 5 and sum(r["part"] == "edge" for r in rows) == 4
+    parts = [r["part"] for r in rows]
+    assert {p: parts.count(p) for p in set(parts)} == {"node": 5, "edge": 4, "external": 2, "final": 1, "layer": 5}
+    assert {r["json"] for r in rows if r["part"] in ("external", "final")} == {f'{{"dataset":"{d}"}}' for d in ("raw.accts", "raw.rates", "work.last")}
     assert '{"from":0,"to":2}' in {r["json"] for r in rows}
 
 
@@ -333,3 +336,46 @@ def test_versions_of_datasets(spark, heavy):
         ("p0", "work.x", "work.x@0"), ("p1", "r.z", "work.a@0"), ("p1", "work.a@0", "work.a@1"),
         ("p1", "work.a@1", "work.b@2"), ("p1", "work.b@2", "work.a@3"),
     }
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are cut every 300 bytes, wherever that falls in a line."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in zip(keys, ("300", "1", "1")):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_log_of_many_splits_equals_one_text(spark, tmp_path, tiny_splits):
+    """Line numbers, flattened code and facts; lines longer than a split, every line end, bytes that are no text."""
+    rnd = random.Random(31)
+    texts = {"a": LOG * 12, "b": "plain code;\r\nrun;\r\n" * 60, "c": "", "d": "x" * 1500 + "\n" + LOG + "no end", "e": "\n\n\r\r\n\x0bq\x85z\n"}
+    texts["f"] = "".join(rnd.choice([*LOG.splitlines(keepends=True), "\n", "SYMBOLGEN:  Macro variable SURGE resolves to é9\n"]) for _ in range(300))
+    for name, text in texts.items():
+        (tmp_path / f"{name}.log").write_bytes(text.encode())
+    (tmp_path / "g.log").write_bytes(b"NOTE: \xff\xfe\n" + LOG.encode())
+    texts["g"] = "NOTE: \ufffd\ufffd\n" + LOG
+    found = C.read_lines(spark, str(tmp_path)).withColumn("program", C.stem(C.file_name(F.col("path"))))
+    assert found.select(F.countDistinct("path")).first()[0] == 6
+    corpus = spark.createDataFrame(list(texts.items()), "program string, text string")
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    whole = [r for r in L.numbered_lines(corpus).collect()]
+    last = {p: max(r["line_no"] for r in whole if r["program"] == p) for p in texts}
+    # A text that ends its last line has an empty one after it, which a file has not.
+    want = [(r["program"], r["line_no"], r["line"]) for r in whole if r["line"] or r["line_no"] < last[r["program"]]]
+    assert key(found.select("program", "line_no", "line").collect()) == sorted(want)
+    flat = {}
+    for r in sorted(L.flatten_lines(found).collect(), key=lambda r: r["line_no"]):
+        flat.setdefault(r["program"], []).append(r["line"])
+    for r in corpus.select("program", L.flatten(F.col("text")).alias("t")).collect():
+        expanded = "MPRINT" in texts[r["program"]]
+        lines_of = r["t"].split("\n")[:-1] if expanded else [w[2] for w in sorted(want) if w[0] == r["program"]]
+        assert flat.get(r["program"], []) == lines_of
+    a, b = L.harvest_lines(found), L.harvest(corpus)
+    for t in ("symbols", "structural", "emitted"):
+        columns = sorted(getattr(b, t).columns)
+        assert key(getattr(a, t).select(columns).collect()) == key(getattr(b, t).select(columns).collect())

@@ -9,8 +9,6 @@ import __spark_entry__ as contract
 from stepledger_queries import ORACLE, QUERIES
 from tools.check_queries import rows_of
 
-# Node JSON holds nested arrays, which the checking engine writes differently.
-WITHOUT_SQL = {"l12_graph_export"}
 SAMPLE = [
     "a4_slice_aggregate",
     "a8_profile",
@@ -41,8 +39,7 @@ def db(sf_dir):
 
 
 def test_every_query_has_its_check():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 

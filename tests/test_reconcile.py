@@ -245,3 +245,35 @@ def test_decimals_that_no_type_holds_are_compared(spark):
     five = spark.sql("select cast('5' as decimal(38,0)) as v")
     assert R.value_diff(wide, fine).rows.count() == 2
     assert R.value_diff(five, spark.sql("select cast('5' as decimal(38,8)) as v")).rows.count() == 0
+
+
+def test_rows_without_a_key_meet_the_row_they_differ_least_from(spark, heavy):
+    """Cells of any type changed, one or two a row; copies; rows that have no partner."""
+    rnd = random.Random(29)
+    rows = [(rnd.choice("pqrs"), rnd.randint(0, 400), rnd.choice(["north", None]), float(rnd.randint(0, 900)), rnd.randint(0, 50)) for _ in range(70)]
+    kinds = "a string, b int, c string, d double, e int"
+    names = "abcde"
+    changed, want = [], []
+    for i, r in enumerate(rows):
+        r = list(r)
+        for at in rnd.sample(range(5), (0, 0, 1, 2)[i % 4]):
+            new = {"a": "z", "b": 1000 + i, "c": "south", "d": 5000.5 + i, "e": 100 + i}[names[at]]
+            want.append((names[at], str(new), None if r[at] is None else str(r[at])))
+            r[at] = new
+        changed.append(tuple(r))
+    extra = [("w", 7777, "x", -1.0, -5)] * 3
+    golden, actual = spark.createDataFrame(rows, kinds), spark.createDataFrame(changed + extra, kinds).repartition(3)
+    diff = R.aligned_diff(actual, golden)
+    found = [(r["column_name"], r["actual"], r["golden"]) for r in diff.cells.collect() for _ in range(r["copies"])]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    alone = [(r["issue"], r["actual"]["b"], r["copies"]) for r in diff.rows.filter("issue <> 'changed'").collect()]
+    assert alone == [("only in actual", 7777, 3)]
+
+
+def test_alignment_of_copies_and_of_rows_too_far_apart(spark):
+    golden = spark.createDataFrame([("a", 1, 1)] * 5 + [("b", 2, 2)], "s string, x int, y int")
+    actual = spark.createDataFrame([("a", 1, 9)] * 3 + [("c", 3, 3)], "s string, x int, y int")
+    rows = sorted((r["issue"], r["copies"], r["differs"]) for r in R.aligned_diff(actual, golden).rows.collect())
+    assert rows == [("changed", 3, ["y"]), ("only in actual", 1, []), ("only in golden", 1, []), ("only in golden", 2, [])]
+    same = R.aligned_diff(golden, golden)
+    assert same.rows.count() == 0 and same.cells.count() == 0
