@@ -333,11 +333,11 @@ def group(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all its columns; texts without words stay, one for each id."""
-    at = fresh(docs, "_digest")
-    kept = group(docs, rule, doc_id, text).filter("first").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept")).distinct()
+    at, its_id, its_digest = (fresh(docs, n) for n in ("_digest", "_id", "_kept"))
+    kept = group(docs, rule, doc_id, text).filter("first").select(F.col("doc_id").alias(its_id), F.col("digest").alias(its_digest)).distinct()
     rows = docs.withColumn(at, digest(whole(F.col(text))))
     return (
-        rows.join(kept, (F.col(at) == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+        rows.join(kept, (F.col(at) == F.col(its_digest)) & F.col(doc_id).eqNullSafe(F.col(its_id)), "left_semi")
         .dropDuplicates([doc_id, at])
         .drop(at)
     )

@@ -1,16 +1,18 @@
 """Quality rules with host verdicts: documents are measured, hosts judged from their documents' failures.
 
-Each document is measured by built-in expressions inside its own row. Failures are then counted
+Each document is measured by built-in expressions inside its own row. Failures of each style rule are then counted
 by host, each host's rate is shrunk towards the rate of all hosts by a beta prior fitted to the
 hosts themselves, and the verdict goes back to the documents: a document always has to pass the
-base rules, and in a host whose shrunk rate is high it has to pass the style rules as well. A
-clean document is kept in any host.
+base rules and must not be full of symbols, whatever its host; and it has to pass each style rule for which its host
+is under suspicion, that is, fails clearly more often than hosts in general. A clean document is kept in any host.
 
 Only counts by host are shuffled; a host with a third of the documents is summed before that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ MOST_REPEATED = 50  # percent of the words
 MOST_SYMBOLS = 10  # symbols per hundred words
 MOST_DUP_LINES = 30  # percent of the lines with a word
 WORD_LENGTH = (3, 12)  # mean code points of a word
+GRAVE_SYMBOLS = 20  # symbols per hundred words that are too many in any host
 ALIKE = 1e-12  # variance of the hosts' rates up to which they count as equal
-HOST_RATE = 0.5  # shrunk failure rate from which a host is under suspicion
+SUSPECT = 1.05  # a host's shrunk failure rate over the mean of the prior, from which it is under suspicion
 
 
 def _repeats(hashed: str) -> Column:
@@ -86,58 +89,69 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < LEAST_WORDS) | (100 * q["n_repeat_words"] > MOST_REPEATED * q["n_words"])
 
 
-def style_failed(q: Column) -> Column:
+def style_rules(q: Column) -> dict[str, Column]:
+    """For each style rule whether a document fails it."""
     short, long = WORD_LENGTH
-    return (
-        (100 * q["n_symbols"] > MOST_SYMBOLS * q["n_words"])
-        | (100 * q["n_dup_lines"] > MOST_DUP_LINES * q["n_lines"])
-        | (q["word_chars"] < short * q["n_words"])
-        | (q["word_chars"] > long * q["n_words"])
-    )
+    return {
+        "symbols": 100 * q["n_symbols"] > MOST_SYMBOLS * q["n_words"],
+        "dup_lines": 100 * q["n_dup_lines"] > MOST_DUP_LINES * q["n_lines"],
+        "word_length": (q["word_chars"] < short * q["n_words"]) | (q["word_chars"] > long * q["n_words"]),
+    }
 
 
-def host_rates(judged: DataFrame, host: str, failed: Column) -> DataFrame:
-    """Per host: documents, failures and ``rate``, shrunk by a beta prior with the moments of the hosts' rates.
+def grave(q: Column) -> Column:
+    return 100 * q["n_symbols"] > GRAVE_SYMBOLS * q["n_words"]
 
-    Where all hosts fail alike, or there is one host, every host has that common rate.
+
+def host_rates(judged: DataFrame, host: str, rules: Mapping[str, Column]) -> DataFrame:
+    """Per host the number of documents and for each rule a struct: ``n_failed``, ``rate`` and ``common``.
+
+    ``rate`` is shrunk by a beta prior with the moments of the hosts' rates, ``common`` is the mean of the prior. Where
+    all hosts fail alike, or there is one host, every host has the common rate.
     """
     per = judged.groupBy(F.col(host)).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")
+        F.count(F.lit(1)).alias("n_docs"), *[F.sum(failed.cast("long")).alias(name) for name, failed in rules.items()]
     )
-    raw = F.col("n_failed") / F.col("n_docs")
     # The prior is one row.
-    prior = per.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v")).withColumn("one", F.lit(1))
-    m, v = F.col("m"), F.col("v")
-    strength = m * (1 - m) / v - 1
-    rate = (
-        F.when(v <= ALIKE, m)
-        .when(v >= m * (1 - m), raw)
-        .otherwise((F.col("n_failed") + m * strength) / (F.col("n_docs") + strength))
-    )
-    per = per.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")
-    return per.withColumn("rate", rate).drop("one", "m", "v")
+    prior = per.agg(
+        *[F.avg(F.col(r) / F.col("n_docs")).alias(f"{r}_m") for r in rules],
+        *[F.var_pop(F.col(r) / F.col("n_docs")).alias(f"{r}_v") for r in rules],
+    ).withColumn("one", F.lit(1))
+
+    def judged_by(r: str) -> Column:
+        n, k, m, v = F.col("n_docs"), F.col(r), F.col(f"{r}_m"), F.col(f"{r}_v")
+        strength = m * (1 - m) / v - 1
+        rate = F.when(v <= ALIKE, m).when(v >= m * (1 - m), k / n).otherwise((k + m * strength) / (n + strength))
+        return F.struct(k.alias("n_failed"), rate.alias("rate"), m.alias("common")).alias(r)
+
+    both = per.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")
+    return both.select(F.col(host), "n_docs", *[judged_by(r) for r in rules])
 
 
 def judge(
     docs: DataFrame, text: str = "text", host: str = "source", out: str = "quality", keep_text: bool = True
 ) -> DataFrame:
-    """``docs`` with the struct ``out``: the counts, ``base_failed``, ``style_failed``, the host's ``rate`` and ``kept``.
+    """``docs`` with the struct ``out``: the counts, ``base_failed``, ``style_failed`` (rules), ``suspect`` (rules) and ``kept``.
 
-    Null hosts form one host. Empty texts fail for want of words. Tables without rows give none.
+    ``suspect`` names the rules for which the host is under suspicion. Null hosts form one host. Empty texts fail for
+    want of words. Tables without rows give none.
     The measured rows are written once, since both the hosts and the documents read them.
     """
     q = F.col(out)
-    measured = measure(docs, text, out).withColumn(
-        out, q.withField("base_failed", base_failed(q)).withField("style_failed", style_failed(q))
-    )
+    measured = measure(docs, text, out).withColumn(out, q.withField("base_failed", base_failed(q)))
     measured = store(measured if keep_text else measured.drop(text))
-    at = fresh(measured, "_rate")
-    rates = host_rates(measured, host, q["base_failed"] | q["style_failed"])
-    rates = rates.select(F.col(host), F.col("rate").alias(at))
-    kept = ~q["base_failed"] & ~(q["style_failed"] & (F.col(at) >= HOST_RATE))
-    return attach(measured, rates, [host]).withColumn(
-        out, q.withField("rate", F.col(at)).withField("kept", kept)
-    ).drop(at)
+    rules = style_rules(q)
+    at = fresh(measured, "_suspect")
+    above = [F.when(F.col(r)["rate"] > SUSPECT * F.col(r)["common"], F.lit(r)) for r in rules]
+    rates = host_rates(measured.select(F.col(host), q), host, rules)
+    rates = rates.select(F.col(host), F.array_compact(F.array(*above)).alias(at))
+    failed = F.array_compact(F.array(*[F.when(fails, F.lit(r)) for r, fails in rules.items()]))
+    kept = ~q["base_failed"] & ~grave(q) & ~F.arrays_overlap(failed, F.col(at))
+    return (
+        attach(measured, rates, [host])
+        .withColumn(out, q.withField("style_failed", failed).withField("suspect", F.col(at)).withField("kept", kept))
+        .drop(at)
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:

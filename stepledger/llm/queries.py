@@ -175,21 +175,25 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM d LEFT JOIN covered ON covered.r = d.r LEFT JOIN lines ON lines.r = d.r),
     f AS (
       SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines
-               OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS style_failed
+             100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup_lines,
+             word_chars < 3 * n_words OR word_chars > 12 * n_words AS word_length
       FROM m),
     h AS (
-      SELECT source, count(*) AS n, sum((base_failed OR style_failed)::INT) AS k FROM f GROUP BY source),
+      SELECT source, rule, count(*) AS n, sum(failed::INT) AS k
+      FROM (UNPIVOT (SELECT source, symbols, dup_lines, word_length FROM f) ON symbols, dup_lines, word_length INTO NAME rule VALUE failed)
+      GROUP BY source, rule),
     prior AS (
-      SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-    rates AS (
-      SELECT source, CASE WHEN v <= 1e-12 THEN m WHEN v >= m * (1 - m) THEN k / n
-               ELSE (k + m * (m * (1 - m) / v - 1)) / (n + (m * (1 - m) / v - 1)) END AS rate
-      FROM h, prior)
+      SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM h GROUP BY rule),
+    suspects AS (
+      SELECT source, rule FROM h JOIN prior USING (rule)
+      WHERE 1.05 * m < CASE WHEN v <= 1e-12 THEN m WHEN v >= m * (1 - m) THEN k / n
+               ELSE (k + m * (m * (1 - m) / v - 1)) / (n + (m * (1 - m) / v - 1)) END)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-           NOT base_failed AND NOT (style_failed AND rate >= 0.5) AS kept
-    FROM f JOIN rates ON f.source IS NOT DISTINCT FROM rates.source
+           NOT base_failed AND NOT 100 * n_symbols > 20 * n_words AND NOT EXISTS (
+             FROM suspects s WHERE s.source IS NOT DISTINCT FROM f.source
+             AND ((rule = 'symbols' AND symbols) OR (rule = 'dup_lines' AND dup_lines) OR (rule = 'word_length' AND word_length))) AS kept
+    FROM f
     """,
 )
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ effect and its delta is overwritten by the next try; one that is committed alrea
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -63,7 +65,7 @@ class TokenRollup:
 
     def _read(self, part: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}")
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{part}")
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema)
 
@@ -73,15 +75,18 @@ class TokenRollup:
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Apply ``rows`` (from ``changes``) as ``batch``; false if it was committed before.
 
-        A hot source is summed in the tasks that read it, before anything is shuffled.
+        Any text is an id, the empty one too; none is an error, as such a batch could not be told from another. A hot source is summed in the tasks that read it, before anything is shuffled.
         """
+        if not isinstance(batch, str):
+            raise TypeError("a batch is named by a text")
         if self.committed().filter(F.col("batch") == batch).take(1):
             return False
         sums = rows.groupBy(*KEYS).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("_rows")
         )
-        path = f"{self.folder}/deltas/batch={batch}"
-        sums.write.mode("overwrite").parquet(path)
+        # The id is data, never part of a path: the folder is named by its hash.
+        path = f"{self.folder}/deltas/part-{hashlib.sha256(batch.encode()).hexdigest()}"
+        sums.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(path)
         counted = self.spark.read.parquet(path).agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("changes"))
         counted.select(F.lit(batch).alias("batch"), "changes").write.mode("append").parquet(f"{self.folder}/log")
         return True

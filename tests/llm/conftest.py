@@ -14,7 +14,7 @@ def odd(spark, tmp_path_factory):
     import random
 
     full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("odd", "none"))
-    extra = [(True, "s", "q", 1, "p", "n", "x", 2)]
+    extra = [(True, "s", "q", 1, "p", "n", "x", 2, 3, "k")]
     pick = random.Random(3)
     tables = {
         "documents": (plain.COLUMNS + plain.EXTRA, [(*r, *extra[0]) for r in plain.rows()]),

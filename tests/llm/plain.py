@@ -16,7 +16,7 @@ ASSIGN = re.compile(
 )
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that the operators use themselves.
-EXTRA = ", kept boolean, size string, quality string, mix long, spans string, node string, score string, digest long"
+EXTRA = ", kept boolean, size string, quality string, mix long, spans string, node string, score string, digest long, _id long, _kept string"
 
 
 def rows() -> list[tuple]:

@@ -1,5 +1,6 @@
 """The operators by themselves: models, sketches, blocks, ties, checksums, batches."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from stepledger.llm import byte_bpe, mixing, near_dups, ppm, secret_scan, sketch, token_rollup, toxicity, url_rules
+from stepledger.llm import byte_bpe, mixing, near_dups, ppm, quality, secret_scan, sketch, token_rollup, toxicity, url_rules
 from stepledger.llm.components import components
 
 
@@ -192,7 +193,8 @@ def test_rollup_batches_commit_once(spark, tmp_path):
     assert rollup.totals().count() == 0
     assert rollup.commit("one", load) and not rollup.commit("one", load)
     # A delta without its log row, as a failed job leaves it, has no effect and is overwritten.
-    load.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.parquet(f"{tmp_path}/deltas/batch=two")
+    sums = load.groupBy("source", "lang", "tokenizer").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    sums.withColumn("batch", F.lit("two")).write.parquet(f"{tmp_path}/deltas/part-{hashlib.sha256(b'two').hexdigest()}")
     total = lambda: sorted((tuple(r) for r in rollup.totals().collect()), key=repr)
     assert total() == sorted([("a", "en", "v1", 2, 15), (None, None, "v1", 1, 0)], key=repr)
     one = docs.filter("id = 1")
@@ -203,6 +205,50 @@ def test_rollup_batches_commit_once(spark, tmp_path):
         token_rollup.changes(docs, "insert", old=("v1", F.col("n")))
 
 
+def test_any_text_names_a_batch(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "a", "en", 10)], "id int, source string, lang string, n long")
+    names = ["2024/01", "a=b", "50%", "%2F", "", "..", "x" * 400, "é \n"]
+    for name in names:
+        assert rollup.commit(name, token_rollup.changes(docs, "insert", new=("v", F.col("n"))))
+        assert not rollup.commit(name, token_rollup.changes(docs, "insert", new=("v", F.col("n"))))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", len(names), 10 * len(names))]
+    assert {r.batch for r in rollup.committed().collect()} == set(names)
+    with pytest.raises(TypeError):
+        rollup.commit(None, docs)
+
+
+def test_noise_goes_and_clean_rows_stay(spark):
+    """Symbols in every second word go in any host; repeated lines only where the host has more of them than others."""
+    pick = random.Random(9)
+    clean = lambda: " ".join("".join(pick.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    lines = lambda: "\n".join([clean()] + ["the same line of words again"] * 2 + ["one more line here", "one more line here"])
+    rows, want = [], {}
+    for i in range(600):
+        host = f"h{i % 6}"
+        kind = "noise" if i % 10 == 3 else "lines" if i % 6 == 0 and i % 4 == 0 or i % 90 == 1 else "clean"
+        text = {"noise": lambda: clean().replace("a", "$$"), "lines": lines, "clean": clean}[kind]()
+        rows.append((i, host, text))
+        want[i] = kind == "clean" or kind == "lines" and host != "h0"
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id int, source string, text string"))
+    assert {r.doc_id: r.quality.kept for r in judged.collect()} == want
+    assert {tuple(r.quality.suspect) for r in judged.filter("source = 'h0'").collect()} <= {("dup_lines",), ("symbols", "dup_lines")}
+    alike = spark.createDataFrame([(i, f"h{i % 3}", lines() if i < 6 else clean()) for i in range(12)], "doc_id int, source string, text string")
+    assert quality.judge(alike).filter("not quality.kept").count() == 0
+
+
+def test_long_pieces_equal_the_library(spark):
+    import public_tokenizers
+
+    pick = random.Random(13)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(pick.choice(of) for _ in range(n))
+    texts = [letters(100_000), letters(20_000, "ab"), "a" * 30_000, letters(256), letters(257), "ß" * 128, "的" * 5_000, letters(60) + " " + letters(300), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    coder = plain.tokenizer()
+    for r in byte_bpe.encode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect():
+        assert r.bpe.ids == coder.encode_ordinary(texts[r.id] or "") and bytes(r.bpe.decoded).decode() == (texts[r.id] or "")
+
+
 def test_rules_are_entered_under_their_rarest_token(spark):
     urls = spark.createDataFrame([("a.example.net/en/1",)] * 5 + [("b.example.org/fr/2",)], "at string")
     rules = [url_rules.Rule("example.net/en/", "allow"), url_rules.Rule("*", "block", glob=True), url_rules.Rule("*.exe", "block", glob=True)]
