@@ -12,7 +12,7 @@ from stepledger.settings import store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or the style rules in a host under suspicion, go."""
+    """Documents go that fail the base rules, are full of symbols, or fail a rule for which their host is under suspicion."""
     at = fresh(docs, "quality")
     return quality.judge(docs, out=at).filter(F.col(at)["kept"]).drop(at)
 
