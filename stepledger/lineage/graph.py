@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepledger.columns import attach, col
 from stepledger.lineage.steps import step_io
 from stepledger.operators.ordered import carry_forward, number_rows
-from stepledger.settings import store
+from stepledger.settings import store, tables
 
 
 def resolve_reads(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
@@ -160,21 +160,22 @@ def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program") ->
     2**(k + 1) end walks of 2**k edges and none of twice as many, and their depth is 2**k more than the
     greatest depth at which those walks start, which is below 2**k and known by then. All programs go at once.
     """
-    pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
-    walks = _walks(pairs, program)
-    every = nodes.select(col(program), "idx").union(pairs.select(col(program), F.col("dst"))).union(pairs.select(col(program), F.col("src")))
-    every = every.distinct()
-    ends = [w.select(col(program), F.col("dst").alias("idx")).distinct() for w in walks]
-    if not walks:
-        return every.withColumn("depth", F.lit(0))
-    known = store(every.join(ends[0], [program, "idx"], "left_anti").withColumn("depth", F.lit(0)))
-    for k, w in enumerate(walks):
-        if k + 1 < len(ends):
-            w = w.join(ends[k + 1].withColumnRenamed("idx", "dst"), [program, "dst"], "left_anti")
-        starts = known.select(col(program), F.col("idx").alias("src"), "depth")
-        found = w.join(starts, [program, "src"]).groupBy(col(program), F.col("dst").alias("idx"))
-        known = store(known.union(found.agg((F.max("depth") + (1 << k)).cast("int").alias("depth"))))
-    return known
+    with tables(edge_rows.sparkSession) as block:
+        pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
+        walks = _walks(pairs, program)
+        every = nodes.select(col(program), "idx").union(pairs.select(col(program), F.col("dst"))).union(pairs.select(col(program), F.col("src")))
+        every = every.distinct()
+        ends = [w.select(col(program), F.col("dst").alias("idx")).distinct() for w in walks]
+        if not walks:
+            return block.keep(every.withColumn("depth", F.lit(0)))
+        known = store(every.join(ends[0], [program, "idx"], "left_anti").withColumn("depth", F.lit(0)))
+        for k, w in enumerate(walks):
+            if k + 1 < len(ends):
+                w = w.join(ends[k + 1].withColumnRenamed("idx", "dst"), [program, "dst"], "left_anti")
+            starts = known.select(col(program), F.col("idx").alias("src"), "depth")
+            found = w.join(starts, [program, "src"]).groupBy(col(program), F.col("dst").alias("idx"))
+            known = store(known.union(found.agg((F.max("depth") + (1 << k)).cast("int").alias("depth"))))
+        return block.keep(known)
 
 
 def run_order(steps: DataFrame, program: str = "program") -> DataFrame:
@@ -184,17 +185,18 @@ def run_order(steps: DataFrame, program: str = "program") -> DataFrame:
 
 def downstream(start: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:
     """Every step reachable from the ``start`` steps, themselves included."""
-    pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
-    seen = store(start.select(col(program), "idx").distinct())
-    front = seen
-    while not front.isEmpty():
-        reached = _hops(pairs, front, program, 0)
-        # Steps met before the last hop have been followed already.
-        front = store(
-            reached.filter(F.col("depth") == HOPS).drop("depth").join(seen, [program, "idx"], "left_anti")
-        )
-        seen = seen.union(reached.drop("depth"))
-    return seen.distinct()
+    with tables(edge_rows.sparkSession) as block:
+        pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
+        seen = store(start.select(col(program), "idx").distinct())
+        front = seen
+        while not front.isEmpty():
+            reached = _hops(pairs, front, program, 0)
+            # Steps met before the last hop have been followed already.
+            front = store(
+                reached.filter(F.col("depth") == HOPS).drop("depth").join(seen, [program, "idx"], "left_anti")
+            )
+            seen = seen.union(reached.drop("depth"))
+        return block.keep(seen.distinct())
 
 
 def graph_json(steps: DataFrame, edge_rows: DataFrame, program: str = "program") -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepledger.reconcile.profile import compare_profiles
 from stepledger.reconcile.schema import column_issues
 from stepledger.reconcile.values import value_diff
-from stepledger.settings import ATOL, MAX_REPORT, RTOL, store
+from stepledger.settings import ATOL, MAX_REPORT, RTOL, store, tables
 
 CHECK_SCHEMA = (
     "run string, program string, step string, phase string, passed boolean, skipped boolean, "
@@ -68,11 +68,8 @@ def reconcile(
         return [*checks, Check("property", False, "property mismatch", notes)]
     checks.append(Check("property", True, "properties match golden"))
 
-    # The first of every kind, then the second of every kind and so on; one more than the report shows of an issue.
-    issues = value_diff(actual, golden, keys, atol, rtol).sample(max_report)
-    first = Window.partitionBy("issue").orderBy("place", "differs")
-    shown = issues.withColumn("__no", F.row_number().over(first)).filter(F.col("__no") <= max_report + 1).drop("__no", "place")
-    sample = shown.collect()
+    with tables(actual.sparkSession):
+        sample = _shown(actual, golden, keys, atol, rtol, max_report)
     if not sample:
         return [*checks, Check("data_equivalence", True, "values match golden within tolerance")]
     notes = []
@@ -84,6 +81,13 @@ def reconcile(
     return [*checks, Check("data_equivalence", False, "value-level difference", notes)]
 
 
+def _shown(actual: DataFrame, golden: DataFrame, keys: Sequence[str] | None, atol: float, rtol: float, n: int) -> list[Row]:
+    """The first row of every kind, then the second of every kind and so on; one more than the report shows of an issue."""
+    issues = value_diff(actual, golden, keys, atol, rtol).sample(n)
+    first = Window.partitionBy("issue").orderBy("place", "differs")
+    return issues.withColumn("__no", F.row_number().over(first)).filter(F.col("__no") <= n + 1).drop("__no", "place").collect()
+
+
 def check_step(
     spark: SparkSession,
     datasets: Mapping[str, DataFrame],
@@ -100,8 +104,9 @@ def check_step(
     if absent:
         return [Check("schema", True, "no trusted data", absent, skipped=True)]
     try:
-        result = store(transform(spark, {k: datasets[k] for k in inputs}))
-        return reconcile(result, datasets[output], **options)
+        with tables(spark):
+            result = store(transform(spark, {k: datasets[k] for k in inputs}))
+            return reconcile(result, datasets[output], **options)
     except Exception as error:  # noqa: BLE001 - the step's own failure is the finding
         return [Check("schema", False, "runtime error in the step", [f"{type(error).__name__}: {error}"])]
 
@@ -117,7 +122,8 @@ def check_final_outputs(
         elif name not in trusted:
             results[name] = [Check("end_to_end", True, "no trusted data", skipped=True)]
         else:
-            checks = reconcile(store(produced[name]), trusted[name], **options)
+            with tables(produced[name].sparkSession):
+                checks = reconcile(store(produced[name]), trusted[name], **options)
             passed = all(c.passed for c in checks)
             results[name] = [*checks, Check("end_to_end", passed, "all phases passed" if passed else "a phase failed")]
     return results

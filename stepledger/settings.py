@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +65,62 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """The tables written by ``store`` while a ``tables`` block runs; they go when it ends, however it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that outlives this block: it belongs to the block around, or to the application."""
+        _BLOCKS.blocks.remove(self)
+        try:
+            return store(df)
+        finally:
+            _BLOCKS.blocks.append(self)
+
+    def free(self) -> None:
+        _delete(self.spark, self.paths)
+        self.paths = []
+
+
+class _Blocks(threading.local):
+    def __init__(self) -> None:
+        self.blocks: list[Tables] = []
+
+
+_BLOCKS = _Blocks()
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Tables]:
+    """A block whose written tables are deleted when it ends; a result that is still needed is handed to ``keep``.
+
+    Blocks nest: a table belongs to the innermost one of its thread. Without a block it stays until the application's folder goes.
+    """
+    block = Tables(spark)
+    _BLOCKS.blocks.append(block)
+    try:
+        yield block
+    finally:
+        _BLOCKS.blocks.remove(block)
+        block.free()
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete tables after their last use, given as ``store`` returned them."""
+    for df in stored:
+        _delete(df.sparkSession, [df._stepledger_path])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it from there.
 
@@ -70,8 +129,12 @@ def store(df: DataFrame) -> DataFrame:
     columns, and the optimizer knows its true size.
     """
     path = scratch_path(df.sparkSession, "table")
+    if _BLOCKS.blocks:
+        _BLOCKS.blocks[-1].paths.append(path)  # before the write, so that a failed one goes as well
     # A column of nothing but untyped nulls has no file type; it counts as text.
     untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
     df = df.withColumns({n: F.lit(None).cast("string") for n in untyped}) if untyped else df
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stepledger_path = path
+    return made

@@ -8,11 +8,12 @@ from stepledger.operators import aggregate as A
 from stepledger.operators import joins as J
 from stepledger.operators import ordered as O
 from stepledger.operators import rows as R
-from stepledger.plans import verdicts
+from stepledger.plans import ranges, verdicts
 from stepledger.plans.changes import definition_fingerprint, manifest_by, stale_steps
 from stepledger.plans.flow import Step, run_flow
-from stepledger.settings import store
-from stepledger.sources.sinks import manifest_json
+from stepledger.plans.history import RunHistory
+from stepledger.settings import scratch_path, store
+from stepledger.sources.sinks import manifest_json, write_manifest, write_results
 from stepledger_queries.base import money, query, table, total
 from stepledger_queries.corpora import TEXT, corpus
 from stepledger_queries.lineage import edges_cte
@@ -216,3 +217,79 @@ def pl2_stale_steps(spark, sf_dir):
     data, old = manifest_by(part, "dataset"), manifest_by(part.withColumn("p_retailprice", dearer), "dataset")
     named = [d.withColumn("fingerprint", definition_fingerprint(F.col("text"))) for d in (now, before)]
     return stale_steps(named[0], named[1], data, old, io, graph.edges(io))
+
+
+def orders_changed_in_places(spark, sf_dir):
+    """Orders with a few key ranges changed: dearer, dropped, written twice; and new keys far above."""
+    orders = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    here = k.between(2000, 2600)
+    dearer = F.when(here & (k % 10 == 1), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    kept = orders.filter(~(here & (k % 50 == 3))).withColumn("o_totalprice", dearer)
+    new = orders.filter("o_orderkey < 20").withColumn("o_orderkey", k + 1_000_000_000)
+    return kept.unionByName(new).unionByName(orders.filter(k.between(3000, 3040) & (k % 7 == 0)))
+
+
+@query(
+    "pl2_changed_keys",
+    """
+    SELECT o_orderkey AS key, CASE WHEN o_orderkey % 50 = 3 THEN 'removed' ELSE 'changed' END AS change FROM orders
+    WHERE o_orderkey BETWEEN 2000 AND 2600 AND (o_orderkey % 10 = 1 OR o_orderkey % 50 = 3)
+    UNION ALL SELECT o_orderkey + 1000000000, 'added' FROM orders WHERE o_orderkey < 20
+    UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey BETWEEN 3000 AND 3040 AND o_orderkey % 7 = 0
+    """,
+)
+def pl2_changed_keys(spark, sf_dir):
+    """Two versions written in order of their key; only the ranges whose checksums differ are compared by key."""
+    before = ranges.write_by_key(table(spark, sf_dir, "orders"), "o_orderkey")
+    now = ranges.write_by_key(orders_changed_in_places(spark, sf_dir), "o_orderkey")
+    nodes = ranges.differing(*[store(ranges.tree(df, "o_orderkey")) for df in (now, before)])
+    return ranges.changed_keys(now, before, "o_orderkey", nodes)
+
+
+@query(
+    "r9_run_history",
+    f"""
+    WITH c AS (FROM ({CHECKS_SQL}) WHERE run IN ('1996', '1997', '1998')),
+    v AS (SELECT run, program, step, bool_and(passed OR skipped) AND bool_or(passed AND NOT skipped) AS ok FROM c GROUP BY 1, 2, 3)
+    SELECT run, count(*) AS steps, count(*) FILTER (ok) AS passed_steps, round(count(*) FILTER (ok) / count(*), 9) AS pass_rate,
+           (SELECT '{{"checks":' || count(*) || ',"engine":null}}' FROM c WHERE c.run = v.run) AS manifest
+    FROM v GROUP BY 1
+    """,
+)
+def r9_run_history(spark, sf_dir):
+    """Pass rates over the runs on record: one is staged and never committed, one is handed in twice with other checks."""
+    rows = checks(spark, sf_dir)
+    history = RunHistory(spark, scratch_path(spark, "history"))
+    of = lambda run: rows.filter(F.col("run") == run).drop("run")
+    for run in ("1996", "1997", "1998"):
+        settings = of(run).agg(F.count(F.lit(1)).alias("checks"), F.lit(None).cast("string").alias("engine"))
+        history.record(run, {"checks": of(run)}, settings)
+    history.stage("1999", {"checks": of("1999")})
+    history.record("1997", {"checks": of("2000")})
+    rates = verdicts.pass_rate(history.table("checks")).withColumn("pass_rate", F.round("pass_rate", 9))
+    return rates.join(history.runs().select("run", "manifest"), "run")
+
+
+@query(
+    "s12_written_results",
+    f"""
+    WITH c AS ({CHECKS_SQL}), v AS (SELECT program, step, bool_and(passed OR skipped) AND bool_or(passed AND NOT skipped) AS ok FROM c GROUP BY 1, 2)
+    SELECT program, count(*) AS steps, count(*) FILTER (ok) AS passed_steps, (SELECT count(*) FROM c WHERE c.program = v.program) AS documents,
+           (SELECT count(*) FROM c WHERE c.program = v.program AND phase = 'schema' AND passed) AS passed_schema
+    FROM v GROUP BY 1
+    """,
+)
+def s12_written_results(spark, sf_dir):
+    """Verdict tables and the manifest written to files and read back."""
+    rows = checks(spark, sf_dir)
+    folder = scratch_path(spark, "results")
+    tables = {"steps": verdicts.step_verdicts(rows), "programs": verdicts.roll_up(verdicts.step_verdicts(rows), ["program"])}
+    paths = write_results(tables, folder)
+    written = write_manifest(manifest_json(rows.select("program", "step", "phase", "passed", "skipped"), ["program", "step"]), f"{folder}/manifest")
+    lines = spark.read.schema("program string, step string, json string").json(written)
+    lines = lines.withColumn("m", F.from_json("json", "phase string, passed boolean, skipped boolean"))
+    counted = lines.groupBy("program").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("m.phase") == "schema") & F.col("m.passed")).alias("passed_schema")
+    )
+    return spark.read.parquet(paths["programs"]).select("program", "steps", "passed_steps").join(counted, "program")

@@ -6,7 +6,8 @@ from stepledger import reconcile as R
 from stepledger.operators.stack import signed_difference
 from stepledger.plans.verdicts import pass_rate
 from stepledger.reconcile.families import exact
-from stepledger_queries.base import money, query, table, total
+from stepledger.settings import tables
+from stepledger_queries.base import ORACLE, money, query, table, total
 from stepledger_queries.plans import CHECKS_SQL, checks, pricing
 
 
@@ -121,17 +122,20 @@ def r4_value_diff(spark, sf_dir):
     actual = golden.withColumns(
         {"l_extendedprice": F.col("l_extendedprice") + off, "l_discount": F.col("l_discount") + jitter}
     )
-    rows = R.value_diff(actual, golden).rows
-    return rows.select(
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "issue",
-        "copies",
-        F.col("actual.l_extendedprice").alias("actual_price"),
-        F.col("golden.l_extendedprice").alias("golden_price"),
-    )
+    with tables(spark) as block:
+        rows = R.value_diff(actual, golden).rows
+        return block.keep(
+            rows.select(
+                "l_orderkey",
+                "l_partkey",
+                "l_suppkey",
+                "l_linenumber",
+                "issue",
+                "copies",
+                F.col("actual.l_extendedprice").alias("actual_price"),
+                F.col("golden.l_extendedprice").alias("golden_price"),
+            )
+        )
 
 
 @query(
@@ -294,15 +298,38 @@ def r7_step_check(spark, sf_dir):
 
 @query(
     "r8_final_output_check",
-    """
-    SELECT 'work.summary' AS step, phase, (SELECT count(*) FROM customer) > 0 AS passed
-    FROM (VALUES ('schema'), ('property'), ('data_equivalence'), ('end_to_end')) p(phase)
+    f"""
+    WITH flow AS ({ORACLE["pl1_step_flow"]}),
+    trusted AS (
+        SELECT c_mktsegment AS region, count(*) AS n_accounts, CAST(sum(CAST(c_acctbal AS DECIMAL(18,4))) AS DOUBLE) AS total_balance,
+               CAST(sum(CAST(CAST(c_acctbal AS DECIMAL(18,4)) * (c_nationkey + 1) / 100 AS DECIMAL(18,4))) AS DOUBLE) AS total_interest
+        FROM customer WHERE c_acctbal > 0 GROUP BY 1),
+    outputs AS (
+        SELECT 'work.summary' AS step, * FROM flow
+        UNION ALL SELECT 'work.off', region, n_accounts, total_balance, total_interest + 1 FROM flow
+        UNION ALL SELECT 'work.short', * FROM flow WHERE region <> (SELECT min(region) FROM flow)),
+    compared AS (
+        SELECT s.step, (SELECT count(*) FROM outputs o WHERE o.step = s.step) = (SELECT count(*) FROM trusted) AS rows_met,
+               (SELECT abs(sum(o.total_interest) - (SELECT sum(total_interest) FROM trusted)) FROM outputs o WHERE o.step = s.step)
+                 <= 0.000001 * (SELECT sum(abs(total_interest)) FROM trusted) AS sums_met,
+               NOT EXISTS (FROM outputs o WHERE o.step = s.step AND NOT EXISTS (
+                 FROM trusted t WHERE t.region = o.region AND t.n_accounts = o.n_accounts AND abs(t.total_balance - o.total_balance) <= 0.000001 * abs(t.total_balance)
+                 AND abs(t.total_interest - o.total_interest) <= 0.000001 * abs(t.total_interest))) AS values_met
+        FROM (SELECT DISTINCT step FROM outputs) s)
+    SELECT step, 'schema' AS phase, rows_met AS passed FROM compared
+    UNION ALL SELECT step, 'property', sums_met FROM compared WHERE rows_met
+    UNION ALL SELECT step, 'data_equivalence', values_met FROM compared WHERE rows_met AND sums_met
+    UNION ALL SELECT step, 'end_to_end', rows_met AND sums_met AND values_met FROM compared
     UNION ALL SELECT 'work.absent', 'end_to_end', false
     """,
 )
 def r8_final_output_check(spark, sf_dir):
-    """The pricing flow end to end against a trusted summary computed on its own."""
-    produced = pricing(spark, sf_dir)
+    """The pricing flow end to end against a summary computed on its own; two outputs are wrong, one was not produced."""
+    produced = dict(pricing(spark, sf_dir))
+    right = produced["work.summary"]
+    first = table(spark, sf_dir, "customer").agg(F.min("c_mktsegment")).scalar()
+    produced["work.off"] = right.withColumn("total_interest", F.col("total_interest") + 1)
+    produced["work.short"] = right.filter(F.col("region") != first)
     interest = (money("c_acctbal") * (F.col("c_nationkey") + 1) / 100).cast("decimal(18,4)")
     trusted = (
         table(spark, sf_dir, "customer")
@@ -314,7 +341,8 @@ def r8_final_output_check(spark, sf_dir):
             total(interest).alias("total_interest"),
         )
     )
-    results = R.check_final_outputs(produced, {"work.summary": trusted}, ["work.summary", "work.absent"])
+    names = ["work.summary", "work.off", "work.short", "work.absent"]
+    results = R.check_final_outputs(produced, {n: trusted for n in names}, names)
     return R.checks_frame(spark, results).select("step", "phase", "passed")
 
 

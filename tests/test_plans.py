@@ -1,10 +1,16 @@
 """Flows, verdicts and change detection; the pricing program against its hand-computed tables."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from stepledger import reconcile as R
-from stepledger.plans import changes, flow, verdicts
+from stepledger import settings
+from stepledger.plans import changes, flow, ranges, verdicts
+from stepledger.plans.history import RunHistory
+from stepledger.settings import release, store, tables
 from stepledger_queries.plans import PRICING
 
 
@@ -109,3 +115,110 @@ def test_stale_steps_and_their_downstream(spark):
     assert stale(definitions, changes.manifest({**base, "raw.a": spark.range(4)})) == {0, 2}
     edited = definitions.withColumn("fingerprint", F.when(F.col("idx") == 1, F.lit("z")).otherwise(F.col("fingerprint")))
     assert stale(edited, changes.manifest(base)) == {1, 3}
+
+
+def test_changed_keys_read_changed_ranges_only(spark):
+    rnd = random.Random(41)
+    rows = [(k, f"v{k % 13}", k * 0.5) for k in rnd.sample(range(-40_000, 60_000), 9_000)] + [(None, "none", 1.0)] * 3
+    gone, new = set(rnd.sample([r[0] for r in rows[:9000]], 3)), [(70_001, "n", 0.0), (70_002, "n", 0.0)]
+    other = set(rnd.sample(sorted(r[0] for r in rows[:9000] if r[0] not in gone), 4))
+    twice = next(r for r in rows if r[0] is not None and r[0] not in gone | other)
+    kinds = "k long, s string, x double"
+    before = ranges.write_by_key(spark.createDataFrame(rows, kinds).repartition(3), "k", 1)
+    changed = [(k, s, -1.0 if k in other else x) for k, s, x in rows if k not in gone] + new + [twice]
+    now = ranges.write_by_key(spark.createDataFrame(changed, kinds).repartition(5), "k", 1)
+    trees = [ranges.tree(df, "k") for df in (now, before)]
+    nodes = ranges.differing(*trees)
+    found = ranges.changed_keys(now, before, "k", nodes)
+    want = {(k, "removed") for k in gone} | {(k, "added") for k, *_ in new} | {(k, "changed") for k in other | {twice[0]}}
+    assert {tuple(r) for r in found.collect()} == want
+    leaves = {r["node"] for r in nodes.filter("level = 0").collect()}
+    assert leaves == {k >> ranges.BITS for k, _ in want}
+    # Both scans get the key ranges, and read only a part of the rows.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [Or(") + plan.count("PushedFilters: [And(") >= 2
+    assert before.filter(ranges._intervals(nodes, "k", ranges.BITS, ranges.FAN)).count() < 600
+    nulls = spark.createDataFrame([(None, "none", 1.0)] * 2, kinds)
+    less = now.filter("k is not null").union(nulls)
+    only = ranges.differing(ranges.tree(less, "k"), trees[0])
+    assert [tuple(r) for r in ranges.changed_keys(less, now, "k", only).collect()] == [(None, "changed")]
+
+
+def test_equal_and_empty_versions_have_no_differing_range(spark):
+    df = spark.createDataFrame([(i, i) for i in range(500)], "k long, v int")
+    assert ranges.differing(ranges.tree(df, "k"), ranges.tree(df.repartition(7), "k")).count() == 0
+    none = df.limit(0)
+    assert ranges.differing(ranges.tree(none, "k"), ranges.tree(none, "k")).count() == 0
+    all_new = ranges.changed_keys(df, none, "k", ranges.differing(ranges.tree(df, "k"), ranges.tree(none, "k")))
+    assert all_new.filter("change = 'added'").count() == 500
+
+
+def test_many_differing_ranges_are_all_found(spark):
+    """More ranges than a filter lists: wider ones are read, and no key is lost or made up."""
+    df = spark.createDataFrame([(i * 200, 0) for i in range(3000)], "k long, v int")
+    moved = df.withColumn("v", F.when(F.col("k") % 3 == 0, 1).otherwise(F.col("v")))
+    nodes = ranges.differing(ranges.tree(moved, "k"), ranges.tree(df, "k"))
+    assert nodes.filter("level = 0").count() > ranges.INTERVALS
+    assert {r["key"] for r in ranges.changed_keys(moved, df, "k", nodes).collect()} == {i * 200 for i in range(3000) if i * 200 % 3 == 0}
+
+
+def test_run_history(spark, tmp_path):
+    history = RunHistory(spark, str(tmp_path))
+    checks = lambda n, **more: spark.createDataFrame([(f"s{i}", i % 2 == 0) for i in range(n)], "step string, passed boolean").withColumns(more)
+    assert history.runs().count() == 0
+    with pytest.raises(ValueError):
+        history.table("checks")
+    settings = spark.createDataFrame([(4, None)], "threads int, note string")
+    assert history.record("2024/01 a=b", {"checks": checks(3), "steps": checks(1)}, settings)
+    assert not history.record("2024/01 a=b", {"checks": checks(9)})
+    # A run that fails after staging, or while it writes its second table, is not seen.
+    attempt = history.stage("half", {"checks": checks(5)})
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("step"))
+    with pytest.raises(Exception, match="no"):
+        history.record("broken", {"checks": checks(2), "steps": broken})
+    seen = lambda name: sorted((r["run"], r["step"]) for r in history.table(name).collect())
+    assert seen("checks") == [("2024/01 a=b", f"s{i}") for i in range(3)] and len(seen("steps")) == 1
+    assert history.record("broken", {"checks": checks(2, extra=F.lit(1))})
+    history.commit("half", attempt, ["checks"])
+    assert [r for r, _ in seen("checks")] == ["2024/01 a=b"] * 3 + ["broken"] * 2 + ["half"] * 5
+    assert {r["extra"] for r in history.table("checks").filter("run = 'broken'").collect()} == {1}
+    manifests = {r["run"]: r["manifest"] for r in history.runs().collect()}
+    assert manifests == {"2024/01 a=b": '{"threads":4,"note":null}', "broken": None, "half": None}
+    # A second writer of the same run: one of the two counts, the same for all readers.
+    history.commit("half", history.stage("half", {"checks": checks(1)}), ["checks"])
+    assert history.table("checks").filter("run = 'half'").count() in (1, 5)
+    for results in ({"../x": checks(1)}, {"ok": checks(1).withColumnRenamed("step", "Run")}):
+        with pytest.raises(ValueError):
+            history.stage("z", results)
+
+
+def test_written_tables_go_with_their_block(spark):
+    def there(df):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stepledger_path)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    with tables(spark) as outer:
+        first = store(spark.range(5))
+        with tables(spark) as inner:
+            second = store(spark.range(7))
+            kept = inner.keep(second.filter("id > 2"))
+        assert not there(second) and there(first) and there(kept) and kept.count() == 4
+        result = outer.keep(kept.union(first.toDF("id")))
+    assert not there(first) and not there(kept) and result.count() == 9
+    made = []
+    with pytest.raises(ValueError), tables(spark):
+        made.append(store(spark.range(3)))
+        raise ValueError
+    assert not there(made[0])
+    release(result)
+    assert not there(result)
+
+
+def test_a_comparison_leaves_no_table_behind(spark, monkeypatch):
+    written = []
+    plain_path = settings.scratch_path
+    monkeypatch.setattr(settings, "scratch_path", lambda s, label: written.append(plain_path(s, label)) or written[-1])
+    golden = spark.createDataFrame([(i % 7, float(i)) for i in range(60)], "k int, v double")
+    actual = golden.withColumn("v", F.when(F.col("v") == 5.0, 2.0).when(F.col("v") == 2.0, 5.0).otherwise(F.col("v")))
+    assert [c.phase for c in R.reconcile(actual, golden)] == ["schema", "property", "data_equivalence"]
+    assert len(written) > 2 and not any(os.path.exists(p.removeprefix("file:")) for p in written)
