@@ -72,13 +72,20 @@ WRITE_OPTIONS = {"emptyValue": '""', "nullValue": ""}
 READ_OPTIONS = {"emptyValue": "", "nullValue": "\x00"}
 
 
-def read_path(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a dataset by its ending. Text formats take a schema, or their types are inferred in a pass of their own."""
+def read_path(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """Read a dataset by its ending. Text formats take a schema, or their types are inferred in a pass of their own.
+
+    With ``line_breaks`` quoted values may hold them, and one task reads a whole text file. Without, a line is a
+    row, and a file is read in splits by as many tasks as it has.
+    """
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "parquet":
         return spark.read.parquet(path)
     if ending in SEPARATORS:
-        reader = spark.read.options(header="true", sep=SEPARATORS[ending], **READ_OPTIONS, **TEXT_OPTIONS)
+        options = {**READ_OPTIONS, **TEXT_OPTIONS, "multiLine": str(line_breaks).lower()}
+        reader = spark.read.options(header="true", sep=SEPARATORS[ending], **options)
         return (reader.schema(schema) if schema else reader.option("inferSchema", "true")).csv(path)
     raise ValueError(f"cannot read {path!r}: convert it to Parquet first")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stepledger.lineage import graph, lexing, logs, provenance, steps
 from stepledger.lineage import patterns as P
+from stepledger.lineage.project import read_project
 from stepledger.settings import scratch_path, store
 from stepledger.sources.corpus import manifest_order, pair_sources, read_lines
 from stepledger_queries import expressions as X
@@ -398,6 +399,52 @@ def l10_layers(spark, sf_dir):
     return graph.layers(found, pairs)
 
 
+FILE = "concat('job', CAST(p_partkey % 5 AS STRING))"
+FILE_PROJECT = "concat('project', CAST(p_partkey % 7 AS STRING))"
+
+
+def project_files(spark, sf_dir):
+    """A folder for each of seven projects with five logs, and sources beside two of them; each file is of many programs."""
+    part = table(spark, sf_dir, "part").select(F.expr(FILE_PROJECT).alias("project"), F.expr(FILE).alias("file"), "p_partkey", F.expr(LOG).alias("log"), F.expr(SOURCE).alias("source"))
+    kinds = F.array(F.struct(F.lit("log").alias("kind"), F.col("log").alias("text")), F.struct(F.lit("sas").alias("kind"), F.col("source").alias("text")))
+    texts = part.select("project", "file", "p_partkey", F.explode(kinds).alias("k")).select("project", "file", "p_partkey", "k.*")
+    texts = texts.filter("kind = 'log' or file in ('job1', 'job3')")
+    made, folder = scratch_path(spark, "made"), scratch_path(spark, "projects")
+    rows = texts.repartition(8, "project", "file", "kind").sortWithinPartitions("project", "file", "kind", "p_partkey")
+    rows.select("project", "file", "kind", "text").write.partitionBy("project", "file", "kind").text(made)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # A writer names its files itself; these few are given the names that programs have.
+    for found in fs.globStatus(at(f"{made}/*/*/*/part-*")):
+        project, file, kind = (found.getPath().toString().split("/")[-i].split("=")[1] for i in (4, 3, 2))
+        fs.mkdirs(at(f"{folder}/{project}"))
+        fs.rename(found.getPath(), at(f"{folder}/{project}/{file}.{kind}"))
+    return read_project(spark, folder)
+
+
+PROJECT = f"""
+    joined AS (SELECT {FILE_PROJECT} AS project, {FILE} AS file, string_agg({LOG}, chr(10) ORDER BY p_partkey) || chr(10) AS text FROM part GROUP BY 1, 2),
+    all_lines AS (SELECT project, file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM joined),
+    codes AS (SELECT project, file, line_no, rtrim(regexp_extract(line, {literal(X.EXPANDED)}, 1)) AS line FROM all_lines WHERE regexp_matches(line, {literal(X.EXPANDED)})),
+    flats AS (SELECT project || '/' || file AS program, coalesce((SELECT string_agg(line, chr(10) ORDER BY line_no) || chr(10) FROM codes c WHERE c.project = j.project AND c.file = j.file AND line <> ''), text) AS text FROM joined j)
+"""
+
+
+@query(
+    "l11_file_corpus",
+    f"""
+    WITH {PROJECT},
+    {io_cte("SELECT program, text FROM flats")},
+    numbers AS (SELECT program, idx, split_part(program, '/', 1) AS project, row_number() OVER (PARTITION BY split_part(program, '/', 1) ORDER BY program, idx) - 1 AS global_idx FROM steps),
+    pio AS (SELECT project, global_idx AS idx, dataset, is_write FROM io JOIN numbers USING (program, idx)),
+    held AS (SELECT *, max(CASE WHEN is_write THEN idx END) OVER (PARTITION BY project, dataset ORDER BY idx, is_write ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer FROM pio)
+    SELECT DISTINCT project, writer AS src, idx AS dst, dataset FROM held WHERE NOT is_write AND writer IS NOT NULL AND writer <> idx
+    """,
+)
+def l11_file_corpus(spark, sf_dir):
+    return project_files(spark, sf_dir).edges
+
+
 @query(
     "l11_project_edges",
     f"""

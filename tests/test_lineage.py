@@ -11,6 +11,7 @@ from stepledger.lineage import lexing as X
 from stepledger.lineage import logs as L
 from stepledger.lineage import provenance as V
 from stepledger.lineage import steps as T
+from stepledger.lineage.project import read_project
 from stepledger.sources import corpus as C
 
 
@@ -379,3 +380,22 @@ def test_a_log_of_many_splits_equals_one_text(spark, tmp_path, tiny_splits):
     for t in ("symbols", "structural", "emitted"):
         columns = sorted(getattr(b, t).columns)
         assert key(getattr(a, t).select(columns).collect()) == key(getattr(b, t).select(columns).collect())
+
+
+def test_a_folder_of_files_is_one_project_each(spark, tmp_path):
+    files = {
+        "p/b.sas": "data late; set mid; run;", "p/a.log": LOG, "p/a.sas": SOURCE, "p/c.sas": "data last; set late flood_1987; run;",
+        "q/only.sas": "data mid; set book_1987; run;", "q/readme.txt": "data no; run;",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    made = read_project(spark, str(tmp_path))
+    order = sorted((r["project"], r["file_no"], r["path"].rsplit("/", 1)[1], r["source"] is not None) for r in made.files.collect())
+    assert order == [("p", 1, "a.log", True), ("p", 2, "b.sas", False), ("p", 3, "c.sas", False), ("q", 1, "only.sas", False)]
+    linked = {(r["project"], r["src"], r["dst"], r["dataset"]) for r in made.edges.collect()}
+    assert linked == {("p", 0, 3, "work.book_1987"), ("p", 3, 5, "work.flood_1987"), ("p", 4, 5, "work.late")}
+    lines = spark.createDataFrame([(1, "# order"), (2, "c.sas"), (3, "b.sas"), (4, "gone.sas")], "line_no long, line string")
+    listed = read_project(spark, str(tmp_path), manifest=lines, folder=f"file:{tmp_path}/p")
+    assert {(r["src"], r["dst"]) for r in listed.edges.collect()} == set()
+    assert [r["path"].rsplit("/", 1)[1] for r in listed.files.orderBy("file_no").collect()] == ["c.sas", "b.sas"]

@@ -48,6 +48,20 @@ def test_csv_without_a_schema_is_inferred(spark, library):
     assert {k for _, k in C.read_path(spark, f"{library}/raw.accts.csv").dtypes} == {"int", "double", "string"}
 
 
+def test_text_files_without_line_breaks_are_read_in_splits(spark, tmp_path):
+    kinds = "id long, s string, v double"
+    rows = [(i, f"a, \"{i}\"" if i % 3 else None, i / 4) for i in range(3000)]
+    path = C.write_dataset(spark.createDataFrame(rows, kinds).coalesce(1), str(tmp_path / "big.csv"))
+    whole = C.read_path(spark, path, kinds)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        cut = C.read_path(spark, path, kinds, line_breaks=False)
+        assert cut.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_two_paths_for_a_key_are_an_error(spark, library):
     os.makedirs(f"{library}/work")
     C.write_dataset(spark.range(1), f"{library}/work/x.parquet")
