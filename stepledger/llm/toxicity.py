@@ -8,8 +8,8 @@ length, over its most toxic word, and over its three most toxic words that diffe
 that the models have not seen turns the three into a probability.
 
 The models and the curve are fitted to at most ``LABELLED`` labelled rows, chosen by a hash of the id.
-All grams of those rows count, however rare: levels and differences are grouped tables of grams as 64-bit
-numbers, and tasks hold the differences as sorted arrays of 16 bytes a gram. Every text is then scored as a
+All grams of those rows count, however rare: they are a table of 64-bit numbers, brought together once by the last two
+bytes of their contexts, under which all levels nest; tasks hold the differences as sorted arrays of 16 bytes a gram. Every text is then scored as a
 whole, in the task that reads it. ``differences`` is the same for small counts in memory.
 """
 
@@ -25,11 +25,11 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.llm.common import WORD, fold_text, whole
-from stepledger.settings import store
+from stepledger.settings import release, store
 
 LABELLED = 60_000  # rows, about; all of them where there are fewer
 ORDER = 8  # bytes of a gram, the last of which is predicted; as many as a 64-bit number has
@@ -95,49 +95,76 @@ def differences(counts: list[tuple[bytes, int, int]]) -> tuple[dict[bytes, float
     return of_gram, of_context
 
 
-def _table_differences(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``differences`` of a written table (gram as a number, ordinary, toxic): of grams and of contexts, as ``key`` and ``d``."""
-    context = F.shiftrightunsigned("gram", 8)
-    at = Window.partitionBy(context)  # at most 256 rows
-    levels = [counted.select("gram", (F.col("ordinary") + F.col("toxic")).alias("n"))]
-    for k in range(1, ORDER):  # of shorter grams, in how many longer ones they end
-        tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - k)) - 1))
-        levels.append(store(levels[-1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n"))))
-    shared = None
-    for k in range(ORDER - 1, -1, -1):
-        level = levels[k].select("gram", "n", F.sum("n").over(at).alias("total"), F.count(F.lit(1)).over(at).alias("kinds"))
-        if shared is None:
-            level = level.withColumn("below", F.lit(1 / 256))
-        else:
-            tail = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - k - 1)) - 1))
-            level = level.withColumn("tail", tail).join(shared.toDF("tail", "below"), "tail")
-        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("below")) / F.col("total")
-        shared = level.select("gram", p.alias("p"))
-    sums = [
-        f(c).over(at).alias(f"{c}_{name}")
-        for c in ("ordinary", "toxic")
-        for name, f in (("total", F.sum), ("kinds", lambda x: F.sum(F.when(F.col(x) > 0, 1).otherwise(0))))
-    ]
-    rows = store(counted.select("*", context.alias("context"), *sums).join(shared, "gram"))
-
-    def likelihood(c: str) -> Column:
-        known = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_kinds") * F.col("p")
-        return F.log(F.when(F.col(f"{c}_total") > 0, known / F.col(f"{c}_total")).otherwise(F.col("p")))
-
-    def freed(c: str) -> Column:
-        return F.log(F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0))
-
-    return (
-        rows.select(F.col("gram").alias("key"), (likelihood("toxic") - likelihood("ordinary")).alias("d")),
-        rows.groupBy("context").agg(F.first(freed("toxic") - freed("ordinary")).alias("d")).withColumnRenamed("context", "key"),
-    )
+def _short_grams(counted: DataFrame) -> np.ndarray:
+    """What the shared model says of grams of two bytes, by gram. They are 65,536 at most, so the driver works them out."""
+    tails = counted.select(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("tail")).distinct()
+    found = tails.groupBy(F.col("tail").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    pair, n = (found.column(c).to_numpy() for c in ("pair", "n"))
+    singles = np.bincount(pair & 255, minlength=256)
+    one = (np.maximum(singles - DISCOUNT, 0.0) + DISCOUNT * np.count_nonzero(singles) / 256) / max(singles.sum(), 1)
+    total, kinds = np.bincount(pair >> 8, n, 256), np.bincount(pair >> 8, minlength=256)
+    two = np.zeros(1 << 16)
+    two[pair] = (np.maximum(n - DISCOUNT, 0.0) + DISCOUNT * kinds[pair >> 8] * one[pair & 255]) / total[pair >> 8]
+    return two
+
+
+def _contexts(grams: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Contexts of sorted grams, the number of each gram's own, and of each context totals and continuations by counts."""
+    contexts, own = np.unique(grams >> np.uint64(8), return_inverse=True)
+    n = len(contexts)
+    return contexts, own, [(np.bincount(own, c, n), np.bincount(own, c > 0, n)) for c in counts]
+
+
+def _worked_out(two: np.ndarray):
+    """Differences of the grams that share the last two bytes of their context: all their levels nest in one group."""
+
+    def worked_out(table: pa.Table) -> pa.Table:
+        grams = table.column("gram").to_numpy().view(np.uint64)
+        counts = [table.column(c).to_numpy().astype(np.float64) for c in ("ordinary", "toxic")]
+        levels, g, n = [], grams, counts[0] + counts[1]
+        for size in range(ORDER, 2, -1):  # of shorter grams, in how many longer ones they end
+            _, own, ((total, kinds),) = _contexts(g, n)
+            shorter, at, times = np.unique(g & np.uint64((1 << 8 * (size - 1)) - 1), return_inverse=True, return_counts=True)
+            levels.append((n, total[own], kinds[own], at))
+            g, n = shorter, times.astype(np.float64)
+        p = two[g.astype(np.int64)]
+        for n, total, kinds, at in reversed(levels):
+            p = (np.maximum(n - DISCOUNT, 0.0) + DISCOUNT * kinds * p[at]) / total
+        contexts, own, sums = _contexts(grams, *counts)
+        of_gram, of_context = np.zeros(len(grams)), np.zeros(len(contexts))
+        for sign, c, (total, kinds) in zip((-1, 1), counts, sums):
+            known, every = total > 0, np.maximum(total, 1)
+            here = (np.maximum(c - DISCOUNT, 0.0) + DISCOUNT * kinds[own] * p) / every[own]
+            of_gram += sign * np.log(np.where(known[own], here, p))
+            of_context += sign * np.log(np.where(known, DISCOUNT * kinds / every, 1.0))
+        keys = np.concatenate([grams, contexts]).view(np.int64)
+        is_gram = np.arange(len(keys)) < len(grams)
+        return pa.table({"is_gram": is_gram, "key": keys, "d": np.concatenate([of_gram, of_context])})
+
+    return worked_out
+
+
+def _table_differences(counted: DataFrame) -> DataFrame:
+    """``differences`` of a written table (gram as a number, ordinary, toxic): ``is_gram``, ``key``, ``d``.
+
+    Grams of three bytes and more have their contexts among those that end in the same two bytes, so one shuffle
+    by these brings all levels together; the sample bounds the largest group.
+    """
+    ends = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("ends")
+    worked_out = _worked_out(_short_grams(counted))
+    return counted.groupBy(ends).applyInArrow(worked_out, "is_gram boolean, key long, d double")
 
 
-def _sorted(differences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(differences: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and differences of grams, then of contexts."""
     found = differences.toArrow()
+    is_gram = found.column("is_gram").to_numpy()
     keys, d = (found.column(c).to_numpy() for c in ("key", "d"))
-    order = np.argsort(keys)
-    return keys[order], d[order]
+    parts = []
+    for which in (is_gram, ~is_gram):
+        order = np.argsort(keys[which])
+        parts.append((keys[which][order], d[which][order]))
+    return parts[0], parts[1]
 
 
 NONE = (np.zeros(0, np.int64), np.zeros(0))
@@ -303,7 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_i
         .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     )
     # The sample bounds both: at most a gram for each byte of its texts.
-    words = tuple(map(_sorted, _table_differences(counted)))
+    words = _sorted(_table_differences(counted))
+    release(counted)
     rows = (
         texts.filter("fold = 0")
         .select("toxic", "text")
