@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepledger.columns import col
+from stepledger.lineage.graph import downstream
 
 # Phases that look at data.
 DATA_PHASES = ["schema", "property", "data_equivalence"]
@@ -63,3 +64,21 @@ def pass_rate(checks: DataFrame, run: str = "run", by: Sequence[str] = ("program
         F.count_if("step_passed").alias("passed_steps"),
         (F.count_if("step_passed") / F.count(F.lit(1))).alias("pass_rate"),
     )
+
+
+# States of a step that may run, and further ones that may on request.
+READY = ["passed"]
+UNVERIFIED = ["translated", "needs_human"]
+
+
+def eligibility(status: DataFrame, edge_rows: DataFrame, include_unverified: bool = False) -> DataFrame:
+    """``program, idx, status, verdict``: whether each step runs, is left out, or lacks inputs since a step above it is.
+
+    ``status``: program, idx, status. A step lacks inputs however far above it the step lies that was left out.
+    """
+    wanted = F.coalesce(F.col("status").isin(READY + (UNVERIFIED if include_unverified else [])), F.lit(False))
+    out = status.filter(~wanted).select("program", "idx")
+    below = downstream(out, edge_rows).withColumn("__below", F.lit(True))
+    marked = status.join(below, ["program", "idx"], "left")
+    verdict = F.when(~wanted, "left out").when(F.col("__below"), "lacks inputs").otherwise("runs")
+    return marked.withColumn("verdict", verdict).drop("__below")

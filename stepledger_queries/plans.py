@@ -293,3 +293,25 @@ def s12_written_results(spark, sf_dir):
         F.count(F.lit(1)).alias("documents"), F.count_if((F.col("m.phase") == "schema") & F.col("m.passed")).alias("passed_schema")
     )
     return spark.read.parquet(paths["programs"]).select("program", "steps", "passed_steps").join(counted, "program")
+
+
+@query(
+    "pl1_eligible_steps",
+    f"""
+    WITH RECURSIVE {edges_cte()},
+    status AS (SELECT program, idx, (CAST(substring(program, 5) AS BIGINT) + idx) % 11 AS r FROM steps),
+    state AS (SELECT program, idx, CASE r WHEN 3 THEN 'failed' WHEN 7 THEN 'translated' WHEN 9 THEN NULL ELSE 'passed' END AS status FROM status),
+    lost(program, idx) AS (
+        SELECT program, idx FROM state WHERE status IS NULL OR status = 'failed'
+        UNION SELECT e.program, e.dst FROM lost JOIN edges e ON e.program = lost.program AND e.src = lost.idx)
+    SELECT s.program, s.idx, CASE WHEN status IS NULL OR status = 'failed' THEN 'left out' WHEN l.idx IS NOT NULL THEN 'lacks inputs' ELSE 'runs' END AS verdict
+    FROM state s LEFT JOIN lost l ON l.program = s.program AND l.idx = s.idx
+    """,
+)
+def pl1_eligible_steps(spark, sf_dir):
+    found = store(steps.extract_steps(corpus(spark, sf_dir)))
+    r = (F.substring("program", 5, 20).cast("long") + F.col("idx")) % 11
+    status = F.when(r == 3, "failed").when(r == 7, "translated").when(r == 9, None).otherwise("passed")
+    states = found.select("program", "idx", status.alias("status"))
+    made = verdicts.eligibility(states, graph.edges(steps.step_io(found)), include_unverified=True)
+    return made.select("program", "idx", "verdict")

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from stepledger import reconcile as R
 from stepledger.operators.stack import signed_difference
-from stepledger.plans.verdicts import pass_rate
 from stepledger.reconcile.families import exact
-from stepledger.settings import tables
+from stepledger.plans.history import RunHistory
+from stepledger.plans.verdicts import pass_rate
+from stepledger.settings import scratch_path, tables
 from stepledger_queries.base import ORACLE, money, query, table, total
 from stepledger_queries.plans import CHECKS_SQL, checks, pricing
 
@@ -356,3 +357,38 @@ def r8_final_output_check(spark, sf_dir):
 )
 def r9_pass_rate(spark, sf_dir):
     return pass_rate(checks(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 9))
+
+
+SKETCHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@query(
+    "a8_merged_sketches",
+    f"""
+    WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM orders" for c in SKETCHED)})
+    SELECT column_name, row_count, null_count, distinct_count, true AS near_distinct,
+           CASE WHEN column_name IN ('o_orderkey', 'o_custkey', 'o_totalprice') THEN true END AS near_quartiles FROM c
+    """,
+)
+def a8_merged_sketches(spark, sf_dir):
+    """Sketches of each year's orders, stored as a run and merged, held against the exact profile of all orders."""
+    orders = table(spark, sf_dir, "orders")
+    history = RunHistory(spark, scratch_path(spark, "sketches"))
+    years = sorted(r.y for r in orders.select(F.year("o_orderdate").alias("y")).distinct().collect())
+    for y in years:
+        history.record(str(y), {"columns": R.column_sketches(orders.filter(F.year("o_orderdate") == y).select(SKETCHED))})
+    found = R.estimates(R.merged(history.table("columns"))).withColumnRenamed("distinct_count", "about")
+    known = R.profile(orders.select(SKETCHED)).select("column_name", "distinct_count")
+    numbers = ["o_orderkey", "o_custkey", "o_totalprice"]
+    # The share of rows up to each estimated quartile, exactly.
+    quartiles = {r.column_name: r.quantiles for r in found.filter(F.col("quantiles").isNotNull()).collect()}
+    below = lambda c, q: F.avg((F.col(c) <= F.lit(q)).cast("double"))
+    wide = orders.agg(*[F.array(*[below(c, q) for q in quartiles[c]]).alias(c) for c in numbers])
+    shares = wide.unpivot([], numbers, "column_name", "shares")
+    near = F.forall(F.arrays_zip("shares", F.array(*map(F.lit, (0.25, 0.5, 0.75))).alias("at")), lambda z: F.abs(z["shares"] - z["at"]) <= 4 * R.RANK_ERROR)
+    joined = found.join(known, "column_name").join(shares.select("column_name", near.alias("near_quartiles")), "column_name", "left")
+    return joined.select(
+        "column_name", "row_count", "null_count", "distinct_count",
+        (F.abs(F.col("about") - F.col("distinct_count")) <= 4 * R.DISTINCT_ERROR * F.col("distinct_count")).alias("near_distinct"),
+        "near_quartiles",
+    )

@@ -222,3 +222,17 @@ def test_a_comparison_leaves_no_table_behind(spark, monkeypatch):
     actual = golden.withColumn("v", F.when(F.col("v") == 5.0, 2.0).when(F.col("v") == 2.0, 5.0).otherwise(F.col("v")))
     assert [c.phase for c in R.reconcile(actual, golden)] == ["schema", "property", "data_equivalence"]
     assert len(written) > 2 and not any(os.path.exists(p.removeprefix("file:")) for p in written)
+
+
+def test_eligibility_reaches_all_steps_below(spark):
+    status = spark.createDataFrame(
+        [("p", 0, "passed"), ("p", 1, "translated"), ("p", 2, "passed"), ("p", 3, "passed"), ("p", 4, None), ("q", 2, "passed")],
+        "program string, idx long, status string",
+    )
+    pairs = spark.createDataFrame([("p", 0, 2), ("p", 1, 2), ("p", 2, 3)], "program string, src long, dst long")
+    strict = {(r["program"], r["idx"]): r["verdict"] for r in verdicts.eligibility(status, pairs).collect()}
+    assert strict == {
+        ("p", 0): "runs", ("p", 1): "left out", ("p", 2): "lacks inputs", ("p", 3): "lacks inputs", ("p", 4): "left out", ("q", 2): "runs",
+    }
+    loose = {r["idx"]: r["verdict"] for r in verdicts.eligibility(status, pairs, include_unverified=True).filter("program = 'p'").collect()}
+    assert loose == {0: "runs", 1: "runs", 2: "runs", 3: "runs", 4: "left out"}

@@ -277,3 +277,26 @@ def test_alignment_of_copies_and_of_rows_too_far_apart(spark):
     assert rows == [("changed", 3, ["y"]), ("only in actual", 1, []), ("only in golden", 1, []), ("only in golden", 2, [])]
     same = R.aligned_diff(golden, golden)
     assert same.rows.count() == 0 and same.cells.count() == 0
+
+
+def test_sketches_of_parts_merge_to_those_of_the_whole(spark):
+    """Within the stated errors of the exact figures, for any split; nulls, texts, columns without a value."""
+    rnd = random.Random(51)
+    rows = [(rnd.randint(0, 5000), rnd.gauss(0, 9) if rnd.random() < 0.9 else None, f"t{rnd.randint(0, 900)}", None) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "k int, v double, s string, none double").repartition(6)
+    exact = {r["column_name"]: r for r in R.profile(df).collect()}
+    for parts in (1, 7):
+        pieces = [R.column_sketches(df.filter(F.abs(F.hash("k")) % parts == i)) for i in range(parts)]
+        both = pieces[0]
+        for p in pieces[1:]:
+            both = both.unionByName(p)
+        got = {r["column_name"]: r for r in R.estimates(R.merged(both), (0.1, 0.5, 0.99)).collect()}
+        for c in ("k", "v", "s"):
+            assert (got[c]["row_count"], got[c]["null_count"]) == (20_000, exact[c]["null_count"])
+            assert abs(got[c]["distinct_count"] / exact[c]["distinct_count"] - 1) < 4 * R.DISTINCT_ERROR
+        for at, c in ((0, "k"), (1, "v")):
+            values = sorted(r[at] for r in rows if r[at] is not None)
+            for rank, q in zip((0.1, 0.5, 0.99), got[c]["quantiles"]):
+                share = sum(v <= q for v in values) / len(values)
+                assert abs(share - rank) < 4 * R.RANK_ERROR
+        assert got["s"]["quantiles"] is None and got["none"]["quantiles"] is None and got["none"]["distinct_count"] == 0
