@@ -1,468 +1,305 @@
 """Prediction by partial matching: code lengths of whole texts under a byte-context trie of the corpus.
 
-A text is a run of chunks, its words and the gaps between them; each chunk is coded byte by byte and
-closed by a stop symbol, the last gap by an end symbol. The context of a byte is what the chunk has so
-far: all of it, else its last ``ORDER`` bytes, else fewer, down to none. A symbol not seen in a context
-costs an escape and is sought in the next shorter one, where the symbols of the longer context are excluded.
-
-Texts of one class (a language, say) share a trie; a text is coded by the class under which its
-frequent words and gaps are likeliest, and pays for naming it. The class of a text is never looked up in its row.
-
-Since contexts stay inside chunks, the tries are counted from the table of distinct chunks, not
-from the texts. Every transition counts, however rare: all of them are a table, written with the numbers of
-their context, and distinct chunks are coded by joins to it. ``Trie`` is the same model in memory, for small counts.
-
-Of words that make up at least ``HOT`` of all, and of such gaps, every task holds the counts and code
-lengths (at most 1 / ``HOT`` of each); the others are joined to the tables.
+A text is one run of bytes, words and gaps alike, closed by an end symbol. Each byte is coded after the ``ORDER`` bytes
+before it, whatever words they belong to. A symbol not seen in a context costs an escape, as likely as the context has
+kinds of symbols, and is sought in the next shorter one, where the symbols of the longer context are excluded; one
+that no context has seen is as likely as any other such.
+
+The trie is the counts of all five-byte grams of the training texts: a shorter context's counts are sums of longer ones.
+The code length of a byte depends on its gram alone, so it is worked out once for every distinct gram of the corpus.
+Nothing of the corpus is held in one place:
+
+1. Documents are packed into chunks, written once. Each chunk sends its distinct grams and words, with their training
+   counts, to buckets of a hash range, which add them up.
+2. Grams are regrouped by the last two bytes of their context, under which all longer contexts nest; what shorter
+   contexts need are at most 65,536 counts, which every task gets.
+3. The buckets give each chunk the code lengths of its grams and the counts of its words, and chunks add them up by text.
+
+What leaves a chunk is distinct, so a word of every text reaches its bucket once a chunk. Null counts as the empty text,
+whose code is the end symbol; equal texts have equal scores. Very long texts are chunks of their own. Without
+training texts every symbol is equally likely.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from math import log10
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.ipc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepledger.llm.common import fold_text, whole
+from stepledger.columns import col
+from stepledger.llm.common import whole
+from stepledger.llm.repeats import BUCKET_CHARS, CHUNK_CHARS, FACTOR, FIND, Numbering, _packed, _rows, _split
 from stepledger.settings import store
 
-ORDER = 4
-HOT = 1 / 400_000
-CLASS = 0.01  # part of the training texts from which a class has a trie of its own; the others share one
-KEPT_KEYS = 300_000  # distinct keys a task sums before it passes them on
-
-# Bytes that UTF-8 never uses open and close a chunk.
-WORD, GAP, LEAD = b"\xfe", b"\xff", b"\xfd"
-STOP, END = b"\xfc", b"\xfb"
+ORDER = 4  # bytes of the longest context
 SYMBOLS = 256
-CUT = re.compile(r"([\x20\x09-\x0D]+)")
-
-
-def chunks(text: str) -> tuple[list[str], list[bytes]]:
-    """The words of a folded text, and its gaps as coded strings: the leading one, those between words, the last."""
-    parts = CUT.split(text)
-    words, gaps = parts[0::2], parts[1::2]
-    lead = gaps.pop(0) if not words[0] and gaps else ""
-    words = words if words[0] else words[1:]
-    if not words or words == [""]:
-        return [], [LEAD + lead.encode() + END]
-    tail = ""
-    if not words[-1]:
-        words, tail = words[:-1], gaps.pop()
-    coded = [GAP + g.encode() + STOP for g in gaps]
-    return words, [LEAD + lead.encode() + STOP, *coded, GAP + tail.encode() + END]
-
-
-def coded_word(word: str) -> bytes:
-    return WORD + word.encode() + STOP
-
-
-def grams(coded: bytes, order: int = ORDER) -> list[bytes]:
-    """Each transition of a coded chunk as context and symbol: of orders 0 to ``order``, and of the whole prefix."""
-    stops = range(2, len(coded) + 1)
-    found = [coded[j - k - 1 : j] for k in range(order + 1) for j in stops if j > k]
-    return found + [coded[:j] for j in stops if j > order + 1]
-
-
-@dataclass
-class Node:
-    total: int  # occurrences of the kept symbols
-    rare: int  # occurrences of the others
-    counts: dict[int, int]
-    parent: bytes | None
-    shadow: int  # what the parent counts of this node's symbols
-
-
-class Trie:
-    """Transitions as nodes by context, and code lengths under them; those left out are escape weight."""
-
-    def __init__(self, transitions: Iterable[tuple[bytes, int]], order: int = ORDER):
-        self.order = order
-        seen = dict(transitions)
-        nodes: dict[bytes, dict[int, int]] = {}
-        for gram, n in seen.items():
-            nodes.setdefault(gram[:-1], {})[gram[-1]] = n
-        self.nodes: dict[bytes, Node] = {}
-        for context, counts in nodes.items():
-            total = sum(counts.values())
-            parent = None if not context else context[-order:] if len(context) > order else context[1:]
-            shadow = 0 if parent is None else sum(nodes[parent][s] for s in counts)
-            # Every occurrence of a context goes on, so its count as a transition counts its followers.
-            rare = max(0, seen.get(context, total) - total)
-            self.nodes[context] = Node(total, rare, counts, parent, shadow)
-        self.known: dict[bytes, float] = {}
-
-    def symbol(self, coded: bytes, i: int) -> float:
-        """log10 of the probability of the byte at ``i`` after those before it."""
-        nodes, order, s = self.nodes, self.order, coded[i]
-        node = nodes.get(coded[:i]) if i > order else None
-        k = min(i, order)
-        while node is None and k >= 0:
-            node = nodes.get(coded[i - k : i])
-            k -= 1
-        p, hidden, hidden_kinds, kinds = 1.0, 0, 0, 0
-        while node is not None:
-            kinds = len(node.counts)
-            escape = kinds - hidden_kinds + node.rare
-            total = node.total - hidden + escape
-            n = node.counts.get(s)
-            if n is not None:
-                return log10(p * n / total)
-            if total:
-                p *= escape / total
-            hidden, hidden_kinds = node.shadow, kinds
-            node = None if node.parent is None else nodes[node.parent]
-        return log10(p / (SYMBOLS - kinds))
-
-    def length(self, coded: bytes) -> float:
-        """log10 of the probability of a chunk."""
-        total, order, known, last = 0.0, self.order, self.known, len(coded)
-        i = 1
-        # While the whole prefix is a context, symbols depend on all of it; an unseen prefix stays unseen.
-        while i < last and (i <= order or coded[:i] in self.nodes):
-            total += self.symbol(coded, i)
-            i += 1
-        for i in range(i, last):
-            gram = coded[i - order : i + 1]
-            p = known.get(gram)
-            if p is None:
-                if len(known) >= KEPT_KEYS:
-                    known.clear()
-                p = known[gram] = self.symbol(coded, i)
-            total += p
-        return total
-
-
-def _batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the chunks of each class, in training texts and in all."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.binary()), ("n_train", pa.int64()), ("n_all", pa.int64())])
-    counters: dict[tuple[int, bool], Counter] = {}
-
-    def flush() -> pa.RecordBatch:
-        made: dict[tuple[int, bytes], list[int]] = {}
-        for (kind, held), counter in counters.items():
-            for key, n in counter.items():
-                entry = made.setdefault((kind, coded_word(key) if isinstance(key, str) else key), [0, 0])
-                entry[0] += 0 if held else n
-                entry[1] += n
-        counters.clear()
-        return _batch(schema, [*map(list, zip(*((*k, *v) for k, v in made.items())))] or [[], [], [], []])
-
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("text", "held", "kind"))
-        for text, held, kind in zip(*columns):
-            words, gaps = chunks(fold_text(text))
-            into = counters.setdefault((kind, held), Counter())
-            into.update(words)
-            into.update(gaps)
-            if sum(map(len, counters.values())) > KEPT_KEYS:
-                yield flush()
-    yield flush()
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int32()), ("gram", pa.binary()), ("n", pa.int64())])
-    kinds: dict[int, dict[bytes, int]] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [(kind, g, n) for kind, counts in kinds.items() for g, n in counts.items()]
-        kinds.clear()
-        return _batch(schema, [*map(list, zip(*rows))] or [[], [], []])
-
-    for batch in batches:
-        for kind, coded, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "n_train"))):
-            counts = kinds.setdefault(kind, {})
-            get = counts.get
-            for g in grams(coded):
-                counts[g] = get(g, 0) + n
-            if len(counts) > KEPT_KEYS:
-                yield flush()
-    yield flush()
-
-
-@dataclass
-class Model:
-    """Counts of the training texts: ``chunks``, ``transitions`` and ``nodes`` are tables, the rest is bounded."""
-
-    chunks: DataFrame  # kind, chunk, n_train, n_all
-    transitions: DataFrame  # kind, gram, n, and of its context: total, kinds, shadow; lead marks one row of each
-    nodes: DataFrame  # contexts of up to ORDER bytes: kind, context, total, kinds, shadow, counts by symbol
-    priors: list[float]  # log10 of the part of each class
-    hot: dict[bytes, tuple[int, list[float]]]  # of frequent chunks the count and the length in each class
-    tokens: int  # words and ends
-    distinct: int
-    ends: int
-
-    def base(self, count: int) -> float:
-        return log10((count + 1) / (self.tokens + self.distinct + 1))
-
-
-def train(
-    docs: DataFrame,
-    held: Column,
-    text: str = "text",
-    by: str | None = None,
-    hot: float = HOT,
-) -> Model:
-    """Count all texts for which ``held`` is false; ``by`` names the column of their classes.
-
-    Null texts count as empty; null classes and those of under ``CLASS`` of the training texts share a trie.
-    Without training texts the model knows nothing: every symbol is as likely as any other.
-    """
-    rows = docs.select(
-        whole(F.col(text)).alias("text"),
-        held.alias("held"),
-        (F.lit(None) if by is None else F.col(by)).cast("string").alias("by"),
-    )
-    sizes = rows.filter("not held").groupBy("by").agg(F.count(F.lit(1)).alias("n"))
-    texts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # At most 1 / CLASS rows.
-    named = sorted((r.by, r.n) for r in sizes.filter(F.col("by").isNotNull() & (F.col("n") >= CLASS * texts)).collect())
-    kind = F.lit(len(named))
-    for i, (name, _) in enumerate(named):
-        kind = F.when(F.col("by") == name, i).otherwise(kind)
-    parts = [n for _, n in named] + [texts - sum(n for _, n in named)]
-    priors = [log10((n + 1) / (texts + len(parts))) for n in parts]
-
-    counted = (
-        rows.select("text", "held", kind.alias("kind"))
-        .mapInArrow(_count_chunks, "kind int, chunk binary, n_train long, n_all long")
-        .groupBy("kind", "chunk")
-        .agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
-    )
-    table = store(counted)
-    n_words, words_all, gaps_all, ends = table.agg(
-        F.coalesce(F.sum(F.when(_is_word(), F.col("n_train"))), F.lit(0)),
-        F.coalesce(F.sum(F.when(_is_word(), F.col("n_all"))), F.lit(0)),
-        F.coalesce(F.sum(F.when(~_is_word(), F.col("n_all"))), F.lit(0)),
-        F.coalesce(F.sum(F.when(F.substring("chunk", -1, 1) == F.lit(END), F.col("n_train"))), F.lit(0)),
-    ).first()
-    grams_ = store(
-        table.filter("n_train > 0")
-        .mapInArrow(_count_grams, "kind int, gram binary, n long")
-        .groupBy("kind", "gram")
-        .agg(F.sum("n").alias("n"))
-    )
-    transitions = store(_transitions(grams_))
-    nodes = store(_nodes(transitions))
-    counts = _counts(table)
-    distinct = counts.filter(_is_word() & (F.col("n_train") > 0)).count()
-    # At most 1 / hot words and as many gaps, whose mean length is bounded by that of all.
-    bar = F.when(_is_word(), hot * words_all).otherwise(hot * gaps_all)
-    often = store(counts.filter(F.col("n_all") >= bar).select("chunk", "n_train"))
-    kinds = F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))).alias("kind")
-    coded = _lengths(store(often.select(kinds, "chunk")), transitions, nodes).join(often, "chunk").toArrow()
-    known: dict[bytes, tuple[int, list[float]]] = {}
-    for c, k, n, v in zip(*(coded.column(c).to_pylist() for c in ("chunk", "kind", "n_train", "length"))):
-        known.setdefault(bytes(c), (n, [0.0] * len(parts)))[1][k] = v
-    return Model(table, transitions, nodes, priors, known, n_words + ends, distinct + (ends > 0), ends)
-
+# Bytes that UTF-8 never uses stand before a text and close it.
+PAD, END = b"\xff", b"\xfb"
+GRAM, WORD = 0, 1  # kinds of keys
+
+
+def grams(text: bytes) -> list[bytes]:
+    """Each byte of a text, and its end, after the ``ORDER`` bytes before it."""
+    s = PAD * ORDER + text + END
+    return [s[i : i + ORDER + 1] for i in range(len(text) + 1)]
+
+
+class Chunk:
+    """The grams and words of a chunk's documents: distinct keys in order of their buckets, and where each one stands."""
+
+    def __init__(self, body: bytes, buckets: int):
+        import xxhash
+
+        table = pa.ipc.open_stream(body).read_all()
+        self.ids = table.column("id").to_pylist()
+        self.held = np.array(table.column("held").to_pylist(), dtype=bool)
+        # bytes.lower() changes A-Z alone.
+        texts = [t.encode().lower() for t in table.column("text").to_pylist()]
+        self.sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        flat = np.frombuffer(b"".join(chain.from_iterable((PAD * ORDER, t, END) for t in texts)), dtype=np.uint8)
+        n = len(flat) - ORDER
+        made = np.zeros(n, dtype=np.uint64)
+        for k in range(ORDER + 1):
+            made = (made << np.uint64(8)) | flat[k : k + n]
+        # Windows that begin in a text's end symbol or run over it into the next text's padding are none.
+        starts = np.cumsum(self.sizes + ORDER) - (self.sizes + ORDER)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes) + starts[self.doc]
+        keys, of = np.unique(made[at], return_inverse=True)
+        order, self.gram_bucket = self._by_bucket((keys * FACTOR) ^ ((keys * FACTOR) >> np.uint64(29)), buckets)
+        self.grams, self.gram_of = keys[order], self._renumbered(order, of)
+        words = [FIND(t.decode()) for t in texts]
+        self.n_words = np.array([len(w) for w in words], dtype=np.int64)
+        self.word_doc = np.repeat(np.arange(len(texts)), self.n_words)
+        numbers = Numbering()
+        of = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(self.n_words.sum()))
+        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        order, self.word_bucket = self._by_bucket(lanes[:, 0], buckets)
+        self.words, self.word_of = lanes[order], self._renumbered(order, of)
+
+    @staticmethod
+    def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order].astype(np.int64)
+
+    @staticmethod
+    def _renumbered(order: np.ndarray, of: np.ndarray) -> np.ndarray:
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return place[of]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the distinct grams and words."""
+        return (
+            np.bincount(self.gram_of, ~self.held[self.doc], len(self.grams)).astype(np.int64),
+            np.bincount(self.word_of, ~self.held[self.word_doc], len(self.words)).astype(np.int64),
+        )
 
-def _is_word() -> Column:
-    return F.substring("chunk", 1, 1) == F.lit(WORD)
 
+KEYS = "bucket int, kind int, chunk binary, keys binary, counts binary"
 
-def _counts(table: DataFrame) -> DataFrame:
-    """Counts of the chunks, whatever their class."""
-    return table.groupBy("chunk").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
+def _keyed(buckets: int, counted: bool):
+    """A row for each chunk, bucket and kind: the distinct keys and, if asked for, their training counts."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-def _first(coded: Column, n: Column) -> Column:
-    return F.substring(coded, F.lit(1), n)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "body"))):
+                chunk = Chunk(body, buckets)
+                kinds = zip((GRAM, WORD), (chunk.gram_bucket, chunk.word_bucket), (chunk.grams, chunk.words), chunk.counts())
+                rows = []
+                for kind, bucket, keys, n in kinds:
+                    parts = _split(bucket) if len(bucket) else ()
+                    rows += [(b, kind, name, keys[i:j].tobytes(), n[i:j].tobytes() if counted else b"") for b, i, j in parts]
+                yield _rows(schema, rows)
 
+    return keyed
 
-def _shorter(context: Column) -> Column:
-    """The context sought next: the last ``ORDER`` bytes of a longer one, else all but the first byte."""
-    n = F.octet_length(context)
-    return F.when(n > ORDER, F.substring(context, -ORDER, ORDER)).otherwise(F.substring(context, F.lit(2), n))
 
+def _known(kind: int, keys: bytes) -> np.ndarray:
+    """Keys as sortable values: grams as numbers, words as pairs of lanes."""
+    flat = np.frombuffer(keys, dtype=np.uint64)
+    return flat if kind == GRAM else flat.view([("a", np.uint64), ("b", np.uint64)])
 
-def _transitions(counted: DataFrame) -> DataFrame:
-    """Each transition with its context's occurrences, number of symbols, and what the next shorter context counts of these."""
-    low = counted.filter(F.octet_length("gram") <= ORDER + 1).select("kind", F.col("gram").alias("below"), F.col("n").alias("under"))
-    context = _first(F.col("gram"), F.octet_length("gram") - 1)
-    # A context has at most SYMBOLS rows.
-    at = Window.partitionBy("kind", "context")
-    rows = counted.withColumn("context", context).withColumn(
-        "below", F.when(F.octet_length("context") > 0, F.concat(_shorter(F.col("context")), F.substring("gram", -1, 1)))
-    )
-    return rows.join(low, ["kind", "below"], "left").select(
-        "kind",
-        "gram",
-        "n",
-        F.sum("n").over(at).alias("total"),
-        F.count(F.lit(1)).over(at).alias("kinds"),
-        F.sum(F.coalesce("under", F.lit(0))).over(at).alias("shadow"),
-        (F.min("gram").over(at) == F.col("gram")).alias("lead"),
-    )
 
+def _summed(table: pa.Table) -> pa.Table:
+    """The keys of one bucket and kind in order, each once, with their summed counts."""
+    kind = table.column("kind")[0].as_py()
+    keys, of = np.unique(_known(kind, b"".join(table.column("keys").to_pylist())), return_inverse=True)
+    n = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(n, of, np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64))
+    row = {"bucket": table.column("bucket")[0].as_py(), "kind": kind, "keys": keys.tobytes(), "counts": n.tobytes()}
+    row |= {"total": int(n.sum()), "kinds": int((n > 0).sum())}
+    return pa.Table.from_pylist([row], schema=SUMMED)
 
-def _nodes(transitions: DataFrame) -> DataFrame:
-    symbol = F.struct(F.hex(F.substring("gram", -1, 1)).alias("s"), "n")
-    return (
-        transitions.filter(F.octet_length("gram") <= ORDER + 1)
-        .groupBy("kind", _first(F.col("gram"), F.octet_length("gram") - 1).alias("context"))
-        .agg(*[F.first(c).alias(c) for c in ("total", "kinds", "shadow")], F.map_from_entries(F.collect_list(symbol)).alias("counts"))
-    )
 
+SUMMED = pa.schema(
+    [("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())]
+)
 
-def _lengths(pairs: DataFrame, transitions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``length``, the log10 of the probability, of each ``kind``, ``chunk`` of the written table ``pairs``.
 
-    A chunk follows the trie as far as its prefix was seen. Each later symbol is sought in the contexts of
-    its place by joins; those of no or one byte, at most 257 for each class, are broadcast.
-    """
-    size = F.octet_length("chunk")
-    places = pairs.select("kind", "chunk", F.explode(F.sequence(F.lit(2), size)).alias("j"))
-    seen = (
-        places.withColumn("gram", _first(F.col("chunk"), F.col("j")))
-        .join(transitions.select("kind", "gram", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("p")), ["kind", "gram"])
-        .groupBy("kind", "chunk")
-        .agg(F.sum("p").alias("p"), F.max("j").alias("depth"))
-    )
-    followed = store(
-        pairs.join(seen, ["kind", "chunk"], "left").select(
-            "kind", "chunk", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("depth", F.lit(1)).alias("depth")
-        )
-    )
-    heads = transitions.filter("lead").select(
-        "kind", _first(F.col("gram"), F.octet_length("gram") - 1).alias("context"), "total", "kinds", "shadow"
-    )
-    left = (
-        followed.filter(F.col("depth") < size)
-        .select("kind", "chunk", F.explode(F.sequence(F.col("depth") + 1, size)).alias("j"))
-        .withColumn("context", _first(F.col("chunk"), F.col("j") - 1))
-        .withColumn("s", F.hex(F.substring("chunk", F.col("j"), F.lit(1))))
-        .join(heads, ["kind", "context"], "left")
-        .select(
-            "kind",
-            "chunk",
-            "s",
-            _shorter(F.col("context")).alias("before"),
-            F.coalesce(F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))), F.lit(0.0)).alias("p"),
-            F.coalesce("shadow", F.lit(0)).alias("hidden"),
-            F.coalesce("kinds", F.lit(0)).alias("hidden_kinds"),
-            F.lit(False).alias("found"),
-        )
-    )
-    for k in range(ORDER, -1, -1):
-        node = nodes.filter(F.octet_length("context") == k).select("kind", F.col("context").alias("at"), "total", "kinds", "shadow", "counts")
-        at = F.when(F.octet_length("before") >= k, F.substring("before", -k, k) if k else F.lit(b""))
-        n = F.try_element_at("counts", F.col("s"))
-        escape = F.col("kinds") - F.col("hidden_kinds")
-        among = F.col("total") - F.col("hidden") + escape
-        open_ = ~F.col("found") & F.col("kinds").isNotNull()
-        left = (
-            left.withColumn("at", at)
-            .join(F.broadcast(node) if k < 2 else node, ["kind", "at"], "left")
-            .select(
-                "kind",
-                "chunk",
-                "s",
-                "before",
-                F.when(open_ & (among > 0), F.col("p") + F.log10(F.coalesce(n, escape) / among)).otherwise(F.col("p")).alias("p"),
-                F.when(open_, F.col("shadow")).otherwise(F.col("hidden")).alias("hidden"),
-                F.when(open_, F.col("kinds")).otherwise(F.col("hidden_kinds")).alias("hidden_kinds"),
-                (F.col("found") | n.isNotNull()).alias("found"),
-            )
-        )
-    p = F.when(F.col("found"), F.col("p")).otherwise(F.col("p") - F.log10(SYMBOLS - F.col("hidden_kinds")))
-    rest = left.groupBy("kind", "chunk").agg(F.sum(p).alias("rest"))
-    return followed.join(rest, ["kind", "chunk"], "left").select(
-        "kind", "chunk", (F.col("p") + F.coalesce("rest", F.lit(0.0))).alias("length")
-    )
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training counts of the last two bytes of the grams."""
+    total = np.zeros(1 << 16, dtype=np.int64)
+    for batch in batches:
+        for keys, counts in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts"))):
+            np.add.at(total, (np.frombuffer(keys, np.uint64) & np.uint64(0xFFFF)).astype(np.int64), np.frombuffer(counts, np.int64))
+    pair = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(total[pair], pa.int64())], names=["pair", "n"])
 
 
-OUT_TYPES = {
-    "_tokens": pa.int64(),
-    "_known": pa.int64(),
-    "_base": pa.float64(),
-    "_score": pa.float64(),
-    "_kind": pa.int32(),
-    "_rare": pa.list_(pa.binary()),
-}
+def _by_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of a bucket, dealt by the last two bytes of their contexts."""
+    schema = pa.schema([("ends", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    for batch in batches:
+        for bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
+            g, n = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+            ends = ((g >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+            order = np.argsort(ends, kind="stable")
+            ends, g, n = ends[order], g[order], n[order]
+            yield _rows(schema, [(e, bucket, g[i:j].tobytes(), n[i:j].tobytes()) for e, i, j in _split(ends)])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of each text.
+def code_lengths(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """log10 of the probability of the last byte of each gram after the others.
 
-    ``score`` is the log10 probability of the whole folded text. Null counts as the empty text. Every
-    row is scored by itself, so repeated rows give repeated results.
+    ``grams`` are all those whose contexts end in the same two bytes, distinct, with their training ``counts``;
+    ``pairs`` the counts of all grams of two bytes.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.hot)
-    priors, scale, end = model.priors, model.base(0), model.base(model.ends)
-    end_known = int(model.ends > 0)
+    last = (grams & np.uint64(0xFF)).astype(np.int64)
+    n4 = counts.astype(np.float64)
+    _, of4 = np.unique(grams >> np.uint64(8), return_inverse=True)
+    short, of_short = np.unique(grams & np.uint64(0xFFFFFFFF), return_inverse=True)  # three bytes of context
+    short_last = (short & np.uint64(0xFF)).astype(np.int64)
+    n3 = np.bincount(of_short, n4)
+    _, of3 = np.unique(short >> np.uint64(8), return_inverse=True)
+    n2 = np.bincount(short_last, n3, SYMBOLS)
+    n1 = pairs.reshape(SYMBOLS, SYMBOLS)[int((int(grams[0]) >> 8) & 0xFF)].astype(np.float64)
+    n0 = pairs.reshape(SYMBOLS, SYMBOLS).sum(axis=0).astype(np.float64)
+    own3 = of3[of_short]
+    # For each order: count of the symbol, of all symbols, of kinds, and what the next shorter context counts of its symbols.
+    orders = [
+        (n4, np.bincount(of4, n4)[of4], np.bincount(of4, n4 > 0)[of4], np.bincount(of4, (n4 > 0) * n3[of_short])[of4]),
+        (n3[of_short], np.bincount(of3, n3)[own3], np.bincount(of3, n3 > 0)[own3], np.bincount(of3, (n3 > 0) * n2[short_last])[own3]),
+        (n2[last], n2.sum(), (n2 > 0).sum(), n1[n2 > 0].sum()),
+        (n1[last], n1.sum(), (n1 > 0).sum(), n0[n1 > 0].sum()),
+        (n0[last], n0.sum(), (n0 > 0).sum(), 0.0),
+    ]
+    p, found = np.ones(len(grams)), np.zeros(len(grams), dtype=bool)
+    hidden, hidden_kinds = np.zeros(len(grams)), np.zeros(len(grams))
+    for n, total, kinds, below in orders:
+        n, total, kinds, below = (np.broadcast_to(x, len(grams)) for x in (n, total, kinds, below))
+        there = (kinds > 0) & ~found
+        escape = kinds - hidden_kinds
+        every = total - hidden + escape
+        share = np.maximum(every, 1e-300)
+        p = np.where(there & (n > 0), p * n / share, np.where(there & (every > 0), p * escape / share, p))
+        found = found | (there & (n > 0))
+        hidden, hidden_kinds = np.where(kinds > 0, below, hidden), np.where(kinds > 0, kinds, hidden_kinds)
+    p = np.where(found, p, p / (SYMBOLS - hidden_kinds))
+    return np.log10(p)
+
+
+def _coded(pairs: np.ndarray):
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+
+    def coded(table: pa.Table) -> pa.Table:
+        parts = table.column("keys").to_pylist()
+        grams = np.frombuffer(b"".join(parts), np.uint64)
+        lengths = code_lengths(grams, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64), pairs)
+        ends = np.cumsum([len(p) // 8 for p in parts]).tolist()
+        rows = [(b, GRAM, p, lengths[e - len(p) // 8 : e].tobytes()) for b, p, e in zip(table.column("bucket").to_pylist(), parts, ends)]
+        return pa.Table.from_batches([_rows(schema, rows)])
+
+    return coded
+
+
+def _given_back(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each chunk the values of its keys in one bucket and kind, in its own order."""
+    schema = pa.schema([("chunk", pa.binary()), ("bucket", pa.int32()), ("kind", pa.int32()), ("values", pa.binary())])
+    if not asked.num_rows:
+        return schema.empty_table()
+    bucket, kind = asked.column("bucket")[0].as_py(), asked.column("kind")[0].as_py()
+    keys = _known(kind, b"".join(known.column("keys").to_pylist()))
+    values = np.frombuffer(b"".join(known.column("values").to_pylist()), dtype=np.int64)  # eight bytes of either kind
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    rows = [(c, bucket, kind, values[np.searchsorted(keys, _known(kind, k))].tobytes()) for c, k in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist())]
+    return pa.Table.from_batches([_rows(schema, rows)])
+
+
+def _scored(buckets: int, tokens: int, kinds: int, ends: int, shape: pa.Schema):
+    # The end of a text is a token like the words, and was counted with every training text.
+    every, distinct = tokens + ends, kinds + (ends > 0)
+
+    def base(c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / (every + distinct + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = {c[1:-1].decode() if c[:1] == WORD else c: entry for c, entry in shared.value.items()}
-        logs = {w: log10(n + 1) for w, (n, _) in hot.items() if isinstance(w, str)}
-        unseen = {w for w in logs if not hot[w][0]}
-        lengths = [{c: by[k] for c, (_, by) in hot.items()} for k in range(len(priors))]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out: dict[str, list] = {n: [] for n in OUT_TYPES}
-                for t in part.column("text").to_pylist():
-                    words, gaps = chunks(fold_text(t))
-                    bases = list(map(logs.get, words))
-                    frequent = [w for w, b in zip(words, bases) if b is not None]
-                    held = frequent + [g for g in gaps if g in hot]
-                    best, kind = max((p + sum(map(known.__getitem__, held)), -i) for i, (p, known) in enumerate(zip(priors, lengths)))
-                    out["_tokens"].append(len(words) + 1)
-                    out["_known"].append(len(frequent) + end_known - (sum(w in unseen for w in frequent) if unseen else 0))
-                    out["_base"].append(sum([b for b in bases if b is not None]) + len(words) * scale + end)
-                    out["_score"].append(best)
-                    out["_kind"].append(-kind)
-                    out["_rare"].append(
-                        [coded_word(w) for w, b in zip(words, bases) if b is None] + [g for g in gaps if g not in hot]
-                    )
-                names = [c for c in part.schema.names if c != "text"]
-                made = [pa.array(v, OUT_TYPES[n]) for n, v in out.items()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, *out])
-
-    rows = docs.select(
-        *[F.col(c) for c in keep], F.monotonically_increasing_id().alias("_row"), whole(F.col(text)).alias("text")
-    )
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
-    shape = ", ".join([*kept, "_tokens long, _known long, _base double, _score double, _kind int, _rare array<binary>"])
-    # Written once: both the row and its rare chunks go on, under the same number.
-    first = store(rows.mapInArrow(scored, shape))
-    parts = first.filter(F.size("_rare") > 0).select("_row", F.col("_kind").alias("kind"), F.explode("_rare").alias("chunk"))
-    pairs = store(parts.select("kind", "chunk").distinct())
-    counts = _counts(model.chunks).filter(_is_word()).select("chunk", "n_train")
-    coded = _lengths(pairs, model.transitions, model.nodes).join(counts, "chunk", "left")
-    rare = (
-        parts.groupBy("_row", "kind", "chunk")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .join(coded, ["kind", "chunk"])
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.when(F.col("n_train") > 0, F.col("times") * F.log10(F.col("n_train") + 1)).otherwise(0.0)).alias("more"),
-            F.sum(F.col("times") * F.col("length")).alias("length"),
-        )
+            for body, given in zip(*(batch.column(c).to_pylist() for c in ("body", "given"))):
+                chunk = Chunk(body, buckets)
+                found = {(g["kind"], g["bucket"]): g["values"] for g in given or ()}
+                values = []
+                for kind, bucket, dtype in ((GRAM, chunk.gram_bucket, np.float64), (WORD, chunk.word_bucket, np.int64)):
+                    parts = [np.frombuffer(found[kind, b], dtype) for b, _, _ in (_split(bucket) if len(bucket) else ())]
+                    values.append(np.concatenate(parts) if parts else np.zeros(0, dtype))
+                n = len(chunk.ids)
+                score = np.bincount(chunk.doc, values[0][chunk.gram_of], n)
+                count = values[1][chunk.word_of]
+                known = np.bincount(chunk.word_doc, count > 0, n).astype(np.int64) + (ends > 0)
+                plain = np.bincount(chunk.word_doc, base(count), n) + base(np.array(ends))
+                rows = zip(chunk.ids, chunk.held.tolist(), (chunk.n_words + 1).tolist(), known.tolist(), [every] * n, plain.tolist(), score.tolist())
+                yield _rows(shape, list(rows))
+
+    return scored
+
+
+def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Every row's score under the trie of the rows not ``held``, and under their plain token counts.
+
+    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, the last two as log10. A null condition
+    counts as not held. ``chunk_chars`` bounds the texts that a task holds at a time, but for a longer text.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(col(doc_id).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), whole(col(text)).alias("text"))
+    ends = rows.filter(~F.col("held")).count()
+    chunks = store(rows.mapInArrow(_packed(chunk_chars), "chunk binary, chars long, body binary"))
+    chars = chunks.agg(F.sum("chars")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    bodies = chunks.select("chunk", "body")
+    keyed = lambda counted: bodies.mapInArrow(_keyed(buckets, counted), KEYS)
+    summed = store(
+        keyed(True).groupBy("bucket", "kind").applyInArrow(_summed, "bucket int, kind int, keys binary, counts binary, total long, kinds long")
     )
-    return first.drop("_rare").join(rare, "_row", "left").select(
-        *[F.col(c) for c in keep],
-        F.col("_tokens").alias("n_tokens"),
-        (F.col("_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        (F.col("_base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("_score") + F.coalesce("length", F.lit(0.0))).alias("score"),
+    tokens, kinds = summed.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    of_grams = summed.filter(F.col("kind") == GRAM).select("bucket", "keys", "counts")
+    # At most a row for each two bytes.
+    found = of_grams.mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(1 << 16, dtype=np.int64)
+    pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    dealt = of_grams.mapInArrow(_by_ends, "ends int, bucket int, keys binary, counts binary")
+    lengths = dealt.groupBy("ends").applyInArrow(_coded(pairs), "bucket int, kind int, keys binary, values binary")
+    counts = summed.filter(F.col("kind") == WORD).select("bucket", "kind", "keys", F.col("counts").alias("values"))
+    known = lengths.unionByName(counts).groupBy("bucket", "kind")
+    given = keyed(False).groupBy("bucket", "kind").cogroup(known).applyInArrow(_given_back, "chunk binary, bucket int, kind int, values binary")
+    # For one chunk at most eight bytes for each of its distinct grams and words.
+    by_chunk = given.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "values")).alias("given"))
+    shape = pa.schema(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64())]
+        + [("base_score", pa.float64()), ("score", pa.float64())]
     )
+    named = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return bodies.join(by_chunk, "chunk", "left").mapInArrow(_scored(buckets, int(tokens), int(kinds), ends, shape), named)
 
 
 def report(docs: DataFrame, held: Column) -> DataFrame:
-    """Every document under the model of those not ``held``, with a trie for each language."""
-    rows = docs.select("doc_id", "text", "lang", held.alias("held_out"))
-    model = train(rows, F.col("held_out"), by="lang")
-    return score(rows, model, keep=("doc_id", "held_out")).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    """Every document under the model of those not ``held``."""
+    return score(docs.select("doc_id", "text", held.alias("held_out")), F.col("held_out"))

@@ -14,77 +14,76 @@ from stepledger.llm import byte_bpe, mixing, near_dups, ppm, quality, secret_sca
 from stepledger.llm.components import components
 
 
-def small_trie(order=3, least=3):
-    words = Counter("the then there this that of often off offer nation notion ration".split() * 3 + ["théâtre"])
-    counts = Counter()
-    for w, n in words.items():
-        for g in ppm.grams(ppm.coded_word(w), order):
-            counts[g] += n
-    return ppm.Trie([(g, n) for g, n in counts.items() if n >= least or len(g) == 1], order)
-
-
-@pytest.mark.parametrize("context", [b"", b"t", b"th", b"the", b"thex", b"offe", b"zz", "é".encode()])
-def test_ppm_is_a_distribution(context):
-    trie = small_trie()
-    coded = ppm.WORD + context
-    total = sum(10 ** trie.symbol(coded + bytes([s]), len(coded)) for s in range(256))
-    assert total == pytest.approx(1, abs=1e-9)
-
-
-def test_ppm_excludes_symbols_of_the_longer_context():
-    # After "b" only "c" was seen; so an escape from it leaves no probability for "c" below.
-    trie = ppm.Trie([(b"c", 4), (b"d", 4), (b"bc", 4)], 1)
-    assert 10 ** trie.symbol(b"bd", 1) == pytest.approx((1 / 5) * 4 / (4 + 1))
-
-
-def test_ppm_text_is_cut_and_kept():
-    for text in ("", "  ", "a", " a", "a ", " a \n b\t"):
-        words, gaps = ppm.chunks(text)
-        assert len(gaps) == len(words) + 1
-        inner = [g[1:-1].decode() for g in gaps]
-        assert "".join(x for pair in zip(inner, [*words, ""]) for x in pair) == text
-
-
-def test_ppm_prefers_what_it_has_seen(spark):
-    text = "the cat sat on the mat and the dog sat on the log " * 5
-    docs = spark.createDataFrame([(i, text, "en") for i in range(20)], "doc_id long, text string, lang string")
-    model = ppm.train(docs, F.lit(False), by="lang")
-    asked = spark.createDataFrame([(0, text), (1, "qzx " * 65)], "i int, text string")
-    score = {r.i: r.score for r in ppm.score(asked, model, keep=("i",)).collect()}
-    assert score[0] > score[1] + 100
-
-
-def plain_ppm(texts, asked):
-    """Scores under one trie of all transitions of the texts."""
-    counts = Counter()
-    for t in texts:
-        words, gaps = ppm.chunks(t)
-        for c, n in Counter([*map(ppm.coded_word, words), *gaps]).items():
-            for g in ppm.grams(c):
-                counts[g] += n
-    trie = ppm.Trie(counts.items(), ppm.ORDER)
-    split = map(ppm.chunks, asked)
-    return [sum(map(trie.length, [*map(ppm.coded_word, words), *gaps])) for words, gaps in split]
-
-
-def test_ppm_keeps_rare_transitions_of_large_corpora(spark):
-    # More than four million symbols: once a transition had to occur more than once in them.
-    texts = ["abab " * 900_000, "zqxv zqyw", "théâtre  nation", None]
-    asked = ["zqxv", "zqxw abab\tzq", "nations théâtral\n\n", "", " ", "ü", "abab abab"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    for hot in (ppm.HOT, 0.4):  # with the rare chunks held by the tasks, and joined
-        model = ppm.train(docs, F.lit(False), hot=hot)
-        rows = spark.createDataFrame(list(enumerate(asked)), "i int, text string")
-        got = {r.i: r.score for r in ppm.score(rows, model, keep=("i",)).collect()}
-        assert [got[i] for i in range(len(asked))] == pytest.approx(plain_ppm([t or "" for t in texts], asked), abs=1e-6)
-
-
-def test_ppm_looks_back_four_bytes(spark):
-    texts = ["xabcdp yabcdp"] + ["ebcdq fbcdq gbcdq"] * 20
-    model = ppm.train(spark.createDataFrame([(t,) for t in texts], "text string"), F.lit(False))
-    rows = spark.createDataFrame([(0, "wabcdp"), (1, "wabcdq")], "i int, text string")
-    got = {r.i: r.score for r in ppm.score(rows, model, keep=("i",)).collect()}
-    assert got[0] > got[1]
+def plain_ppm(train, asked):
+    """log10 probabilities by a walk down the orders, symbol by symbol, with a count for each context."""
+    counts = {}
+    for t in train:
+        s = b"\xff" * 4 + t + b"\xfb"
+        for i in range(4, len(s)):
+            for k in range(5):
+                counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
+
+    def symbol(context, x):
+        p, out = 1.0, set()
+        for k in range(4, -1, -1):
+            node = counts.get(context[4 - k :])
+            if node is None:
+                continue
+            left = {y: n for y, n in node.items() if y not in out}
+            if not left:
+                continue
+            total = sum(left.values()) + len(left)
+            if x in left:
+                return p * left[x] / total
+            p *= len(left) / total
+            out |= set(left)
+        return p / (256 - len(out))
+
+    def length(t):
+        s = b"\xff" * 4 + t + b"\xfb"
+        return sum(math.log10(symbol(s[i - 4 : i], s[i])) for i in range(4, len(s)))
+
+    return symbol, [length(t) for t in asked]
+
+
+@pytest.mark.parametrize("chunk_chars", [1, 400, 4_000_000])
+def test_ppm_equals_a_plain_walk(spark, chunk_chars):
+    pick = random.Random(61)
+    texts = ["".join(pick.choice("aab ceé\n") for _ in range(pick.randint(0, 60))) for _ in range(60)] + ["", None, "A a", "ab" * 300]
+    rows = [(i, t, i % 4 == 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3)
+    got = {r.doc_id: r for r in ppm.score(df, F.col("h"), chunk_chars=chunk_chars).collect()}
+    low = [(t or "").encode().lower() for t in texts]
+    _, want = plain_ppm([t for t, (_, _, h) in zip(low, rows) if not h], low)
+    assert [got[i].score for i in range(len(rows))] == pytest.approx(want, abs=1e-9)
+
+
+def test_ppm_is_a_distribution():
+    symbol, _ = plain_ppm([b"the then there", b"nation notion", "théâtre".encode()], [])
+    for context in (b"\xff" * 4, b"\xff\xff\xfft", b" the", b"thex", b"tion", b"zzzz"):
+        assert sum(symbol(context, x) for x in range(256)) == pytest.approx(1, abs=1e-12)
+    made = ppm.grams(b"abc")
+    assert made == [b"\xff\xff\xff\xffa", b"\xff\xff\xffab", b"\xff\xffabc", b"\xffabc\xfb"]
+
+
+def test_ppm_hears_the_order_of_words(spark):
+    text = "the cat sat on the mat and a dog lay by the old log "
+    rows = [(i, text * 4, False) for i in range(20)]
+    rows += [(100, text * 4, True), (101, " ".join(sorted((text * 4).split())), True), (102, "qzx " * 52, True)]
+    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean"), F.col("h")).collect()}
+    assert got[100].score > got[101].score + 20 > got[102].score + 100
+    assert got[100].score > got[100].base_score
+
+
+def test_ppm_takes_a_long_text_without_blanks(spark):
+    pick = random.Random(62)
+    long = "".join(pick.choice("abcdefgh") for _ in range(1_000_000))
+    rows = [(1, long, False), (2, long[:500], True), (3, None, None)]
+    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean"), F.col("h")).collect()}
+    assert got[2].score == pytest.approx(500 * math.log10(1 / 8), rel=0.2) and got[1].n_tokens == 2
+    none = spark.createDataFrame([(1, "ab", True)], "doc_id long, text string, h boolean")
+    (r,) = ppm.score(none, F.col("h")).collect()
+    assert r.score == pytest.approx(3 * math.log10(1 / 256)) and (r.n_known, r.train_tokens) == (0, 0)
 
 
 def test_toxicity_learns_stems_not_ids(spark):
