@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
@@ -70,7 +71,7 @@ class Chunk:
         starts = np.cumsum(self.sizes + ORDER) - (self.sizes + ORDER)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes) + starts[self.doc]
-        keys, of = np.unique(made[at], return_inverse=True)
+        of, keys = pd.factorize(made[at])  # by hashing: there are few distinct ones
         order, self.gram_bucket = self._by_bucket((keys * FACTOR) ^ ((keys * FACTOR) >> np.uint64(29)), buckets)
         self.grams, self.gram_of = keys[order], self._renumbered(order, of)
         words = [FIND(t.decode()) for t in texts]
