@@ -138,3 +138,28 @@ def embeddings() -> list[tuple]:
     made += [(60, None), (61, []), (62, [1.0]), (63, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (64, [float("nan")] + [0.0] * 5)]
     made += [(65, [float("inf")] + [0.0] * 5), (66, [0.0] * 6), (66, [0.0] * 6), (None, [0.5] * 6), (67, [250.0] + [0.25] * 5)]
     return made
+
+
+def sketch(text: str | None, size: int = 5, fraction: int = 4) -> list[int]:
+    """Sorted distinct hashes of the runs of words in the lowest part of the range; the lowest one where there is none."""
+    import xxhash
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    hashed = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words(text)]
+    runs = [hashed[i : i + size] for i in range(max(len(hashed) - size + 1, 1 if hashed else 0))]
+    found = set()
+    for run in runs:
+        h = 42
+        for w in run:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed=h)
+        found.add(signed(h))
+    low = {h for h in found if h < -(2**63) + 2**64 // fraction}
+    return sorted(low or ({min(found)} if found else set()))
+
+
+def printed(hashes: list[int]) -> str:
+    return ".".join(f"{h % 2**64:016x}" for h in hashes)
+
+
+def likeness(a: list[int], b: list[int]) -> float:
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0

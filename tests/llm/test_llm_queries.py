@@ -92,6 +92,10 @@ def test_op3_order_and_edit(spark, odd, docs):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + follower[r.doc_id][1][:cut]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(text)
+        own, changed, following = map(plain.sketch, (text, edited, follower[r.doc_id][1]))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain.printed(own), plain.printed(changed))
+        assert r.near_edited == pytest.approx(plain.likeness(own, changed))
+        assert r.near_next == pytest.approx(plain.likeness(own, following))
         checked += 1
     assert checked > 60 and len(found) == len(docs)
     same = {r.fingerprint for r in found if r.doc_id is not None and 40 <= r.doc_id < 52}
