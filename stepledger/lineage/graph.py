@@ -119,10 +119,13 @@ CYCLE_CHECK_ROUND = 4
 
 
 def _hops(pairs: DataFrame, front: DataFrame, program: str, depth: int) -> DataFrame:
-    """The steps that the next edges reach from the front, with the last depth at which each is reached."""
+    """The steps that the next edges reach from the front, with the last depth at which each is reached.
+
+    A front is steps of many programs, whose names shrink in files: by its size there it would be gathered for a broadcast.
+    """
     parts = []
     for hop in range(1, HOPS + 1):
-        moving = pairs.join(front.select(col(program), F.col("idx").alias("src")), [program, "src"], "left_semi")
+        moving = pairs.join(front.select(col(program), F.col("idx").alias("src")).hint("merge"), [program, "src"], "left_semi")
         front = moving.select(col(program), F.col("dst").alias("idx")).distinct()
         parts.append(front.withColumn("depth", F.lit(depth + hop)))
     reached = reduce(lambda a, b: a.union(b), parts)
@@ -193,7 +196,7 @@ def downstream(start: DataFrame, edge_rows: DataFrame, program: str = "program")
             reached = _hops(pairs, front, program, 0)
             # Steps met before the last hop have been followed already.
             front = store(
-                reached.filter(F.col("depth") == HOPS).drop("depth").join(seen, [program, "idx"], "left_anti")
+                reached.filter(F.col("depth") == HOPS).drop("depth").join(seen.hint("merge"), [program, "idx"], "left_anti")
             )
             seen = seen.union(reached.drop("depth"))
         return block.keep(seen.distinct())

@@ -72,6 +72,16 @@ def changed(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     return now.join(old, match, "left_anti").select(col(key))
 
 
+def changed_definitions(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Steps that are new or whose fingerprint differs.
+
+    Steps cut out of texts are far more bytes than the size that Spark derives for them, so the earlier ones are merged,
+    never gathered for a broadcast.
+    """
+    keys = ["program", "idx", "fingerprint"]
+    return now.select(*keys).join(before.select(*keys).hint("merge"), keys, "left_anti").select("program", "idx")
+
+
 def stale_steps(
     definitions_now: DataFrame,
     definitions_before: DataFrame,
@@ -84,8 +94,6 @@ def stale_steps(
 
     ``definitions``: program, idx, fingerprint. ``data``: manifests. ``io``: program, idx, dataset.
     """
-    keyed = definitions_now.select("program", "idx", "fingerprint")
-    old = definitions_before.select("program", "idx", "fingerprint")
-    own = keyed.join(old, ["program", "idx", "fingerprint"], "left_anti").select("program", "idx")
+    own = changed_definitions(definitions_now, definitions_before)
     touched = io.join(changed(data_now, data_before, "dataset"), "dataset", "left_semi").select("program", "idx")
     return downstream(own.union(touched), edge_rows)

@@ -40,9 +40,12 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered.select("path", (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line_no"), "line")
 
 
-def spread(corpus: DataFrame, by: str = "program") -> DataFrame:
-    """Texts dealt over the tasks by the bytes they come from: lexing a text costs far more than moving it once."""
-    return corpus.repartition(task_count(corpus, TEXT_BYTES), by)
+def spread(corpus: DataFrame, by: str = "program", tasks: int = 0) -> DataFrame:
+    """Texts dealt over the tasks by the bytes they come from: lexing a text costs far more than moving it once.
+
+    ``tasks`` is the least number of them, for texts that are many more bytes than what they come from.
+    """
+    return corpus.repartition(max(task_count(corpus, TEXT_BYTES), tasks), by)
 
 
 def file_name(path: Column) -> Column:

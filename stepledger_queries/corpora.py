@@ -64,9 +64,15 @@ SOURCE = f"""concat(
     '%LET Top', CAST(p_size AS STRING), ' = 1;', chr(10))"""
 
 
+# Programs for each task: their texts are some hundred times the bytes of the rows that they are made of.
+TASK_PROGRAMS = 4000
+
+
 def corpus(spark, sf_dir, text=TEXT):
+    """The rows are dealt before the texts are made of them, so no text is moved."""
     part = table(spark, sf_dir, "part")
-    return spread(part.select(F.expr(PROGRAM).alias("program"), F.expr(text).alias("text")))
+    named = part.withColumn("program", F.expr(PROGRAM))
+    return spread(named, tasks=-(-part.count() // TASK_PROGRAMS)).select("program", F.expr(text).alias("text"))
 
 
 def corpus_sql(text=TEXT):

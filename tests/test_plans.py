@@ -11,6 +11,7 @@ from stepledger import settings
 from stepledger.plans import changes, flow, ranges, verdicts
 from stepledger.plans.history import RunHistory
 from stepledger.settings import release, store, tables
+from stepledger_queries.corpora import corpus
 from stepledger_queries.plans import PRICING
 
 
@@ -236,3 +237,19 @@ def test_eligibility_reaches_all_steps_below(spark):
     }
     loose = {r["idx"]: r["verdict"] for r in verdicts.eligibility(status, pairs, include_unverified=True).filter("program = 'p'").collect()}
     assert loose == {0: "runs", 1: "runs", 2: "runs", 3: "runs", 4: "left out"}
+
+
+def test_definitions_are_never_gathered_for_a_broadcast(spark):
+    old = [("p", 0, "a"), ("p", 1, "b"), ("q", 0, "c"), (None, 0, "d")]
+    now = [("p", 0, "a"), ("p", 1, "B"), ("p", 1, "B"), ("q", 0, "c"), ("q", 1, "c"), (None, 0, "d")]
+    kind = "program string, idx long, fingerprint string"
+    own = changes.changed_definitions(spark.createDataFrame(now, kind), spark.createDataFrame(old, kind))
+    assert "Broadcast" not in own._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["program"] or "", r["idx"]) for r in own.collect()) == [("", 0), ("p", 1), ("p", 1), ("q", 1)]
+
+
+def test_corpus_is_dealt_before_its_texts_are_made(spark, sf_dir):
+    made = corpus(spark, sf_dir)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "options nocenter" in plan.split("Repartition")[0]
+    assert "options nocenter" not in plan.split("Repartition", 1)[1]
