@@ -57,10 +57,12 @@ class _Shift:
 class Pass:
     """Several ordered operators over the same BY groups in the same order: one write, one sort, one read of the pieces."""
 
-    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str]):
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], carried: Sequence[str] = ()):
+        """``carried`` columns break no ties: the ends of the ranges are chosen by the driver, from sort keys of some rows."""
         self.df = df
         self.by = list(by)
         self.order = order
+        self.carried = list(carried)
         self.terms: dict[str, Column] = {}
         self.runs: list[_Running] = []
         self.helds: list[_Held] = []
@@ -99,7 +101,7 @@ class Pass:
 
     def result(self) -> DataFrame:
         df, by = self.df, self.by
-        keys = ordering(df, self.order, skip=by)
+        keys = ordering(df, self.order, skip=[*by, *self.carried])
         parts = in_pieces(df.withColumns(self.terms), by, keys)
         w = window(parts, by, keys)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -217,9 +219,9 @@ def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return running_sum(df, by, order, {out: col(value)})
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "row_no") -> DataFrame:
-    """Number the rows of each BY group from 1."""
-    return Pass(df, by, order).number(out).result()
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "row_no", carried: Sequence[str] = ()) -> DataFrame:
+    """Number the rows of each BY group from 1; ``carried`` columns, such as whole texts, are no sort keys."""
+    return Pass(df, by, order, carried).number(out).result()
 
 
 def with_row_index(df: DataFrame, order: Sequence[str], out: str = "row_index", start: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepledger.columns import attach
+from stepledger.columns import attach, col
 from stepledger.lineage import patterns as P
 from stepledger.operators.ordered import number_rows
 from stepledger.settings import TEXT_BYTES, store, task_count
@@ -93,5 +93,7 @@ def absent_files(corpus: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def ordered_by_path(corpus: DataFrame, project: str = "project") -> DataFrame:
-    """File numbers in path order within each project."""
-    return number_rows(corpus, [project], ["path"], "file_no")
+    """File numbers in path order within each project; rows of one path are told apart by digests of their texts, not by the texts."""
+    texts = [f.name for f in corpus.schema.fields if f.name not in (project, "path") and f.dataType.simpleString() in ("string", "binary")]
+    digests = {f"__digest{i}": F.sha2(col(c), 256) for i, c in enumerate(texts)}
+    return number_rows(corpus.withColumns(digests), [project], ["path"], "file_no", texts).drop(*digests)

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stepledger.operators import ordered
 from stepledger.settings import shared_dir
 from stepledger.sources import catalog as C
 from stepledger.sources import corpus as P
@@ -156,3 +157,17 @@ def test_listed_files_that_are_absent_are_told(spark):
     order = P.manifest_order(lines, "/p")
     assert [r["path"] for r in P.absent_files(corpus, order).collect()] == ["/p/b.log"]
     assert sorted((r["file_no"], r["text"]) for r in P.ordered_by_manifest(corpus, order).collect()) == [(1, None), (2, "x")]
+
+
+def test_file_numbers_do_not_sort_by_whole_texts(spark, monkeypatch):
+    given = [("x", "/x/b", "long " * 50, None), ("x", "/x/a", "t", "s"), ("x", "/x/a", "u", "s"), ("y", "/y/c", None, None)]
+    files = spark.createDataFrame(given, "project string, path string, text string, source string")
+    sorted_by = []
+    inner = ordered.in_pieces
+    monkeypatch.setattr(ordered, "in_pieces", lambda df, by, keys: sorted_by.extend(str(k) for k in keys) or inner(df, by, keys))
+    made = P.ordered_by_path(files)
+    assert sorted_by and not any(c in k for k in sorted_by for c in ("text", "source"))
+    assert made.columns == [*files.columns, "file_no"]
+    got = made.collect()
+    assert sorted((r["path"], r["file_no"]) for r in got) == [("/x/a", 1), ("/x/a", 2), ("/x/b", 3), ("/y/c", 1)]
+    assert sorted(str(tuple(r)[:4]) for r in got) == sorted(map(str, given))
