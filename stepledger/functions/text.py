@@ -13,7 +13,7 @@ from stepledger.functions.missing import clear_missing
 # Fixed value: the characters that separate words unless others are named.
 WORD_DELIMITERS = " !$%&()*+,-./;<^|"
 # Fixed value: white space as text tools count it, beyond the ASCII blanks.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = r"[[^!-~]&&[\s\x0B\x1C-\x1F\x85\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
 
 
 def upcase(text: Column) -> Column:

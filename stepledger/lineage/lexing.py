@@ -33,14 +33,22 @@ def proc_name(statement: Column) -> Column:
 
 def normalize_statement(statement: Column) -> Column:
     """The form in which a logged and a segmented statement are compared."""
-    return F.lower(squeeze(F.regexp_replace(squeeze(statement), ";+$", "")))
+    return F.lower(F.trim(F.regexp_replace(squeeze(statement), ";+$", "")))
 
 
 def dataset_key(token: Column, library: str = "work") -> Column:
     """``lib.name`` in lower case, options and quotes dropped, default library filled in."""
+    return with_library(bare_name(token), library)
+
+
+def bare_name(token: Column) -> Column:
+    """A dataset token in lower case without its options and quotes."""
     bare = F.regexp_replace(squeeze(token), r"^[;\s]+|[;\s]+$", "")
     bare = squeeze(F.regexp_replace(bare, r"\([\s\S]*$", ""))
-    bare = F.lower(F.regexp_replace(bare, r"""^["']+|["']+$""", ""))
+    return F.lower(F.regexp_replace(bare, r"""^["']+|["']+$""", ""))
+
+
+def with_library(bare: Column, library: str = "work") -> Column:
     return (
         F.when(bare.startswith("."), F.concat(F.lit(library), bare))
         .when(bare.contains("."), bare)

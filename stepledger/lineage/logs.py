@@ -34,8 +34,10 @@ def looks_like_log(text: Column) -> Column:
 
 def flatten(text: Column) -> Column:
     """The concrete program: expanded code of a log in line order; plain source, or a log without code, as it is."""
-    code = F.filter(F.transform(F.filter(lines(text), lambda x: x.rlike(P.EXPANDED)), expanded_code), lambda x: x != "")
-    return F.when(F.size(code) > 0, F.concat(F.array_join(code, "\n"), F.lit("\n"))).otherwise(text)
+    code = F.filter(F.transform(lines(text), expanded_code), lambda x: x != "")
+    ended = F.array_join(F.transform(code, lambda x: F.concat(x, F.lit("\n"))), "")
+    # Named once, so that the lines are gone through once.
+    return F.coalesce(F.nullif(ended, F.lit("")), text)
 
 
 def expanded_code(line: Column) -> Column:
@@ -76,16 +78,16 @@ def line_facts(rows: DataFrame) -> DataFrame:
     """
     line = F.col("line")
 
-    def fact(role: str, name: Column, detail: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), F.upper(name).alias("name"), detail.alias("detail"))
+    def fact(role: str, name: Column, details: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.upper(name).alias("name"), details.alias("details"))
 
-    none = F.lit(None).cast("string")
+    none = F.array(F.lit(None).cast("string"))
     symbol = F.array(
-        fact("symbol", F.regexp_extract(line, P.SYMBOL, 1), squeeze_ends(F.regexp_extract(line, P.SYMBOL, 2)))
+        fact("symbol", F.regexp_extract(line, P.SYMBOL, 1), F.array(squeeze_ends(F.regexp_extract(line, P.SYMBOL, 2))))
     )
-    macro = F.regexp_extract(line, P.EXPANDED_NAMED, 1)
     pieces = F.split(F.regexp_extract(line, P.EXPANDED_NAMED, 2), ";")
-    expanded = F.transform(pieces, lambda s: fact("emitted", macro, normalize_statement(s)))
+    # The macro is taken out of the line once, not for each of its statements.
+    expanded = F.array(fact("emitted", F.regexp_extract(line, P.EXPANDED_NAMED, 1), F.transform(pieces, normalize_statement)))
     logic = F.array(
         fact("loop", F.regexp_extract(line, P.LOOP_INDEX, 1), none),
         fact("parameter", F.regexp_extract(line, P.PARAMETER, 1), none),
@@ -96,11 +98,10 @@ def line_facts(rows: DataFrame) -> DataFrame:
         .when(F.upper(line).contains(P.LOGIC), logic)
     )
     rows = rows.select("program", "line_no", F.explode(facts).alias("f"))
-    emitted = F.col("f.role") == "emitted"
-    empty = (emitted & ((F.col("f.detail") == "") | F.col("f.detail").isin(P.TERMINATORS))) | (
-        ~emitted & (F.col("f.name") == "")
-    )
-    return rows.filter(~empty).select("program", "line_no", "f.role", "f.name", "f.detail")
+    rows = rows.select("program", "line_no", "f.role", "f.name", F.explode("f.details").alias("detail"))
+    emitted = F.col("role") == "emitted"
+    empty = (emitted & ((F.col("detail") == "") | F.col("detail").isin(P.TERMINATORS))) | (~emitted & (F.col("name") == ""))
+    return rows.filter(~empty)
 
 
 def harvest(logs: DataFrame, text: str = "text") -> LogFacts:
@@ -114,17 +115,12 @@ def harvest_lines(rows: DataFrame) -> LogFacts:
 
 
 def _harvested(rows: DataFrame) -> LogFacts:
-    """One aggregate finds the last value of each symbol and each fact once, reduced map-side; it is written for the
-    readers of the three tables."""
-    symbol = F.col("role") == "symbol"
-    found = store(
-        rows.groupBy("program", "role", "name", F.when(~symbol, F.col("detail")).alias("statement")).agg(
-            F.max(F.when(symbol, F.struct("line_no", F.col("detail").alias("value")))).alias("last")
-        )
-    )
-    symbols = found.filter("role = 'symbol'").select(
-        "program", F.col("name").alias("variable"), F.col("last.value").alias("value")
-    )
+    """One aggregate finds each fact once with its last line, reduced map-side; it is written for the readers of the
+    three tables. It keeps a number for each fact, which is hashed, where a kept value would have all facts sorted."""
+    found = store(rows.groupBy("program", "role", "name", F.col("detail").alias("statement")).agg(F.max("line_no").alias("line_no")))
+    last = F.max(F.struct("line_no", F.col("statement").alias("value")))
+    values = found.filter("role = 'symbol'").groupBy("program", F.col("name").alias("variable")).agg(last.alias("last"))
+    symbols = values.select("program", "variable", F.col("last.value").alias("value"))
     structural = found.filter("role in ('loop', 'parameter')").select(
         "program", F.col("name").alias("variable"), "role"
     )

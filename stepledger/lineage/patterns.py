@@ -3,8 +3,9 @@
 # A letter, digit or underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = rf"(?<!{WORD})"
-SPACE = r"[\s\x0B\x1C-\x1F\x85\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+# The plain characters are ruled out first, by one comparison, as nearly all are.
+SPACE = r"[[^!-~]&&[\s\x0B\x1C-\x1F\x85\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+LINE_END = r"\r\n|[[^ -~]&&[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]]"
 
 # Lexing. Possessive, so that long texts do not exhaust the regex stack.
 COMMENT_TOKEN = r"""'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)|/\*[\s\S]*?(?:\*/|\z)|[^'"/]++|/"""
@@ -27,17 +28,17 @@ DEFINITION = rf"(?is)%macro{SPACE}+({WORD}+)(?!{WORD}).*?%mend(?!{WORD})[^;]*;"
 DEFINITION_NAME = rf"(?i)^%macro{SPACE}+({WORD}+)"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Dataset references.
-OPTION_PAIR = rf"""[A-Za-z_]{WORD}*{SPACE}*={SPACE}*(?:\([^)]*\)|[\p{{L}}\p{{N}}_."']+)"""
+# Dataset references. A name is looked for only where its first letter stands.
+OPTION_PAIR = rf"""[A-Za-z_]{WORD}*+{SPACE}*+={SPACE}*+(?:\([^)]*\)|[\p{{L}}\p{{N}}_."']+)"""
 DATASET_NAME = r"[A-Za-z_][\p{L}\p{N}_.]*"
 DATASET_TOKEN = rf"{DATASET_NAME}(?:{SPACE}*\([^)]*\))?"
 PROC_OPTION = (
-    rf"(?i){NOT_WORD_BEFORE}(data|out|outest|base|inest){SPACE}*={SPACE}*({DATASET_NAME}(?:{SPACE}*\([^)]*\))?)"
+    rf"(?i)(?=[dobi]){NOT_WORD_BEFORE}(data|out|outest|base|inest){SPACE}*={SPACE}*({DATASET_NAME}(?:{SPACE}*\([^)]*\))?)"
 )
-SQL_CREATE = rf"(?i){NOT_WORD_BEFORE}create{SPACE}+(?:table|view){SPACE}+({DATASET_NAME})"
-SQL_INSERT = rf"(?i){NOT_WORD_BEFORE}insert{SPACE}+into{SPACE}+({DATASET_NAME})"
-SQL_FROM = rf"(?i){NOT_WORD_BEFORE}from{SPACE}+({DATASET_NAME})"
-SQL_JOIN = rf"(?i){NOT_WORD_BEFORE}join{SPACE}+({DATASET_NAME})"
+SQL_CREATE = rf"(?i)(?=c){NOT_WORD_BEFORE}create{SPACE}+(?:table|view){SPACE}+({DATASET_NAME})"
+SQL_INSERT = rf"(?i)(?=i){NOT_WORD_BEFORE}insert{SPACE}+into{SPACE}+({DATASET_NAME})"
+SQL_FROM = rf"(?i)(?=f){NOT_WORD_BEFORE}from{SPACE}+({DATASET_NAME})"
+SQL_JOIN = rf"(?i)(?=j){NOT_WORD_BEFORE}join{SPACE}+({DATASET_NAME})"
 
 # Words.
 TERMINATORS = ["run", "quit", "endsas"]

@@ -16,14 +16,15 @@ def numeric_tokens(text: Column) -> Column:
     """Every stretch of a text at which a number can stand alone, each once.
 
     A value stands alone when no letter, digit, underscore or point touches it. The
-    stretches are runs of such characters, the same with a leading sign, and
-    numbers whose exponent has a sign.
+    stretches are runs of such characters that begin with a digit or point, the same
+    with a leading sign, and numbers whose exponent has a sign; each is tried only where
+    its first character stands.
     """
     forms = [
-        rf"{EDGE}+",
-        rf"(?<!{EDGE})[+-]{EDGE}+",
-        rf"(?<!{EDGE})[0-9.]+[eE][+-][0-9]+(?!{EDGE})",
-        rf"(?<!{EDGE})[+-][0-9.]+[eE][+-][0-9]+(?!{EDGE})",
+        rf"(?=[0-9.])(?<!{EDGE}){EDGE}+",
+        rf"(?=[+-])(?<!{EDGE})[+-]{EDGE}+",
+        rf"(?=[0-9.])(?<!{EDGE})[0-9.]+[eE][+-][0-9]+(?!{EDGE})",
+        rf"(?=[+-])(?<!{EDGE})[+-][0-9.]+[eE][+-][0-9]+(?!{EDGE})",
     ]
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f), F.lit(0)) for f in forms]))
     return F.array_distinct(F.filter(found, lambda t: t.rlike(P.NUMBER)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepledger.columns import col
 from stepledger.lineage import patterns as P
-from stepledger.lineage.lexing import dataset_key, first_word, proc_name, split_statements
+from stepledger.lineage.lexing import bare_name, first_word, proc_name, split_statements, with_library
 from stepledger.operators.ordered import number_rows, running_sum, shift
 
 
@@ -62,7 +62,8 @@ def extract_steps(programs: DataFrame, text: str = "text", library: str = "work"
 
 def _keys(names: Column, library: str) -> Column:
     """Dataset keys of the names in first-seen order; unnamed targets are left out."""
-    keys = F.transform(names, lambda n: dataset_key(n, library))
+    # In two transforms: what a lambda names twice it works out twice.
+    keys = F.transform(F.transform(names, bare_name), lambda n: with_library(n, library))
     named = F.filter(keys, lambda k: ~F.regexp_replace(k, r"^[^.]*\.", "").isin(P.UNNAMED))
     return F.array_distinct(named)
 

@@ -209,8 +209,8 @@ DERIVED = f"""{SYMBOLS},
 
 
 def log_parts(spark, sf_dir):
-    flat = flat_corpus(spark, sf_dir)
-    return store(steps.extract_steps(flat)), logs.harvest(corpus(spark, sf_dir, LOG)), corpus(spark, sf_dir, SOURCE)
+    found = steps.extract_steps(flat_corpus(spark, sf_dir)).select("program", "idx", "statements", "text")
+    return store(found), logs.harvest(corpus(spark, sf_dir, LOG)), corpus(spark, sf_dir, SOURCE)
 
 
 @query("l5_derived_symbols", f"WITH {DERIVED} SELECT program, variable, value FROM derived")

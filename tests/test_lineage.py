@@ -399,3 +399,28 @@ def test_a_folder_of_files_is_one_project_each(spark, tmp_path):
     listed = read_project(spark, str(tmp_path), manifest=lines, folder=f"file:{tmp_path}/p")
     assert {(r["src"], r["dst"]) for r in listed.edges.collect()} == set()
     assert [r["path"].rsplit("/", 1)[1] for r in listed.files.orderBy("file_no").collect()] == ["c.sas", "b.sas"]
+
+
+def test_flatten_goes_through_the_lines_once(spark):
+    df = programs(spark, "MPRINT(A):  data x;  \nNOTE: n\nMPRINT(A):   run;\n", "data y; run;", "NOTE: no code\n", None)
+    made = df.select("program", L.flatten(F.col("text")).alias("text"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MPRINT") == 1
+    got = {r["program"]: r["text"] for r in made.collect()}
+    assert got == {"p0": " data x;\n  run;\n", "p1": "data y; run;", "p2": "NOTE: no code\n", "p3": None}
+
+
+def test_facts_are_hashed_and_not_sorted(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(L, "store", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    said = "SYMBOLGEN:  Macro variable A resolves to {}\n"
+    facts = L.harvest(programs(spark, "".join(map(said.format, (1, 2, 1, 9, 2))) + "MPRINT(m):  data x; set y;\n" * 2))
+    assert "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+    assert [tuple(r) for r in facts.symbols.collect()] == [("p0", "A", "2")]
+    assert sorted(tuple(r) for r in facts.emitted.collect()) == [("p0", "M", "data x"), ("p0", "M", "set y")]
+
+
+def test_dataset_names_are_cleaned_once(spark):
+    found = T.extract_steps(programs(spark, "data 'Lib.A'(keep=x) .b c; set d; run;")).select("outputs", "inputs")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\([\s\S]*$") == 2
+    assert found.first()["inputs"] == ["work.d"]
