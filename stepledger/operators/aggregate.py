@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from stepledger.columns import all_of, attach, col
 from stepledger.operators.ordered import number_rows
+from stepledger.settings import TEXT_BYTES, input_bytes, store
+
+# Groups whose totals every task can hold.
+FEW_GROUPS = 100_000
 
 # Statistic keywords.
 STATISTICS = {
@@ -71,18 +75,28 @@ def slice_map(df: DataFrame, slices: Mapping[str, Sequence], derived: Mapping[st
     return reduce(lambda d, item: d.withColumn(*item), derived.items(), kept)
 
 
+def _totals(groups: DataFrame) -> DataFrame:
+    """Group rows to set beside detail rows, written once: few are broadcast, so that the details stay where they are.
+
+    Spark takes groups for as large as the details below them, and dealt by a few keys those would be read by as few tasks.
+    """
+    made = store(groups)
+    few = input_bytes(made) <= TEXT_BYTES and made.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return F.broadcast(made) if few else made
+
+
 def remerge(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Group aggregates beside every detail row.
 
     Aggregated first and joined back: a group of any size is summed in parts, and
     few groups are broadcast, where a window would put each group into one task.
     """
-    return attach(df, summarize(df, by, aggs), by)
+    return attach(df, _totals(summarize(df, by, aggs)), by)
 
 
 def having(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], condition: Column) -> DataFrame:
     """HAVING after a remerge: detail rows of the groups that qualify."""
-    return attach(df, summarize(df, by, aggs).filter(condition), by, "inner")
+    return attach(df, _totals(summarize(df, by, aggs).filter(condition)), by, "inner")
 
 
 def group_cardinality(df: DataFrame, keys: Sequence[str]) -> DataFrame:

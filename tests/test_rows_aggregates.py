@@ -159,3 +159,19 @@ def test_linear_score(spark):
     params = spark.createDataFrame([("INTERCEPT", -0.5), (" years ", 2.0), ("CCI", 0.25), ("other", 9.0)], "varname string, estimate double")
     got = [r["score"] for r in A.linear_score(df, params, "varname", "estimate", ["intercept", "years", "cci"], "score").collect()]
     assert got == [4.25, None]
+
+
+def test_remerge_leaves_detail_rows_of_few_groups_in_place(spark):
+    given = [("a", 1), ("a", 2), ("b", 5), (None, 7), (None, 8)]
+    df = spark.createDataFrame(given, "g string, v long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = A.remerge(df, ["g"], {"total": F.sum("v")})
+        kept = A.having(df, ["g"], {"total": F.sum("v")}, F.col("total") > 4)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (made, kept)]
+        assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+        assert sorted(map(tuple, made.collect()), key=str) == sorted([("a", 1, 3), ("a", 2, 3), ("b", 5, 5), (None, 7, 15), (None, 8, 15)], key=str)
+        assert sorted(r["v"] for r in kept.collect()) == [5, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
