@@ -10,10 +10,11 @@ The code length of a byte depends on its gram alone, so it is worked out once fo
 Nothing of the corpus is held in one place:
 
 1. Documents are packed into chunks, written once. Each chunk sends its distinct grams and words, with their training
-   counts, to buckets of a hash range, which add them up.
+   counts, to buckets of a hash range, which add them up and note where each chunk's keys stand among them.
 2. Grams are regrouped by the last two bytes of their context, under which all longer contexts nest; what shorter
    contexts need are at most 65,536 counts, which every task gets.
-3. The buckets give each chunk the code lengths of its grams and the counts of its words, and chunks add them up by text.
+3. The buckets give each chunk, by the noted places, the code lengths of its grams and the counts of its words, and chunks
+   add them up by text. So a chunk is taken apart twice: to send its keys, and to add up what they are worth.
 
 What leaves a chunk is distinct, so a word of every text reaches its bucket once a chunk. Null counts as the empty text,
 whose code is the end symbol; equal texts have equal scores. Very long texts are chunks of their own. Without
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stepledger.columns import col
 from stepledger.llm.common import whole
-from stepledger.llm.repeats import BUCKET_CHARS, CHUNK_CHARS, FACTOR, FIND, Numbering, _packed, _rows, _split
+from stepledger.llm.repeats import BUCKET_CHARS, CHUNK_CHARS, FACTOR, _groups, _order, _packed, _rows, _split
 from stepledger.settings import store
 
 ORDER = 4  # bytes of the longest context
@@ -42,6 +42,7 @@ SYMBOLS = 256
 # Bytes that UTF-8 never uses stand before a text and close it.
 PAD, END = b"\xff", b"\xfb"
 GRAM, WORD = 0, 1  # kinds of keys
+KEY_BYTES = {GRAM: 8, WORD: 16}
 
 
 def grams(text: bytes) -> list[bytes]:
@@ -54,32 +55,42 @@ class Chunk:
     """The grams and words of a chunk's documents: distinct keys in order of their buckets, and where each one stands."""
 
     def __init__(self, body: bytes, buckets: int):
-        import xxhash
-
         table = pa.ipc.open_stream(body).read_all()
         self.ids = table.column("id").to_pylist()
         self.held = np.array(table.column("held").to_pylist(), dtype=bool)
         # bytes.lower() changes A-Z alone.
         texts = [t.encode().lower() for t in table.column("text").to_pylist()]
         self.sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        self._words(texts, buckets)
+        self._grams(texts, buckets)
+        pa.default_memory_pool().release_unused()  # a worker stays, and what Arrow keeps for it adds up
+
+    def _grams(self, texts: list[bytes], buckets: int) -> None:
         flat = np.frombuffer(b"".join(chain.from_iterable((PAD * ORDER, t, END) for t in texts)), dtype=np.uint8)
+        # Windows that begin in a text's end symbol or run over it into the next text's padding are none.
+        real = np.ones(len(flat), dtype=bool)
+        real[np.cumsum(self.sizes + ORDER)[:, None] - np.arange(1, ORDER + 1)] = False
         n = len(flat) - ORDER
         made = np.zeros(n, dtype=np.uint64)
         for k in range(ORDER + 1):
-            made = (made << np.uint64(8)) | flat[k : k + n]
-        # Windows that begin in a text's end symbol or run over it into the next text's padding are none.
-        starts = np.cumsum(self.sizes + ORDER) - (self.sizes + ORDER)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        at = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes) + starts[self.doc]
-        of, keys = pd.factorize(made[at])  # by hashing: there are few distinct ones
+            made <<= np.uint64(8)
+            made |= flat[k : k + n]
+        made = made[real[:n]]
+        encoded = pa.array(made).dictionary_encode()  # by hashing: there are few distinct ones
+        of, keys = encoded.indices.to_numpy(), encoded.dictionary.to_numpy()
         order, self.gram_bucket = self._by_bucket((keys * FACTOR) ^ ((keys * FACTOR) >> np.uint64(29)), buckets)
         self.grams, self.gram_of = keys[order], self._renumbered(order, of)
-        words = [FIND(t.decode()) for t in texts]
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+
+    def _words(self, texts: list[bytes], buckets: int) -> None:
+        import xxhash
+
+        words = [t.split() for t in texts]  # bytes are split at the blanks of ``WORD``, and at no others
         self.n_words = np.array([len(w) for w in words], dtype=np.int64)
-        self.word_doc = np.repeat(np.arange(len(texts)), self.n_words)
-        numbers = Numbering()
-        of = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(self.n_words.sum()))
-        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        self.word_doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.n_words)
+        encoded = pa.array(list(chain.from_iterable(words)), pa.large_binary()).dictionary_encode()
+        of, distinct = encoded.indices.to_numpy(), encoded.dictionary.to_numpy(zero_copy_only=False)
+        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
         order, self.word_bucket = self._by_bucket(lanes[:, 0], buckets)
         self.words, self.word_of = lanes[order], self._renumbered(order, of)
 
@@ -91,23 +102,23 @@ class Chunk:
 
     @staticmethod
     def _renumbered(order: np.ndarray, of: np.ndarray) -> np.ndarray:
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         return place[of]
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the distinct grams and words."""
         return (
-            np.bincount(self.gram_of, ~self.held[self.doc], len(self.grams)).astype(np.int64),
-            np.bincount(self.word_of, ~self.held[self.word_doc], len(self.words)).astype(np.int64),
+            np.bincount(self.gram_of[~self.held[self.doc]], minlength=len(self.grams)),
+            np.bincount(self.word_of[~self.held[self.word_doc]], minlength=len(self.words)),
         )
 
 
 KEYS = "bucket int, kind int, chunk binary, keys binary, counts binary"
 
 
-def _keyed(buckets: int, counted: bool):
-    """A row for each chunk, bucket and kind: the distinct keys and, if asked for, their training counts."""
+def _keyed(buckets: int):
+    """A row for each chunk, bucket and kind: the distinct keys and their training counts."""
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +129,7 @@ def _keyed(buckets: int, counted: bool):
                 rows = []
                 for kind, bucket, keys, n in kinds:
                     parts = _split(bucket) if len(bucket) else ()
-                    rows += [(b, kind, name, keys[i:j].tobytes(), n[i:j].tobytes() if counted else b"") for b, i, j in parts]
+                    rows += [(b, kind, name, keys[i:j].tobytes(), n[i:j].tobytes()) for b, i, j in parts]
                 yield _rows(schema, rows)
 
     return keyed
@@ -130,20 +141,42 @@ def _known(kind: int, keys: bytes) -> np.ndarray:
     return flat if kind == GRAM else flat.view([("a", np.uint64), ("b", np.uint64)])
 
 
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """The order of the keys; pairs are sorted by their first lane, which is much cheaper."""
+    return _order(keys["a"], keys["b"]) if keys.dtype.names else np.argsort(keys)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and for each key its place among them."""
+    order = _sorted(keys)
+    firsts = _groups(keys[order])
+    of = np.empty(len(keys), dtype=np.int32)
+    of[order] = np.repeat(np.arange(len(firsts), dtype=np.int32), np.diff(np.r_[firsts, len(keys)]))
+    return keys[order[firsts]], of
+
+
 def _summed(table: pa.Table) -> pa.Table:
-    """The keys of one bucket and kind in order, each once, with their summed counts."""
-    kind = table.column("kind")[0].as_py()
-    keys, of = np.unique(_known(kind, b"".join(table.column("keys").to_pylist())), return_inverse=True)
+    """The keys of one bucket and kind in order, each once, with their summed counts; then the places of each chunk's keys.
+
+    The keys make one binary, which holds less than 2**31 bytes, so a place fits into four.
+    """
+    bucket, kind = table.column("bucket")[0].as_py(), table.column("kind")[0].as_py()
+    parts = table.column("keys").to_pylist()
+    keys, of = _distinct(_known(kind, b"".join(parts)))
     n = np.zeros(len(keys), dtype=np.int64)
     np.add.at(n, of, np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64))
-    row = {"bucket": table.column("bucket")[0].as_py(), "kind": kind, "keys": keys.tobytes(), "counts": n.tobytes()}
-    row |= {"total": int(n.sum()), "kinds": int((n > 0).sum())}
-    return pa.Table.from_pylist([row], schema=SUMMED)
+    ends = np.cumsum([len(p) for p in parts]) // KEY_BYTES[kind]
+    rows = [(bucket, kind, None, keys.tobytes(), n.tobytes(), int(n.sum()), int((n > 0).sum()), None)]
+    for chunk, i, j in zip(table.column("chunk").to_pylist(), np.r_[0, ends[:-1]], ends):
+        rows.append((bucket, kind, chunk, None, None, None, None, of[i:j].tobytes()))
+    return pa.Table.from_batches([_rows(SUMMED, rows)])
 
 
 SUMMED = pa.schema(
-    [("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())]
+    [("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]
+    + [("total", pa.int64()), ("kinds", pa.int64()), ("places", pa.binary())]
 )
+SUMMED_NAMES = "bucket int, kind int, chunk binary, keys binary, counts binary, total long, kinds long, places binary"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +263,8 @@ def _given_back(asked: pa.Table, known: pa.Table) -> pa.Table:
     bucket, kind = asked.column("bucket")[0].as_py(), asked.column("kind")[0].as_py()
     keys = _known(kind, b"".join(known.column("keys").to_pylist()))
     values = np.frombuffer(b"".join(known.column("values").to_pylist()), dtype=np.int64)  # eight bytes of either kind
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order]
-    rows = [(c, bucket, kind, values[np.searchsorted(keys, _known(kind, k))].tobytes()) for c, k in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist())]
+    values = values[_sorted(keys)]
+    rows = [(c, bucket, kind, values[np.frombuffer(p, np.int32)].tobytes()) for c, p in zip(asked.column("chunk").to_pylist(), asked.column("places").to_pylist())]
     return pa.Table.from_batches([_rows(schema, rows)])
 
 
@@ -276,10 +308,9 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     chars = chunks.agg(F.sum("chars")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
     bodies = chunks.select("chunk", "body")
-    keyed = lambda counted: bodies.mapInArrow(_keyed(buckets, counted), KEYS)
-    summed = store(
-        keyed(True).groupBy("bucket", "kind").applyInArrow(_summed, "bucket int, kind int, keys binary, counts binary, total long, kinds long")
-    )
+    made = store(bodies.mapInArrow(_keyed(buckets), KEYS).groupBy("bucket", "kind").applyInArrow(_summed, SUMMED_NAMES))
+    summed = made.filter(F.col("chunk").isNull())
+    asked = made.filter(F.col("chunk").isNotNull()).select("bucket", "kind", "chunk", "places")
     tokens, kinds = summed.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     of_grams = summed.filter(F.col("kind") == GRAM).select("bucket", "keys", "counts")
     # At most a row for each two bytes.
@@ -290,7 +321,7 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     lengths = dealt.groupBy("ends").applyInArrow(_coded(pairs), "bucket int, kind int, keys binary, values binary")
     counts = summed.filter(F.col("kind") == WORD).select("bucket", "kind", "keys", F.col("counts").alias("values"))
     known = lengths.unionByName(counts).groupBy("bucket", "kind")
-    given = keyed(False).groupBy("bucket", "kind").cogroup(known).applyInArrow(_given_back, "chunk binary, bucket int, kind int, values binary")
+    given = asked.groupBy("bucket", "kind").cogroup(known).applyInArrow(_given_back, "chunk binary, bucket int, kind int, values binary")
     # For one chunk at most eight bytes for each of its distinct grams and words.
     by_chunk = given.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "values")).alias("given"))
     shape = pa.schema(

@@ -86,6 +86,31 @@ def test_ppm_takes_a_long_text_without_blanks(spark):
     assert r.score == pytest.approx(3 * math.log10(1 / 256)) and (r.n_known, r.train_tokens) == (0, 0)
 
 
+def test_ppm_takes_chunks_apart_twice(spark):
+    rows = [(i, f"word{i % 5} \x1c\xa0 tail\x0bB", i % 4 == 1) for i in range(40)]
+    made = ppm.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean"), F.col("h"), chunk_chars=100)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    # The counting pass has been written; what is left adds up the values.
+    assert plan.count("scored(chunk") == 1 and "keyed(chunk" not in plan
+    assert {r.n_tokens for r in made.collect()} == {5}
+
+
+def test_ppm_buckets_note_the_places_of_keys():
+    import numpy as np
+    import pyarrow as pa
+
+    pick = random.Random(64)
+    for kind, lanes in ((ppm.GRAM, 1), (ppm.WORD, 2)):
+        parts = [np.array([[pick.randint(0, 3) for _ in range(lanes)] for _ in range(n)], dtype=np.uint64) for n in (40, 1, 7)]
+        table = pa.table({"bucket": [3] * 3, "kind": [kind] * 3, "chunk": [b"x", b"y", b"z"], "keys": [p.tobytes() for p in parts], "counts": [np.arange(len(p)).tobytes() for p in parts]})
+        first, *rest = ppm._summed(table).to_pylist()
+        keys, n = np.frombuffer(first["keys"], np.uint64).reshape(-1, lanes), np.frombuffer(first["counts"], np.int64)
+        assert keys.tolist() == [list(k) for k in sorted({tuple(k) for p in parts for k in p.tolist()})]
+        assert first["chunk"] is None and n.sum() == sum(np.arange(len(p)).sum() for p in parts)
+        for row, part in zip(rest, parts):
+            assert keys[np.frombuffer(row["places"], np.int32)].tolist() == part.tolist()
+
+
 def test_toxicity_learns_stems_not_ids(spark):
     pick = random.Random(1)
     plain_word = lambda: "".join(pick.choice(["on", "er", "ti", "an"]) for _ in range(pick.randint(1, 4)))
