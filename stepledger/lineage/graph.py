@@ -28,7 +28,9 @@ def resolve_reads(io: DataFrame, program: str = "program", order: str = "idx") -
 def edges(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
     """program, src, dst, dataset."""
     reads = resolve_reads(io, program, order).filter(F.col("writer").isNotNull() & (F.col("writer") != col(order)))
-    return reads.select(col(program), F.col("writer").alias("src"), col(order).alias("dst"), "dataset").distinct()
+    found = reads.select(col(program), F.col("writer").alias("src"), col(order).alias("dst"), "dataset")
+    # Dealt by the reading step, so that later passes over pairs of steps need no further shuffle.
+    return found.repartition(col(program), "dst").distinct()
 
 
 def external_inputs(io: DataFrame, program: str = "program", order: str = "idx") -> DataFrame:
@@ -166,12 +168,16 @@ def layers(nodes: DataFrame, edge_rows: DataFrame, program: str = "program") ->
     with tables(edge_rows.sparkSession) as block:
         pairs = store(edge_rows.select(col(program), "src", "dst").distinct())
         walks = _walks(pairs, program)
-        every = nodes.select(col(program), "idx").union(pairs.select(col(program), F.col("dst"))).union(pairs.select(col(program), F.col("src")))
-        every = every.distinct()
-        ends = [w.select(col(program), F.col("dst").alias("idx")).distinct() for w in walks]
+        # Steps that no edge ends at, by one aggregate. A missing name is equal to no other, so its edges join nothing.
+        ended = F.when(col(program).isNotNull() & F.col("dst").isNotNull(), 1).otherwise(0)
+        every = nodes.select(col(program), "idx", F.lit(0).alias("ended"))
+        every = every.union(pairs.select(col(program), "src", F.lit(0))).union(pairs.select(col(program), "dst", ended))
+        first = every.groupBy(col(program), "idx").agg(F.max("ended").alias("ended")).filter("ended = 0")
+        first = first.select(col(program), "idx", F.lit(0).alias("depth"))
         if not walks:
-            return block.keep(every.withColumn("depth", F.lit(0)))
-        known = store(every.join(ends[0], [program, "idx"], "left_anti").withColumn("depth", F.lit(0)))
+            return block.keep(first)
+        ends = [w.select(col(program), F.col("dst").alias("idx")).distinct() for w in walks]
+        known = store(first)
         for k, w in enumerate(walks):
             if k + 1 < len(ends):
                 w = w.join(ends[k + 1].withColumnRenamed("idx", "dst"), [program, "dst"], "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepledger.columns import attach, col, key_of
+from stepledger.columns import all_of, attach, col, key_of
 from stepledger.settings import piece_count, store
 
 PIECE = "__piece"
@@ -39,6 +39,18 @@ def per_piece(parts: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
     return parts.groupBy(PIECE, *[key_of(parts, c).alias(c) for c in by]).agg(*aggs)
 
 
+def at_borders(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of the first and the last group of each piece: ranges are contiguous, so no other group is in two pieces."""
+    if not by:
+        return parts
+    names = [f"__border{i}" for i in range(len(by))]
+    group = F.struct(*[key_of(parts, c).alias(n) for c, n in zip(by, names)])
+    ends = parts.groupBy(F.col(PIECE).alias("__of")).agg(F.array_distinct(F.array(F.min(group), F.max(group))).alias("ends"))
+    borders = ends.select("__of", F.inline("ends"))
+    same = [key_of(parts, c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]
+    return parts.join(F.broadcast(borders), all_of([F.col(PIECE) == F.col("__of"), *same]), "left_semi")
+
+
 def stitch(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
     """Bring the carried values to the rows.
 

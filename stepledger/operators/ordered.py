@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepledger.columns import col, key_of, ordering
-from stepledger.operators.heavy import PIECE, across_pieces, in_pieces, per_piece, stitch, window
+from stepledger.operators.heavy import PIECE, across_pieces, at_borders, in_pieces, per_piece, stitch, window
 
 
 def sort_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -136,6 +136,8 @@ class Pass:
         back = max([s.rows for s in self.shifts if s.rows > 0], default=0)
         ahead = max([-s.rows for s in self.shifts if s.rows < 0], default=0)
         if self.helds or self.shifts:
+            # Before the sort: mostly a few groups are left of many.
+            parts = at_borders(parts, by)
             w = window(parts, by, keys)
             parts = parts.withColumn("__place", F.row_number().over(w))
             if back:

@@ -424,3 +424,18 @@ def test_dataset_names_are_cleaned_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\([\s\S]*$") == 2
     assert found.first()["inputs"] == ["work.d"]
+
+
+def test_pairs_of_steps_need_one_shuffle_of_the_edges(spark):
+    io = spark.createDataFrame([("p", i, f"d{i - w}", bool(w)) for i in range(1, 6) for w in (0, 1)], "program string, idx long, dataset string, is_write boolean")
+    pairs = G.edges(io).select("program", "src", "dst").distinct()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert any(", dst#" in x for x in dealt) and not any(", src#" in x for x in dealt)
+
+
+def test_layers_with_missing_names(spark):
+    nodes = spark.createDataFrame([(None, 0), (None, 1), ("p", 0), ("p", 1), ("p", 2)], "program string, idx long")
+    pairs = spark.createDataFrame([(None, 0, 1), ("p", 0, 1), ("p", 1, 2), ("p", 1, 7)], "program string, src long, dst long")
+    got = {(r["program"], r["idx"]): r["depth"] for r in G.layers(nodes, pairs).collect()}
+    assert got == {(None, 0): 0, (None, 1): 0, ("p", 0): 0, ("p", 1): 1, ("p", 2): 2, ("p", 7): 2}

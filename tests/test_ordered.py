@@ -6,6 +6,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from stepledger.operators import heavy as heavy_rows
 from stepledger.operators import ordered as O
 
 
@@ -179,3 +180,32 @@ def test_lag_calls_equal_a_row_loop(spark, heavy):
         assert got == want
     with pytest.raises(ValueError):
         O.lag_calls(df, [], ["i"], F.col("c"), F.col("v"), {"none": 0})
+
+
+def test_only_groups_at_borders_of_pieces_are_carried(spark):
+    rows = [(0, None, 1), (0, None, 2), (0, "a", 1), (0, "b", 1), (1, "b", 2), (2, "b", 3), (2, "c", 1), (2, "d", 1), (2, "e", 1)]
+    parts = spark.createDataFrame(rows, f"{heavy_rows.PIECE} int, k string, i int")
+    got = sorted((r[0], r[1] or "", r[2]) for r in heavy_rows.at_borders(parts, ["k"]).collect())
+    assert got == [(0, "", 1), (0, "", 2), (0, "b", 1), (1, "b", 2), (2, "b", 3), (2, "e", 1)]
+    assert heavy_rows.at_borders(parts, []).count() == len(rows)
+
+
+def test_values_are_held_and_shifted_across_pieces_with_missing_keys(spark, heavy):
+    keys = [None] * 30 + ["a"] * 2 + ["b"] * 60 + ["c", "d", "e"] + ["f"] * 20
+    rows = [(k, float(i % 7) if i % 5 == 0 else None, i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(5)
+    work = O.Pass(df, ["k"], ["i"]).hold("held", F.col("v").isNotNull(), F.col("v"), False).shift("prior", F.col("i"), 2).shift("next", F.col("i"), -1)
+    want, seen = {}, {}
+    for k, v, i in rows:
+        before = seen.setdefault(k, [])
+        near = [x for x, _ in before]
+        later = rows[i + 1][2] if i + 1 < len(rows) and rows[i + 1][0] == k else None
+        want[i] = (next((x for _, x in reversed(before) if x is not None), None), near[-2] if len(near) > 1 else None, later)
+        before.append((i, v))
+    assert {r.i: (r.held, r.prior, r.next) for r in work.result().collect()} == want
+
+
+def test_carried_values_sort_only_groups_at_borders(spark):
+    df = spark.createDataFrame([(i // 3, i) for i in range(60)], "k int, i int").withColumn("v", F.col("i"))
+    plan = O.carry_forward(df, ["k"], ["i"], {"held": (F.col("v") > 1, F.col("v"))})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1
