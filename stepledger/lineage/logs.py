@@ -34,10 +34,14 @@ def looks_like_log(text: Column) -> Column:
 
 def flatten(text: Column) -> Column:
     """The concrete program: expanded code of a log in line order; plain source, or a log without code, as it is."""
-    code = F.filter(F.transform(lines(text), expanded_code), lambda x: x != "")
-    ended = F.array_join(F.transform(code, lambda x: F.concat(x, F.lit("\n"))), "")
     # Named once, so that the lines are gone through once.
-    return F.coalesce(F.nullif(ended, F.lit("")), text)
+    return F.coalesce(_code(text), text)
+
+
+def _code(text: Column) -> Column:
+    """The expanded code of a log, a line feed after each line; missing where there is none."""
+    code = F.filter(F.transform(lines(text), expanded_code), lambda x: x != "")
+    return F.nullif(F.array_join(F.transform(code, lambda x: F.concat(x, F.lit("\n"))), ""), F.lit(""))
 
 
 def expanded_code(line: Column) -> Column:
@@ -56,6 +60,17 @@ def flatten_lines(rows: DataFrame, program: str = "program") -> DataFrame:
     return code.select(col(program), "line_no", F.col("__code").alias("line")).unionByName(plain.select(col(program), "line_no", "line"))
 
 
+def flatten_pieces(pieces: DataFrame, program: str = "program") -> DataFrame:
+    """``flatten`` for programs given in pieces of whole lines (``program, piece, text``), however many: the pieces of the concrete
+    program, written once. A piece without code says nothing in a program that has code elsewhere.
+    """
+    coded = pieces.select(col(program), "piece", "text", _code(F.col("text")).alias("__code"))
+    flat = store(coded.select(col(program), "piece", F.coalesce("__code", "text").alias("text"), F.col("__code").isNotNull().alias("__is_code")))
+    expanded = store(flat.filter("__is_code").select(col(program).alias("__p")).distinct())
+    known = flat.join(expanded, col(program).eqNullSafe(F.col("__p")), "left")
+    return known.filter("__is_code or __p is null").select(col(program), "piece", "text")
+
+
 @dataclass
 class LogFacts:
     """Tables harvested from run logs, keyed by ``program``."""

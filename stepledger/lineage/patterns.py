@@ -12,6 +12,11 @@ COMMENT_TOKEN = r"""'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)|/\*[\s\S]*?(?:\*/|\z)|[^'"/]
 STATEMENT = r"""(?:'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)|[^;'"]++)++"""
 FIRST_WORD = r"^([A-Za-z_][A-Za-z0-9_]*)"
 
+# Lexing a text in pieces. A token that ends in its piece, what a piece leaves open, and the blanks before a statement.
+TOKEN = r"""'[^']*+'|"[^"]*+"|/\*[\s\S]*?\*/|[^;'"/]++|/(?!\*)"""
+LEFT_OPEN = rf"""^(?:{TOKEN}|;++)*+('|"|/\*)?"""
+BLANKS = rf"(?:{SPACE}++|/\*[\s\S]*?\*/)*+"
+
 # Run-log lines.
 EXPANDED_NAMED = rf"^{SPACE}*MPRINT\(([^)]*)\):{SPACE}?(.*)$"
 EXPANDED_BARE = rf"^{SPACE}*MPRINT:{SPACE}?(.*)$"
@@ -46,3 +51,8 @@ READERS = ["set", "merge", "update", "modify"]
 OPTION_WORDS = ["end", "nobs", "point", "key", "in", "by"]
 UNNAMED = ["_null_", "_data_", "_last_"]
 WRITING_OPTIONS = ["out", "outest", "base"]
+
+# The text up to where the first step starts behind a semicolon: before such a word, or after such a statement.
+STARTS = r"(?i:data|proc)(?![A-Za-z0-9_])"
+ENDS = rf"(?i:{'|'.join(TERMINATORS)})(?![A-Za-z0-9_])(?:{TOKEN})*+;"
+BEFORE_STEP = rf"^(?:{TOKEN}|;(?!{BLANKS}(?:{STARTS}|{ENDS})))*+(?:;(?={BLANKS}{STARTS})|;{BLANKS}{ENDS})"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepledger.columns import col
+from stepledger.columns import attach, col
 from stepledger.lineage import patterns as P
 from stepledger.lineage.lexing import bare_name, first_word, proc_name, split_statements, with_library
 from stepledger.operators.ordered import number_rows, running_sum, shift
+from stepledger.settings import TEXT_BYTES, store
+from stepledger.sources.corpus import spread
 
 
 def statements(programs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,6 +62,69 @@ def extract_steps(programs: DataFrame, text: str = "text", library: str = "work"
     return with_label(with_io(parts, library))
 
 
+# What a piece of a text can start in, as the characters that would open it there: code, quotes of both kinds, a comment.
+OPENINGS = ["", "'", '"', "/*"]
+
+
+def extract_steps_of_pieces(pieces: DataFrame, library: str = "work") -> DataFrame:
+    """``extract_steps`` for programs given in pieces of whole lines (``program, piece, text``), however many.
+
+    Pieces become parts of whole steps, which are cut inside their rows as texts are; then the steps are numbered
+    through by the numbers of steps in the parts before. No program meets in one row, but for a few numbers a piece.
+    """
+    parts = whole_steps(pieces)
+    found = extract_steps(parts.select(F.struct("program", "part").alias("program"), "text"), library=library).drop("label")
+    found = store(found.select("program.program", "program.part", *[c for c in found.columns if c != "program"]))
+    sizes = found.groupBy("program", "part").agg((F.max("idx") + 1).alias("__n"))
+    earlier = Window.partitionBy("program").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = store(sizes.select("program", "part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")))
+    numbered = attach(found, before, ["program", "part"]).withColumn("idx", F.col("idx") + F.col("__before"))
+    return with_label(numbered.drop("part", "__before"))
+
+
+def whole_steps(pieces: DataFrame) -> DataFrame:
+    """program, part, text: the texts cut before steps, about as often as they were into pieces.
+
+    Each piece is read from every opening: what it leaves open, and how far the step goes that it starts inside.
+    A program's pieces then say, one after the other, which opening each of them has; only these numbers meet. A part runs
+    from the first step that begins in a piece up to the next such step, or, before the first, from the start of the program.
+    """
+    opening = F.array(*[F.lit(o) for o in OPENINGS])
+
+    def read_from(opened: Column) -> Column:
+        text = F.concat(opened, F.col("text"))
+        left = F.array_position(opening, F.regexp_extract(text, P.LEFT_OPEN, 1)).cast("int")
+        inside = F.length(F.regexp_extract(text, P.BEFORE_STEP, 0)) - F.length(opened)
+        return F.struct(left.alias("left"), F.greatest(inside, F.lit(0)).alias("inside"))
+
+    ways = store(pieces.select("program", "piece", F.octet_length("text").cast("long").alias("bytes"), F.transform(opening, read_from).alias("ways")))
+    listed = ways.groupBy("program").agg(F.sort_array(F.collect_list(F.struct("piece", "ways"))).alias("pieces"))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("seen"))
+
+    def onwards(state: Column, piece: Column) -> Column:
+        return F.struct(F.get(piece["ways"], state["at"] - 1)["left"].alias("at"), F.concat(state["seen"], state["at"].cast("string")).alias("seen"))
+
+    # One digit a piece, so that what is gone through grows by a byte for each.
+    seen = listed.select("program", "pieces", F.split(F.aggregate("pieces", start, onwards)["seen"], "").alias("seen"))
+    cut = F.transform("pieces", lambda p, i: F.struct(p["piece"].alias("piece"), F.get(p["ways"], F.get("seen", i).cast("int") - 1)["inside"].alias("inside")))
+    cuts = seen.select("program", F.inline(cut))
+    earlier = Window.partitionBy("program").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.when(F.col("inside") > 0, F.col("piece"))
+    cuts = store(cuts.select("program", "piece", "inside", F.max(begun).over(earlier).alias("from")))
+    tasks = -(-(ways.agg(F.sum("bytes")).first()[0] or 0) // TEXT_BYTES)
+
+    def share(part: str, text: Column) -> Column:
+        return F.struct(F.col(part).alias("part"), text.alias("text"))
+
+    placed = attach(pieces, cuts, ["program", "piece"], "inner")
+    inside, size = F.col("inside"), F.length("text")
+    shares = F.when(inside > 0, F.array(share("from", F.substring("text", F.lit(1), inside)), share("piece", F.substring("text", inside + 1, size))))
+    shares = placed.select("program", "piece", F.explode(F.coalesce(shares, F.array(share("from", F.col("text"))))).alias("s"))
+    dealt = spread(shares.select("program", "s.part", F.struct("piece", "s.text").alias("s")), ["program", "part"], tasks)
+    joined = dealt.groupBy("program", "part").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return joined.select("program", "part", F.array_join(F.transform("s", lambda s: s["text"]), "").alias("text"))
+
+
 def _keys(names: Column, library: str) -> Column:
     """Dataset keys of the names in first-seen order; unnamed targets are left out."""
     # In two transforms: what a lambda names twice it works out twice.

@@ -14,6 +14,10 @@ from stepledger.settings import TEXT_BYTES, store, task_count
 SOURCE_ENDING = ".sas"
 LOG_ENDING = ".log"
 
+# Lines of a piece of a text.
+PIECE_LINES = 1024
+BYTE_ORDER_MARK = "\ufeff"
+
 
 def read_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, text: one row per file. Bytes that are not UTF-8 become the replacement character."""
@@ -40,12 +44,46 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered.select("path", (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias("line_no"), "line")
 
 
-def spread(corpus: DataFrame, by: str = "program", tasks: int = 0) -> DataFrame:
+def read_pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, piece, text of program files of any size: joined in order of ``piece``, the texts are those of ``read_corpus``.
+
+    A file is read in splits, by as many tasks as it has, and a piece is some lines of a split. An empty file, or one of a
+    byte order mark only, has none.
+    """
+    raw = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", "true").load(paths)
+    meta = {"path": "file_path", "__size": "file_size", "__block": "file_block_start"}
+    rows = program_files(raw.select(*[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], "value"))
+    # Rows of a split follow each other in their task, and so do these numbers.
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    keys = [*meta, "__no"]
+    dealt = spread(rows.withColumn("__no", F.floor(F.col("__at") / PIECE_LINES)), keys)
+    lines = dealt.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "value"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.concat(x["value"], F.lit("\n"))), "")
+    place = F.struct(F.col("__block").alias("block"), F.col("__no").alias("no")).alias("piece")
+    # The path is in the form of a URI here, in which a plus is no blank.
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))).alias("path")
+    read = lines.select(path, "__size", place, text.alias("text"))
+    read = store(read.select("path", "__size", "piece", F.octet_length("text").alias("__bytes"), F.make_valid_utf8("text").alias("text")))
+    # Lines come without a mark at the start of a file, and their last one with a line feed; the sizes tell.
+    ends = read.groupBy("path").agg((F.first("__size") - F.sum("__bytes")).alias("__more"), F.min("piece").alias("__first"), F.max("piece").alias("__last"))
+    marked = F.when((F.col("__more") > 0) & (F.col("piece") == F.col("__first")), F.lit(BYTE_ORDER_MARK)).otherwise("")
+    cut = (F.col("__more") % 3 != 0) & (F.col("piece") == F.col("__last"))
+    text = F.concat(marked, F.when(cut, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text")))
+    return attach(read, store(ends.filter("__more != 0")), ["path"]).select("path", "piece", F.when(F.col("__more").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+
+def whole_texts(pieces: DataFrame) -> DataFrame:
+    """path, text: the pieces of each file joined."""
+    found = pieces.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("piece", "text"))).alias("s"))
+    return found.select("path", F.array_join(F.transform("s", lambda s: s["text"]), "").alias("text"))
+
+
+def spread(corpus: DataFrame, by: str | list[str] = "program", tasks: int = 0) -> DataFrame:
     """Texts dealt over the tasks by the bytes they come from: lexing a text costs far more than moving it once.
 
     ``tasks`` is the least number of them, for texts that are many more bytes than what they come from.
     """
-    return corpus.repartition(max(task_count(corpus, TEXT_BYTES), tasks), by)
+    return corpus.repartition(max(task_count(corpus, TEXT_BYTES), tasks), *([by] if isinstance(by, str) else by))
 
 
 def file_name(path: Column) -> Column:

@@ -401,17 +401,19 @@ def l10_layers(spark, sf_dir):
 
 FILE = "concat('job', CAST(p_partkey % 5 AS STRING))"
 FILE_PROJECT = "concat('project', CAST(p_partkey % 7 AS STRING))"
+# Five logs and two sources in each project.
+PROJECT_FILES = 49
 
 
 def project_files(spark, sf_dir):
     """A folder for each of seven projects with five logs, and sources beside two of them; each file is of many programs."""
-    part = table(spark, sf_dir, "part").select(F.expr(FILE_PROJECT).alias("project"), F.expr(FILE).alias("file"), "p_partkey", F.expr(LOG).alias("log"), F.expr(SOURCE).alias("source"))
-    kinds = F.array(F.struct(F.lit("log").alias("kind"), F.col("log").alias("text")), F.struct(F.lit("sas").alias("kind"), F.col("source").alias("text")))
-    texts = part.select("project", "file", "p_partkey", F.explode(kinds).alias("k")).select("project", "file", "p_partkey", "k.*")
-    texts = texts.filter("kind = 'log' or file in ('job1', 'job3')")
+    part = table(spark, sf_dir, "part").select("*", F.expr(FILE_PROJECT).alias("project"), F.expr(FILE).alias("file"))
+    parts = part.withColumn("kind", F.explode(F.array(F.lit("log"), F.lit("sas")))).filter("kind = 'log' or file in ('job1', 'job3')")
     made, folder = scratch_path(spark, "made"), scratch_path(spark, "projects")
-    rows = texts.repartition(8, "project", "file", "kind").sortWithinPartitions("project", "file", "kind", "p_partkey")
-    rows.select("project", "file", "kind", "text").write.partitionBy("project", "file", "kind").text(made)
+    # One writer a file; the rows are dealt and sorted before the texts are made of them, so no text is moved.
+    rows = parts.repartition(PROJECT_FILES, "project", "file", "kind").sortWithinPartitions("project", "file", "kind", "p_partkey")
+    text = F.when(F.col("kind") == "log", F.expr(LOG)).otherwise(F.expr(SOURCE))
+    rows.select("project", "file", "kind", text.alias("text")).write.partitionBy("project", "file", "kind").text(made)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = at(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     # A writer names its files itself; these few are given the names that programs have.

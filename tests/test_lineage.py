@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from stepledger.lineage import logs as L
 from stepledger.lineage import provenance as V
 from stepledger.lineage import steps as T
 from stepledger.lineage.project import read_project
+from stepledger.settings import scratch_path
 from stepledger.sources import corpus as C
 
 
@@ -401,6 +403,62 @@ def test_a_folder_of_files_is_one_project_each(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in listed.files.orderBy("file_no").collect()] == ["c.sas", "b.sas"]
 
 
+def pieces_of(rnd, text):
+    """The text in pieces of one to three lines."""
+    lines, out = text.splitlines(keepends=True), []
+    while lines:
+        n = rnd.randint(1, 3)
+        out.append("".join(lines[:n]))
+        lines = lines[n:]
+    return out
+
+
+def test_steps_of_pieces_are_those_of_whole_texts(spark):
+    """Quotes, comments, statements and steps go over the borders of pieces; logs have pieces without code."""
+    rnd = random.Random(7)
+    bits = ["a", " ", ";", "'", '"', "/*", "*/", "*", "/", "\n", "\n", "data x", "réel", "run;", "; proc sort data=b;", ";\nset c;", "quit", "endsas;", "; data"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(900)]
+    logged = ["\n".join(rnd.choice(["MPRINT(M):  ", "NOTE: "]) + x for x in t.split("\n")) for t in texts[::3]]
+    texts += logged
+    rows = [(f"p{i}", n, x) for i, t in enumerate(texts) for n, x in enumerate(pieces_of(rnd, t))]
+    pieces = L.flatten_pieces(spark.createDataFrame(rows, "program string, piece int, text string"))
+    whole = T.extract_steps(programs(spark, *texts).select("program", L.flatten(F.col("text")).alias("text")))
+    made = T.extract_steps_of_pieces(pieces)
+    assert made.columns == whole.columns
+    want, got = ({(r["program"], r["idx"]): r for r in df.collect()} for df in (whole, made))
+    wrong = [(texts[int(k[0][1:])], want.get(k), got.get(k)) for k in {*want, *got} if want.get(k) != got.get(k)]
+    assert not wrong, wrong[:3]
+    assert T.whole_steps(pieces).count() > 1.5 * len(texts)
+
+
+def test_project_texts_are_in_no_row(spark, tmp_path, monkeypatch):
+    """A file of many steps is read, flattened and cut in pieces; the whole text is made where it is asked for."""
+    monkeypatch.setattr(C, "PIECE_LINES", 8, raising=False)
+    said = "NOTE: n\nMPRINT(M):  data b{}; set b{}; /* ;\nMPRINT(M):  it's */ run;\n"
+    text = "".join(said.format(i + 1, i) for i in range(200))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.log").write_text(text)
+    (tmp_path / "p" / "a.sas").write_text("%macro m; %mend;")
+    (tmp_path / "p" / "b.sas").write_text("\n")
+    before = set(map(str, scratch(spark)))
+    made = read_project(spark, str(tmp_path))
+    longest = 0
+    for table in scratch(spark):
+        if str(table) not in before:
+            df = spark.read.parquet(str(table))
+            sizes = [F.max(F.length(c)) for c, kind in df.dtypes if kind == "string"]
+            longest = max([longest, *[n or 0 for n in df.agg(*sizes).first()]] if sizes else [longest])
+    assert 0 < longest < len(text) / 10
+    assert {(r["src"], r["dst"]) for r in made.edges.collect()} == {(i, i + 1) for i in range(199)}
+    found = [(r["file_no"], r["text"], r["source"]) for r in made.files.orderBy("file_no").collect()]
+    assert found == [(1, text, "%macro m; %mend;"), (2, "\n", None)]
+
+
+def scratch(spark):
+    root = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    return [p for p in root.glob("table-*")]
+
+
 def test_flatten_goes_through_the_lines_once(spark):
     df = programs(spark, "MPRINT(A):  data x;  \nNOTE: n\nMPRINT(A):   run;\n", "data y; run;", "NOTE: no code\n", None)
     made = df.select("program", L.flatten(F.col("text")).alias("text"))

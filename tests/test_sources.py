@@ -171,3 +171,32 @@ def test_file_numbers_do_not_sort_by_whole_texts(spark, monkeypatch):
     got = made.collect()
     assert sorted((r["path"], r["file_no"]) for r in got) == [("/x/a", 1), ("/x/a", 2), ("/x/b", 3), ("/y/c", 1)]
     assert sorted(str(tuple(r)[:4]) for r in got) == sorted(map(str, given))
+
+
+def test_pieces_are_the_texts(spark, tmp_path, monkeypatch):
+    """Marks at the start, missing line feeds at the end, other line ends, broken bytes and odd paths, with splits and without."""
+    monkeypatch.setattr(P, "PIECE_LINES", 2)
+    files = {
+        "a b%20+ü/bom.sas": b"\xef\xbb\xbfa\nb\n\n\nc\n",
+        "a b%20+ü/bom.log": b"\xef\xbb\xbfMPRINT(A): data a;\nx\nMPRINT(A): run;",
+        "ends.sas": b"data a;\rset b;\r\nrun;\x85\n\x0c",
+        "broken.sas": b"\xe2\x82\n\xff\xfe;\n\xc3",
+        "feeds.LOG": b"\n\n\n\n\nx",
+        "feed.sas": b"\n",
+        "empty.sas": b"",
+        "other.txt": b"no",
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    want = {r["path"]: r["text"] for r in P.program_files(P.read_corpus(spark, str(tmp_path))).collect() if r["text"]}
+    assert len(want) == 6
+    for split in ("", "16"):
+        try:
+            if split:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            pieces = P.read_pieces(spark, str(tmp_path))
+            assert pieces.count() > len(want)
+            assert {r["path"]: r["text"] for r in P.whole_texts(pieces).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
