@@ -14,7 +14,7 @@ from stepledger.settings import store
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, P.LINE_END)
+    return F.split(text, P.LINE_BREAK)
 
 
 def numbered_lines(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -46,7 +46,7 @@ def _code(text: Column) -> Column:
 
 def expanded_code(line: Column) -> Column:
     """What an expanded line says, without white space at its end; empty for any other line."""
-    return F.regexp_replace(F.regexp_extract(line, P.EXPANDED, 1), P.SPACE + "+$", "")
+    return F.regexp_replace(F.regexp_extract(line, P.EXPANDED, 1), P.BLANK + "+$", "")
 
 
 def flatten_lines(rows: DataFrame, program: str = "program") -> DataFrame:
@@ -145,7 +145,7 @@ def _harvested(rows: DataFrame) -> LogFacts:
 
 def squeeze_ends(text: Column) -> Column:
     """White space removed at both ends only."""
-    return F.regexp_replace(text, f"^{P.SPACE}+|{P.SPACE}+$", "")
+    return F.regexp_replace(text, f"^{P.BLANK}+|{P.BLANK}+$", "")
 
 
 def let_variables(sources: DataFrame, text: str = "text") -> DataFrame:

@@ -3,9 +3,12 @@
 # A letter, digit or underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = rf"(?<!{WORD})"
-# The plain characters are ruled out first, by one comparison, as nearly all are.
-SPACE = r"[[^!-~]&&[\s\x0B\x1C-\x1F\x85\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
-LINE_END = r"\r\n|[[^ -~]&&[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]]"
+SPACE = r"[\s\x0B\x1C-\x1F\x85\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
+# The same for Spark alone, as the checking engine has no intersections: the plain characters are ruled out first, by one
+# comparison, as nearly all are.
+BLANK = rf"[[^!-~]&&{SPACE}]"
+LINE_BREAK = r"\r\n|[[^ -~]&&[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]]"
 
 # Lexing. Possessive, so that long texts do not exhaust the regex stack.
 COMMENT_TOKEN = r"""'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)|/\*[\s\S]*?(?:\*/|\z)|[^'"/]++|/"""
@@ -15,35 +18,35 @@ FIRST_WORD = r"^([A-Za-z_][A-Za-z0-9_]*)"
 # Lexing a text in pieces. A token that ends in its piece, what a piece leaves open, and the blanks before a statement.
 TOKEN = r"""'[^']*+'|"[^"]*+"|/\*[\s\S]*?\*/|[^;'"/]++|/(?!\*)"""
 LEFT_OPEN = rf"""^(?:{TOKEN}|;++)*+('|"|/\*)?"""
-BLANKS = rf"(?:{SPACE}++|/\*[\s\S]*?\*/)*+"
+BLANKS = rf"(?:{BLANK}++|/\*[\s\S]*?\*/)*+"
 
 # Run-log lines.
-EXPANDED_NAMED = rf"^{SPACE}*MPRINT\(([^)]*)\):{SPACE}?(.*)$"
-EXPANDED_BARE = rf"^{SPACE}*MPRINT:{SPACE}?(.*)$"
-EXPANDED = rf"^{SPACE}*MPRINT(?:\([^)]*\))?:{SPACE}?(.*)$"
-LOG_NOISE = rf"(?i)^{SPACE}*(MLOGIC|SYMBOLGEN|NOTE|WARNING|ERROR|INFO)(?:{SPACE}|[(:])"
-SYMBOL = rf"(?i)^{SPACE}*SYMBOLGEN:{SPACE}*Macro variable{SPACE}+({WORD}+){SPACE}+resolves to{SPACE}+(.*)$"
-LOOP_INDEX = rf"(?i)index variable{SPACE}+({WORD}+)"
-PARAMETER = rf"(?i)Parameter{SPACE}+({WORD}+){SPACE}+has value"
+EXPANDED_NAMED = rf"^{BLANK}*MPRINT\(([^)]*)\):{BLANK}?(.*)$"
+EXPANDED_BARE = rf"^{BLANK}*MPRINT:{BLANK}?(.*)$"
+EXPANDED = rf"^{BLANK}*MPRINT(?:\([^)]*\))?:{BLANK}?(.*)$"
+LOG_NOISE = rf"(?i)^{BLANK}*(MLOGIC|SYMBOLGEN|NOTE|WARNING|ERROR|INFO)(?:{BLANK}|[(:])"
+SYMBOL = rf"(?i)^{BLANK}*SYMBOLGEN:{BLANK}*Macro variable{BLANK}+({WORD}+){BLANK}+resolves to{BLANK}+(.*)$"
+LOOP_INDEX = rf"(?i)index variable{BLANK}+({WORD}+)"
+PARAMETER = rf"(?i)Parameter{BLANK}+({WORD}+){BLANK}+has value"
 LOGIC = "MLOGIC"
 
 # Parametric source.
-LET = rf"(?i)%let{SPACE}+({WORD}+){SPACE}*="
-DEFINITION = rf"(?is)%macro{SPACE}+({WORD}+)(?!{WORD}).*?%mend(?!{WORD})[^;]*;"
-DEFINITION_NAME = rf"(?i)^%macro{SPACE}+({WORD}+)"
+LET = rf"(?i)%let{BLANK}+({WORD}+){BLANK}*="
+DEFINITION = rf"(?is)%macro{BLANK}+({WORD}+)(?!{WORD}).*?%mend(?!{WORD})[^;]*;"
+DEFINITION_NAME = rf"(?i)^%macro{BLANK}+({WORD}+)"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # Dataset references. A name is looked for only where its first letter stands.
-OPTION_PAIR = rf"""[A-Za-z_]{WORD}*+{SPACE}*+={SPACE}*+(?:\([^)]*\)|[\p{{L}}\p{{N}}_."']+)"""
+OPTION_PAIR = rf"""[A-Za-z_]{WORD}*+{BLANK}*+={BLANK}*+(?:\([^)]*\)|[\p{{L}}\p{{N}}_."']+)"""
 DATASET_NAME = r"[A-Za-z_][\p{L}\p{N}_.]*"
-DATASET_TOKEN = rf"{DATASET_NAME}(?:{SPACE}*\([^)]*\))?"
+DATASET_TOKEN = rf"{DATASET_NAME}(?:{BLANK}*\([^)]*\))?"
 PROC_OPTION = (
-    rf"(?i)(?=[dobi]){NOT_WORD_BEFORE}(data|out|outest|base|inest){SPACE}*={SPACE}*({DATASET_NAME}(?:{SPACE}*\([^)]*\))?)"
+    rf"(?i)(?=[dobi]){NOT_WORD_BEFORE}(data|out|outest|base|inest){BLANK}*={BLANK}*({DATASET_NAME}(?:{BLANK}*\([^)]*\))?)"
 )
-SQL_CREATE = rf"(?i)(?=c){NOT_WORD_BEFORE}create{SPACE}+(?:table|view){SPACE}+({DATASET_NAME})"
-SQL_INSERT = rf"(?i)(?=i){NOT_WORD_BEFORE}insert{SPACE}+into{SPACE}+({DATASET_NAME})"
-SQL_FROM = rf"(?i)(?=f){NOT_WORD_BEFORE}from{SPACE}+({DATASET_NAME})"
-SQL_JOIN = rf"(?i)(?=j){NOT_WORD_BEFORE}join{SPACE}+({DATASET_NAME})"
+SQL_CREATE = rf"(?i)(?=c){NOT_WORD_BEFORE}create{BLANK}+(?:table|view){BLANK}+({DATASET_NAME})"
+SQL_INSERT = rf"(?i)(?=i){NOT_WORD_BEFORE}insert{BLANK}+into{BLANK}+({DATASET_NAME})"
+SQL_FROM = rf"(?i)(?=f){NOT_WORD_BEFORE}from{BLANK}+({DATASET_NAME})"
+SQL_JOIN = rf"(?i)(?=j){NOT_WORD_BEFORE}join{BLANK}+({DATASET_NAME})"
 
 # Words.
 TERMINATORS = ["run", "quit", "endsas"]

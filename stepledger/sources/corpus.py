@@ -34,7 +34,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     raw = spark.read.format("text").option("recursiveFileLookup", "true").load(paths)
     block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block")]
-    line = F.explode(F.split(F.make_valid_utf8("value"), P.LINE_END)).alias("line")
+    line = F.explode(F.split(F.make_valid_utf8("value"), P.LINE_BREAK)).alias("line")
     # Rows of a split follow each other in their task, and so do these numbers.
     placed = store(raw.select(*block, line).withColumn("__at", F.monotonically_increasing_id()))
     splits = placed.groupBy("path", "__block").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
